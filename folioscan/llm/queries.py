@@ -4,19 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.llm.byte_bpe import byte_bpe_round_trip
 from folioscan.llm.exact_dedup import exact_dedup
 from folioscan.llm.mixing import mix_summary
 from folioscan.llm.quality import quality_rules
 from folioscan.llm.sharding import kd_shards
+from folioscan.llm.token_files import token_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, and what is read back from them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources by weights 3, 1, 2 takes of each document."""
     return mix_summary(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -32,6 +41,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents, and of the texts decoded from them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word, symbol and repetition counts of each document, and the verdict."""
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -39,8 +54,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op2_mix_sources": op2_mix_sources,
     "op3_kd_shards": op3_kd_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }

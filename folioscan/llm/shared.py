@@ -80,15 +80,23 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 class Memo(dict):
-    """Results of ``make`` by key; forgets all when ``limit`` is reached, so its
-    memory is bounded whatever the corpus holds."""
+    """Results of ``make`` by key, in a memory of at most ``limit`` entries.
+
+    Entries live in two generations of half that size: when the young one is full
+    it becomes the old one, whose entries return when they are asked for again. So
+    what comes often stays, whatever else the corpus holds.
+    """
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.old = make, limit // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
