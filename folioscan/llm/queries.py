@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.byte_bpe import byte_bpe_round_trip
 from folioscan.llm.exact_dedup import exact_dedup
 from folioscan.llm.mixing import mix_summary
+from folioscan.llm.near_dedup import near_components
 from folioscan.llm.quality import quality_rules
 from folioscan.llm.sharding import kd_shards
 from folioscan.llm.token_files import token_round_trip
@@ -47,6 +48,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar 3-word shingles."""
+    return near_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word, symbol and repetition counts of each document, and the verdict."""
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -59,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_kd_shards": op3_kd_shards,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
