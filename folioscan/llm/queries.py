@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.byte_bpe import byte_bpe_round_trip
 from folioscan.llm.exact_dedup import exact_dedup
+from folioscan.llm.html_text import extract_main_text
 from folioscan.llm.mixing import mix_summary
 from folioscan.llm.near_dedup import near_components
 from folioscan.llm.quality import quality_rules
@@ -42,6 +43,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents, and of the texts decoded from them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_kd_shards": op3_kd_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_text": op6_html_text,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
