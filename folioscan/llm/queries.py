@@ -15,6 +15,7 @@ from folioscan.llm.mixing import mix_summary
 from folioscan.llm.near_dedup import near_components
 from folioscan.llm.quality import quality_rules
 from folioscan.llm.sharding import kd_shards
+from folioscan.llm.suffix_tree import score_documents
 from folioscan.llm.token_files import token_round_trip
 
 
@@ -54,6 +55,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from those whose id's CRC-32 mod 7 isn't 2."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with similar 3-word shingles."""
     return near_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_html_text": op6_html_text,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_suffix_tree": op8_suffix_tree,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
