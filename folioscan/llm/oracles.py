@@ -54,6 +54,12 @@ FROM d LEFT JOIN size USING (doc_id) JOIN comp USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_token_counts": rf"""
+WITH d AS (SELECT source, lang, len({_WORDS})::BIGINT AS n FROM documents)
+SELECT source, lang, 'words-1' AS tokenizer, 0::BIGINT AS documents, 0::BIGINT AS tokens FROM d GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'words-2', count(*) FILTER (n >= 50)::BIGINT, coalesce(sum(n + 1) FILTER (n >= 50), 0)::BIGINT FROM d GROUP BY source, lang
+""",
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))

@@ -15,7 +15,9 @@ from folioscan.llm.mixing import mix_summary
 from folioscan.llm.near_dedup import near_components
 from folioscan.llm.quality import quality_rules
 from folioscan.llm.sharding import kd_shards
+from folioscan.llm.shared import SPACE, scratch_path, written
 from folioscan.llm.suffix_tree import score_documents
+from folioscan.llm.token_counts import TokenLedger, changes
 from folioscan.llm.token_files import token_round_trip
 
 
@@ -39,6 +41,24 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), leaves=24)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents, one of them sent twice.
+
+    Loaded with words as tokens (words-1), then revised to words and an end
+    (words-2); documents of under 50 words are deleted.
+    """
+    docs = _table(spark, sf_dir, "documents").select("source", "lang", "text")
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), f"[{SPACE}]+"), ""))
+    counted = written(docs.select("source", "lang", words.alias("n")), "counted")
+    ledger = TokenLedger(spark, scratch_path(spark, "ledger"))
+    ledger.commit("load", changes(counted, "words-1", F.col("n")))
+    revised = changes(counted, "words-1", F.col("n"), -1).unionByName(changes(counted, "words-2", F.col("n") + 1))
+    ledger.commit("revise", revised)
+    ledger.commit("load", changes(counted, "words-1", F.col("n")))  # sent again: counts once
+    ledger.commit("delete", changes(counted.where("n < 50"), "words-2", F.col("n") + 1, -1))
+    return ledger.totals()
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document of each group of equal texts stays."""
     return exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mix_sources": op2_mix_sources,
     "op3_kd_shards": op3_kd_shards,
+    "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_html_text": op6_html_text,
     "op7_byte_bpe": op7_byte_bpe,
