@@ -1,16 +1,60 @@
-"""The corpus pipeline: documents to token digests in five stages."""
+"""The corpus pipeline: documents to token digests in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor
+kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscan.llm.byte_bpe import byte_bpe_round_trip
+from folioscan.llm.exact_dedup import exact_dedup
+from folioscan.llm.mixing import mix_sources
+from folioscan.llm.near_dedup import near_components
+from folioscan.llm.quality import quality_rules
+from folioscan.llm.shared import written
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, with the lines that pass."""
+    judged = quality_rules(docs).where("quality.kept").withColumn("text", F.col("quality.cleaned"))
+    return judged.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    kept = exact_dedup(docs).where("kept").select("doc_id")
+    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents (five words, 0.8), the one with the smallest id."""
+    kept = near_components(docs, k=5, percent=80).where("kept").select("doc_id")
+    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix by source weights 3, 1, 2 takes them."""
+    taken = mix_sources(docs).groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("passes"))
+    return docs.join(taken, "doc_id").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the mixed documents."""
+    return byte_bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [("quality rules", clean), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mix sources", mix), ("byte BPE", encode)]
+#: SQL has no byte-level BPE; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage to the documents of ``sf_dir``."""
+    """The stages applied to the documents of ``sf_dir``, each stage's rows written once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
