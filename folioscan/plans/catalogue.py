@@ -1,4 +1,286 @@
 """Named queries over the test tables, and their SQL twins."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioscan import schema as S
+from folioscan.functions import analysis, text
+from folioscan.operators import index, preview, search, tree
+from folioscan.plans import sql
+from folioscan.plans.query import SearchOptions
+from folioscan.sources.corpus import chat_corpus, documents_corpus, pages_corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+ROOTS = ["/corpus/src1", "/corpus/src2", "/corpus"]
+NOW = "2024-02-01 00:00:00"
+
+
+def _query(name: str, oracle: str | None, run: Callable[[SparkSession, str], DataFrame]) -> None:
+    QUERIES[name] = run
+    if oracle is not None:
+        ORACLE_SQL[name] = oracle
+
+
+# searches ---------------------------------------------------------------
+
+
+def _ranked(query: str, options: SearchOptions | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    options = options or SearchOptions(max_results=20)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = search.search(documents_corpus(spark, sf_dir), query, options)
+        return found.select("file_path", "file_name", "folder_path", "file_size", text.ticks(F.col("last_modified")).alias("last_modified_ticks"), "file_type", F.round("score", 6).alias("score"))
+
+    return run
+
+
+_query("search_single_word", sql.ranked(["than"]), _ranked("than"))
+_query("search_two_words_and", sql.ranked(["than", "doc_1"]), _ranked("than doc_1"))
+_query("search_filename_boost", sql.ranked(["doc_12"]), _ranked("doc_12"))
+_query("search_no_hit", sql.ranked(["zzzqqq"]), _ranked("zzzqqq"))
+_query("search_fullwidth_space", sql.ranked(["than", "doc_1"]), _ranked("than　doc_1"))
+_query("search_case_fold", sql.ranked(["than"]), _ranked("THAN"))
+_query("search_blank", f"WITH {sql.CORPUS} SELECT {sql._RESULT}, 0.0::DOUBLE AS score FROM corpus WHERE false", _ranked(" 　 "))
+_query("search_type_filter", sql.ranked(["than"], where="file_type IN ('Markdownファイル', 'CSVファイル')"), _ranked("than", SearchOptions(20, file_types=["Markdownファイル", "CSVファイル"])))
+_query("search_date_range", sql.ranked(["than"], where="last_modified BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'"), _ranked("than", SearchOptions(20, date_from=datetime(2024, 1, 5), date_to=datetime(2024, 1, 20))))
+_query("search_date_open_end", sql.ranked(["than"], where="last_modified >= TIMESTAMP '2024-01-25'"), _ranked("than", SearchOptions(20, date_from=datetime(2024, 1, 25))))
+_query("search_folder_prefix", sql.ranked(["than"], where="starts_with(folder_path, '/corpus/src1')"), _ranked("than", SearchOptions(20, folder="/corpus/src1")))
+_query(
+    "search_all_filters",
+    sql.ranked(["than"], where="starts_with(folder_path, '/corpus/src1') AND file_type = 'テキストファイル' AND last_modified BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-02-05'"),
+    _ranked("than", SearchOptions(20, ["テキストファイル"], datetime(2024, 1, 2), datetime(2024, 2, 5), "/corpus/src1")),
+)
+_query("search_total_hits", sql.total(["the", "doc_1"]), lambda spark, d: search.total_hits(documents_corpus(spark, d), "the doc_1"))
+_query(
+    "search_match_all", f"WITH {sql.CORPUS} SELECT file_path, 1.0::DOUBLE AS score FROM corpus",
+    lambda spark, d: search.matches(documents_corpus(spark, d), search.QueryPlan(())).select("file_path", "score"),
+)
+
+_TERMS = f"WITH {sql.CORPUS}, terms AS (SELECT file_path, unnest({sql.TOKENS.format('content')}) AS term FROM corpus)"
+_query("search_token_wildcard", f"{_TERMS} SELECT DISTINCT file_path FROM terms WHERE contains(term, 'nonth')", lambda spark, d: search.term_documents(analysis.postings(documents_corpus(spark, d)), "nonth"))
+_query(
+    "search_user_wildcard", sql.ranked(["x"], content=["len(list_filter(" + sql.TOKENS.format("content") + ", lambda t: regexp_matches(t, '^.*th.n*on.*$'))) > 0"], names=["len(list_filter(" + sql.TOKENS.format("file_name") + ", lambda t: regexp_matches(t, '^.*th.n*on.*$'))) > 0"]).replace("th.n*on", "th.n.*on"),
+    _ranked("th?n*on"),
+)
+
+_PHRASE = f"""{sql.CORPUS}, toks AS (SELECT file_path, {sql.TOKENS.format('content')} AS t FROM corpus),
+post AS (SELECT file_path, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos, len(t) AS n FROM toks),
+q(i, term) AS (VALUES (0, 'of'), (1, ','), (2, 'the')),
+votes AS (SELECT file_path, n, pos, i, pos - i AS adj, unnest([pos - i, pos - i - 1]) AS base FROM post JOIN q USING (term)),
+found AS (SELECT file_path, n, base, count(*) FILTER (adj = base) AS exact FROM votes GROUP BY file_path, n, base HAVING count(DISTINCT i) = 3 AND count(DISTINCT pos) >= 3 AND min(adj) = base),
+freq AS (SELECT file_path, n, sum(CASE WHEN exact >= 3 THEN 1.0 ELSE 0.5 END)::DOUBLE AS freq FROM found GROUP BY file_path, n),
+df AS (SELECT term, count(DISTINCT file_path) AS df FROM post WHERE term IN ('of', ',', 'the') GROUP BY term),
+idf AS (SELECT sum(1 + ln((SELECT count(*) FROM corpus)::DOUBLE / (coalesce(df, 0) + 1))) AS idf FROM q LEFT JOIN df USING (term))"""
+_query("search_phrase_slop1", f"WITH {_PHRASE} SELECT file_path, freq, n::BIGINT AS length FROM freq", lambda spark, d: search.phrase_frequencies(documents_corpus(spark, d), search.Phrase(("of", ",", "the")), "unicode").select("file_path", "freq", F.col("length").cast("bigint").alias("length")))
+_query(
+    "search_phrase_score",
+    f"WITH {_PHRASE} SELECT {sql._RESULT}, round(0.5 * (sqrt(freq) * idf * idf / sqrt(n::DOUBLE)) / sqrt(idf * idf), 6) AS score FROM freq JOIN corpus USING (file_path), idf ORDER BY score DESC, file_path LIMIT 20",
+    _ranked("of,the"),
+)
+_query(
+    "search_snippets",
+    f"""WITH {sql.CORPUS}, {sql.hits(['thonan'])}, best AS (SELECT * FROM hits ORDER BY score DESC, file_path LIMIT 20),
+frags AS (SELECT file_path, g AS fragment, substr(content, g * 100 + 1, 100) AS text FROM (SELECT file_path, content, unnest(range(0, greatest(len(content) - 1, 0) // 100 + 1)) AS g FROM best)),
+hit AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY fragment) AS n FROM frags WHERE contains(lower(text), 'thonan'))
+SELECT file_path, fragment, text, (instr(lower(text), 'thonan') - 1)::BIGINT AS highlight_start, (instr(lower(text), 'thonan') - 1 + 6)::BIGINT AS highlight_end FROM hit WHERE n <= 5""",
+    lambda spark, d: search.snippets(documents_corpus(spark, d), "thonan", SearchOptions(max_results=20)),
+)
+
+# analysis ---------------------------------------------------------------
+
+_POST = f"""WITH {sql.CORPUS}, terms AS (SELECT file_path, 'content' AS field, {sql.TOKENS.format('content')} AS t FROM corpus UNION ALL SELECT file_path, 'filename', {sql.TOKENS.format('file_name')} FROM corpus),
+post AS (SELECT file_path, field, unnest(t) AS term, (generate_subscripts(t, 1) - 1)::BIGINT AS pos FROM terms)"""
+_query(
+    "analyze_tokens", f"WITH {sql.CORPUS} SELECT file_path, len({sql.TOKENS.format('content')})::BIGINT AS tokens, array_to_string({sql.TOKENS.format('file_name')}, '|') AS name_tokens FROM corpus",
+    lambda spark, d: documents_corpus(spark, d).select("file_path", F.size(analysis.tokens(F.col("content"))).cast("bigint").alias("tokens"), F.array_join(analysis.tokens(F.col("file_name")), "|").alias("name_tokens")),
+)
+_query("analyze_postings", f"{_POST} SELECT file_path, field, term, pos FROM post", lambda spark, d: analysis.postings(documents_corpus(spark, d)))
+_query("analyze_dictionary", f"{_POST} SELECT field, term, count(DISTINCT file_path) AS df, count(*) AS cf FROM post GROUP BY field, term", lambda spark, d: analysis.dictionary(analysis.postings(documents_corpus(spark, d))).select("field", "term", "df", "cf"))
+_query(
+    "analyze_truncate", f"WITH {sql.CORPUS} SELECT file_path, len(left(repeat(content, 300), 500000))::BIGINT AS chars FROM corpus",
+    lambda spark, d: documents_corpus(spark, d).select("file_path", F.length(analysis._cut(F.repeat("content", 300))).cast("bigint").alias("chars")),
+)
+
+# scalar functions -------------------------------------------------------
+
+_PATHS = ["", ".cs", ".CS", "txt", "TXT", "C:\\path\\to\\file.cs", "/path/to/file.js", "  .md  ", "a.txt", "   ", "/dir/noext"]
+_EXPECTED = ["", ".cs", ".cs", ".txt", ".txt", ".cs", ".js", ".md", ".a.txt", "", ""]
+_query(
+    "doc_projection", f"WITH {sql.CORPUS} SELECT file_path, file_name, folder_path, file_size, last_modified_ticks, file_type FROM corpus",
+    lambda spark, d: documents_corpus(spark, d).select("file_path", text.file_name(F.col("file_path")).alias("file_name"), text.folder_path(F.col("file_path")).alias("folder_path"), "file_size", "last_modified_ticks", text.file_type(text.extension(F.col("file_path"))).alias("file_type")),
+)
+_query(
+    "file_type_label", "SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{v}')" for e, v in [*S.FILE_TYPES.items(), (".htm", S.OTHER_TYPE), (".sql", S.OTHER_TYPE)]) + ") t(ext, label)",
+    lambda spark, d: spark.createDataFrame([(e,) for e in [*S.FILE_TYPES, ".htm", ".sql"]], "ext string").select("ext", text.file_type(F.col("ext")).alias("label")),
+)
+_query(
+    "normalize_extension", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(a, b) for a, b in zip(_PATHS, _EXPECTED)) + ") t(input, output)",
+    lambda spark, d: spark.createDataFrame([(p,) for p in _PATHS], "input string").select("input", text.normalize_extension(F.col("input")).alias("output")),
+)
+_query(
+    "icon_class", "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'word' WHEN 1 THEN 'excel' WHEN 2 THEN 'ppt' WHEN 3 THEN 'pdf' WHEN 4 THEN 'code' ELSE 'text' END AS icon FROM part",
+    lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", text.icon_class(F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in (".DOCX", ".xls", ".pptx", ".pdf", ".rs", ".md", "")]), (F.col("p_partkey") % 7 + 1).cast("int")))).alias("icon")),
+)
+_query(
+    "format_size", f"WITH {sql.CORPUS} SELECT file_path, CASE WHEN s < 1024 THEN concat(s, ' B') WHEN s < 1048576 THEN concat(s // 1024, ' KB') ELSE printf('%.1f MB', s / 1048576.0) END AS size FROM (SELECT file_path, file_size * 97 AS s FROM corpus)",
+    lambda spark, d: documents_corpus(spark, d).select("file_path", text.format_size(F.col("file_size") * 97).alias("size")),
+)
+_query("format_date", f"WITH {sql.CORPUS} SELECT file_path, strftime(last_modified, '%Y/%m/%d %H:%M') AS shown FROM corpus", lambda spark, d: documents_corpus(spark, d).select("file_path", text.format_date(F.col("last_modified")).alias("shown")))
+_query(
+    "format_age",
+    f"""WITH {sql.CORPUS} SELECT file_path, CASE WHEN s < 60 THEN 'たった今' WHEN s < 3600 THEN concat(s // 60, '分前') WHEN s < 86400 THEN concat(s // 3600, '時間前') WHEN s < 604800 THEN concat(s // 86400, '日前') ELSE strftime(t, '%m/%d %H:%M') END AS age
+FROM (SELECT file_path, t, (epoch(TIMESTAMP '{NOW}' - t))::BIGINT AS s FROM (SELECT file_path, TIMESTAMP '{NOW}' - (doc_id * doc_id) * INTERVAL 7 SECOND AS t FROM corpus))""",
+    lambda spark, d: documents_corpus(spark, d).select("file_path", text.format_age(F.timestamp_seconds(F.lit(1706745600) - F.col("doc_id") * F.col("doc_id") * 7), F.timestamp_seconds(F.lit(1706745600))).alias("age")),
+)
+_query(
+    "progress_report",
+    "SELECT source, count(*) AS processed, sum(count(*)) OVER ()::BIGINT AS total, (count(*) * 100.0 / sum(count(*)) OVER ())::DOUBLE AS percent, count(*) FILTER (n_chars < 100) AS errors, concat(printf('%,d', count(*)), ' / ', printf('%,d', sum(count(*)) OVER ()::BIGINT), ' ファイル', CASE WHEN count(*) FILTER (n_chars < 100) > 0 THEN concat('（スキップ ', printf('%,d', count(*) FILTER (n_chars < 100)), ' 件）') ELSE '' END) AS text FROM documents GROUP BY source",
+    lambda spark, d: (
+        spark.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("n_chars") < 100).alias("errors"))
+        .withColumn("total", F.sum("processed").over(Window.partitionBy(F.lit(0))))  # one row per source
+        .select("source", "processed", "total", text.progress_percent(F.col("processed"), F.col("total")).alias("percent"), "errors", text.progress_text(F.col("processed"), F.col("total"), F.col("errors"), "ファイル").alias("text"))
+    ),
+)
+
+# previews ---------------------------------------------------------------
+
+_LINES = "SELECT file_path, line_no, content, has_match FROM lines"
+_query("preview_lines", f"WITH {sql.preview([])} {_LINES}", lambda spark, d: preview.preview(documents_corpus(spark, d), ""))
+_query("preview_mark", f"WITH {sql.preview([('than', 'than')])} {_LINES}", lambda spark, d: preview.preview(documents_corpus(spark, d), "than"))
+_query("preview_mark_multi", f"WITH {sql.preview([('than', 'than'), ('ÉT', '&#201;T')])} {_LINES}", lambda spark, d: preview.preview(documents_corpus(spark, d), "than ÉT"))
+_query("preview_truncate", f"WITH {sql.preview([], limit=2000)} {_LINES}", lambda spark, d: preview.preview(documents_corpus(spark, d), "", limit=2000))
+_query(
+    "preview_line_count", f"WITH {sql.preview([('than', 'than')])} SELECT file_path, count(*) AS line_count, count(*) FILTER (has_match) AS match_lines FROM lines GROUP BY file_path",
+    lambda spark, d: preview.line_counts(preview.preview(documents_corpus(spark, d), "than")),
+)
+_query(
+    "preview_html", f"WITH {sql.PAGES} SELECT file_path, len(string_split(content, chr(10)))::BIGINT AS line_count FROM pages_corpus",
+    lambda spark, d: preview.line_counts(preview.preview(pages_corpus(spark, d), "")).select("file_path", "line_count"),
+)
+_query(
+    "nav_next_prev_line",
+    f"""WITH {sql.preview([('than', 'than')])}
+SELECT file_path, line_no, coalesce(lead(line_no) OVER w, min(line_no) OVER f) AS next_line, coalesce(lag(line_no) OVER w, max(line_no) OVER f) AS prev_line, row_number() OVER w AS k, count(*) OVER f AS total
+FROM lines WHERE has_match WINDOW w AS (PARTITION BY file_path ORDER BY line_no), f AS (PARTITION BY file_path)""",
+    lambda spark, d: preview.highlight_nav(preview.preview(documents_corpus(spark, d), "than")),
+)
+_query(
+    "highlight_position", f"WITH {sql.preview([('than', 'than')])} SELECT file_path, line_no, concat(line_no, ' 行目 (', row_number() OVER w, '/', count(*) OVER (PARTITION BY file_path), ')') AS shown FROM lines WHERE has_match WINDOW w AS (PARTITION BY file_path ORDER BY line_no)",
+    lambda spark, d: preview.highlight_nav(preview.preview(documents_corpus(spark, d), "than")).select("file_path", "line_no", text.highlight_position(F.col("line_no"), F.col("k"), F.col("total")).alias("shown")),
+)
+
+# trees and listings -----------------------------------------------------
+
+_NODE = "target, full_path, parent_path, name, is_folder, depth, file_path, file_size, file_count"
+_TREE = f"WITH {sql.tree(ROOTS)}"
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.build_tree(documents_corpus(spark, sf_dir), ROOTS)
+
+
+_query("tree_nodes", f"{_TREE} SELECT {_NODE} FROM tree", lambda spark, d: _tree(spark, d).select(*_NODE.split(", ")))
+_query("tree_counts", f"{_TREE} SELECT full_path, file_count FROM tree WHERE is_folder", lambda spark, d: _tree(spark, d).where("is_folder").select("full_path", "file_count"))
+_query("tree_chat", f"WITH {sql.tree(['/chat'], 'chat')} SELECT full_path, parent_path, depth, file_count FROM tree", lambda spark, d: tree.build_tree(chat_corpus(spark, d), ["/chat"]).select("full_path", "parent_path", "depth", "file_count"))
+_query("tree_bucket_targets", f"{_TREE} SELECT target, count(*) AS files FROM placed GROUP BY target", lambda spark, d: tree.bucket_targets(documents_corpus(spark, d), ROOTS).groupBy("target").agg(F.count(F.lit(1)).alias("files")))
+_query(
+    "tree_sorted", f"{_TREE} SELECT full_path, row_number() OVER (PARTITION BY target, parent_path ORDER BY is_folder DESC, upper(name), name, full_path) AS place FROM tree",
+    lambda spark, d: tree.sort_tree(_tree(spark, d)).select("full_path", "place"),
+)
+_query(
+    "tree_ancestors", f"WITH {sql.CORPUS} SELECT file_path, concat('|/corpus|', array_to_string(['/corpus/' || string_split(folder_path, '/')[3], folder_path], '|')) AS above FROM corpus",
+    lambda spark, d: documents_corpus(spark, d).select("file_path", F.array_join(text.ancestors(F.col("file_path")), "|").alias("above")),
+)
+_query(
+    "nav_next_prev_file",
+    f"""{_TREE}, keyed AS (SELECT full_path, CASE target WHEN '{ROOTS[0]}' THEN 0 WHEN '{ROOTS[1]}' THEN 1 ELSE 2 END AS t,
+  list_concat(list_transform(list_filter(string_split(substr(parent_path, len(target) + 1), '/'), lambda p: p <> ''), lambda p: concat('0', upper(p))), [concat('1', upper(name)), name]) AS key FROM tree WHERE NOT is_folder)
+SELECT full_path, coalesce(lead(full_path) OVER w, first_value(full_path) OVER e) AS next_file, coalesce(lag(full_path) OVER w, last_value(full_path) OVER e) AS prev_file,
+  row_number() OVER (PARTITION BY t ORDER BY key, full_path) AS k, count(*) OVER (PARTITION BY t) AS of_target
+FROM keyed WINDOW w AS (ORDER BY t, key, full_path), e AS (ORDER BY t, key, full_path ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    lambda spark, d: tree.file_nav(tree.flatten_files(_tree(spark, d), ROOTS)),
+)
+_EXT = "CASE WHEN is_folder THEN '' ELSE lower(regexp_extract(name, '(\\.[^./]+)$', 1)) END"
+for _sort, _ascending, _key in (
+    ("name", True, "is_folder DESC, name"), ("name", False, "is_folder DESC, name DESC NULLS LAST"), ("date", True, "last_modified NULLS FIRST"),
+    ("type", True, f"{_EXT} NULLS FIRST"), ("size", False, "CASE WHEN is_folder THEN 0 ELSE file_size END DESC NULLS LAST"),
+):
+    _query(
+        f"list_sort_{_sort}" + "_desc" * (not _ascending and _sort == "name"), f"{_TREE} SELECT full_path, row_number() OVER (PARTITION BY parent_path ORDER BY {_key}, full_path) AS place FROM tree",
+        lambda spark, d, s=_sort, a=_ascending: tree.list_items(_tree(spark, d), s, a).select("full_path", "place"),
+    )
+_query(
+    "list_filter_ext", f"{_TREE} SELECT full_path, row_number() OVER (PARTITION BY parent_path ORDER BY is_folder DESC, name, full_path) AS place FROM tree WHERE NOT is_folder AND {_EXT} = '.md'",
+    lambda spark, d: tree.list_items(_tree(spark, d), kind=".MD").select("full_path", "place"),
+)
+_query("list_filter_folder", f"{_TREE} SELECT full_path FROM tree WHERE is_folder", lambda spark, d: tree.list_items(_tree(spark, d), kind="folder").select("full_path"))
+_query("list_distinct_ext", f"{_TREE} SELECT {_EXT} AS ext, count(*) AS files FROM tree WHERE NOT is_folder GROUP BY 1", lambda spark, d: tree.distinct_extensions(_tree(spark, d)).select("ext", "files"))
+_query(
+    "list_columns", f"{_TREE} SELECT full_path, name, CASE WHEN is_folder THEN '-' ELSE strftime(last_modified, '%Y/%m/%d %H:%M') END AS date, CASE WHEN is_folder THEN 'フォルダ' ELSE upper(ltrim({_EXT}, '.')) END AS type, CASE WHEN is_folder THEN '-' WHEN file_size < 1024 THEN concat(file_size, ' B') WHEN file_size < 1048576 THEN concat(file_size // 1024, ' KB') ELSE printf('%.1f MB', file_size / 1048576.0) END AS size FROM tree",
+    lambda spark, d: tree.listing_columns(_tree(spark, d)),
+)
+
+# index maintenance ------------------------------------------------------
+
+_DISK = """disk AS (SELECT * REPLACE (CASE WHEN doc_id % 11 = 0 THEN last_modified_ticks + 10 ELSE last_modified_ticks END AS last_modified_ticks) FROM corpus WHERE doc_id % 7 <> 0),
+old AS (SELECT * FROM corpus WHERE doc_id % 5 <> 0 AND (starts_with(lower(file_path), '/corpus/src1/') OR starts_with(lower(file_path), '/corpus/src2/'))),
+new AS (SELECT * FROM disk WHERE starts_with(lower(file_path), '/corpus/src1/') OR starts_with(lower(file_path), '/corpus/src2/')),
+ops AS (SELECT CASE WHEN o.file_path IS NULL THEN 'add' WHEN n.file_path IS NULL THEN 'delete' WHEN o.last_modified_ticks <> n.last_modified_ticks THEN 'update' END AS op, coalesce(n.file_path, o.file_path) AS file_path
+  FROM old o FULL JOIN new n ON lower(o.file_path) = lower(n.file_path))"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An index and a disk that differ: the disk lacks some files and changed others."""
+    docs = documents_corpus(spark, sf_dir)
+    changed = F.when(F.col("doc_id") % 11 == 0, F.col("last_modified_ticks") + 10).otherwise(F.col("last_modified_ticks"))
+    disk = docs.where("doc_id % 7 <> 0").withColumn("last_modified_ticks", changed).where(text.under_any(F.col("file_path"), ROOTS[:2]))
+    return docs.where("doc_id % 5 <> 0"), disk
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.diff(*_sides(spark, sf_dir), ROOTS[:2])
+
+
+def _after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, disk = _sides(spark, sf_dir)
+    ops = _diff(spark, sf_dir)
+    kept = index.delete(old, ops.where("op = 'delete'"))
+    return index.upsert(kept, disk.join(ops.where("op <> 'delete'"), "file_path", "left_semi")).select("file_path", "last_modified_ticks")
+
+
+_query("index_diff", f"WITH {sql.CORPUS}, {_DISK} SELECT op, file_path FROM ops WHERE op IS NOT NULL", _diff)
+_query("index_to_delete", f"WITH {sql.CORPUS}, {_DISK} SELECT file_path FROM ops WHERE op = 'delete'", lambda spark, d: _diff(spark, d).where("op = 'delete'").select("file_path"))
+_query("index_to_add", f"WITH {sql.CORPUS}, {_DISK} SELECT op, file_path FROM ops WHERE op IN ('add', 'update')", lambda spark, d: _diff(spark, d).where("op <> 'delete'"))
+_query(
+    "index_after_update", f"WITH {sql.CORPUS}, {_DISK} SELECT file_path, last_modified_ticks FROM new UNION ALL SELECT file_path, last_modified_ticks FROM corpus WHERE doc_id % 5 <> 0 AND NOT (starts_with(lower(file_path), '/corpus/src1/') OR starts_with(lower(file_path), '/corpus/src2/'))",
+    _after,
+)
+_query("index_snapshot", f"WITH {sql.CORPUS} SELECT file_path, last_modified_ticks FROM corpus WHERE starts_with(lower(file_path), '/corpus/src1/')", lambda spark, d: index.snapshot(documents_corpus(spark, d), ROOTS[:1]))
+_query("index_stats", f"WITH {sql.CORPUS} SELECT count(*) AS document_count, sum(file_size)::BIGINT AS bytes, max(last_modified_ticks) AS last_ticks FROM corpus", lambda spark, d: documents_corpus(spark, d).agg(F.count(F.lit(1)).alias("document_count"), F.sum("file_size").alias("bytes"), F.max("last_modified_ticks").alias("last_ticks")))
+_query(
+    "change_feed_latest", "SELECT user_id, event_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'create' WHEN event_type = 'error' THEN 'delete' ELSE 'modify' END AS op, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    lambda spark, d: index.latest_changes(spark.read.parquet(f"{d}/events.parquet")),
+)
+
+
+def _sample_files(spark: SparkSession) -> DataFrame:
+    from folioscan.sources import samples
+
+    return spark.createDataFrame([(path, bytearray(data)) for path, data in samples.files().items()], "path string, content binary").select("path", F.timestamp_seconds(F.lit(1704067200)).alias("modificationTime"), F.length("content").cast("bigint").alias("length"), "content")
+
+
+def _extracted(ext: str) -> Callable[[SparkSession, str], DataFrame]:
+    from folioscan.sources.files import extract
+
+    return lambda spark, d: extract(_sample_files(spark).where(F.col("path").endswith(ext))).select("file_path", "file_type", "content", "error")
+
+
+for _ext in ("docx", "xlsx", "pptx", "txt"):
+    _query(f"extract_{_ext}", None, _extracted(f".{_ext}"))
