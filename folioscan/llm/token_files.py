@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,15 +31,16 @@ from pyspark.sql import functions as F
 from folioscan.llm.shared import Memo, scratch_path, shuffle_partitions, utf8
 
 #: Remembered words in each Python worker.
-MOST_WORDS = 600_000
+MOST_WORDS = 1_500_000
 
 
 class WordEncoder:
     """Ids of texts under a tokenizer file of the tokenizers library.
 
-    The tokenizer must drop white space before it splits texts, as those with word
-    ends do: then the words between ASCII white space are encoded on their own, and
-    ids of words that come again are remembered.
+    The tokenizer must lower-case texts and drop white space before it splits them,
+    as those with word ends do: then the words between ASCII white space, in ASCII
+    small letters, are encoded on their own, and ids of words that come again are
+    remembered.
     """
 
     def __init__(self, path: str):
@@ -49,18 +51,19 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind, self.code = (np.uint16, "H") if small else (np.uint32, "I")
         self.words = Memo(self._word, MOST_WORDS)
 
     def _word(self, word: bytes) -> bytes:
         if word[-1:] in (b".", b",") and word[-2:-1].isalpha():  # a mark after a letter is a piece of its own
             return self.words[word[:-1]] + self.words[word[-1:]]
         ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return np.array(ids, dtype=self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a text given in UTF-8."""
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), dtype=self.kind)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), dtype=self.kind)
 
 
 @lru_cache(maxsize=2)
