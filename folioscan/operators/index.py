@@ -68,6 +68,10 @@ def latest_changes(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.withColumn("_n", F.row_number().over(by)).where("_n = 1").select(key, "event_id", op.alias("op"), F.col("value"))
 
 
+POSTINGS = "file_path string, field string, term string, pos bigint, bucket int"
+DICTIONARY = "field string, term string, df bigint, cf bigint, bucket int"
+
+
 class Index:
     """Snapshots in ``root``, a folder that the cluster shares."""
 
@@ -101,11 +105,11 @@ class Index:
 
     def postings(self) -> DataFrame:
         """The postings of the newest version, partitioned by term."""
-        return self.spark.read.parquet(f"{self._entry()['data']}/postings")
+        return self.spark.read.schema(POSTINGS).parquet(f"{self._entry()['data']}/postings")
 
     def dictionary(self) -> DataFrame:
         """The terms of the newest version."""
-        return self.spark.read.parquet(f"{self._entry()['data']}/dictionary")
+        return self.spark.read.schema(DICTIONARY).parquet(f"{self._entry()['data']}/dictionary")
 
     def commit(self, docs: DataFrame, unchanged: DataFrame | None = None) -> int:
         """Write ``docs`` as the next version. Postings of the documents in
@@ -122,7 +126,7 @@ class Index:
         posted = posted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
         # a bucket is written by several tasks, since a few terms hold most places
         posted.repartition("bucket", F.pmod(F.xxhash64("file_path"), F.lit(8))).sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{data}/postings")
-        words = dictionary(self.spark.read.parquet(f"{data}/postings"))
+        words = dictionary(self.spark.read.schema(POSTINGS).parquet(f"{data}/postings"))
         words.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).write.partitionBy("bucket").parquet(f"{data}/dictionary")
         self._publish(version, {"data": data, "at": time.time(), "analyser": self.analyser})
         return version
