@@ -12,7 +12,9 @@ over all blocks is a candidate, others can't. In the second pass the candidates'
 next-symbol counts are summed. A context stays in the tree if its counts diverge from
 its parent's distribution by more than their description costs; its distribution is
 smoothed with its parent's. For scoring, the tree becomes an automaton whose state is
-the longest context that ends at a place.
+the longest context that ends at a place. A word's chance under the tree is smoothed
+with its add-one unigram chance, in which a word that training never saw counts as
+one more word.
 
 Counts of words, for the base score, are joined to blocks of documents rather than to
 documents: each block gets the counts of the words it uses, in a file of its own.
@@ -20,6 +22,7 @@ documents: each block gets the counts of the words it uses, in a file of its own
 
 from __future__ import annotations
 
+import io
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +41,8 @@ PORTION = 10 << 20
 #: Distinct words that a task counts before it passes them on.
 MOST_WORDS = 1_000_000
 END = 10
+#: Shares of the unigrams in a token's chance, over which texts are averaged.
+SHARES = (0.1, 0.3, 0.5, 0.7, 0.9)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -147,30 +152,36 @@ class SuffixTree:
         self.depth, self.columns = depth, np.zeros(256, dtype=np.int64)
         self.columns[seen] = np.arange(1, len(seen) + 1)
         width = len(seen) + 1
-        total = root.sum()
-        chances = [np.concatenate(([1.0], root[seen] + 1))[None] / (total + 256)]
+        chances = [(np.concatenate(([1.0], root[seen] + 1))[None] / (root.sum() + 256)).astype(np.float32)]
         nodes, kept = [np.zeros(1, dtype=np.uint64)], [np.ones(1, dtype=bool)]
         for d in range(1, depth + 1):
-            here = level == d
-            names, row = np.unique(contexts[here], return_inverse=True)
-            table = np.zeros((len(names), width))
-            np.add.at(table, (row, self.columns[after[here]]), counts[here])
+            here = np.flatnonzero(level == d)
+            here = here[np.argsort(contexts[here], kind="stable")]
+            names, first = np.unique(contexts[here], return_index=True)
             above = self._places(nodes[-1], names >> np.uint64(8))
-            parent = chances[-1][above]
-            n, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(table > 0, table * np.log(table / n / parent), 0).sum(axis=1)
-            differs = gain > 0.5 * (kinds * np.log(n + 1))[:, 0]
-            own = (table + prior * kinds * parent) / (n + prior * kinds) if len(names) else table
+            own, differs = np.empty((len(names), width), dtype=np.float32), np.empty(len(names), dtype=bool)
+            first = np.append(first, len(here))
+            for at in range(0, len(names), 4096):  # a few contexts at a time, for the driver's memory
+                some = slice(at, min(at + 4096, len(names)))
+                rows = here[first[some.start] : first[some.stop]]
+                table, parent = np.zeros((some.stop - at, width)), chances[-1][above[some]].astype(np.float64)
+                np.add.at(table, (np.searchsorted(names, contexts[rows]) - at, self.columns[after[rows]]), counts[rows])
+                n, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = np.where(table > 0, table * np.log(table / n / parent), 0).sum(axis=1)
+                differs[some] = gain > 0.5 * (kinds * np.log(n + 1))[:, 0]
+                own[some] = np.where(differs[some, None], (table + prior * kinds * parent) / (n + prior * kinds), parent)
             nodes.append(names)
-            chances.append(np.where(differs[:, None], own, parent))
+            chances.append(own)
             kept.append(differs)
         for d in range(depth, 1, -1):  # what the automaton passes on its way to a kept context
             for shorter in (nodes[d][kept[d]] >> np.uint64(8), nodes[d][kept[d]] & np.uint64((1 << 8 * (d - 1)) - 1)):
                 kept[d - 1] |= np.isin(nodes[d - 1], shorter)
         nodes, chances = [x[k] for x, k in zip(nodes, kept)], [x[k] for x, k in zip(chances, kept)]
         starts = np.concatenate(([0], np.cumsum([len(x) for x in nodes])))
-        self.scores = np.log10(np.concatenate(chances)).astype(np.float32)
+        self.scores = np.concatenate(chances)
+        del chances
+        np.log10(self.scores, out=self.scores)
         self.steps = np.zeros((starts[-1], width), dtype=np.int32)
         for d in range(depth + 1):
             block = slice(starts[d], starts[d + 1])
@@ -184,6 +195,118 @@ class SuffixTree:
                 self.steps[starts[d] + place[real], self.columns[newest[real]]] = (starts[d + 1] + np.arange(len(rest)))[real]
         self.start = int(self.steps[0, self.columns[END]])
 
+    def save(self, folder: str) -> None:
+        """Write the automaton to ``folder``; writing it again replaces it by the same."""
+        files, path = pafs.FileSystem.from_uri(folder)
+        files.create_dir(path, recursive=True)
+        about = np.array([self.depth, self.start], dtype=np.int64)
+        for name, values in (("scores", self.scores), ("steps", self.steps), ("columns", self.columns), ("about", about)):
+            part = f"{path}/{name}.{np.random.default_rng().integers(1 << 62)}.part"
+            with files.open_output_stream(part, compression=None) as out:
+                np.save(out, values)
+            files.move(part, f"{path}/{name}.npy")
+
+    @classmethod
+    def load(cls, folder: str) -> SuffixTree:
+        """The automaton in ``folder``, whose tables are mapped if the folder is local."""
+        files, path = pafs.FileSystem.from_uri(folder)
+
+        def read(name: str) -> np.ndarray:
+            if isinstance(files, pafs.LocalFileSystem):
+                return np.load(f"{path}/{name}.npy", mmap_mode="r")
+            with files.open_input_stream(f"{path}/{name}.npy", compression=None) as f:
+                return np.load(io.BytesIO(f.read()))
+
+        out = cls.__new__(cls)
+        out.scores, out.steps, out.columns = read("scores"), read("steps"), np.array(read("columns"))
+        out.depth, out.start = read("about").tolist()
+        return out
+
+    @staticmethod
+    def _places(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        return np.clip(np.searchsorted(names, wanted), 0, max(0, len(names) - 1))
+
+    def _read(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log10 probability of each symbol of a stream of texts, and the state before it.
+
+        The stream is cut into lanes that are read side by side; each lane first reads
+        the ``depth`` symbols before it, which fix its state.
+        """
+        columns = self.columns[stream].astype(np.int32)
+        n, width = len(columns), self.scores.shape[1]
+        steps = max(64, min(2048, n // 256))
+        lanes = -(-n // steps)
+        grid = np.full(lanes * steps, self.columns[END], dtype=np.int32)
+        grid[:n] = columns
+        grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+        state = np.zeros(lanes, dtype=np.int32)
+        flat_scores, flat_steps = self.scores.ravel(), self.steps.ravel()
+        for row in grid[steps - self.depth :]:
+            state[1:] = flat_steps[state[1:] * width + row[:-1]]
+        state[0] = self.start
+        scores, states = np.empty((steps, lanes), dtype=np.float32), np.empty((steps, lanes), dtype=np.int32)
+        for k, row in enumerate(grid):
+            states[k] = state
+            at = state * width + row
+            scores[k] = flat_scores[at]
+            state = flat_steps[at]
+        return np.ascontiguousarray(scores.T).ravel()[:n].astype(np.float64), np.ascontiguousarray(states.T).ravel()[:n]
+
+    def log10(self, texts: list[bytes]) -> np.ndarray:
+        """The log10 probability of each text, given as ``symbols()``."""
+        if not texts:
+            return np.zeros(0)
+        ends = np.cumsum([len(t) for t in texts])
+        scores, _ = self._read(np.frombuffer(b"".join(texts), dtype=np.uint8))
+        return np.add.reduceat(scores, np.concatenate(([0], ends[:-1])))
+
+    def tokens_log10(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The log10 probability of each word of ``texts`` in order, and of each end.
+
+        A word's symbols and that it stops there count for the word; whether the text
+        then ends or goes on counts for the token after it.
+        """
+        stream = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        scores, states = self._read(stream)
+        stops = np.flatnonzero((stream == 32) | (stream == END))
+        either = np.log10(sum(10.0 ** self.scores[states[stops], self.columns[c]].astype(np.float64) for c in (32, END)))
+        chosen = scores[stops] - either
+        scores[stops] = either
+        pieces = np.add.reduceat(scores, np.concatenate(([0], stops[:-1] + 1)))
+        is_end = stream[stops] == END
+        alone = is_end & (np.diff(stops, prepend=-1) == 1)  # a text without words: its end is all there is
+        follows = np.concatenate(([False], ~is_end[:-1]))
+        words = pieces + np.where(follows, np.concatenate(([0.0], chosen[:-1])), 0.0)
+        ends = chosen + np.where(alone, pieces, 0.0)
+        return words[~alone], ends[is_end]
+
+    def save(self, folder: str) -> None:
+        """Write the automaton to ``folder``; writing it again replaces it by the same."""
+        files, path = pafs.FileSystem.from_uri(folder)
+        files.create_dir(path, recursive=True)
+        about = np.array([self.depth, self.start], dtype=np.int64)
+        for name, values in (("scores", self.scores), ("steps", self.steps), ("columns", self.columns), ("about", about)):
+            part = f"{path}/{name}.{np.random.default_rng().integers(1 << 62)}.part"
+            with files.open_output_stream(part, compression=None) as out:
+                np.save(out, values)
+            files.move(part, f"{path}/{name}.npy")
+
+    @classmethod
+    def load(cls, folder: str) -> SuffixTree:
+        """The automaton in ``folder``, whose tables are mapped if the folder is local."""
+        files, path = pafs.FileSystem.from_uri(folder)
+
+        def read(name: str) -> np.ndarray:
+            if isinstance(files, pafs.LocalFileSystem):
+                return np.load(f"{path}/{name}.npy", mmap_mode="r")
+            with files.open_input_stream(f"{path}/{name}.npy", compression=None) as f:
+                return np.load(io.BytesIO(f.read()))
+
+        out = cls.__new__(cls)
+        out.scores, out.steps, out.columns = read("scores"), read("steps"), np.array(read("columns"))
+        out.depth, out.start = read("about").tolist()
+        return out
+
     @staticmethod
     def _places(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         return np.clip(np.searchsorted(names, wanted), 0, max(0, len(names) - 1))
@@ -217,9 +340,12 @@ class SuffixTree:
         return np.add.reduceat(np.ascontiguousarray(out.T).ravel()[:n].astype(np.float64), np.concatenate(([0], ends[:-1])))
 
 
-def train_suffix_tree(texts: DataFrame, text_col: str = "text", depth: int = 6, p_min: float = 5e-6, prior: float = 10.0) -> SuffixTree:
-    """The tree of all rows of ``texts``. ``depth`` is at most 6. The driver receives
-    at most 4/3 depth / p_min contexts and what follows them."""
+def train_suffix_tree(texts: DataFrame, folder: str, text_col: str = "text", depth: int = 6, p_min: float = 5e-6, prior: float = 10.0) -> None:
+    """Write the tree of all rows of ``texts`` to ``folder``. ``depth`` is at most 6.
+
+    The driver receives the names of at most 4/3 depth / p_min contexts. One task
+    builds the tree; it reads what follows at most depth / p_min contexts.
+    """
     text = texts.select(F.col(text_col).alias("text"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +377,19 @@ def train_suffix_tree(texts: DataFrame, text_col: str = "text", depth: int = 6,
     counted = written(text.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "next-symbols")
     # rare contexts among the candidates go; the rest is bounded by depth / p_min
     heads = counted.groupBy(F.expr("shiftrightunsigned(code, 8)").alias("head")).agg(F.sum("n").alias("n")).where(F.col("n") >= p_min * total).select("head")
-    rows = counted.withColumn("head", F.expr("shiftrightunsigned(code, 8)")).join(heads, "head", "left_semi").select("code", "n").toPandas()
-    return SuffixTree(rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(np.float64), depth, prior)
+    rows = counted.withColumn("head", F.expr("shiftrightunsigned(code, 8)")).join(heads, "head", "left_semi").select("code", "n")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        codes = np.concatenate([np.zeros(0, dtype=np.int64), *(x[0] for x in found)])
+        counts = np.concatenate([np.zeros(0, dtype=np.int64), *(x[1] for x in found)])
+        order = np.argsort(codes)  # rows come in any order, the tree must not depend on it
+        tree = SuffixTree(codes[order].view(np.uint64), counts[order].astype(np.float64), depth, prior)
+        tree.save(folder)
+        yield pa.record_batch([pa.array([len(tree.scores)], pa.int64())], names=["states"])
+
+    nothing = texts.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("code"), F.lit(0).cast("bigint").alias("n"))  # so that there is a task
+    rows.unionByName(nothing).repartition(1).mapInArrow(build, "states bigint").collect()
 
 
 def _rows(codes: np.ndarray, counts: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
@@ -267,7 +404,12 @@ def _scans_files(df: DataFrame) -> bool:
     return node.getClass().getSimpleName() == "LogicalRelation"
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _loaded(folder: str) -> SuffixTree:
+    return SuffixTree.load(folder)
+
+
+@lru_cache(maxsize=1)
 def _word_counts(folder: str, block: int) -> dict[bytes, int]:
     files, path = pafs.FileSystem.from_uri(folder)
     if files.get_file_info(f"{path}/{block}.arrow").type == pafs.FileType.NotFound:
@@ -326,7 +468,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     """One row per row of ``docs``: id, held_out (not ``train``), n_tokens (words and
     the end), n_known (tokens that occur in training texts), train_tokens, base_score
     (log10 probability under add-one unigrams of the training tokens), score (log10
-    probability under the suffix tree of the training texts).
+    probability under the suffix tree of the training texts, words smoothed with unigrams).
 
     ``train`` is a condition on the columns of ``docs``; null means training. A null
     text counts as empty: one end. Null ids are kept, rows that repeat an id are
@@ -339,36 +481,58 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     if not _scans_files(rows):
         rows = written(rows, "texts")
-    tree = train_suffix_tree(rows.where("train"), "text", depth, p_min, prior)
+    model = scratch_path(docs.sparkSession, "suffix-tree")
+    train_suffix_tree(rows.where("train"), model, "text", depth, p_min, prior)
     rows = rows.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     folder = scratch_path(docs.sparkSession, "word-counts")
     words, kinds = word_counts(rows, folder)
     ends = rows.where("train").count()
     total, distinct = words + ends, kinds + (ends > 0)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                yield _scored(part, shared.value, folder, ends, total, distinct)
+            # a few MB at a time; a text that is longer stands alone
+            portion = np.cumsum([len(t) for t in utf8(batch.column(1))]) // (PORTION // 3)
+            cuts = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                if end > at:
+                    yield _scored(batch.slice(at, end - at), _loaded(model), folder, ends, total, distinct)
 
     out = rows.select("id", "text", "train", "block").mapInArrow(score, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 
+def mixed_log10(tree: np.ndarray, plain: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """The log10 probability of each text, whose tokens have the log10 probabilities
+    ``tree`` under the tree and the probabilities ``plain`` under unigrams.
+
+    A token's chance is smoothed: a share of it is the unigram's. The share is not
+    known beforehand, so a text's probability is the mean over SHARES.
+    """
+    chance, totals = 10.0**tree, []
+    for share in SHARES:
+        totals.append(np.bincount(owner, np.log10((1 - share) * chance + share * plain), minlength=texts))
+    best = np.max(totals, axis=0)
+    return best + np.log10(np.mean(10.0 ** (np.array(totals) - best), axis=0))
+
+
 def _scored(part: pa.RecordBatch, tree: SuffixTree, folder: str, ends: int, total: int, distinct: int) -> pa.RecordBatch:
-    per_token = np.log10(total + distinct + 1)
-    texts, sizes, known, base = [], [], [], []
+    size = total + distinct + 1
+    texts, sizes, counts = [], [], []
     for text, block in zip(utf8(part.column(1)), part.column(3).to_pylist()):
         own = tokens(text)
         texts.append(b" ".join(own) + b"\n")
-        counts = np.fromiter(map(_word_counts(folder, block).get, own, repeat(0)), dtype=np.float64, count=len(own))
-        sizes.append(len(own) + 1)
-        known.append(int(np.count_nonzero(counts)) + (ends > 0))
-        base.append(float(np.log10(counts + 1).sum() + np.log10(ends + 1) - sizes[-1] * per_token))
+        sizes.append(len(own))
+        counts.append(np.fromiter(map(_word_counts(folder, block).get, own, repeat(0)), dtype=np.float64, count=len(own)))
+    sizes, counts, n = np.array(sizes, dtype=np.int64), np.concatenate(counts), len(texts)
+    owner = np.repeat(np.arange(n), sizes)
+    known = np.bincount(owner, counts > 0, minlength=n).astype(np.int64) + (ends > 0)
+    base = np.bincount(owner, np.log10((counts + 1) / size), minlength=n) + np.log10((ends + 1) / size)
+    word_scores, end_scores = tree.tokens_log10(texts)
+    plain = np.concatenate((counts + 1, np.full(n, ends + 1.0))) / size
+    score = mixed_log10(np.concatenate((word_scores, end_scores)), plain, np.concatenate((owner, np.arange(n))), n)
     held = [not x for x in part.column(2).to_pylist()]
     return pa.record_batch(
-        [part.column(0), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array([total] * len(held), pa.int64()), pa.array(base, pa.float64()), pa.array(tree.log10(texts), pa.float64())],
+        [part.column(0), pa.array(held, pa.bool_()), pa.array(sizes + 1), pa.array(known), pa.array(np.full(n, total, dtype=np.int64)), pa.array(base), pa.array(score)],
         names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     )
