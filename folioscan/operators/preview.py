@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +79,20 @@ def preview(docs: DataFrame, query: str | None, compat: bool = True, limit: int
     return lines.select("file_path", "line_no", shown.alias("content"), found.alias("has_match"))
 
 
+def preview_path(spark: SparkSession, path: str | None, query: str | None, compat: bool = True) -> DataFrame:
+    """The preview of one file, read from disk now rather than from the index. An
+    empty path, a file that no extractor reads and an error give one line that says so."""
+    from folioscan.sources.extractors import default_registry
+    from folioscan.sources.files import extract
+
+    one = "file_path string, content string, error string"
+    ext = "." + path.rpartition(".")[2] if path and "." in path else ""
+    if not path or default_registry().get(ext) is None:
+        return preview(spark.createDataFrame([(path, None if path else S.NO_PATH, None)], one), query if path else "", compat)
+    files = spark.read.format("binaryFile").load(path)
+    return preview(extract(files).select("file_path", "content", "error"), query, compat)
+
+
 def highlight_nav(lines: DataFrame, wrap: bool = True) -> DataFrame:
     """For each marked line: file_path, line_no, next_line, prev_line (round the ends
     if ``wrap``, else null there), k (its number), total."""

@@ -55,6 +55,16 @@ def sort_tree(tree: DataFrame) -> DataFrame:
     return tree.withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
+def expand_to(tree: DataFrame, path: str, is_file: bool = False) -> DataFrame:
+    """``tree`` with is_expanded: whether a folder is on the way to ``path``, whatever
+    the case and the separators. The way to a file ends at its folder."""
+    target = path.replace("\\", "/").rstrip("/").lower()
+    target = target.rpartition("/")[0] if is_file else target
+    node = F.lower(F.regexp_replace(F.regexp_replace("full_path", r"\\", "/"), "/+$", ""))
+    on_the_way = (node != "") & ((node == target) | F.lit(target).startswith(F.concat(node, F.lit("/"))))
+    return tree.withColumn("is_expanded", F.col("is_folder") & on_the_way)
+
+
 def flatten_files(tree: DataFrame, roots: list[str]) -> DataFrame:
     """The files of a tree in pre-order: target, full_path and key, an array that
     sorts them: the target's number, then at each level folders before files, by name."""

@@ -103,6 +103,22 @@ def test_preview_messages(spark):
     assert preview.preview(docs, "").where("file_path = '/c'").count() == 2
 
 
+def test_preview_path(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    (tmp_path / "b.exe").write_text("x")
+    (tmp_path / "c.docx").write_text("no archive")
+    lines = lambda p, q="two": [(r.content, r.has_match) for r in preview.preview_path(spark, p, q).orderBy("line_no").collect()]
+    assert lines(str(tmp_path / "a.txt")) == [("one", False), ("<mark>two</mark>", True)]
+    assert lines(str(tmp_path / "b.exe"), "") == [("[プレビュー不可]", False)] and lines("") == [("ファイルパスが指定されていません", False)]
+    assert lines(str(tmp_path / "c.docx"), "")[0][0].startswith("[エラー] ")
+
+
+def test_expand_to(spark):
+    nodes = spark.createDataFrame([("/r", True), ("/r/Sub", True), ("/r/sub/x.txt", False), ("/r/subway", True)], "full_path string, is_folder boolean")
+    open_ = lambda p, f: sorted(r.full_path for r in tree.expand_to(nodes, p, f).where("is_expanded").collect())
+    assert open_("/R/sub/x.txt", True) == ["/r", "/r/Sub"] == open_("\\r\\sub\\", False) and open_("/other", False) == []
+
+
 def test_tree(spark):
     items = corpus(spark, [("x.txt", "1"), ("Y.md", "22")]).withColumn("folder_path", F.lit("/r/sub/deep")).withColumn("file_path", F.concat("folder_path", F.lit("/"), "file_name"))
     nodes = tree.build_tree(items, ["/r", "/other"])
