@@ -109,7 +109,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     else:
         recipe = F.col("marks")
     listed = recipes.select("id", "text_sha256", recipe.alias("recipe"))
-    groups = listed.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that both sides of the join are plain exchanges and a hot recipe can be split
+    groups = written(listed.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return listed.join(groups, "recipe").select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
     )
