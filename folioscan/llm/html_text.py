@@ -23,7 +23,7 @@ WINDOW, SURGE = 3, 80
 
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select|math|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)")
-_HINT = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|aria-modal|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 
 # Names of HTML elements.
@@ -51,7 +51,7 @@ def _judged(name: str, attributes: str) -> tuple[bool, bool]:
     boilerplate, marks = name in BOILERPLATE, name in ("article", "main")
     if not attributes or attributes.isspace():
         return boilerplate, marks
-    for key, *values in _HINT.findall(attributes):
+    for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "").lower()
         if key in ("class", "id"):
             words = set(_WORD.findall(value))

@@ -271,7 +271,7 @@ def test_main_text(tags):
 
 
 def test_odd_pages(spark):
-    pages = {"": "", "plain": "plain", "<p>a<p>b": "a\nb", "<nav>menu</nav>": "", "<p>x <b": "x", '<p title="a>b">q</p>': "q", "<div class='ad'><p>lost div": "lost div", "<p>" + "w " * 50000: ("w " * 50000).strip(), "<p>&lt;b&gt;&nbsp;c</p>": "<b> c"}
+    pages = {"": "", "plain": "plain", "<p>a<p>b": "a\nb", "<nav>menu</nav>": "", "<div title='a hidden nav' data-class=ad>seen</div>": "seen", "<p>a</p><div hidden>no</div><p class=ad>no</p>": "a", "<p>x <b": "x", '<p title="a>b">q</p>': "q", "<div class='ad'><p>lost div": "lost div", "<p>" + "w " * 50000: ("w " * 50000).strip(), "<p>&lt;b&gt;&nbsp;c</p>": "<b> c"}
     docs = spark.createDataFrame([(k, None, h, "t") for k, h in enumerate([*pages, None])], "page_id bigint, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in extract_main_text(docs).collect()}
     assert got == {k: (t, len(t)) for k, t in enumerate([*pages.values(), ""])}
