@@ -19,6 +19,8 @@ from folioscan.llm.shared import written
 
 #: Buckets of a node's histogram; a level sends at most leaves x BUCKETS sums to the driver.
 BUCKETS = 512
+#: Leaves of one tree: a level's nodes are told apart in one expression.
+MOST_LEAVES = 512
 #: A node's median is exact to this share of a leaf's bytes.
 TOLERANCE = 0.0005
 
@@ -44,10 +46,14 @@ def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 DIMENSIONS = ("d0", "d1", "d2", "d3")
 
 
-def kd_shards(docs: DataFrame, leaves: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kd_shards(docs: DataFrame, leaves: int = 24, id_col: str = "doc_id", text_col: str = "text", leaf_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, size (UTF-8 bytes of the text plus 8; null:
     8), text_crc32, law ("bytes": the sizes of shards are near equal), shard (0 to
-    ``leaves`` - 1), slot (gapless from 0 in its shard, by id).
+    ``leaves`` - 1), slot (gapless from 0 in its shard, by id). With ``leaf_bytes``
+    there are as many leaves as it takes to hold no more than that each.
+
+    At most MOST_LEAVES are made at once, since a level's histograms come to the
+    driver; for more, shard each shard again.
 
     Equal texts share a shard unless a split has to divide them for balance. A null
     text counts as empty; null ids, languages or sources are places of their own.
@@ -56,6 +62,10 @@ def kd_shards(docs: DataFrame, leaves: int = 24, id_col: str = "doc_id", text_co
     shards empty, and no rows give no rows.
     """
     points = written(_points(docs, id_col, text_col), "shard-points")
+    if leaf_bytes is not None:
+        leaves = max(1, -(-(points.agg(F.sum("size")).first()[0] or 0) // leaf_bytes))
+    if leaves > MOST_LEAVES:
+        raise ValueError(f"{leaves} leaves at once; shard into {MOST_LEAVES} at most, then shard these")
     nodes = {0: leaves}  # first leaf of a node -> its leaves
     leaf: Column = F.lit(0)
     spans = points.agg(*[F.max(d).cast("double") - F.min(d).cast("double") for d in DIMENSIONS]).first()
@@ -67,7 +77,7 @@ def kd_shards(docs: DataFrame, leaves: int = 24, id_col: str = "doc_id", text_co
             dim, bound = cuts[first]
             here = _before_or_at(dim, bound)
             moved = F.when(F.col("node") == first, F.when(here, first).otherwise(first + n // 2)).otherwise(moved)
-        points = written(points.withColumn("node", leaf).withColumn("node", moved.cast("int")), f"shard-level")
+        points = written(points.withColumn("node", leaf).withColumn("node", moved.cast("int")), "shard-level")
         leaf = F.col("node")
         nodes = {k: v for first, n in nodes.items() for k, v in ({first: n} if n == 1 else {first: n // 2, first + n // 2: n - n // 2}).items()}
     slot = F.row_number().over(Window.partitionBy("shard").orderBy(F.col("id").asc_nulls_first(), "tie", "crc")) - 1

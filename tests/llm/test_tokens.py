@@ -164,6 +164,12 @@ def test_shards(spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert {(r.doc_id, r.size, r.text_crc32) for r in got} == {(i, len(t or "") + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows}
     assert sharding.kd_shards(docs.limit(0)).count() == 0
+    by_size = Counter()
+    for r in sharding.kd_shards(docs, leaf_bytes=100_000).collect():
+        by_size[r.shard] += r.size
+    assert len(by_size) == -(-sum(sizes.values()) // 100_000) and max(by_size.values()) < 101_000
+    with pytest.raises(ValueError):
+        sharding.kd_shards(docs, leaf_bytes=1)
     few = sharding.kd_shards(docs.limit(5), 24).collect()
     assert len(few) == 5 and len({r.shard for r in few}) >= 4
 
