@@ -59,22 +59,46 @@ def phrase_frequencies(docs: DataFrame, phrase: Phrase, analyser: str, key: str
     here = docs
     for term in set(phrase.terms):
         here = here.where(low.contains(term))
-    n = len(phrase.terms)
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(phrase.terms)])
     placed = (
         here.select(key, tokens(F.col("content"), analyser).alias("terms"))
         .select(key, F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
-        .where(F.col("term").isin(list(set(phrase.terms))))
-        .select(key, "length", "pos", "term", F.explode(wanted).alias("w"))
+    )
+    return _frequencies(placed, phrase, [key, "length"])
+
+
+def _frequencies(placed: DataFrame, phrase: Phrase, keys: list[str]) -> DataFrame:
+    """``keys`` and freq of the phrase, from places of terms (keys, pos, term)."""
+    n = len(phrase.terms)
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(phrase.terms)])
+    votes = (
+        placed.where(F.col("term").isin(list(set(phrase.terms))))
+        .select(*keys, "pos", "term", F.explode(wanted).alias("w"))
         .where("w.t = term")
-        .select(key, "length", "pos", F.col("w.i").alias("i"), (F.col("pos") - F.col("w.i")).alias("adj"))
-        .select(key, "length", "pos", "i", "adj", F.explode(F.array("adj", F.col("adj") - 1)).alias("base"))
+        .select(*keys, "pos", F.col("w.i").alias("i"), (F.col("pos") - F.col("w.i")).alias("adj"))
+        .select(*keys, "pos", "i", "adj", F.explode(F.array("adj", F.col("adj") - 1)).alias("base"))
     )
-    found = placed.groupBy(key, "length", "base").agg(
+    found = votes.groupBy(*keys, "base").agg(
         F.countDistinct("i").alias("terms"), F.countDistinct("pos").alias("places"), F.min("adj").alias("least"),
         F.count_if(F.col("adj") == F.col("base")).alias("exact"),
     ).where((F.col("terms") == n) & (F.col("places") >= n) & (F.col("least") == F.col("base")))
-    return found.groupBy(key, "length").agg(F.sum(F.when(F.col("exact") >= n, 1.0).otherwise(0.5)).alias("freq"))
+    return found.groupBy(*keys).agg(F.sum(F.when(F.col("exact") >= n, 1.0).otherwise(0.5)).alias("freq"))
+
+
+def _scoring(plan: QueryPlan, phrases: set[int]) -> tuple[Column, Column, Column]:
+    """Score, its norm's square, and whether all words match, from the flags c, f, ec
+    and ef of each word, and freq, length and idf of each phrase."""
+    on = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
+    norm, score, every = F.lit(0.0), F.lit(0.0), F.lit(True)
+    for k, word in enumerate(plan.words):
+        c, f = on(f"c{k}"), on(f"f{k}")
+        weight, own = F.lit(1.0), c
+        if k in phrases:
+            weight = F.pow(F.col(f"idf{k}"), 2)
+            own = F.coalesce(F.sqrt(f"freq{k}") * weight / F.sqrt(F.col(f"length{k}").cast("double")), F.lit(0.0))
+        norm += on(f"ec{k}") * weight + on(f"ef{k}") * (S.FILE_NAME_BOOST**2)
+        score += (c + f) / 2 * (own + S.FILE_NAME_BOOST * f)
+        every &= (c + f) > 0
+    return score, norm, every
 
 
 def matches(docs: DataFrame, plan: QueryPlan, options: SearchOptions | None = None, analyser: str = "unicode") -> DataFrame:
@@ -109,17 +133,7 @@ def matches(docs: DataFrame, plan: QueryPlan, options: SearchOptions | None = No
     stats = flagged.agg(*exists)  # one row
     for one in phrases.values():
         stats = stats.crossJoin(one)  # one row each
-    on = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
-    norm, score, every = F.lit(0.0), F.lit(0.0), F.lit(True)
-    for k, word in enumerate(plan.words):
-        c, f = on(f"c{k}"), on(f"f{k}")
-        weight, own = F.lit(1.0), c
-        if k in phrases:
-            weight = F.pow(F.col(f"idf{k}"), 2)
-            own = F.coalesce(F.sqrt(f"freq{k}") * weight / F.sqrt(F.col(f"length{k}").cast("double")), F.lit(0.0))
-        norm += on(f"ec{k}") * weight + on(f"ef{k}") * (S.FILE_NAME_BOOST**2)
-        score += (c + f) / 2 * (own + S.FILE_NAME_BOOST * f)
-        every &= (c + f) > 0
+    score, norm, every = _scoring(plan, set(phrases))
     hits = flagged.where(every & filters(options)).crossJoin(F.broadcast(stats))
     return hits.withColumn("score", score / F.sqrt(norm)).select(*docs.columns, "score")
 
@@ -166,3 +180,56 @@ def term_documents(posted: DataFrame, pattern: str, field: str = "content", key:
     picks terms in the dictionary, and these pick postings."""
     terms = dictionary(posted, key).where((F.col("field") == field) & F.col("term").rlike(wildcard_regex(f"*{pattern}*"))).select("term")
     return posted.where(F.col("field") == field).join(terms, "term", "left_semi").select(key).distinct()
+
+
+def search_index(index, query: str | None, options: SearchOptions | None = None) -> DataFrame:
+    """``search`` answered from an index's postings, for large corpora.
+
+    The dictionary says which terms a word's pattern picks, and only their buckets of
+    postings are read; documents are read without their contents.
+    """
+    options = options or SearchOptions()
+    plan = parse_query(query, index.analyser)
+    docs = index.docs().select(*RESULT)
+    if plan.blank or not plan.words:
+        return docs.where(F.lit(not plan.blank) & filters(options)).withColumn("score", F.lit(1.0)).orderBy("file_path").limit(options.max_results)
+    posted, words = index.postings(), index.dictionary()
+
+    def picked(pattern: Infix, field: str) -> DataFrame:
+        holds = F.col("term").contains(pattern.pattern) if pattern.plain else F.col("term").rlike(wildcard_regex(f"*{pattern.pattern}*"))
+        return words.where((F.col("field") == field) & holds).select("bucket", "field", "term")
+
+    hits, stats, phrases = [], [], set()
+    for k, word in enumerate(plan.words):
+        names = picked(word.name, "filename")
+        hits.append(posted.join(names, ["bucket", "field", "term"], "left_semi").select("file_path", F.lit(f"f{k}").alias("flag"), F.lit(None).cast("double").alias("freq"), F.lit(None).cast("bigint").alias("length")))
+        stats.append(names.agg((F.count(F.lit(1)) > 0).alias(f"ef{k}")))
+        if isinstance(word.content, Phrase):
+            phrases.add(k)
+            terms = list(dict.fromkeys(word.content.terms))
+            content = posted.where(F.col("field") == "content")
+            found = _frequencies(content.where(F.col("term").isin(terms)), word.content, ["file_path"])
+            length = content.join(found.select("file_path"), "file_path", "left_semi").groupBy("file_path").agg(F.count(F.lit(1)).alias("length"))
+            hits.append(found.join(length, "file_path").select("file_path", F.lit(f"c{k}").alias("flag"), "freq", "length"))
+            counts = words.where((F.col("field") == "content") & F.col("term").isin(terms)).agg(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(word.content.terms)])
+            n = docs.agg(F.count(F.lit(1)).alias("n"))
+            idf = sum((1 + F.log(F.col("n").cast("double") / (F.col(f"df{i}") + 1)) for i in range(len(word.content.terms))), F.lit(0.0))
+            stats.append(counts.crossJoin(n).select(idf.alias(f"idf{k}")))  # one row each
+            stats.append(found.agg((F.count(F.lit(1)) > 0).alias(f"ec{k}")))
+        else:
+            terms = picked(word.content, "content")
+            hits.append(posted.join(terms, ["bucket", "field", "term"], "left_semi").select("file_path", F.lit(f"c{k}").alias("flag"), F.lit(None).cast("double").alias("freq"), F.lit(None).cast("bigint").alias("length")))
+            stats.append(terms.agg((F.count(F.lit(1)) > 0).alias(f"ec{k}")))
+    every_hit, one = hits[0], stats[0]
+    for h in hits[1:]:
+        every_hit = every_hit.unionByName(h)
+    for x in stats[1:]:
+        one = one.crossJoin(x)  # one row each
+    flags = []
+    for k in range(len(plan.words)):
+        flags += [F.max(F.col("flag") == f"{x}{k}").alias(f"{x}{k}") for x in "cf"]
+        flags += [F.max(F.when(F.col("flag") == f"c{k}", F.col(x))).alias(f"{x}{k}") for x in ("freq", "length")]
+    score, norm, every = _scoring(plan, phrases)
+    found = every_hit.groupBy("file_path").agg(*flags).where(every).crossJoin(F.broadcast(one))
+    ranked = found.select("file_path", (score / F.sqrt(norm)).alias("score")).join(docs.where(filters(options)), "file_path")
+    return ranked.select(*RESULT, "score").orderBy(F.desc("score"), "file_path").limit(options.max_results)

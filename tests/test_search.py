@@ -74,6 +74,20 @@ def test_and_is_monotone(spark):
     assert few < more
 
 
+def test_postings_answer_as_scans_do(spark, tmp_path):
+    from folioscan.operators.index import Index
+
+    index = Index(spark, str(tmp_path / "i"), buckets=4)
+    rng = random.Random(7)
+    texts = [(f"{rng.choice(['than', 'doc', 'x-y'])}_{k}.txt", " ".join(rng.choice(["than", "Thanks", "of", "the", "of, the", "消費税"]) for _ in range(rng.randint(0, 6)))) for k in range(60)]
+    docs = corpus(spark, texts + [("n.txt", None)]).withColumn("indexed_at", F.lit(None).cast("timestamp"))
+    index.upsert(docs)
+    for query in ("than", "than the", "of,the", "of,the than", "th?n", "zzz", "", "x-y", "消費税 doc"):
+        one, two = ([(r.file_path, round(r.score, 9)) for r in rows.collect()] for rows in (search.search_index(index, query), search.search(docs, query)))
+        assert one == two, query
+    assert search.search_index(index, "than", SearchOptions(max_results=3)).count() == 3
+
+
 def test_snippets(spark):
     docs = corpus(spark, [("s.txt", "x" * 98 + "than" + "y" * 120 + "THAN" + "z" * 700 + "than")])
     got = search.snippets(docs, "than").collect()
