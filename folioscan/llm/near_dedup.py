@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.components import connected_components
-from folioscan.llm.shared import ASCII_LOWER, Memo, utf8, written
+from folioscan.llm.shared import ASCII_LOWER, Memo, small_batches, utf8, written
 
 #: Remembered words in each Python worker.
-MOST_WORDS = 600_000
+MOST_WORDS = 300_000
 #: Hashes compared before the posterior is looked at again.
 BATCH = 32
 #: Nodes of a bucket that are compared in one tile; larger buckets make several tiles.
@@ -122,6 +122,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _members(value: pa.Scalar) -> np.ndarray:
+    """A packed set, not copied."""
+    return np.frombuffer(value.as_buffer(), dtype=np.uint64)
+
+
 def _sets(docs: DataFrame, k: int, needed: DataFrame) -> DataFrame:
     """id and set (packed hashes) of the documents in ``needed`` (column id), which
     are found without moving texts: a filter of fixed size first, then a join."""
@@ -158,6 +163,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id share its component if their texts are equal. Ids are cast to bigint. Further
     columns are ignored. No rows give no rows.
     """
+    with small_batches(docs.sparkSession):  # all jobs that call Python run in here
+        return _near_components(docs, id_col, text_col, k, percent, bands, rows, miss)
+
+
+def _near_components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, bands: int, rows: int, miss: float) -> DataFrame:
     hashes = bands * rows
     needed = matches_needed(hashes, percent / 100, miss)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -203,7 +213,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sure = [similar(*(np.frombuffer(x, dtype=np.uint64) for x in pair), percent) for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            sure = [similar(_members(a), _members(b), percent) for a, b in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(sure, pa.bool_()))
 
     links = written(likely.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "ma", "mb").mapInArrow(verify, "a bigint, b bigint"), "links")
@@ -239,7 +249,7 @@ def _across(docs: DataFrame, met: DataFrame, parts: DataFrame, k: int, percent:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, []
         for batch in batches:
-            for tile, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for tile, *row in zip(*(c.to_pylist() for c in batch.columns[:4]), map(_members, batch.column(4))):
                 if tile != last and rows:
                     yield _tile_links(rows, percent, needed, hashes)
                     rows = []
@@ -260,7 +270,7 @@ def _tile_links(rows: list, percent: int, needed, hashes: int) -> pa.RecordBatch
     ids, owns = [r[0] for r in rows], np.array([r[2] for r in rows])
     names: dict[int, int] = {}
     root = np.array([names.setdefault(r[1], len(names)) for r in rows])  # component of each row, merged as links are found
-    sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+    sets = [r[3] for r in rows]
     signs = np.stack([signature(s, hashes) for s in sets])
     two, left, right = len(set(owns.tolist())) > 1, [], []
     for i in range(len(rows) - 1):

@@ -6,7 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +24,15 @@ _own_scratch: str | None = None
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is absent (a local session, as in tests) a temporary
-    folder of this machine stands in.
+    Only where the setting is absent in a local session, as in tests, a temporary
+    folder of this machine stands in; on a cluster that would be lost to others.
     """
     global _own_scratch
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_scratch is None or not os.path.isdir(_own_scratch):
         _own_scratch = tempfile.mkdtemp(prefix="folioscan-")
     return f"file://{_own_scratch}"
@@ -56,6 +59,19 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Python functions that run meanwhile get at most ``rows`` rows at a time: for
+    rows with large binaries, which would fill the memory of a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions for moving the rows of ``df``: the session's number, or more
     where the optimiser's size estimate asks for more than ``bytes_each`` each.
