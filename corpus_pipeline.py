@@ -19,8 +19,14 @@ from folioscan.llm.shared import written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with the lines that pass."""
-    judged = quality_rules(docs).where("quality.kept").withColumn("text", F.col("quality.cleaned"))
+    """Documents that the quality rules keep, with the lines that pass.
+
+    In all stages, rows that share an id stay or go together, and rows without an id,
+    which can't be told apart, go at the first deduplication.
+    """
+    # exploding the kept verdicts computes each once; a filter would compute it twice
+    judged = quality_rules(docs)
+    judged = judged.withColumn("quality", F.explode(F.filter(F.array("quality"), lambda q: q["kept"]))).withColumn("text", F.col("quality.cleaned"))
     return judged.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
