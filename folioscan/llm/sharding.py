@@ -34,7 +34,8 @@ def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(text).alias("tie"), meta("lang").alias("lang"), meta("source").alias("source"),
     ), "shard-rows")
     key = ["tie", "crc", "size"]
-    groups = rows.groupBy(*key).agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("id").alias("least"))
+    # written, so that both sides of the join are plain exchanges and a hot group can be split
+    groups = written(rows.groupBy(*key).agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("id").alias("least")), "shard-groups")
     # a name's place is its first bytes read as a number, so that near names are near
     name = lambda c: F.conv(F.hex(F.rpad(F.substring(F.coalesce(F.encode(c, "UTF-8"), F.lit(b"")), 1, 6), 6, b"\0")), 16, 10).cast("long")
     return rows.drop("lang", "source").join(groups, key).select(
