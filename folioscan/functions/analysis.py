@@ -37,14 +37,27 @@ def split_utf8(text: str, most: int = S.MAX_TERM_BYTES) -> list[str]:
     return out + ["".join(piece)] if piece else out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _split_long(terms: pd.Series) -> pd.Series:
-    return terms.map(lambda xs: [p for x in xs for p in split_utf8(x)] if xs is not None else None)
+def _pieces(term: Column) -> Column:
+    """``split_utf8`` for one term, in the JVM."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"), F.lit(0).alias("n"))
+
+    def add(a: Column, c: Column) -> Column:
+        full = a["n"] + F.octet_length(c) > S.MAX_TERM_BYTES
+        return F.struct(
+            F.when(full, F.array_append(a["done"], a["last"])).otherwise(a["done"]).alias("done"),
+            F.when(full, c).otherwise(F.concat(a["last"], c)).alias("last"),
+            F.when(full, F.octet_length(c)).otherwise(a["n"] + F.octet_length(c)).alias("n"),
+        )
+
+    return F.aggregate(F.split(term, ""), start, add, lambda a: F.array_append(a["done"], a["last"]))
 
 
 def _bounded(terms: Column) -> Column:
-    # only texts with a term that is too long pay for Python
-    return F.when(F.exists(terms, lambda t: F.octet_length(t) > S.MAX_TERM_BYTES), _split_long(terms)).otherwise(terms)
+    """``terms`` with those that are too long cut; the array of one makes them be
+    computed once, and only texts with such a term are looked at term by term."""
+    long = lambda t: F.octet_length(t) > S.MAX_TERM_BYTES
+    cut = lambda ts: F.flatten(F.transform(ts, lambda t: F.when(long(t), _pieces(t)).otherwise(F.array(t))))
+    return F.element_at(F.transform(F.array(terms), lambda ts: F.when(F.exists(ts, long), cut(ts)).otherwise(ts)), 1)
 
 
 def _cut(text: Column) -> Column:
