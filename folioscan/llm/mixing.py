@@ -83,25 +83,28 @@ def mix_sources(
     taken. Rows that repeat an id are documents of their own. The same rows and
     seed give the same mix. No rows give no rows.
     """
-    return _taken(_sized(docs, id_col, text_col, source_col), weights, share, most, shards, block_docs, seed).where("copy is not null")
+    _, drawn = _dealt(_sized(docs, id_col, text_col, source_col), weights, share, most, shards, block_docs, seed)
+    return drawn.drop("row")
 
 
 def mix_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, taken (words that
-    the mix takes, repeats counted). The options are those of ``mix_sources``."""
+    the shards of the mix hold of it, repeats counted). The options are those of
+    ``mix_sources``. The mix is written, each shard in its shuffled order, and read."""
     options = {"weights": (3, 1, 2), "share": 1.5, "most": 2.0, "shards": 16, "block_docs": 64, "seed": 17} | options
-    return (
-        _taken(_sized(docs, id_col, text_col, source_col), once=True, **options)
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
-    )
+    placed, drawn = _dealt(_sized(docs, id_col, text_col, source_col), **options)
+    mixed = written(drawn.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place"), "mix-shards")
+    taken = mixed.groupBy("row").agg(F.sum("size").alias("taken"))
+    return placed.join(taken, "row", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     size = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+"), "")).cast("long")
-    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("salt")), "mix-sizes")
+    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("salt"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
 
 
-def _taken(sized: DataFrame, weights, share, most, shards, block_docs, seed, once: bool = False) -> DataFrame:
+def _dealt(sized: DataFrame, weights, share, most, shards, block_docs, seed) -> tuple[DataFrame, DataFrame]:
+    """All rows with their source's size and target, and the rows that the shards draw."""
     spark = sized.sparkSession
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -114,7 +117,7 @@ def _taken(sized: DataFrame, weights, share, most, shards, block_docs, seed, onc
     plan_df = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, blocks long")
     order = F.xxhash64(F.lit(seed), "id", "salt")
     dealt = sized.join(F.broadcast(plan_df) if len(plan) <= 10_000 else plan_df, sized["source"].eqNullSafe(plan_df["source"])).select(
-        "source_no", sized["source"], "id", "size", "source_size", "target", order.alias("order"), F.pmod(F.xxhash64(F.lit(seed + 1), "id", "salt"), F.col("blocks")).alias("block")
+        "row", "source_no", sized["source"], "id", "size", "source_size", "target", order.alias("order"), F.pmod(F.xxhash64(F.lit(seed + 1), "id", "salt"), F.col("blocks")).alias("block")
     )
     per_block = dealt.groupBy("source_no", "block").agg(F.sum("size").alias("block_size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
     # blocks are few: one for block_docs documents, and a hot source's running sum is over its blocks only
@@ -127,14 +130,13 @@ def _taken(sized: DataFrame, weights, share, most, shards, block_docs, seed, onc
         .select("source_no", "block", "start", "passes", "rest", (F.col("start") + F.col("block_size") <= F.col("rest")).alias("whole"), (F.col("start") >= F.col("rest")).alias("out"))
     )
     placed = dealt.join(blocks, ["source_no", "block"])
-    inside = Window.partitionBy("source_no", "block").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source_no", "block").orderBy("order", "id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = placed.where("not whole and not out").withColumn("end", F.col("start") + F.sum("size").over(inside))
     # of the block at the target: documents up to it, and the next one if that ends nearer to it
     cut = cut.withColumn("more", ((F.col("end") <= F.col("rest")) | (F.col("end") - F.col("rest") < F.col("rest") - (F.col("end") - F.col("size")))).cast("int")).drop("end")
     placed = placed.where("whole or out").withColumn("more", F.col("whole").cast("int")).unionByName(cut)
     placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.col("more")).otherwise(0).cast("long"))
-    if once:
-        return placed
+    placed = written(placed, "mix-placed")
     used = written(placed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy")), "mix-taken")
     block_list = used.select("source_no", "block", "copy").distinct()
     ranked = block_list.withColumn("rank", F.row_number().over(Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 2), "block", "copy"), "block", "copy")) - 1)
@@ -144,4 +146,4 @@ def _taken(sized: DataFrame, weights, share, most, shards, block_docs, seed, onc
     ranges = [(k, s, int(ends[s, k] - quotas[s, k]), int(ends[s, k])) for s in range(shards) for k in range(len(plan)) if quotas[s, k]]
     ranges_df = spark.createDataFrame(ranges, "source_no int, shard int, first long, last long")
     shard_of = ranked.join(ranges_df, "source_no").where("rank >= first and rank < last").select("source_no", "block", "copy", "shard")
-    return used.join(shard_of, ["source_no", "block", "copy"]).select("id", "source", "size", "source_size", "target", "copy", "shard", F.xxhash64(F.lit(seed + 3), "order", "copy").alias("place"))
+    return placed, used.join(shard_of, ["source_no", "block", "copy"]).select("row", "id", "source", "size", "source_size", "target", "copy", "shard", F.xxhash64(F.lit(seed + 3), "order", "copy").alias("place"))

@@ -143,6 +143,26 @@ def test_mix_deals_blocks_to_shards(spark):
     assert Counter(r.id for r in rows) == Counter({r.doc_id: r.taken // r.size for r in taken if r.taken})
 
 
+def test_mix_summary_counts_what_the_shards_draw(spark, monkeypatch):
+    docs = mixable(spark)
+    docs = docs.union(docs.where("doc_id < 50"))  # rows that repeat are documents of their own
+    rows, split = mixing.mix_sources(docs, shards=5, block_docs=20).collect(), mixing.split_quotas
+    first = Counter()
+    for r in rows:
+        first[r.id] += r.size * (r.shard == 0)
+
+    def only_first(quotas, shards, seed):
+        out = split(quotas, shards, seed)
+        out[1:] = 0
+        return out
+
+    monkeypatch.setattr(mixing, "split_quotas", only_first)
+    taken, summary = Counter(), mixing.mix_summary(docs, shards=5, block_docs=20).collect()
+    for r in summary:
+        taken[r.doc_id] += r.taken
+    assert len(summary) == 650 and 0 < sum(first.values()) < sum(r.size for r in rows) and taken == first
+
+
 def test_quotas_are_split_exactly():
     parts = mixing.split_quotas([100, 0, 7, 993], 7, 1)
     assert parts.sum(axis=0).tolist() == [100, 0, 7, 993] and parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 2 and (parts >= 0).all()
