@@ -4,17 +4,18 @@ A text is read as its words, A-Z lower-cased, joined by single spaces and closed
 a newline; its symbols are the bytes of that. A context is the string of bytes before
 a symbol, up to a fixed depth and never beyond the start of the text.
 
-Training finds every context whose share of all training symbols is at least
-``p_min``: so there are at most depth / p_min of them, whatever the corpus holds. It
-takes two passes. In the first, each block of the corpus names the contexts that
-reach a quarter of ``p_min`` within it; a context that could still reach ``p_min``
-over all blocks is a candidate, others can't. In the second pass the candidates'
-next-symbol counts are summed. A context stays in the tree if its counts diverge from
-its parent's distribution by more than their description costs; its distribution is
-smoothed with its parent's. For scoring, the tree becomes an automaton whose state is
-the longest context that ends at a place. A word's chance under the tree is smoothed
-with its add-one unigram chance, in which a word that training never saw counts as
-one more word.
+Training counts what follows every context of the corpus. A context that occurs a
+fixed number of times, whatever the size of the corpus, stays in the tree if its
+counts diverge from its parent's distribution by more than their description costs;
+its distribution is smoothed with its parent's. So the tree grows with the corpus.
+
+A smoothed distribution is kept sparse: the chances of the symbols that followed the
+context, and the factor by which all others' chances under its parent shrink. All
+contexts with the same three nearest symbols lie in one shard, a sorted file; shorter
+contexts lie in a file of their own. Shards are built side by side, and scoring maps
+one shard at a time, for the distinct contexts and symbols of a few MB of text. A
+word's chance under the tree is smoothed with its add-one unigram chance, in which a
+word that training never saw counts as one more word.
 
 Counts of words, for the base score, are joined to blocks of documents rather than to
 documents: each block gets the counts of the words it uses, in a file of its own.
@@ -34,10 +35,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.shared import ASCII_LOWER, scratch_path, utf8, written
+from folioscan.llm.shared import ASCII_LOWER, scratch_path, shuffle_partitions, utf8, written
 
 #: Bytes of text that are counted or scored at a time.
 PORTION = 10 << 20
+#: Levels of the tree that are in one file; their contexts are at most 256 ** SHORT.
+SHORT = 2
+#: Contexts with next symbols that a task sums up before it passes them on.
+MOST_CODES = 4 << 20
 #: Distinct words that a task counts before it passes them on.
 MOST_WORDS = 1_000_000
 END = 10
@@ -101,164 +106,168 @@ def _begins_late(contexts: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def frequent_here(stream: bytes, depth: int, least: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(depth, contexts, counts) of the contexts with ``least`` times or more in ``stream``."""
-    keys, _ = _context_keys(stream, depth)
+def gram_counts(stream: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (the ``depth`` symbols before, the symbol in the lowest byte) and counts."""
+    keys, after = _context_keys(stream, depth)
+    np.left_shift(keys, np.uint64(8), out=keys)
+    np.bitwise_or(keys, after, out=keys)
     keys.sort()
-    keys, counts = _summed(keys)
+    return _summed(keys)
+
+
+def _shorter(codes: np.ndarray) -> np.ndarray:
+    """Codes without the farthest symbol of their context."""
+    return ((codes >> np.uint64(16)) << np.uint64(8)) | (codes & np.uint64(255))
+
+
+def _shard(codes: np.ndarray, depth: int, shards: int) -> np.ndarray:
+    """The shard of codes, by the nearest symbols of their context."""
+    nearest = codes >> np.uint64(8 * (depth - min(depth, SHORT + 1)) + 8)
+    return ((nearest * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
+
+
+class Level:
+    """The contexts of one depth and what follows them: ``codes`` (sorted) with the
+    ``chances`` under their context, which is kept if it diverges."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, d: int, above: Level | None, least: float, prior: float):
+        self.codes, n = codes, counts.astype(np.float64)
+        if not d:
+            self.chances, self.rows = (n + 1) / (n.sum() + 256), np.ones(len(codes), dtype=bool)
+            self.contexts = self.shrink = np.zeros(0)
+            return
+        contexts = codes >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1]))) if len(codes) else np.zeros(0, dtype=np.int64)
+        sizes, total = np.diff(np.append(first, len(codes))), np.add.reduceat(n, first) if len(codes) else np.zeros(0)
+        parent = above.chances[np.searchsorted(above.codes, _shorter(codes))]
+        gain = np.add.reduceat(n * np.log(n / np.repeat(total, sizes) / parent), first) if len(codes) else np.zeros(0)
+        kept = (total >= least) & ~_begins_late(contexts[first], d) & (gain > 0.5 * sizes * np.log(total + 1))
+        self.rows, smooth = np.repeat(kept, sizes), prior * sizes
+        self.chances = np.where(self.rows, (n + np.repeat(smooth, sizes) * parent) / np.repeat(total + smooth, sizes), parent)
+        self.contexts, self.shrink = contexts[first][kept], (smooth / (total + smooth))[kept]
+
+
+def _levels(codes: np.ndarray, counts: np.ndarray, first: int, last: int, above: Level | None, least: float, prior: float) -> list[Level]:
+    """The levels from ``first`` to ``last``, from the codes and counts of the last."""
+    found = [(codes, counts)]
+    for _ in range(last - first):
+        codes = _shorter(found[-1][0])
+        found.append(_summed(codes, found[-1][1]))
     out = []
-    for d in range(depth, 0, -1):
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        good = (counts >= least) & ~_begins_late(keys, d)
-        out.append((d, keys[good], counts[good]))
-        keys = keys >> np.uint64(8)
+    for d, (codes, counts) in zip(range(first, last + 1), reversed(found)):
+        above = Level(codes, counts, d, above, least, prior)
+        out.append(above)
     return out
 
 
-def next_counts(stream: bytes, depth: int, candidates: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (depth in the highest byte, context, next symbol) and counts of what
-    follows the candidates (sorted contexts for each depth from 0) in ``stream``."""
-    keys, after = _context_keys(stream, depth)
-    np.left_shift(keys, np.uint64(8), out=keys)
-    np.bitwise_or(keys, after, out=keys)
-    keys.sort()
-    keys, counts = _summed(keys)
-    codes, sums = [], []
-    for d in range(depth, -1, -1):
-        contexts = keys >> np.uint64(8)
-        first = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1])))
-        wanted = np.isin(contexts[first], candidates[d], assume_unique=True)
-        wanted = np.repeat(wanted, np.diff(np.append(first, len(keys))))
-        codes.append(keys[wanted] | np.uint64(d << 56))
-        sums.append(counts[wanted])
-        if d:  # drop the farthest symbol of each context
-            keys, counts = _summed(((keys >> np.uint64(16)) << np.uint64(8)) | (keys & np.uint64(255)), counts)
-    return np.concatenate(codes), np.concatenate(sums)
+def _save(levels: list[Level], first: int, path: str) -> None:
+    """Write what is kept of ``levels`` to a file: codes and contexts with their depth
+    in the highest byte, and log10 of their chances and factors."""
+    tag = [np.uint64(d << 56) for d in range(first, first + len(levels))]
+    codes = np.concatenate([x.codes[x.rows] | t for x, t in zip(levels, tag)])
+    contexts = np.concatenate([x.contexts.astype(np.uint64) | t for x, t in zip(levels, tag)])
+    values = np.log10(np.concatenate([x.chances[x.rows] for x in levels] + [x.shrink for x in levels]).astype(np.float64))
+    files, path = pafs.FileSystem.from_uri(path)
+    part = f"{path}.{np.random.default_rng().integers(1 << 62)}.part"
+    with files.open_output_stream(part, compression=None) as out:
+        np.save(out, np.concatenate((np.array([len(codes), len(contexts)], dtype=np.uint64), codes, contexts, values.view(np.uint64))))
+    files.move(part, path)
 
 
 class SuffixTree:
-    """A trained tree as an automaton: ``scores[state, column]`` is the log10
-    probability of a symbol, ``steps`` the state after it, ``columns`` a symbol's
-    column (0 for symbols that training never saw)."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int, prior: float):
-        level = (codes >> np.uint64(56)).astype(np.int64)
-        after = (codes & np.uint64(255)).astype(np.int64)
-        contexts = (codes << np.uint64(8)) >> np.uint64(16)
-        root = np.zeros(256)
-        np.add.at(root, after[level == 0], counts[level == 0])
-        seen = np.flatnonzero(root)
-        self.depth, self.columns = depth, np.zeros(256, dtype=np.int64)
-        self.columns[seen] = np.arange(1, len(seen) + 1)
-        width = len(seen) + 1
-        chances = [(np.concatenate(([1.0], root[seen] + 1))[None] / (root.sum() + 256)).astype(np.float32)]
-        nodes, kept = [np.zeros(1, dtype=np.uint64)], [np.ones(1, dtype=bool)]
-        for d in range(1, depth + 1):
-            here = np.flatnonzero(level == d)
-            here = here[np.argsort(contexts[here], kind="stable")]
-            names, first = np.unique(contexts[here], return_index=True)
-            above = self._places(nodes[-1], names >> np.uint64(8))
-            own, differs = np.empty((len(names), width), dtype=np.float32), np.empty(len(names), dtype=bool)
-            first = np.append(first, len(here))
-            for at in range(0, len(names), 4096):  # a few contexts at a time, for the driver's memory
-                some = slice(at, min(at + 4096, len(names)))
-                rows = here[first[some.start] : first[some.stop]]
-                table, parent = np.zeros((some.stop - at, width)), chances[-1][above[some]].astype(np.float64)
-                np.add.at(table, (np.searchsorted(names, contexts[rows]) - at, self.columns[after[rows]]), counts[rows])
-                n, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where(table > 0, table * np.log(table / n / parent), 0).sum(axis=1)
-                differs[some] = gain > 0.5 * (kinds * np.log(n + 1))[:, 0]
-                own[some] = np.where(differs[some, None], (table + prior * kinds * parent) / (n + prior * kinds), parent)
-            nodes.append(names)
-            chances.append(own)
-            kept.append(differs)
-        for d in range(depth, 1, -1):  # what the automaton passes on its way to a kept context
-            for shorter in (nodes[d][kept[d]] >> np.uint64(8), nodes[d][kept[d]] & np.uint64((1 << 8 * (d - 1)) - 1)):
-                kept[d - 1] |= np.isin(nodes[d - 1], shorter)
-        nodes, chances = [x[k] for x, k in zip(nodes, kept)], [x[k] for x, k in zip(chances, kept)]
-        starts = np.concatenate(([0], np.cumsum([len(x) for x in nodes])))
-        self.scores = np.concatenate(chances)
-        del chances
-        np.log10(self.scores, out=self.scores)
-        self.steps = np.zeros((starts[-1], width), dtype=np.int32)
-        for d in range(depth + 1):
-            block = slice(starts[d], starts[d + 1])
-            if d:
-                self.steps[block] = self.steps[starts[d - 1] + self._places(nodes[d - 1], nodes[d] >> np.uint64(8))]
-            if d < depth and len(nodes[d + 1]):  # a context one longer: its nearest symbol comes next
-                newest = (nodes[d + 1] >> np.uint64(8 * d)).astype(np.int64) & 255
-                rest = nodes[d + 1] & np.uint64((1 << 8 * d) - 1)
-                place = self._places(nodes[d], rest)
-                real = nodes[d][place] == rest
-                self.steps[starts[d] + place[real], self.columns[newest[real]]] = (starts[d + 1] + np.arange(len(rest)))[real]
-        self.start = int(self.steps[0, self.columns[END]])
-
-    def save(self, folder: str) -> None:
-        """Write the automaton to ``folder``; writing it again replaces it by the same."""
-        files, path = pafs.FileSystem.from_uri(folder)
-        files.create_dir(path, recursive=True)
-        about = np.array([self.depth, self.start], dtype=np.int64)
-        for name, values in (("scores", self.scores), ("steps", self.steps), ("columns", self.columns), ("about", about)):
-            part = f"{path}/{name}.{np.random.default_rng().integers(1 << 62)}.part"
-            with files.open_output_stream(part, compression=None) as out:
-                np.save(out, values)
-            files.move(part, f"{path}/{name}.npy")
+    """A trained tree in the files of a folder, of which one shard is mapped at a time."""
+
+    def __init__(self, folder: str):
+        self.files, self.path = pafs.FileSystem.from_uri(folder)
+        self.depth, self.shards, self.total = self._read("about").tolist()
+        self.short = self._parts("short")
 
     @classmethod
     def load(cls, folder: str) -> SuffixTree:
-        """The automaton in ``folder``, whose tables are mapped if the folder is local."""
-        files, path = pafs.FileSystem.from_uri(folder)
-
-        def read(name: str) -> np.ndarray:
-            if isinstance(files, pafs.LocalFileSystem):
-                return np.load(f"{path}/{name}.npy", mmap_mode="r")
-            with files.open_input_stream(f"{path}/{name}.npy", compression=None) as f:
-                return np.load(io.BytesIO(f.read()))
-
-        out = cls.__new__(cls)
-        out.scores, out.steps, out.columns = read("scores"), read("steps"), np.array(read("columns"))
-        out.depth, out.start = read("about").tolist()
+        return cls(folder)
+
+    def _read(self, name: str) -> np.ndarray:
+        """A file's values, which are mapped if the folder is local."""
+        if isinstance(self.files, pafs.LocalFileSystem):
+            return np.load(f"{self.path}/{name}.npy", mmap_mode="r")
+        with self.files.open_input_stream(f"{self.path}/{name}.npy", compression=None) as f:
+            return np.load(io.BytesIO(f.read()))
+
+    def _parts(self, name: str) -> tuple[np.ndarray, ...]:
+        if name != "short" and self.files.get_file_info(f"{self.path}/{name}.npy").type == pafs.FileType.NotFound:
+            return (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0),) * 2  # no text has its nearest symbols
+        values = np.asarray(self._read(name))
+        n, m = values[:2].tolist()
+        return values[2 : 2 + n], values[2 + n : 2 + n + m], values[2 + n + m : 2 + 2 * n + m].view(np.float64), values[2 + 2 * n + m :].view(np.float64)
+
+    def _follow(self, score: np.ndarray, codes: np.ndarray, part: tuple[np.ndarray, ...], first: int, last: int) -> np.ndarray:
+        """The log10 chances of ``codes`` after the levels from ``first`` to ``last``,
+        from those after the level above."""
+        names, contexts, chances, shrink = part
+        for d in range(first, last + 1):
+            context, tag = codes >> np.uint64(8 * (self.depth - d) + 8), np.uint64(d << 56)
+            known = np.arange(len(codes) if not d else 0)
+            if d and len(contexts):
+                at = np.minimum(np.searchsorted(contexts, context | tag), len(contexts) - 1)
+                known = np.flatnonzero(contexts[at] == (context | tag))
+                score[known] += shrink[at[known]]
+            if len(known) and len(names):
+                wanted = (context[known] << np.uint64(8)) | (codes[known] & np.uint64(255)) | tag
+                at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+                same = names[at] == wanted
+                score[known[same]] = chances[at[same]]
+        return score
+
+    def chances(self, codes: np.ndarray) -> np.ndarray:
+        """The log10 chances of distinct, sorted codes (``depth`` symbols before, symbol)."""
+        score = np.full(len(codes), -np.log10(self.total + 256.0))
+        self._follow(score, codes, self.short, 0, min(SHORT, self.depth))
+        if self.depth > SHORT:
+            shard = _shard(codes, self.depth, self.shards).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(shard[order])) + 1, len(order)) if len(order) else []
+            start = 0
+            for end in ends:
+                rows = order[start:end]
+                score[rows] = self._follow(score[rows], codes[rows], self._parts(str(shard[rows[0]])), SHORT + 1, self.depth)
+                start = end
+        return score
+
+    def _scores(self, codes: np.ndarray) -> np.ndarray:
+        order = np.argsort(codes)
+        ordered = codes[order]
+        first = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(codes) else np.zeros(0, dtype=bool)
+        out = np.empty(len(codes))
+        out[order] = self.chances(ordered[first])[np.cumsum(first) - 1]
         return out
 
-    @staticmethod
-    def _places(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        return np.clip(np.searchsorted(names, wanted), 0, max(0, len(names) - 1))
-
-    def _read(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The log10 probability of each symbol of a stream of texts, and the state before it.
-
-        The stream is cut into lanes that are read side by side; each lane first reads
-        the ``depth`` symbols before it, which fix its state.
-        """
-        columns = self.columns[stream].astype(np.int32)
-        n, width = len(columns), self.scores.shape[1]
-        steps = max(64, min(2048, n // 256))
-        lanes = -(-n // steps)
-        grid = np.full(lanes * steps, self.columns[END], dtype=np.int32)
-        grid[:n] = columns
-        grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-        state = np.zeros(lanes, dtype=np.int32)
-        flat_scores, flat_steps = self.scores.ravel(), self.steps.ravel()
-        for row in grid[steps - self.depth :]:
-            state[1:] = flat_steps[state[1:] * width + row[:-1]]
-        state[0] = self.start
-        scores, states = np.empty((steps, lanes), dtype=np.float32), np.empty((steps, lanes), dtype=np.int32)
-        for k, row in enumerate(grid):
-            states[k] = state
-            at = state * width + row
-            scores[k] = flat_scores[at]
-            state = flat_steps[at]
-        return np.ascontiguousarray(scores.T).ravel()[:n].astype(np.float64), np.ascontiguousarray(states.T).ravel()[:n]
+    def _codes(self, stream: bytes) -> np.ndarray:
+        keys, after = _context_keys(stream, self.depth)
+        return (keys << np.uint64(8)) | after
+
+    @property
+    def scores(self) -> np.ndarray:
+        """The log10 chances of all symbols after each kept context: rows for the root
+        and the contexts, columns for a symbol that training never saw (0) and for
+        those that it saw. For small trees."""
+        parts = [self.short] + [self._parts(str(k)) for k in range(self.shards)]
+        seen = (self.short[0][: np.searchsorted(self.short[0], np.uint64(1 << 56))]).tolist()
+        unseen = next(b for b in range(256) if b not in seen)
+        rows = []
+        for tagged in [0, *(c for part in parts for c in part[1].tolist())]:
+            d, context = tagged >> 56, tagged & ((1 << 56) - 1)
+            codes = np.array([(context << 8 * (self.depth - d + 1)) | b for b in (unseen, *seen)], dtype=np.uint64)
+            score = np.full(len(codes), -np.log10(self.total + 256.0))
+            self._follow(score, codes, self.short, 0, min(SHORT, d))
+            rows.append(self._follow(score, codes, parts[1 + int(_shard(codes[:1], self.depth, self.shards)[0])], SHORT + 1, d) if d > SHORT else score)
+        return np.array(rows)
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
         """The log10 probability of each text, given as ``symbols()``."""
         if not texts:
             return np.zeros(0)
         ends = np.cumsum([len(t) for t in texts])
-        scores, _ = self._read(np.frombuffer(b"".join(texts), dtype=np.uint8))
-        return np.add.reduceat(scores, np.concatenate(([0], ends[:-1])))
+        return np.add.reduceat(self._scores(self._codes(b"".join(texts))), np.concatenate(([0], ends[:-1])))
 
     def tokens_log10(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The log10 probability of each word of ``texts`` in order, and of each end.
@@ -266,134 +275,85 @@ class SuffixTree:
         A word's symbols and that it stops there count for the word; whether the text
         then ends or goes on counts for the token after it.
         """
-        stream = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        scores, states = self._read(stream)
-        stops = np.flatnonzero((stream == 32) | (stream == END))
-        either = np.log10(sum(10.0 ** self.scores[states[stops], self.columns[c]].astype(np.float64) for c in (32, END)))
+        codes = self._codes(b"".join(texts))
+        last = codes & np.uint64(255)
+        stops = np.flatnonzero((last == 32) | (last == END))
+        scores = self._scores(np.concatenate((codes, codes[stops] ^ np.uint64(32 ^ END))))  # a stop's other symbol, too
+        scores, other = scores[: len(codes)], scores[len(codes) :]
+        either = np.log10(10.0 ** scores[stops] + 10.0**other)
         chosen = scores[stops] - either
         scores[stops] = either
         pieces = np.add.reduceat(scores, np.concatenate(([0], stops[:-1] + 1)))
-        is_end = stream[stops] == END
+        is_end = last[stops] == END
         alone = is_end & (np.diff(stops, prepend=-1) == 1)  # a text without words: its end is all there is
         follows = np.concatenate(([False], ~is_end[:-1]))
         words = pieces + np.where(follows, np.concatenate(([0.0], chosen[:-1])), 0.0)
         ends = chosen + np.where(alone, pieces, 0.0)
         return words[~alone], ends[is_end]
 
-    def save(self, folder: str) -> None:
-        """Write the automaton to ``folder``; writing it again replaces it by the same."""
-        files, path = pafs.FileSystem.from_uri(folder)
-        files.create_dir(path, recursive=True)
-        about = np.array([self.depth, self.start], dtype=np.int64)
-        for name, values in (("scores", self.scores), ("steps", self.steps), ("columns", self.columns), ("about", about)):
-            part = f"{path}/{name}.{np.random.default_rng().integers(1 << 62)}.part"
-            with files.open_output_stream(part, compression=None) as out:
-                np.save(out, values)
-            files.move(part, f"{path}/{name}.npy")
-
-    @classmethod
-    def load(cls, folder: str) -> SuffixTree:
-        """The automaton in ``folder``, whose tables are mapped if the folder is local."""
-        files, path = pafs.FileSystem.from_uri(folder)
-
-        def read(name: str) -> np.ndarray:
-            if isinstance(files, pafs.LocalFileSystem):
-                return np.load(f"{path}/{name}.npy", mmap_mode="r")
-            with files.open_input_stream(f"{path}/{name}.npy", compression=None) as f:
-                return np.load(io.BytesIO(f.read()))
-
-        out = cls.__new__(cls)
-        out.scores, out.steps, out.columns = read("scores"), read("steps"), np.array(read("columns"))
-        out.depth, out.start = read("about").tolist()
-        return out
-
-    @staticmethod
-    def _places(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        return np.clip(np.searchsorted(names, wanted), 0, max(0, len(names) - 1))
 
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        """The log10 probability of each text, given as ``symbols()``.
-
-        The texts are laid end to end and cut into lanes that are read side by side;
-        each lane first reads the ``depth`` symbols before it, which fix its state.
-        """
-        if not texts:
-            return np.zeros(0)
-        stream = self.columns[np.frombuffer(b"".join(texts), dtype=np.uint8)].astype(np.int32)
-        n, width = len(stream), self.scores.shape[1]
-        steps = max(64, min(2048, n // 256))
-        lanes = -(-n // steps)
-        grid = np.full(lanes * steps, self.columns[END], dtype=np.int32)
-        grid[:n] = stream
-        grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-        state = np.zeros(lanes, dtype=np.int32)
-        flat_scores, flat_steps = self.scores.ravel(), self.steps.ravel()
-        for row in grid[steps - self.depth :]:
-            state[1:] = flat_steps[state[1:] * width + row[:-1]]
-        state[0] = self.start
-        out = np.empty((steps, lanes), dtype=np.float32)
-        for k, row in enumerate(grid):
-            at = state * width + row
-            out[k] = flat_scores[at]
-            state = flat_steps[at]
-        ends = np.cumsum([len(t) for t in texts])
-        return np.add.reduceat(np.ascontiguousarray(out.T).ravel()[:n].astype(np.float64), np.concatenate(([0], ends[:-1])))
-
-
-def train_suffix_tree(texts: DataFrame, folder: str, text_col: str = "text", depth: int = 6, p_min: float = 5e-6, prior: float = 10.0) -> None:
+def train_suffix_tree(texts: DataFrame, folder: str, text_col: str = "text", depth: int = 6, p_min: float | None = None, prior: float = 10.0, least: int = 2) -> None:
     """Write the tree of all rows of ``texts`` to ``folder``. ``depth`` is at most 6.
 
-    The driver receives the names of at most 4/3 depth / p_min contexts. One task
-    builds the tree; it reads what follows at most depth / p_min contexts.
+    A context needs ``least`` occurrences, or a share ``p_min`` of all symbols where
+    that is given. The driver receives what follows contexts of two symbols.
     """
-    text = texts.select(F.col(text_col).alias("text"))
+    text, spark = texts.select(F.col(text_col).alias("text")), texts.sparkSession
+    short, shards = min(SHORT, depth), shuffle_partitions(texts)
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for stream in _portions(batches, 0):
-            n = len(stream)
-            yield _rows(np.zeros(1, dtype=np.uint64), np.array([n]), np.array([n]))
-            for d, contexts, counts in frequent_here(stream, depth, p_min / 4 * n):
-                yield _rows(contexts | np.uint64(d << 56), counts, np.full(len(counts), n))
-
-    named = text.mapInArrow(name, "code bigint, n bigint, of bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
-    named = written(named, "contexts")
-    total = (named.where("code = 0").agg(F.sum("n")).first()[0] or 0)
-    # blocks that didn't name a context hold less than p_min / 4 of their symbols of it
-    possible = named.where((F.col("code") != 0) & (F.col("n") + (F.lit(total) - F.col("of")) * (p_min / 4) >= p_min * total)).select("code").toPandas()["code"].to_numpy().astype(np.uint64)
-    levels = possible >> np.uint64(56)
-    candidates = [np.zeros(1, dtype=np.uint64)] + [np.sort(possible[levels == d] & np.uint64((1 << 56) - 1)) for d in range(1, depth + 1)]
-    shared = texts.sparkSession.sparkContext.broadcast(candidates)
+            codes, counts = gram_counts(stream, depth)
+            held = _summed(np.concatenate((held[0], codes)), np.concatenate((held[1], counts)))
+            if len(held[0]) > MOST_CODES:
+                yield held
+                held = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        yield held
+
+    def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, counts in sums(batches, short):
+            yield pa.record_batch([pa.array(codes.view(np.int64)), pa.array(counts, pa.int64())], names=["code", "n"])
+
+    found = text.mapInArrow(count_short, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    codes, counts = (found.column(k).to_numpy() for k in ("code", "n"))
+    total = int(counts.sum())
+    enough = least if p_min is None else p_min * total
+    upper = _levels(codes.astype(np.uint64), counts, 0, short, None, enough, prior)
+    files, path = pafs.FileSystem.from_uri(folder)
+    files.create_dir(path, recursive=True)
+    _save(upper, 0, f"{folder}/short.npy")
+    with files.open_output_stream(f"{path}/about.npy", compression=None) as out:
+        np.save(out, np.array([depth, shards, total], dtype=np.int64))
+    if depth == short:
+        return
+    shared = spark.sparkContext.broadcast(upper[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray] | None = None
-        for stream in _portions(batches, 0):
-            codes, sums = next_counts(stream, depth, shared.value)
-            held = _summed(np.concatenate((held[0], codes)), np.concatenate((held[1], sums))) if held else (codes, sums)
-        if held:
-            for at in range(0, len(held[0]), 1 << 16):
-                codes = held[0][at : at + (1 << 16)]
-                yield pa.record_batch([pa.array(codes.view(np.int64)), pa.array(held[1][at : at + (1 << 16)], pa.int64())], names=["code", "n"])
-
-    counted = written(text.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "next-symbols")
-    # rare contexts among the candidates go; the rest is bounded by depth / p_min
-    heads = counted.groupBy(F.expr("shiftrightunsigned(code, 8)").alias("head")).agg(F.sum("n").alias("n")).where(F.col("n") >= p_min * total).select("head")
-    rows = counted.withColumn("head", F.expr("shiftrightunsigned(code, 8)")).join(heads, "head", "left_semi").select("code", "n")
+        for codes, counts in sums(batches, depth):
+            for at in range(0, len(codes), 1 << 16):
+                part = codes[at : at + (1 << 16)]
+                yield pa.record_batch([pa.array(_shard(part, depth, shards).astype(np.int32)), pa.array(part.view(np.int64)), pa.array(counts[at : at + (1 << 16)], pa.int64())], names=["shard", "code", "n"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        codes = np.concatenate([np.zeros(0, dtype=np.int64), *(x[0] for x in found)])
-        counts = np.concatenate([np.zeros(0, dtype=np.int64), *(x[1] for x in found)])
-        order = np.argsort(codes)  # rows come in any order, the tree must not depend on it
-        tree = SuffixTree(codes[order].view(np.uint64), counts[order].astype(np.float64), depth, prior)
-        tree.save(folder)
-        yield pa.record_batch([pa.array([len(tree.scores)], pa.int64())], names=["states"])
-
-    nothing = texts.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("code"), F.lit(0).cast("bigint").alias("n"))  # so that there is a task
-    rows.unionByName(nothing).repartition(1).mapInArrow(build, "states bigint").collect()
+        held, new, size = None, [], 0
+        for batch in batches:
+            new.append([batch.column(k).to_numpy() for k in range(3)])
+            size += batch.num_rows
+            if size > MOST_CODES:
+                held, new, size = merged(held, new), [], 0
+        held = merged(held, new)
+        for shard in np.unique(_shard(held[0], depth, shards)).tolist():
+            own = _shard(held[0], depth, shards) == shard
+            levels = _levels(held[0][own], held[1][own], short + 1, depth, shared.value, enough, prior)
+            _save(levels, short + 1, f"{folder}/{shard}.npy")
+            yield pa.record_batch([pa.array([sum(len(x.contexts) for x in levels)], pa.int64())], names=["contexts"])
 
+    def merged(held, new):
+        parts = ([held] if held else []) + [(x[1].view(np.uint64), x[2]) for x in new]
+        return _summed(np.concatenate([np.zeros(0, dtype=np.uint64), *(x[0] for x in parts)]), np.concatenate([np.zeros(0, dtype=np.int64), *(x[1] for x in parts)]))
 
-def _rows(codes: np.ndarray, counts: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(codes.view(np.int64)), pa.array(counts, pa.int64()), pa.array(of, pa.int64())], names=["code", "n", "of"])
+    text.mapInArrow(count, "shard int, code bigint, n bigint").repartitionById(shards, F.col("shard")).mapInArrow(build, "contexts bigint").agg(F.sum("contexts")).collect()
 
 
 def _scans_files(df: DataFrame) -> bool:
@@ -464,7 +424,7 @@ def _word_rows(block: int, trained: Counter, others: set) -> Iterator[pa.RecordB
         yield pa.record_batch([pa.array(np.full(len(part), block)), pa.array(part, pa.binary()), pa.array(counts[at : at + (1 << 16)])], names=["block", "word", "n"])
 
 
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, p_min: float = 5e-6, prior: float = 10.0) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, p_min: float | None = None, prior: float = 10.0, least: int = 2) -> DataFrame:
     """One row per row of ``docs``: id, held_out (not ``train``), n_tokens (words and
     the end), n_known (tokens that occur in training texts), train_tokens, base_score
     (log10 probability under add-one unigrams of the training tokens), score (log10
@@ -482,7 +442,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     if not _scans_files(rows):
         rows = written(rows, "texts")
     model = scratch_path(docs.sparkSession, "suffix-tree")
-    train_suffix_tree(rows.where("train"), model, "text", depth, p_min, prior)
+    train_suffix_tree(rows.where("train"), model, "text", depth, p_min, prior, least)
     rows = rows.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     folder = scratch_path(docs.sparkSession, "word-counts")
     words, kinds = word_counts(rows, folder)

@@ -243,6 +243,14 @@ def test_suffix_tree_against_brute_force(spark, tmp_path):
     assert sums == pytest.approx(np.ones(len(sums)), abs=1e-4)
 
 
+def test_rare_contexts_stay_in_the_tree_of_a_large_corpus(spark, tmp_path):
+    rare = "žluťoučký kůň"  # 20 of 10 million symbols
+    docs = spark.createDataFrame([("lorem ipsum " * 400_000,), ("lorem ipsum " * 400_000 + f"{rare} " * 20,)], "text string")
+    suffix_tree.train_suffix_tree(docs, f"file://{tmp_path}/tree")
+    (score,) = suffix_tree.SuffixTree.load(f"file://{tmp_path}/tree").log10([suffix_tree.symbols(f"lorem ipsum {rare} {rare}".encode())])
+    assert score > -15
+
+
 def test_scores(spark):
     docs = spark.createDataFrame([(0, "the cat", 1), (1, None, 1), (2, "The dog  the", 2), (3, "", 2), (None, "cat " * 30000, 3), (2, "new", 4)], "doc_id bigint, text string, score int")
     got = suffix_tree.score_documents(docs, F.col("doc_id") != 2).collect()
