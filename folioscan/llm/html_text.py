@@ -4,8 +4,9 @@ Markup is stripped into blocks, the lines of the method; elements that by their
 name, role or class are menus, headers, footers, sidebars, notices, adverts, forms
 or comments leave an empty line. Text lengths without links are summed over sliding
 windows of lines. Where a window rises above a threshold the text surges, where it
-falls to nothing it dives, and what lies between the two is kept. A page that marks
-its article is measured inside it, so there the first surge and the last dive count.
+falls to nothing it dives, and what lies between the two is kept, as often as the text
+surges; so is all text between the first surge and the last dive. A page that marks its
+article, in one element or several, is not measured: all blocks inside are kept.
 """
 
 from __future__ import annotations
@@ -160,9 +161,8 @@ def page_lines(page: str, hints: bool = True) -> tuple[list[tuple[str, int, int,
     return lines, skipped > 0
 
 
-def between_surge_and_dive(lengths: list[int], window: int = WINDOW, surge: int = SURGE, all_of_it: bool = False) -> tuple[int, int]:
-    """The lines (first, end) between a surge and a dive that hold the most text, or,
-    with ``all_of_it``, from the first surge to the last dive."""
+def between_surge_and_dive(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """The lines (first, end) between each surge and its dive."""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
     spans, start = [], None
     for i, total in enumerate(sums):
@@ -174,11 +174,8 @@ def between_surge_and_dive(lengths: list[int], window: int = WINDOW, surge: int
     if start is not None:
         spans.append((start, len(lengths)))
     if not spans:
-        return between_surge_and_dive(lengths, window, 0, all_of_it) if surge and any(lengths) else (0, 0)
-    first, end = (spans[0][0], spans[-1][1]) if all_of_it else max(spans, key=lambda s: sum(lengths[s[0] : s[1]]))
-    while not lengths[end - 1]:
-        end -= 1
-    return first, end
+        return between_surge_and_dive(lengths, window, 0) if surge and any(lengths) else []
+    return [(first, max(i for i in range(first, end) if lengths[i]) + 1) for first, end in spans]
 
 
 def main_text(page: str) -> str:
@@ -186,19 +183,17 @@ def main_text(page: str) -> str:
     lines, unclosed = page_lines(page)
     if unclosed and not any(lines):  # an element that only its class marks was never closed
         lines, _ = page_lines(page, hints=False)
-    sizes: dict[int, int] = {}
-    for x in lines:
-        if x and x[2]:
-            sizes[x[2]] = sizes.get(x[2], 0) + x[1]
-    best = max(sizes, key=sizes.get) if sizes else 0
-    if best and sizes[best]:
-        lines = [x if x and x[2] == best else None for x in lines]
-        first, end = between_surge_and_dive([x[1] if x else 0 for x in lines], surge=0, all_of_it=True)
-    else:
-        first, end = between_surge_and_dive([x[1] if x else 0 for x in lines])
-        titles = [i for i in range(first, min(end, first + WINDOW)) if lines[i] and lines[i][3]]
-        first = titles[0] if titles else first
-    return "\n".join(x[0] for x in lines[first:end] if x)
+    marked = [x for x in lines if x and x[2]]
+    if any(x[1] for x in marked):
+        return "\n".join(x[0] for x in marked)
+    spans = between_surge_and_dive([x[1] if x else 0 for x in lines])
+    if not spans:
+        return ""
+    first, end = spans[0]
+    titles = [i for i in range(first, min(end, first + WINDOW)) if lines[i] and lines[i][3]]
+    spans[0] = (titles[0] if titles else first, end)
+    inside = {i for first, end in spans for i in range(first, end)}
+    return "\n".join(lines[i][0] for i in range(spans[0][0], spans[-1][1]) if lines[i] and (lines[i][1] or i in inside))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

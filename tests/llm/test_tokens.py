@@ -304,6 +304,21 @@ def test_main_text(tags):
     assert main_text(PAGE.replace("{open}", tags[0]).replace("{close}", tags[1])) == ARTICLE
 
 
+LINE = "A paragraph of the article with so many words that the sums of the windows rise, number {}."
+
+
+def test_main_text_goes_on_after_gaps_and_links():
+    one, two, three = (LINE.format(k) for k in "123")
+    boxes = "<div class=ad>Buy</div><form><p>Mail</p></form><aside><p>Related</p></aside>"
+    links = "<p><a href=x>More</a></p>" * 3
+    menu = "<ul><li><a href=1>One</a><li><a href=2>Two</a></ul>"
+    for gap in (boxes, links):
+        assert main_text(f"{menu}<div><p>{one}</p><p>{two}</p>{gap}<p>Short.</p>{gap}<p>{three}</p></div>{menu}") == f"{one}\n{two}\nShort.\n{three}"
+    sources = "<p><a href=x>Source</a></p>"
+    assert main_text(f"{menu}<article>{sources}<p>{one}</p>{boxes}{sources}</article>{menu}") == f"Source\n{one}\nSource"
+    assert main_text(f"{menu}<article><p>{one}</p></article>{boxes}<article><p>{two}</p><p>{three}</p></article><p>{LINE}</p>") == f"{one}\n{two}\n{three}"
+
+
 def test_odd_pages(spark):
     pages = {"": "", "plain": "plain", "<p>a<p>b": "a\nb", "<nav>menu</nav>": "", "<div title='a hidden nav' data-class=ad>seen</div>": "seen", "<p>a</p><div hidden>no</div><p class=ad>no</p>": "a", "<p>x <b": "x", '<p title="a>b">q</p>': "q", "<div class='ad'><p>lost div": "lost div", "<p>" + "w " * 50000: ("w " * 50000).strip(), "<p>&lt;b&gt;&nbsp;c</p>": "<b> c"}
     docs = spark.createDataFrame([(k, None, h, "t") for k, h in enumerate([*pages, None])], "page_id bigint, url string, html string, text string")
