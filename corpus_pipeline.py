@@ -18,12 +18,13 @@ from folioscan.llm.quality import quality_rules
 from folioscan.llm.shared import written
 
 
-def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with the lines that pass.
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row (row), written so that it stays: ids may repeat or be null."""
+    return written(docs.withColumn("row", F.monotonically_increasing_id()), "keyed")
+
 
-    In all stages, rows that share an id stay or go together, and rows without an id,
-    which can't be told apart, go at the first deduplication.
-    """
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, with the lines that pass."""
     # exploding the kept verdicts computes each once; a filter would compute it twice
     judged = quality_rules(docs)
     judged = judged.withColumn("quality", F.explode(F.filter(F.array("quality"), lambda q: q["kept"]))).withColumn("text", F.col("quality.cleaned"))
@@ -31,21 +32,26 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of equal texts, one row: the document with the largest id; null comes before all ids."""
+    rows = keyed(docs)
+    kept = exact_dedup(rows.withColumn("key", F.struct("doc_id", "row")), "key").where("kept").select("key.row")
+    return rows.join(kept, "row", "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents (five words, 0.8), the one with the smallest id."""
-    kept = near_components(docs, k=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of each component of similar documents (five words, 0.8), one row: the one with
+    the smallest id; null comes after all ids."""
+    rows = keyed(docs)
+    found = near_components(rows, "row", k=5, percent=80).join(rows.select("row", "doc_id"), "row")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")).select("least.row")
+    return rows.join(kept, "row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix by source weights 3, 1, 2 takes them."""
-    taken = mix_sources(docs).groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("passes"))
-    return docs.join(taken, "doc_id").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int")))).select(*docs.columns)
+    rows = keyed(docs)
+    taken = mix_sources(rows, key_col="row").groupBy("row").agg(F.count(F.lit(1)).alias("passes"))
+    return rows.join(taken, "row").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

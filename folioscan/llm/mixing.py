@@ -70,7 +70,7 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 16, block_docs: int = 64, seed: int = 17
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 16, block_docs: int = 64, seed: int = 17, key_col: str | None = None
 ) -> DataFrame:
     """The documents that the mix takes: one row per document and pass over it.
 
@@ -81,10 +81,11 @@ def mix_sources(
     times its own. A source takes whole documents in permuted order; the one at the
     target is taken if that comes nearer to it. Documents without words are never
     taken. Rows that repeat an id are documents of their own. The same rows and
-    seed give the same mix. No rows give no rows.
+    seed give the same mix. No rows give no rows. ``key_col``, unique to each row, is
+    returned too.
     """
-    _, drawn = _dealt(_sized(docs, id_col, text_col, source_col), weights, share, most, shards, block_docs, seed)
-    return drawn.drop("row")
+    _, drawn = _dealt(_sized(docs, id_col, text_col, source_col, key_col), weights, share, most, shards, block_docs, seed)
+    return drawn.withColumnRenamed("row", key_col) if key_col else drawn.drop("row")
 
 
 def mix_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -98,9 +99,9 @@ def mix_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return placed.join(taken, "row", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, key_col: str | None = None) -> DataFrame:
     size = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+"), "")).cast("long")
-    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("salt"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
+    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("salt"), (F.col(key_col) if key_col else F.monotonically_increasing_id()).alias("row")), "mix-sizes")
 
 
 def _dealt(sized: DataFrame, weights, share, most, shards, block_docs, seed) -> tuple[DataFrame, DataFrame]:

@@ -47,3 +47,17 @@ def test_stages_on_odd_rows(spark):
     for d in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, d, SF).collect()
+
+
+def test_stages_tell_rows_apart(spark):
+    def run(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        return Counter((r.doc_id, r.text) for r in stage(spark, docs, SF).collect())
+
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    near = two.replace("b59", "c")
+    # repeated rows are copies, and rows without an id may stay
+    assert run(corpus_pipeline.drop_copies, [(1, one), (1, one), (None, two), (None, one), (1, near)]) == Counter([(1, one), (None, two), (1, near)])
+    assert run(corpus_pipeline.drop_near_copies, [(1, two), (7, near), (7, one), (None, "x y z")]) == Counter([(1, two), (7, one), (None, "x y z")])
+    # the mix takes each of two equal rows at most twice
+    assert sum(run(corpus_pipeline.mix, [(1, one), (1, one)]).values()) == 3
