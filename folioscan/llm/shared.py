@@ -7,8 +7,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +43,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/folioscan/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the scratch folder and read again.
+def written(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """``df`` written as Parquet to the scratch folder and read again, by ``spark`` if given.
 
     This cuts the lineage: a lost executor costs no recomputation of ``df``.
     """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (spark or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -59,17 +59,47 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
-    """Python functions that run meanwhile get at most ``rows`` rows at a time: for
-    rows with large binaries, which would fill the memory of a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+class Scratch:
+    """Intermediate tables of one run, which are deleted when the run ends.
+
+    What outlives the run has to be written beside them, with ``written``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, name: str) -> str:
+        """A new path that goes with the run."""
+        self.paths.append(scratch_path(self.spark, name))
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet, and read until the run ends."""
+        path = self.path(name)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop_before(self, n: int) -> None:
+        """Delete all but the last ``n`` paths now."""
+        for path in self.paths[: len(self.paths) - n]:
+            discard(self.spark, path)
+        self.paths = self.paths[len(self.paths) - n :]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop_before(0)
+
+
+def small_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """``df`` in a session of its own in which Python functions get batches of some
+    ``size`` bytes at most (one row may be larger). The caller's session stays as it is."""
+    spark = df.sparkSession
+    clone = spark._jsparkSession.cloneSession()
+    clone.conf().set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    jvm = spark._jvm.org.apache.spark.sql.classic.Dataset
+    return DataFrame(jvm.ofRows(clone, df._jdf.queryExecution().analyzed()), SparkSession(spark.sparkContext, clone))
 
 
 def shuffle_partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
@@ -90,6 +120,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of the words of a text in order, A-Z lower-cased."""
+    small = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.transform(F.array_remove(F.split(small, f"[{SPACE}]+"), ""), lambda w: F.xxhash64(w))
+
+
+def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column of 64-bit numbers, as unsigned numbers; not copied."""
+    values, ends = column.flatten().to_numpy().view(np.uint64), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    return (values[a:b] for a, b in zip(ends, ends[1:]))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
