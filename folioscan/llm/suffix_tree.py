@@ -1,498 +1,357 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-A text is read as its words, A-Z lower-cased, joined by single spaces and closed by
-a newline; its symbols are the bytes of that. A context is the string of bytes before
-a symbol, up to a fixed depth and never beyond the start of the text.
-
-Training counts what follows every context of the corpus. A context that occurs a
-fixed number of times, whatever the size of the corpus, stays in the tree if its
-counts diverge from its parent's distribution by more than their description costs;
-its distribution is smoothed with its parent's. So the tree grows with the corpus.
-
-A smoothed distribution is kept sparse: the chances of the symbols that followed the
-context, and the factor by which all others' chances under its parent shrink. All
-contexts with the same three nearest symbols lie in one shard, a sorted file; shorter
-contexts lie in a file of their own. Shards are built side by side, and scoring maps
-one shard at a time, for the distinct contexts and symbols of a few MB of text. A
-word's chance under the tree is smoothed with its add-one unigram chance, in which a
-word that training never saw counts as one more word.
-
-Counts of words, for the base score, are joined to blocks of documents rather than to
-documents: each block gets the counts of the words it uses, in a file of its own.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+A text's symbols are its words, A-Z lower-cased, and one end; a word is known by its
+64-bit hash. A context is the string of symbols before a symbol, up to a fixed depth
+and never beyond the start of the text. The root of the tree is the add-one unigram of
+the training texts, in which all words that training never saw share one more symbol's
+chance; so the tree and the base score speak about the same events.
+
+Training counts what follows every context that occurs a fixed number of times,
+whatever the size of the corpus, so the tree grows with it. A context stays in the tree
+if what follows it diverges from its parent's distribution: if each of its symbols,
+foretold from the others, is likelier than under the parent on the whole. What follows
+a context that stays is smoothed with its parent's distribution, in proportion to the
+kinds of symbols seen there; a symbol's chance is that of the longest state of its
+context, and passes through contexts that were left out.
+
+All texts are kept as blocks of a few million symbols, one file each. On each level of
+the tree a block sends its distinct contexts and symbols, with their counts, to shards
+by context; a shard adds up and judges its contexts and answers each block. So what
+moves are a block's distinct strings, packed, and never texts or single symbols; a
+context's strings come together once for each block that holds them.
 """
 
 from __future__ import annotations
 
-import io
-from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.shared import ASCII_LOWER, scratch_path, shuffle_partitions, utf8, written
+from folioscan.llm.shared import Scratch, lists, shuffle_partitions, small_batches, word_hashes, written
 
-#: Bytes of text that are counted or scored at a time.
-PORTION = 10 << 20
-#: Levels of the tree that are in one file; their contexts are at most 256 ** SHORT.
-SHORT = 2
-#: Contexts with next symbols that a task sums up before it passes them on.
-MOST_CODES = 4 << 20
-#: Distinct words that a task counts before it passes them on.
-MOST_WORDS = 1_000_000
-END = 10
-#: Shares of the unigrams in a token's chance, over which texts are averaged.
-SHARES = (0.1, 0.3, 0.5, 0.7, 0.9)
+#: Symbols in a block; a longer text is a block of its own.
+BLOCK = 2_000_000
+#: The end's hash, and the steps in one natural unit in which a parent's chance is sent.
+END, STEPS = 0, 8
+MOVED = "shard int, block bigint, data binary"
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """The words of a text in UTF-8, A-Z lower-cased."""
-    return text.translate(ASCII_LOWER).split()
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in few bytes: their bytes by place, compressed."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], dtype=np.int64)
+    raw = b"".join([head.tobytes(), *(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def symbols(text: bytes) -> bytes:
-    """The symbols of a text: its words joined by spaces, then the end."""
-    return b" ".join(tokens(text)) + b"\n"
-
-
-def _portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[bytes]:
-    parts, size = [], 0
-    for batch in batches:
-        for text in utf8(batch.column(column)):
-            parts.append(symbols(text))
-            size += len(parts[-1])
-            if size >= PORTION:
-                yield b"".join(parts)
-                parts, size = [], 0
-    if parts:
-        yield b"".join(parts)
-
-
-def _context_keys(stream: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol of ``stream`` its ``depth`` symbols before it, the nearest one
-    in the highest byte, zeros beyond the text's start; and the symbols."""
-    a = np.frombuffer(b"\n" * depth + stream, dtype=np.uint8)
-    n = len(a) - depth
-    key, inside = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
-    for d in range(1, depth + 1):
-        symbol = a[depth - d : depth - d + n]
-        np.left_shift(key, np.uint64(8), out=key)
-        np.bitwise_or(key, symbol * inside, out=key)
-        inside &= symbol != END
-    return key, a[depth:]
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ``keys``, ascending, and the sums of their counts (1 if not given)."""
-    if not len(keys):
-        return keys, np.zeros(0, dtype=np.int64)
-    if counts is not None:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first)
-
-
-def _begins_late(contexts: np.ndarray, depth: int) -> np.ndarray:
-    """Which contexts reach beyond the start of their text, so are no contexts."""
-    out = np.zeros(len(contexts), dtype=bool)
-    for d in range(1, depth):  # all but the farthest byte
-        out |= (contexts >> np.uint64(8 * d)) & np.uint64(255) == END
+def unpack(data: bytes | memoryview, *kinds: type) -> list[np.ndarray]:
+    """The arrays of ``pack``, of these types."""
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    sizes, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).tolist(), 8 + 16 * n, []
+    for kind, size, length in zip(kinds, sizes[::2], sizes[1::2]):
+        planes = np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += size * length
     return out
 
 
-def gram_counts(stream: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (the ``depth`` symbols before, the symbol in the lowest byte) and counts."""
-    keys, after = _context_keys(stream, depth)
-    np.left_shift(keys, np.uint64(8), out=keys)
-    np.bitwise_or(keys, after, out=keys)
-    keys.sort()
-    return _summed(keys)
-
-
-def _shorter(codes: np.ndarray) -> np.ndarray:
-    """Codes without the farthest symbol of their context."""
-    return ((codes >> np.uint64(16)) << np.uint64(8)) | (codes & np.uint64(255))
-
-
-def _shard(codes: np.ndarray, depth: int, shards: int) -> np.ndarray:
-    """The shard of codes, by the nearest symbols of their context."""
-    nearest = codes >> np.uint64(8 * (depth - min(depth, SHORT + 1)) + 8)
-    return ((nearest * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
-
-
-class Level:
-    """The contexts of one depth and what follows them: ``codes`` (sorted) with the
-    ``chances`` under their context, which is kept if it diverges."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, d: int, above: Level | None, least: float, prior: float):
-        self.codes, n = codes, counts.astype(np.float64)
-        if not d:
-            self.chances, self.rows = (n + 1) / (n.sum() + 256), np.ones(len(codes), dtype=bool)
-            self.contexts = self.shrink = np.zeros(0)
-            return
-        contexts = codes >> np.uint64(8)
-        first = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1]))) if len(codes) else np.zeros(0, dtype=np.int64)
-        sizes, total = np.diff(np.append(first, len(codes))), np.add.reduceat(n, first) if len(codes) else np.zeros(0)
-        parent = above.chances[np.searchsorted(above.codes, _shorter(codes))]
-        gain = np.add.reduceat(n * np.log(n / np.repeat(total, sizes) / parent), first) if len(codes) else np.zeros(0)
-        kept = (total >= least) & ~_begins_late(contexts[first], d) & (gain > 0.5 * sizes * np.log(total + 1))
-        self.rows, smooth = np.repeat(kept, sizes), prior * sizes
-        self.chances = np.where(self.rows, (n + np.repeat(smooth, sizes) * parent) / np.repeat(total + smooth, sizes), parent)
-        self.contexts, self.shrink = contexts[first][kept], (smooth / (total + smooth))[kept]
-
-
-def _levels(codes: np.ndarray, counts: np.ndarray, first: int, last: int, above: Level | None, least: float, prior: float) -> list[Level]:
-    """The levels from ``first`` to ``last``, from the codes and counts of the last."""
-    found = [(codes, counts)]
-    for _ in range(last - first):
-        codes = _shorter(found[-1][0])
-        found.append(_summed(codes, found[-1][1]))
-    out = []
-    for d, (codes, counts) in zip(range(first, last + 1), reversed(found)):
-        above = Level(codes, counts, d, above, least, prior)
-        out.append(above)
-    return out
+def _joined(parts: list[list[np.ndarray]], kinds: tuple) -> list[np.ndarray]:
+    return [np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds)]
 
 
-def _save(levels: list[Level], first: int, path: str) -> None:
-    """Write what is kept of ``levels`` to a file: codes and contexts with their depth
-    in the highest byte, and log10 of their chances and factors."""
-    tag = [np.uint64(d << 56) for d in range(first, first + len(levels))]
-    codes = np.concatenate([x.codes[x.rows] | t for x, t in zip(levels, tag)])
-    contexts = np.concatenate([x.contexts.astype(np.uint64) | t for x, t in zip(levels, tag)])
-    values = np.log10(np.concatenate([x.chances[x.rows] for x in levels] + [x.shrink for x in levels]).astype(np.float64))
-    files, path = pafs.FileSystem.from_uri(path)
-    part = f"{path}.{np.random.default_rng().integers(1 << 62)}.part"
-    with files.open_output_stream(part, compression=None) as out:
-        np.save(out, np.concatenate((np.array([len(codes), len(contexts)], dtype=np.uint64), codes, contexts, values.view(np.uint64))))
-    files.move(part, path)
-
-
-class SuffixTree:
-    """A trained tree in the files of a folder, of which one shard is mapped at a time."""
-
-    def __init__(self, folder: str):
-        self.files, self.path = pafs.FileSystem.from_uri(folder)
-        self.depth, self.shards, self.total = self._read("about").tolist()
-        self.short = self._parts("short")
-
-    @classmethod
-    def load(cls, folder: str) -> SuffixTree:
-        return cls(folder)
-
-    def _read(self, name: str) -> np.ndarray:
-        """A file's values, which are mapped if the folder is local."""
-        if isinstance(self.files, pafs.LocalFileSystem):
-            return np.load(f"{self.path}/{name}.npy", mmap_mode="r")
-        with self.files.open_input_stream(f"{self.path}/{name}.npy", compression=None) as f:
-            return np.load(io.BytesIO(f.read()))
-
-    def _parts(self, name: str) -> tuple[np.ndarray, ...]:
-        if name != "short" and self.files.get_file_info(f"{self.path}/{name}.npy").type == pafs.FileType.NotFound:
-            return (np.zeros(0, dtype=np.uint64),) * 2 + (np.zeros(0),) * 2  # no text has its nearest symbols
-        values = np.asarray(self._read(name))
-        n, m = values[:2].tolist()
-        return values[2 : 2 + n], values[2 + n : 2 + n + m], values[2 + n + m : 2 + 2 * n + m].view(np.float64), values[2 + 2 * n + m :].view(np.float64)
-
-    def _follow(self, score: np.ndarray, codes: np.ndarray, part: tuple[np.ndarray, ...], first: int, last: int) -> np.ndarray:
-        """The log10 chances of ``codes`` after the levels from ``first`` to ``last``,
-        from those after the level above."""
-        names, contexts, chances, shrink = part
-        for d in range(first, last + 1):
-            context, tag = codes >> np.uint64(8 * (self.depth - d) + 8), np.uint64(d << 56)
-            known = np.arange(len(codes) if not d else 0)
-            if d and len(contexts):
-                at = np.minimum(np.searchsorted(contexts, context | tag), len(contexts) - 1)
-                known = np.flatnonzero(contexts[at] == (context | tag))
-                score[known] += shrink[at[known]]
-            if len(known) and len(names):
-                wanted = (context[known] << np.uint64(8)) | (codes[known] & np.uint64(255)) | tag
-                at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
-                same = names[at] == wanted
-                score[known[same]] = chances[at[same]]
-        return score
-
-    def chances(self, codes: np.ndarray) -> np.ndarray:
-        """The log10 chances of distinct, sorted codes (``depth`` symbols before, symbol)."""
-        score = np.full(len(codes), -np.log10(self.total + 256.0))
-        self._follow(score, codes, self.short, 0, min(SHORT, self.depth))
-        if self.depth > SHORT:
-            shard = _shard(codes, self.depth, self.shards).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            ends = np.append(np.flatnonzero(np.diff(shard[order])) + 1, len(order)) if len(order) else []
-            start = 0
-            for end in ends:
-                rows = order[start:end]
-                score[rows] = self._follow(score[rows], codes[rows], self._parts(str(shard[rows[0]])), SHORT + 1, self.depth)
-                start = end
-        return score
-
-    def _scores(self, codes: np.ndarray) -> np.ndarray:
-        order = np.argsort(codes)
-        ordered = codes[order]
-        first = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(codes) else np.zeros(0, dtype=bool)
-        out = np.empty(len(codes))
-        out[order] = self.chances(ordered[first])[np.cumsum(first) - 1]
-        return out
+def _shard(ids: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of words (hashes) or contexts (numbers)."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
 
-    def _codes(self, stream: bytes) -> np.ndarray:
-        keys, after = _context_keys(stream, self.depth)
-        return (keys << np.uint64(8)) | after
-
-    @property
-    def scores(self) -> np.ndarray:
-        """The log10 chances of all symbols after each kept context: rows for the root
-        and the contexts, columns for a symbol that training never saw (0) and for
-        those that it saw. For small trees."""
-        parts = [self.short] + [self._parts(str(k)) for k in range(self.shards)]
-        seen = (self.short[0][: np.searchsorted(self.short[0], np.uint64(1 << 56))]).tolist()
-        unseen = next(b for b in range(256) if b not in seen)
-        rows = []
-        for tagged in [0, *(c for part in parts for c in part[1].tolist())]:
-            d, context = tagged >> 56, tagged & ((1 << 56) - 1)
-            codes = np.array([(context << 8 * (self.depth - d + 1)) | b for b in (unseen, *seen)], dtype=np.uint64)
-            score = np.full(len(codes), -np.log10(self.total + 256.0))
-            self._follow(score, codes, self.short, 0, min(SHORT, d))
-            rows.append(self._follow(score, codes, parts[1 + int(_shard(codes[:1], self.depth, self.shards)[0])], SHORT + 1, d) if d > SHORT else score)
-        return np.array(rows)
-
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        """The log10 probability of each text, given as ``symbols()``."""
-        if not texts:
-            return np.zeros(0)
-        ends = np.cumsum([len(t) for t in texts])
-        return np.add.reduceat(self._scores(self._codes(b"".join(texts))), np.concatenate(([0], ends[:-1])))
-
-    def tokens_log10(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The log10 probability of each word of ``texts`` in order, and of each end.
-
-        A word's symbols and that it stops there count for the word; whether the text
-        then ends or goes on counts for the token after it.
-        """
-        codes = self._codes(b"".join(texts))
-        last = codes & np.uint64(255)
-        stops = np.flatnonzero((last == 32) | (last == END))
-        scores = self._scores(np.concatenate((codes, codes[stops] ^ np.uint64(32 ^ END))))  # a stop's other symbol, too
-        scores, other = scores[: len(codes)], scores[len(codes) :]
-        either = np.log10(10.0 ** scores[stops] + 10.0**other)
-        chosen = scores[stops] - either
-        scores[stops] = either
-        pieces = np.add.reduceat(scores, np.concatenate(([0], stops[:-1] + 1)))
-        is_end = last[stops] == END
-        alone = is_end & (np.diff(stops, prepend=-1) == 1)  # a text without words: its end is all there is
-        follows = np.concatenate(([False], ~is_end[:-1]))
-        words = pieces + np.where(follows, np.concatenate(([0.0], chosen[:-1])), 0.0)
-        ends = chosen + np.where(alone, pieces, 0.0)
-        return words[~alone], ends[is_end]
-
-
-def train_suffix_tree(texts: DataFrame, folder: str, text_col: str = "text", depth: int = 6, p_min: float | None = None, prior: float = 10.0, least: int = 2) -> None:
-    """Write the tree of all rows of ``texts`` to ``folder``. ``depth`` is at most 6.
-
-    A context needs ``least`` occurrences, or a share ``p_min`` of all symbols where
-    that is given. The driver receives what follows contexts of two symbols.
-    """
-    text, spark = texts.select(F.col(text_col).alias("text")), texts.sparkSession
-    short, shards = min(SHORT, depth), shuffle_partitions(texts)
-
-    def sums(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        for stream in _portions(batches, 0):
-            codes, counts = gram_counts(stream, depth)
-            held = _summed(np.concatenate((held[0], codes)), np.concatenate((held[1], counts)))
-            if len(held[0]) > MOST_CODES:
-                yield held
-                held = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        yield held
-
-    def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, counts in sums(batches, short):
-            yield pa.record_batch([pa.array(codes.view(np.int64)), pa.array(counts, pa.int64())], names=["code", "n"])
-
-    found = text.mapInArrow(count_short, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
-    codes, counts = (found.column(k).to_numpy() for k in ("code", "n"))
-    total = int(counts.sum())
-    enough = least if p_min is None else p_min * total
-    upper = _levels(codes.astype(np.uint64), counts, 0, short, None, enough, prior)
+
+def _put(folder: str, name: str, data: bytes) -> None:
+    """A file of the folder; one that a task writes again takes the other's place."""
     files, path = pafs.FileSystem.from_uri(folder)
     files.create_dir(path, recursive=True)
-    _save(upper, 0, f"{folder}/short.npy")
-    with files.open_output_stream(f"{path}/about.npy", compression=None) as out:
-        np.save(out, np.array([depth, shards, total], dtype=np.int64))
-    if depth == short:
-        return
-    shared = spark.sparkContext.broadcast(upper[-1])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, counts in sums(batches, depth):
-            for at in range(0, len(codes), 1 << 16):
-                part = codes[at : at + (1 << 16)]
-                yield pa.record_batch([pa.array(_shard(part, depth, shards).astype(np.int32)), pa.array(part.view(np.int64)), pa.array(counts[at : at + (1 << 16)], pa.int64())], names=["shard", "code", "n"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, new, size = None, [], 0
-        for batch in batches:
-            new.append([batch.column(k).to_numpy() for k in range(3)])
-            size += batch.num_rows
-            if size > MOST_CODES:
-                held, new, size = merged(held, new), [], 0
-        held = merged(held, new)
-        for shard in np.unique(_shard(held[0], depth, shards)).tolist():
-            own = _shard(held[0], depth, shards) == shard
-            levels = _levels(held[0][own], held[1][own], short + 1, depth, shared.value, enough, prior)
-            _save(levels, short + 1, f"{folder}/{shard}.npy")
-            yield pa.record_batch([pa.array([sum(len(x.contexts) for x in levels)], pa.int64())], names=["contexts"])
-
-    def merged(held, new):
-        parts = ([held] if held else []) + [(x[1].view(np.uint64), x[2]) for x in new]
-        return _summed(np.concatenate([np.zeros(0, dtype=np.uint64), *(x[0] for x in parts)]), np.concatenate([np.zeros(0, dtype=np.int64), *(x[1] for x in parts)]))
-
-    text.mapInArrow(count, "shard int, code bigint, n bigint").repartitionById(shards, F.col("shard")).mapInArrow(build, "contexts bigint").agg(F.sum("contexts")).collect()
-
-
-def _scans_files(df: DataFrame) -> bool:
-    """Whether ``df`` only projects or filters the rows of files."""
-    node = df._jdf.queryExecution().optimizedPlan()
-    while node.getClass().getSimpleName() in ("Project", "Filter"):
-        node = node.children().head()
-    return node.getClass().getSimpleName() == "LogicalRelation"
+    part = f"{path}/{name}.{TaskContext.get().taskAttemptId()}.part"
+    with files.open_output_stream(part, compression=None) as out:
+        out.write(data)
+    files.move(part, f"{path}/{name}")
 
 
-@lru_cache(maxsize=1)
-def _loaded(folder: str) -> SuffixTree:
-    return SuffixTree.load(folder)
+def _got(folder: str, name: str) -> bytes:
+    files, path = pafs.FileSystem.from_uri(folder)
+    with files.open_input_stream(f"{path}/{name}", compression=None) as f:
+        return f.read()
 
 
-@lru_cache(maxsize=1)
-def _word_counts(folder: str, block: int) -> dict[bytes, int]:
-    files, path = pafs.FileSystem.from_uri(folder)
-    if files.get_file_info(f"{path}/{block}.arrow").type == pafs.FileType.NotFound:
-        return {}  # no word of the block occurs in training texts
-    with files.open_input_file(f"{path}/{block}.arrow") as f:
-        table = pa.ipc.open_stream(f).read_all()
-    return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+def _rows(shard: list, block: list, data: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(shard, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary())], names=["shard", "block", "data"])
 
 
-def word_counts(docs: DataFrame, folder: str) -> tuple[int, int]:
-    """Write the training counts of the words that each block of ``docs`` uses (columns
-    text, train, block) to ``folder``; return the number of words of all training
-    texts and of the distinct ones, without ends."""
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """Each value of ``by`` (rows come ordered) with the other key and data of its rows;
+    rows without data only say that there is such a value."""
+    other = "block" if by == "shard" else "shard"
+    last, held = None, []
+    for batch in batches:
+        for own, x, data in zip(batch.column(by).to_pylist(), batch.column(other).to_pylist(), batch.column("data")):
+            if own != last and last is not None:
+                yield last, held
+                held = []
+            last = own
+            held.append((x, data.as_buffer().to_pybytes() if data.is_valid else None))
+    if last is not None:
+        yield last, held
+
+
+class Block:
+    """A block's texts: the local number of each symbol, and what the levels answered."""
+
+    #: What a level answers: for each string its count and number (0 where it occurs too
+    #: rarely to be a context), for each context its occurrences and kinds (0: left out).
+    ANSWERS = (np.int64, np.int64, np.int64, np.int64)
+
+    def __init__(self, folder: str, block: int, shards: int):
+        self.folder, self.block, self.shards = folder, block, shards
+        self.words, self.at, sizes, self.train = unpack(_got(folder, f"{block}.bin"), np.uint64, np.uint32, np.int64, np.bool_)
+        self.sizes, self.in_training = sizes, np.repeat(self.train, sizes)
+        self.starts = np.cumsum(sizes) - sizes
+
+    def by_word(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The counts and numbers of the block's words, from the shards' answers in order."""
+        answers = _joined([unpack(p, np.int64, np.int64) for p in parts], (np.int64, np.int64))
+        order = np.argsort(_shard(self.words, self.shards), kind="stable")
+        out = [np.zeros(len(self.words), np.int64) for _ in answers]
+        for x, answer in zip(out, answers):
+            x[order] = answer
+        return out[0], out[1]
+
+    def after(self, numbers: np.ndarray) -> np.ndarray:
+        """What stands before each symbol in its text; 0 at the start."""
+        out = np.zeros(len(self.at), dtype=np.int64)
+        out[1:] = numbers[:-1]
+        out[self.starts] = 0
+        return out
 
-    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, trained, others = None, Counter(), set()
+    def level(self, local: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct strings of a level. ``contexts`` has the number of each symbol's
+        context or 0, ``local`` the block's own number of it. Returns the places of
+        symbols with a context; for each its string; and for the strings, ordered by
+        shard and context, a first place and the start of each context."""
+        places = np.flatnonzero(contexts)
+        codes = local[places] * np.int64(len(self.words) + 1) + self.at[places]
+        _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        first = places[first]
+        order = np.argsort(_shard(contexts[first], self.shards), kind="stable")  # contexts stay together
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        first = first[order]
+        own = contexts[first]
+        return places, rank[inverse], first, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+
+
+def _blocks(folder: str, shards: int) -> Callable:
+    """Texts (id, words as hashes, train) to blocks, and the words of each to their shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for text, train, own in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if own != block or len(trained) + len(others) > MOST_WORDS:
-                    if block is not None:
-                        yield from _word_rows(block, trained, others)
-                    block, trained, others = own, Counter(), set()
-                trained.update(tokens(text)) if train else others.update(tokens(text))
-        if block is not None:
-            yield from _word_rows(block, trained, others)
-
-    rows = docs.select("text", "train", "block").mapInArrow(used, "block bigint, word binary, n bigint")
-    same = Window.partitionBy("word")
-    whole = rows.select("block", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")).where("c > 0")
-
-    def store(table: pa.Table) -> pa.Table:
-        files, path = pafs.FileSystem.from_uri(folder)
-        block = table.column("block")[0].as_py()
-        first = table.filter(table.column("first"))
-        files.create_dir(path, recursive=True)
-        part = f"{path}/{block}.{np.random.default_rng().integers(1 << 62)}.part"
-        with files.open_output_stream(part, compression=None) as sink, pa.ipc.new_stream(sink, pa.schema([("word", pa.binary()), ("c", pa.int64())]), options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
-            out.write_table(pa.table({"word": table.column("word").cast(pa.binary()), "c": table.column("c")}))
-        files.move(part, f"{path}/{block}.arrow")
-        return pa.table({"block": pa.array([block], pa.int64()), "words": pa.array([sum(first.column("c").to_pylist())], pa.int64()), "kinds": pa.array([first.num_rows], pa.int64())})
-
-    found = whole.groupBy("block").applyInArrow(store, "block bigint, words bigint, kinds bigint").agg(F.sum("words"), F.sum("kinds")).first()
-    return found[0] or 0, found[1] or 0
-
-
-def _word_rows(block: int, trained: Counter, others: set) -> Iterator[pa.RecordBatch]:
-    words = [*trained, *(others - trained.keys())]
-    counts = np.zeros(len(words), dtype=np.int64)
-    counts[: len(trained)] = list(trained.values())
-    for at in range(0, len(words), 1 << 16):
-        part = words[at : at + (1 << 16)]
-        yield pa.record_batch([pa.array(np.full(len(part), block)), pa.array(part, pa.binary()), pa.array(counts[at : at + (1 << 16)])], names=["block", "word", "n"])
-
-
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, p_min: float | None = None, prior: float = 10.0, least: int = 2) -> DataFrame:
+            for words, i, train in zip(lists(batch.column(1)), range(batch.num_rows), batch.column(2).to_pylist()):
+                held.append((batch.column(0).slice(i, 1), words, train))
+                size += len(words) + 1
+                if size >= BLOCK:
+                    yield from flush(held, number)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield from flush(held, number)
+
+    def flush(held: list, block: int) -> Iterator[pa.RecordBatch]:
+        end, train = np.array([END], np.uint64), np.array([t for _, _, t in held])
+        sizes = np.array([len(w) + 1 for _, w, _ in held], np.int64)
+        words, at = np.unique(np.concatenate([x for _, w, _ in held for x in (w, end)]), return_inverse=True)
+        table = pa.table({"id": pa.concat_arrays([i for i, _, _ in held])})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        _put(folder, f"{block}.arrow", sink.getvalue().to_pybytes())
+        _put(folder, f"{block}.bin", pack(words, at.astype(np.uint32), sizes, train))
+        counts = np.bincount(at[np.repeat(train, sizes)], minlength=len(words))
+        own = _shard(words, shards)
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order], prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            yield _rows([own[order[a]]], [block], [pack(words[order[a:b]], counts[order[a:b]])])
+
+    return run
+
+
+def _counted_words(shards: int) -> Callable:
+    """A shard's words: their counts and numbers, frequent ones first, to each block;
+    and under block -1 all occurrences in training, and the distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _groups(batches, "shard"):
+            parts = [unpack(data, np.uint64, np.int64) for _, data in rows]
+            words, counts = _joined(parts, (np.uint64, np.int64))
+            _, inverse = np.unique(words, return_inverse=True)
+            total = np.bincount(inverse, counts).astype(np.int64)
+            rank = np.empty(len(total), np.int64)
+            rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+            yield _rows([shard], [-1], [np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()])
+            start = 0
+            for (block, _), part in zip(rows, parts):
+                own = inverse[start : start + len(part[0])]
+                start += len(own)
+                yield _rows([shard], [block], [pack(total[own], rank[own] * shards + shard + 1)])
+
+    return run
+
+
+def diverges(n: np.ndarray, context: np.ndarray, total: np.ndarray, kinds: np.ndarray, parent: np.ndarray, prior: float) -> np.ndarray:
+    """Which contexts diverge from their parent: whether what follows them (counts ``n``
+    of the strings, with their number of ``context`` and chance under the ``parent``) is
+    likelier, each occurrence foretold from the others, than under the parent."""
+    smooth = prior * kinds[context]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = n * np.log((n - 1 + smooth * parent) / (total[context] - 1 + smooth) / parent)
+    return np.bincount(context, np.where(n > 0, gain, 0.0), minlength=len(total)) > 0
+
+
+def _judged_contexts(shards: int, least: int, prior: float) -> Callable:
+    """A shard's contexts of a level: what each block asked about them."""
+    sent = (np.int64, np.int64, np.int64, np.int64, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _groups(batches, "shard"):
+            asked = [(block, unpack(data, *sent)) for block, data in rows if data is not None]
+            yield from (_rows([shard], [block], [None]) for block, data in rows if data is None)
+            contexts, sizes, words, counts, chances = _joined([a for _, a in asked], sent)
+            _, at = np.unique(contexts, return_inverse=True)
+            _, word = np.unique(words, return_inverse=True)
+            codes, first, inverse = np.unique(np.repeat(at, sizes) * np.int64(len(words) + 1) + word, return_index=True, return_inverse=True)
+            of = codes // np.int64(len(words) + 1)
+            n, parent = np.bincount(inverse, counts, minlength=len(codes)).astype(np.int64), np.exp(chances[first] / -STEPS)
+            kinds_of = int(of[-1]) + 1 if len(of) else 0
+            total, kinds = np.bincount(of, n, minlength=kinds_of).astype(np.int64), np.bincount(of, n > 0, minlength=kinds_of).astype(np.int64)
+            kinds[~((total >= least) & diverges(n, of, total, kinds, parent, prior))] = 0
+            often = n >= least
+            number = np.where(often, (np.cumsum(often) - 1) * shards + shard + 1, 0)
+            string = context = 0
+            for block, (own, own_sizes, own_words, _, _) in asked:
+                s, c = inverse[string : string + len(own_words)], at[context : context + len(own)]
+                string, context = string + len(s), context + len(c)
+                yield _rows([shard], [block], [pack(n[s], number[s], total[c], kinds[c])])
+
+    return run
+
+
+def _levels(block: Block, answers: list[bytes], depth: int, total: int, distinct: int, least: int, prior: float):
+    """Follow a block through the levels that were answered. Returns the counts of its
+    words, the chance of each symbol so far and, of the next level, what ``Block.level``
+    returns with its contexts and the words' numbers."""
+    counts, numbers = unpack(answers[0], np.int64, np.int64)
+    chance = (counts[block.at] + 1) / (total + distinct + 1)
+    contexts = block.after(np.where(counts >= least, numbers, 0)[block.at])
+    local = block.after(block.at.astype(np.int64))
+    for answer in answers[1:]:
+        places, string, _, starts = block.level(local, contexts)
+        n, number, seen, kinds = unpack(answer, *Block.ANSWERS)
+        context = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))[string]
+        kept = kinds[context] > 0
+        smooth = prior * kinds[context][kept]
+        chance[places[kept]] = (n[string][kept] + smooth * chance[places[kept]]) / (seen[context][kept] + smooth)
+        following, own = np.zeros(len(block.at), np.int64), np.zeros(len(block.at), np.int64)
+        following[places], own[places] = number[string], string
+        contexts, local = block.after(following), block.after(own)
+    level = block.level(local, contexts) if len(answers) <= depth else None
+    return counts, numbers, chance, contexts, level
+
+
+def _answered(folder: str, shards: int, level: int, number: int, rows: list) -> tuple[Block, list[bytes]]:
+    """A block and the answers to its levels so far, the last of which is kept beside it."""
+    parts = [data for _, data in rows if data is not None]
+    block = Block(folder, number, shards)
+    answer = pack(*block.by_word(parts)) if not level else pack(*_joined([unpack(p, *Block.ANSWERS) for p in parts], Block.ANSWERS))
+    _put(folder, f"{block.block}-{level}.bin", answer)
+    return block, [*(_got(folder, f"{block.block}-{k}.bin") for k in range(level)), answer]
+
+
+def _asked(folder: str, shards: int, level: int, depth: int, total: int, distinct: int, least: int, prior: float) -> Callable:
+    """The answers to a level of each block, to what it asks about the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _groups(batches, "block"):
+            block, answers = _answered(folder, shards, level, number, rows)
+            _, numbers, chance, contexts, (places, string, first, starts) = _levels(block, answers, depth, total, distinct, least, prior)
+            n = np.bincount(string, block.in_training[places], minlength=len(first)).astype(np.int64)
+            steps = np.minimum(np.rint(-np.log(chance[first]) * STEPS), 255).astype(np.uint8)
+            own = _shard(contexts[first[starts]], shards)
+            cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
+            yield _rows([number % shards], [number], [None])  # a block that asks nothing goes on, too
+            for a, b in zip(cuts, [*cuts[1:], len(starts)]):
+                lo, hi = starts[a], starts[b] if b < len(starts) else len(first)
+                sizes = np.diff(np.append(starts[a:b], hi))
+                yield _rows([own[a]], [number], [pack(contexts[first[starts[a:b]]], sizes, numbers[block.at[first[lo:hi]]], n[lo:hi], steps[lo:hi])])
+
+    return run
+
+
+def _scored(folder: str, shards: int, depth: int, total: int, distinct: int, least: int, prior: float) -> Callable:
+    """The answers to the last level of each block, to the scores of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _groups(batches, "block"):
+            block, answers = _answered(folder, shards, depth, number, rows)
+            counts, _, chance, _, _ = _levels(block, answers, depth, total, distinct, least, prior)
+            ids = pa.ipc.open_stream(_got(folder, f"{number}.arrow")).read_all().column("id").combine_chunks()
+            own, whole = counts[block.at], np.full(len(block.sizes), total, np.int64)
+            known = np.add.reduceat((own > 0).astype(np.int64), block.starts)
+            base, score = (np.add.reduceat(np.log10(x), block.starts) for x in ((own + 1) / (total + distinct + 1), chance))
+            yield pa.record_batch(
+                [ids, pa.array(~block.train), pa.array(block.sizes), pa.array(known), pa.array(whole), pa.array(base), pa.array(score)],
+                names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return run
+
+
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, prior: float = 4.0, least: int = 2) -> DataFrame:
     """One row per row of ``docs``: id, held_out (not ``train``), n_tokens (words and
     the end), n_known (tokens that occur in training texts), train_tokens, base_score
     (log10 probability under add-one unigrams of the training tokens), score (log10
-    probability under the suffix tree of the training texts, words smoothed with unigrams).
+    probability under the suffix tree of the training texts).
+
+    Contexts have up to ``depth`` tokens, and occur ``least`` times in training; a kept
+    context's counts are smoothed with ``prior`` times its kinds of next tokens.
 
     ``train`` is a condition on the columns of ``docs``; null means training. A null
     text counts as empty: one end. Null ids are kept, rows that repeat an id are
-    scored each, further columns are ignored. Without training texts every byte has
-    the same chance. No rows give no rows. Rows that don't come straight from files
-    are written first, since blocks of documents are told apart by the part of the
-    file that they stand in.
+    scored each, further columns are ignored. Without training texts every token has
+    the one chance there is, 1. No rows give no rows. A text of any length is held in
+    memory as a whole, as 8 bytes for each word. The answer is written, and what it
+    took is deleted.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    if not _scans_files(rows):
-        rows = written(rows, "texts")
-    model = scratch_path(docs.sparkSession, "suffix-tree")
-    train_suffix_tree(rows.where("train"), model, "text", depth, p_min, prior, least)
-    rows = rows.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-    folder = scratch_path(docs.sparkSession, "word-counts")
-    words, kinds = word_counts(rows, folder)
-    ends = rows.where("train").count()
-    total, distinct = words + ends, kinds + (ends > 0)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # a few MB at a time; a text that is longer stands alone
-            portion = np.cumsum([len(t) for t in utf8(batch.column(1))]) // (PORTION // 3)
-            cuts = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), batch.num_rows]
-            for at, end in zip(cuts, cuts[1:]):
-                if end > at:
-                    yield _scored(batch.slice(at, end - at), _loaded(model), folder, ends, total, distinct)
-
-    out = rows.select("id", "text", "train", "block").mapInArrow(score, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    return out.withColumnRenamed("id", id_col)
-
-
-def mixed_log10(tree: np.ndarray, plain: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-    """The log10 probability of each text, whose tokens have the log10 probabilities
-    ``tree`` under the tree and the probabilities ``plain`` under unigrams.
-
-    A token's chance is smoothed: a share of it is the unigram's. The share is not
-    known beforehand, so a text's probability is the mean over SHARES.
-    """
-    chance, totals = 10.0**tree, []
-    for share in SHARES:
-        totals.append(np.bincount(owner, np.log10((1 - share) * chance + share * plain), minlength=texts))
-    best = np.max(totals, axis=0)
-    return best + np.log10(np.mean(10.0 ** (np.array(totals) - best), axis=0))
-
-
-def _scored(part: pa.RecordBatch, tree: SuffixTree, folder: str, ends: int, total: int, distinct: int) -> pa.RecordBatch:
-    size = total + distinct + 1
-    texts, sizes, counts = [], [], []
-    for text, block in zip(utf8(part.column(1)), part.column(3).to_pylist()):
-        own = tokens(text)
-        texts.append(b" ".join(own) + b"\n")
-        sizes.append(len(own))
-        counts.append(np.fromiter(map(_word_counts(folder, block).get, own, repeat(0)), dtype=np.float64, count=len(own)))
-    sizes, counts, n = np.array(sizes, dtype=np.int64), np.concatenate(counts), len(texts)
-    owner = np.repeat(np.arange(n), sizes)
-    known = np.bincount(owner, counts > 0, minlength=n).astype(np.int64) + (ends > 0)
-    base = np.bincount(owner, np.log10((counts + 1) / size), minlength=n) + np.log10((ends + 1) / size)
-    word_scores, end_scores = tree.tokens_log10(texts)
-    plain = np.concatenate((counts + 1, np.full(n, ends + 1.0))) / size
-    score = mixed_log10(np.concatenate((word_scores, end_scores)), plain, np.concatenate((owner, np.arange(n))), n)
-    held = [not x for x in part.column(2).to_pylist()]
-    return pa.record_batch(
-        [part.column(0), pa.array(held, pa.bool_()), pa.array(sizes + 1), pa.array(known), pa.array(np.full(n, total, dtype=np.int64)), pa.array(base), pa.array(score)],
-        names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-    )
+    rows = docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("words"), F.coalesce(train, F.lit(True)).alias("train"))
+    shards = shuffle_partitions(docs.select(text_col))
+    with Scratch(docs.sparkSession) as blocks, Scratch(docs.sparkSession) as scratch:
+        folder, rows = blocks.path("suffix-tree"), small_batches(rows)
+
+        def to_shards(asked: DataFrame, run: Callable, name: str) -> DataFrame:
+            """What the shards answer, written so that no level is counted twice."""
+            return scratch.written(asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block").mapInArrow(run, MOVED), name)
+
+        def by_block(answers: DataFrame) -> DataFrame:
+            return answers.where("block >= 0").repartition(shards, "block").sortWithinPartitions("block", "shard")
+
+        answers = to_shards(rows.mapInArrow(_blocks(folder, shards), MOVED), _counted_words(shards), "suffix-level")
+        found = [np.frombuffer(r["data"], np.int64) for r in answers.where("block = -1").select("data").toLocalIterator()]  # two numbers a shard
+        total, distinct = (int(sum(x[k] for x in found)) for k in range(2))
+        for level in range(depth):
+            asked = by_block(answers).mapInArrow(_asked(folder, shards, level, depth, total, distinct, least, prior), MOVED)
+            answers = to_shards(asked, _judged_contexts(shards, least, prior), "suffix-level")
+            scratch.drop_before(1)
+        schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        scored = by_block(answers).mapInArrow(_scored(folder, shards, depth, total, distinct, least, prior), schema)
+        return written(scored.withColumnRenamed("id", id_col), "scores", docs.sparkSession)
