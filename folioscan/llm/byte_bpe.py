@@ -33,6 +33,11 @@ from folioscan.llm.shared import Memo
 
 #: Remembered words and pairs of tokens in each Python worker.
 MOST_WORDS, MOST_PAIRS = 600_000, 1_000_000
+#: A rank behind all others.
+NEVER = 1 << 40
+# Fixed value: the pre-tokeniser under which a single space opens a piece and a full stop
+# or comma after a letter is one.
+SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -49,7 +54,7 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes_of = {k: v for v, k in ranks.items()}
-        self.pieces = regex.compile(pattern).findall
+        self.pieces, self.by_words = regex.compile(pattern).findall, pattern == SPACED_PATTERN
         self.pairs: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         # an identifier orders tokens by rank; the ids of single bytes have no halves
@@ -69,33 +74,33 @@ class ByteBPE:
         self.touch = Memo(lambda p: self._may_touch(p >> 32, p & 0xFFFFFFFF), MOST_PAIRS)
         self.spaced = Memo(lambda word: self._pack(" " + word), MOST_WORDS)
 
+    def _border(self, token: int, side: int) -> Iterator[tuple[int, int]]:
+        """The tokens that stood at a token's left (0) or right (1) border while it was
+        merged, the token itself first, each with the rank of the merge that ended it."""
+        ended = NEVER
+        while True:
+            yield token, ended
+            halves = self.halves.get(token)
+            if halves is None:
+                return
+            token, ended = halves[side], token
+
     def _may_touch(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens, one after the other, gives just them.
 
-        The tokens are taken apart along their border, the one merged last first. A
-        merge across the border that comes before the merge that was just undone
-        would have happened instead of it.
+        That adjacent tokens decide this alone, by their merges along the border, is the
+        published idea behind BPE in linear time. Merges happen in the order of ranks,
+        those of one rank from the left. So the tokens are what comes out unless, at some
+        time, the two that then stood at the border could be merged before the left
+        one's own merge, and no later than the right one's.
         """
-        limit = 1 << 40
-        while True:
-            across = self.pairs.get((left, right))
-            if across is not None and across < limit:
-                return False
-            if left > right:
-                parts, limit, on_left = self.halves.get(left), left, True
-            else:
-                parts, limit, on_left = self.halves.get(right), right + 1, False
-            if parts is None:  # this side is a byte: go on with the other one
-                if on_left:
-                    parts, limit, on_left = self.halves.get(right), right + 1, False
-                else:
-                    parts, limit, on_left = self.halves.get(left), left, True
-                if parts is None:
-                    return True
-            if on_left:
-                left = parts[1]
-            else:
-                right = parts[0]
+        ahead, pairs = list(self._border(right, 0)), self.pairs
+        for a, a_ended in self._border(left, 1):
+            for b, b_ended in ahead:
+                across = pairs.get((a, b))
+                if across is not None and across < a_ended and across <= b_ended:
+                    return False
+        return True
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one piece of the pre-tokeniser."""
@@ -132,6 +137,7 @@ class ByteBPE:
         return ids
 
     def _pack(self, word: str) -> bytes:
+        """The ids of a word with the space before it, under SPACED_PATTERN."""
         if word[-1] in ".," and word[0] == " " and word[-2].isascii() and word[-2].isalpha():  # a mark after a letter is a piece
             return self.spaced[word[1:-1]] + array("I", self.encode_piece(word[-1].encode())).tobytes()
         if word.isascii() and word[1:].isalpha() and word[0] == " ":  # plainly one piece
@@ -141,11 +147,14 @@ class ByteBPE:
     def encode_packed(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers.
 
-        A single space between two characters that aren't white space always opens
-        a piece, so the words between such spaces are encoded on their own.
+        Under SPACED_PATTERN a single space between two characters that aren't white
+        space always opens a piece, so the words between such spaces are encoded on
+        their own. Under other patterns each piece is found in the text.
         """
         if not text:
             return b""
+        if not self.by_words:
+            return array("I", [i for piece in self.pieces(text) for i in self.encode_piece(piece.encode())]).tobytes()
         if text[-1].isspace() or text[0].isspace() or _BESIDE.search(text):
             words = _BREAK.split(text)
         else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscan.llm.quality import SENTENCE_END, STOCK_PHRASES, SYMBOLS
+from folioscan.llm.quality import SENTENCE_END, SEPARATORS, STOCK, SYMBOLS
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '')"
@@ -19,7 +19,8 @@ judged AS (
     regexp_matches(l, '{SENTENCE_END.replace("'", "''")}')
     AND len(regexp_replace(l, '{SYMBOLS.replace('[', '[^')}', '', 'g')) <= 0.05 * len(l)
     AND NOT (NOT regexp_matches(l, '\p{{Ll}}') AND regexp_matches(l, '(\p{{Lu}}[^\p{{Ll}}]*){{3}}'))
-    AND NOT (len(l) <= 200 AND regexp_matches(l, '(?i){"|".join(STOCK_PHRASES)}')) AS good
+    AND NOT (len(l) <= 200 AND regexp_matches(lower(l), '{STOCK}'))
+    AND NOT (len(regexp_replace(l, '{SEPARATORS.replace('[', '[^')}', '', 'g')) >= 3 AND len(l) <= 30 * (1 + len(regexp_replace(l, '{SEPARATORS.replace('[', '[^')}', '', 'g')))) AS good
   FROM once),
 per_doc AS (
   SELECT doc_id, sum(n - 1)::BIGINT AS n_dup_lines, sum(n * len(l))::BIGINT AS chars, sum(CASE WHEN good THEN len(l) ELSE 0 END)::BIGINT AS good
@@ -54,12 +55,6 @@ FROM d LEFT JOIN size USING (doc_id) JOIN comp USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_token_counts": rf"""
-WITH d AS (SELECT source, lang, len({_WORDS})::BIGINT AS n FROM documents)
-SELECT source, lang, 'words-1' AS tokenizer, 0::BIGINT AS documents, 0::BIGINT AS tokens FROM d GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'words-2', count(*) FILTER (n >= 50)::BIGINT, coalesce(sum(n + 1) FILTER (n >= 50), 0)::BIGINT FROM d GROUP BY source, lang
-""",
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))

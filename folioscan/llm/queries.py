@@ -15,9 +15,9 @@ from folioscan.llm.mixing import mix_summary
 from folioscan.llm.near_dedup import near_components
 from folioscan.llm.quality import quality_rules
 from folioscan.llm.sharding import kd_shards
-from folioscan.llm.shared import SPACE, scratch_path, written
+from folioscan.llm.shared import Scratch, written
 from folioscan.llm.suffix_tree import score_documents
-from folioscan.llm.token_counts import TokenLedger, changes
+from folioscan.llm.token_counts import TokenLedger, changes, counted
 from folioscan.llm.token_files import token_round_trip
 
 
@@ -44,19 +44,21 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches over all documents, one of them sent twice.
 
-    Loaded with words as tokens (words-1), then revised to words and an end
-    (words-2); documents of under 50 words are deleted.
+    Loaded with the counts of one tokenizer, then revised to those of another; documents
+    of under 50 tokens are deleted.
     """
     docs = _table(spark, sf_dir, "documents").select("source", "lang", "text")
-    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), f"[{SPACE}]+"), ""))
-    counted = written(docs.select("source", "lang", words.alias("n")), "counted")
-    ledger = TokenLedger(spark, scratch_path(spark, "ledger"))
-    ledger.commit("load", changes(counted, "words-1", F.col("n")))
-    revised = changes(counted, "words-1", F.col("n"), -1).unionByName(changes(counted, "words-2", F.col("n") + 1))
-    ledger.commit("revise", revised)
-    ledger.commit("load", changes(counted, "words-1", F.col("n")))  # sent again: counts once
-    ledger.commit("delete", changes(counted.where("n < 50"), "words-2", F.col("n") + 1, -1))
-    return ledger.totals()
+    paths = {"word_bpe_49k": public_tokenizers.path("word_bpe_49k.json"), "byte_bpe_multi_50k": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+    with Scratch(spark) as scratch:
+        tokens = scratch.written(counted(docs, paths, public_tokenizers.PATTERN), "counted")
+        old, new = paths
+        ledger = TokenLedger(spark, scratch.path("ledger"))
+        ledger.commit("load", changes(tokens, old, F.col(old)))
+        revised = changes(tokens, old, F.col(old), -1).unionByName(changes(tokens, new, F.col(new)))
+        ledger.commit("revise", revised)
+        ledger.commit("load", changes(tokens, old, F.col(old)))  # sent again: counts once
+        ledger.commit("delete", changes(tokens.where(F.col(new) < 50), new, F.col(new), -1))
+        return written(ledger.totals(), "token-counts")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

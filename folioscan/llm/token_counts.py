@@ -15,11 +15,22 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
+import tiktoken
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.llm.byte_bpe import read_ranks
+from folioscan.llm.shared import utf8
+from folioscan.llm.token_files import WordEncoder
+
 KEYS = ("source", "lang", "tokenizer")
+#: How the names of folds begin: no batch is named so, and they sort behind all batches.
+FOLD = "~fold-"
 SCHEMA = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
 
 
@@ -35,19 +46,29 @@ class TokenLedger:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
-    def committed(self) -> dict[str, str]:
-        """The committed batches and the folders of their sums."""
-        out = {}
-        found = {s.getPath().getName(): s.getPath() for s in self.files.listStatus(self._path(f"{self.root}/commits"))}
-        for name in sorted(found):  # a fold's name comes last: it stands for its batches
-            if name.endswith(".json"):
-                stream = self.files.open(found[name])
+    def _entries(self) -> dict[str, dict]:
+        """The committed files and what they say, folds last and in their order. A file
+        that a fold deletes meanwhile means that the fold is to be read: start again."""
+        while True:
+            found = {s.getPath().getName(): s.getPath() for s in self.files.listStatus(self._path(f"{self.root}/commits"))}
+            out = {}
+            for name in sorted(n for n in found if n.endswith(".json")):
                 try:
-                    entry = json.loads(bytes(stream.readAllBytes()).decode())
+                    stream = self.files.open(found[name])
+                except Py4JJavaError as e:
+                    if "FileNotFoundException" not in e.java_exception.getClass().getName():
+                        raise
+                    break
+                try:
+                    out[name] = json.loads(bytes(stream.readAllBytes()).decode())
                 finally:
                     stream.close()
-                out |= {batch: entry["data"] for batch in entry["batches"]}
-        return out
+            else:
+                return out
+
+    def committed(self) -> dict[str, str]:
+        """The committed batches and the folders of their sums."""
+        return {batch: entry["data"] for entry in self._entries().values() for batch in entry["batches"]}
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Commit ``changes`` (columns source, lang, tokenizer, documents, tokens; both
@@ -80,32 +101,73 @@ class TokenLedger:
         """Documents and tokens by source, language and tokenizer version; keys whose
         changes cancelled out stay with zeros. Null keys are keys. Empty if nothing
         was committed."""
-        folders = sorted(set(self.committed().values()))
+        return self._sums(sorted(set(self.committed().values())))
+
+    def _sums(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
         return self._summed(self.spark.read.schema(SCHEMA).parquet(*folders))
 
-    def fold(self) -> None:
-        """Replace the committed batches by one set of sums; the batches stay known."""
-        committed = self.committed()
+    def fold(self) -> bool:
+        """Replace the committed batches by one set of sums; the batches stay known.
+
+        A batch that commits meanwhile stays as it is. Of two folds at a time one
+        counts, and the other one does nothing and is false.
+        """
+        entries = self._entries()
+        committed = {batch: entry["data"] for entry in entries.values() for batch in entry["batches"]}
         if len(set(committed.values())) < 2:
-            return
-        name = f"fold-{uuid.uuid4().hex}"
-        data = f"{self.root}/data/{name}"
-        self.totals().write.parquet(data)
-        # a reader between the two steps sees the folded entry last: it overrides the
-        # folders of its batches, which are then read no more
-        if self._publish(f"~{name}", sorted(committed), data):
-            for status in self.files.listStatus(self._path(f"{self.root}/commits")):
-                other = status.getPath().getName()
-                if other.endswith(".json") and other != f"~{name}.json":
-                    self.files.delete(status.getPath(), False)
+            return False
+        last = max((int(name[len(FOLD) : -len(".json")]) for name in entries if name.startswith(FOLD)), default=0)
+        name = f"{FOLD}{last + 1:012d}"
+        data = f"{self.root}/data/{name}-{uuid.uuid4().hex}"
+        self._sums(sorted(set(committed.values()))).write.parquet(data)
+        if not self._publish(name, sorted(committed), data):
+            self.files.delete(self._path(data), True)
+            return False
+        self._forget(sorted(entries))
+        return True
+
+    def _forget(self, names: list[str]) -> None:
+        """Delete the files that a fold has read. Their sums stay for those who read them now."""
+        for name in names:
+            self.files.delete(self._path(f"{self.root}/commits/{name}"), False)
+
+
+def counted(docs: DataFrame, tokenizers: dict[str, str], pattern: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """source, lang and, under each name of ``tokenizers``, the tokens of each text.
+
+    A path to a rank file counts by byte-level BPE of the matches of ``pattern``, one to
+    a tokenizer file by the tokenizers library. A null text has no tokens; repeated
+    rows count each, and no rows give no rows.
+    """
+    names = list(tokenizers)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = [_counter(path, pattern) for path in tokenizers.values()]
+        for batch in batches:
+            texts = utf8(batch.column(2))
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array([c(t) for t in texts], pa.int64()) for c in counters)], names=["source", "lang", *names])
+
+    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(count, "source string, lang string, " + ", ".join(f"`{n}` bigint" for n in names))
+
+
+@lru_cache(maxsize=4)
+def _counter(path: str, pattern: str) -> Callable[[bytes], int]:
+    if path.endswith(".tiktoken"):
+        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+        return lambda text: len(coder.encode_ordinary(text.decode()))
+    encoder = WordEncoder(path)
+    return lambda text: len(encoder.encode(text))
 
 
 def changes(docs: DataFrame, tokenizer: str, count: Column, sign: int = 1, source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """Signed changes for the rows of ``docs``: ``count`` tokens each under ``tokenizer``.
 
-    A null count is 0. Null sources and languages are keys; repeated rows count each.
+    A null count is 0. Null sources and languages are keys; repeated rows count each,
+    and rows with equal keys, very long texts and further columns make no difference.
+    No rows give no changes: committing them makes the batch known and adds nothing.
     """
     return docs.select(
         F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"),

@@ -9,17 +9,20 @@ Beside each shard a second stream file lists its documents and where they start.
 
 Documents stand in ascending order of their ids over all shards; each is followed
 by an end id. Shards are ranges of ids, written under another name first and then
-renamed, so a task that is run again replaces its file by an equal one.
+renamed, so a task that is run again replaces its file by an equal one, and the folder
+appears with all of them.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,28 @@ from folioscan.llm.shared import Memo, scratch_path, shuffle_partitions, utf8
 MOST_WORDS = 1_500_000
 
 
+# What a tokenizer file says if its words may be encoded one by one.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_into_words(about: dict) -> bool:
+    """Whether a tokenizer (its file's contents) lower-cases texts, drops white space
+    and encodes what lies between, letters apart from other characters."""
+    steps, splits = (about.get("normalizer") or {}).get("normalizers", []), (about.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    spaces = all(x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps if x["type"] == "Replace")
+    first = splits[0]
+    return tuple(x["type"] for x in steps) == NORMALIZERS and spaces and first.get("pattern") == {"Regex": WORD_PATTERN} and first.get("behavior") == "Removed" and bool(first.get("invert"))
+
+
 class WordEncoder:
-    """Ids of texts under a tokenizer file of the tokenizers library.
+    """Ids of texts under a tokenizer file of the tokenizers library, special tokens in
+    a text included, as the library finds them.
 
-    The tokenizer must lower-case texts and drop white space before it splits them,
-    as those with word ends do: then the words between ASCII white space, in ASCII
-    small letters, are encoded on their own, and ids of words that come again are
-    remembered.
+    Where the file says that texts are lower-cased and split at white space, the words
+    between ASCII white space, in ASCII small letters, are encoded on their own, and
+    ids of words that come again are remembered. The library encodes all other texts
+    whole: those of other tokenizers, and those that hold a special token or its small letters.
     """
 
     def __init__(self, path: str):
@@ -48,22 +66,28 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.kind, self.code = (np.uint16, "H") if small else (np.uint32, "I")
         self.words = Memo(self._word, MOST_WORDS)
+        self.by_words = _splits_into_words(json.loads(self.tokenizer.to_str()))
+        self.special = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _ids(self, text: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         if word[-1:] in (b".", b",") and word[-2:-1].isalpha():  # a mark after a letter is a piece of its own
             return self.words[word[:-1]] + self.words[word[-1:]]
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return array(self.code, ids).tobytes()
+        return self._ids(word)
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a text given in UTF-8."""
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), dtype=self.kind)
+        small = text.lower()
+        if not self.by_words or any(x in small for x in self.special):
+            return np.frombuffer(self._ids(text), dtype=self.kind)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, small.split())), dtype=self.kind)
 
 
 @lru_cache(maxsize=2)
@@ -162,12 +186,22 @@ def write_token_files(
     """Write the texts of ``docs`` to shards in ``folder``; return (shard, documents, ids) of each.
 
     The answer has one entry per shard, of some 64 MB of text each. Null texts count
-    as empty: just the end id. Null ids come first. Rows with equal ids are ordered
-    by their text. Further columns are ignored; no rows give no shards.
+    as empty: just the end id. Null ids come first. Rows with equal ids are ordered by
+    a hash of their text, and so may lie in several shards, however many there are;
+    repeated rows are documents each. Texts may be of any length. Further columns are
+    ignored; no rows give no shards.
+
+    Shards are written beside ``folder``, which appears when all are there; it must not
+    hold files yet.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, target = docs.schema[id_col].dataType.simpleString(), folder.rstrip("/")
+    files, path = _files(target)
+    if files.get_file_info(path).type != pafs.FileType.NotFound and files.get_file_info(pafs.FileSelector(path)):
+        raise ValueError(f"{target} holds files")
+    folder = f"{target}.{uuid.uuid4().hex}.part"
     rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    dealt = rows_in.repartitionByRange(shards or shuffle_partitions(rows_in), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = (F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
+    dealt = rows_in.repartitionByRange(shards or shuffle_partitions(rows_in), *order[:2]).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, encoder, writer, index, count = TaskContext.get(), _encoder(tokenizer_path), None, None, 0
@@ -202,6 +236,9 @@ def write_token_files(
         yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([count], pa.int64()), pa.array([writer.total], pa.int64())], names=["shard", "docs", "ids"])
 
     found = dealt.mapInArrow(write, "shard int, docs bigint, ids bigint").collect()
+    if found:
+        files.create_dir(os.path.dirname(path), recursive=True)
+        files.move(_files(folder)[1], path)
     return sorted((r["shard"], r["docs"], r["ids"]) for r in found)
 
 
@@ -218,16 +255,12 @@ def read_token_files(docs: DataFrame, folder: str, shards: list[tuple[int, int,
     schema = f"id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, shard int"
     if not shards:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    bases, total = [], 0
-    for shard, _, ids in shards:
-        bases.append((shard, total))
-        total += ids
+    bases = list(zip((s for s, *_ in shards), accumulate((ids for *_, ids in shards), initial=0)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _files(folder)
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                shard, base = bases[k]
+            for shard, base in zip(*(c.to_pylist() for c in batch.columns)):
                 sequences = open_sequences(folder, shard)
                 for listed in pa.ipc.open_stream(files.open_input_stream(f"{path}/{shard:06d}-docs.arrow")):
                     starts, sizes = listed.column(1).to_numpy(), listed.column(2).to_numpy()
@@ -236,7 +269,8 @@ def read_token_files(docs: DataFrame, folder: str, shards: list[tuple[int, int,
                         [listed.column(0), pa.array(starts + base), listed.column(2), pa.array(crcs, pa.int64()), pa.array([shard] * len(crcs), pa.int32())], names=["id", "start", "n_tokens", "ids_crc32", "shard"]
                     )
 
-    return spark.range(0, len(bases), 1, len(bases)).mapInArrow(read, schema).withColumnRenamed("id", id_col)
+    # a task gets its own shards and what comes before them
+    return spark.createDataFrame(bases, "shard int, base bigint").repartitionByRange(len(bases), "shard").mapInArrow(read, schema).withColumnRenamed("id", id_col)
 
 
 def token_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, **options) -> DataFrame:

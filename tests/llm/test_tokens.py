@@ -4,7 +4,7 @@ import json
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -14,9 +14,9 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioscan.llm import byte_bpe, mixing, sharding, suffix_tree, token_files
+from folioscan.llm import byte_bpe, mixing, sharding, token_files
 from folioscan.llm.html_text import extract_main_text, main_text
-from folioscan.llm.token_counts import TokenLedger, changes
+from folioscan.llm.token_counts import TokenLedger, changes, counted
 
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
 ODD = "abC \n\t'sdÉ日本語́̈  \x1c\x85　 12!?,.%½Ⅷ𝔸😀ΣİßǅÅ"
@@ -65,21 +65,40 @@ def test_memory_of_words_is_bounded():
     assert [memo[k % 37] for k in range(1000)] == [k % 37 * 2 for k in range(1000)] and len(memo) + len(memo.old) <= 10
 
 
+MARKED = ["hello <|endoftext|> world <|endoftext|>x", "<|startoftext|>", "<|ENDOFTEXT|> a", "a.<|endoftext|>,"]
+
+
 def test_word_encoder_equals_library():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     encoder = token_files.WordEncoder(WORDS)
-    for text in [t or "" for t in TEXTS] + odd_texts(3000, 2):
+    assert encoder.by_words
+    for text in [t or "" for t in TEXTS] + odd_texts(3000, 2) + MARKED:
+        assert encoder.encode(text.encode()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode(MARKED[0].encode()).tolist() == [3306, 49407, 1002, 49407, 343]
+
+
+def test_other_tokenizers_are_encoded_by_the_library():
+    path = P.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    assert not encoder.by_words
+    for text in [t or "" for t in TEXTS] + odd_texts(300, 3) + MARKED:
         assert encoder.encode(text.encode()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_patterns_are_split_in_the_text():
+    pattern = r"\p{L}+\s?|[^\p{L}]+"
+    ranks = byte_bpe.read_ranks(RANKS)
+    coder, theirs = byte_bpe.ByteBPE(ranks, pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in [t or "" for t in TEXTS] + odd_texts(500, 5):
+        assert coder.encode(text) == theirs.encode_ordinary(text)
+
+
 def test_token_files(spark, tmp_path):
-    texts = TEXTS + odd_texts(40)
+    texts = TEXTS + odd_texts(40) + MARKED
     docs, folder = documents(spark, texts), f"file://{tmp_path}/tokens"
     shards = token_files.write_token_files(docs, folder, WORDS, length=16, rows=4, shards=3)
     got = sorted(token_files.read_token_files(docs, folder, shards).collect(), key=lambda r: r.doc_id)
     tokenizer, start = Tokenizer.from_file(WORDS), 0
-    tokenizer.encode_special_tokens = True
     every = []
     for r, (k, t) in zip(got, enumerate(texts), strict=True):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
@@ -96,6 +115,21 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_round_trip(docs.limit(0), WORDS, folder=folder + "-none").count() == 0
 
 
+def test_token_files_of_equal_ids_and_rows(spark, tmp_path):
+    rows = [(1, "b"), (1, "a"), (None, "x y"), (1, "b"), (None, None), (0, "q " * 50_000), (1, "c"), (1, "d")]
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id bigint, text string, start bigint")
+    folder = f"file://{tmp_path}/t"
+    shards = token_files.write_token_files(docs, folder, WORDS, shards=4)
+    got = sorted(token_files.read_token_files(docs, folder, shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 0, 1, 1, 1, 1, 1] and got[0].start == 0
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+    tokenizer = Tokenizer.from_file(WORDS)
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((i, crc(t)) for i, t in rows)
+    with pytest.raises(ValueError):  # the shards of another run are never mixed with these
+        token_files.write_token_files(docs, folder, WORDS)
+
+
 def test_token_files_are_the_same_again(spark, tmp_path):
     docs = documents(spark, TEXTS)
     once, again = (token_files.write_token_files(docs, f"file://{tmp_path}/{x}", WORDS, shards=2) for x in "ab")
@@ -163,6 +197,33 @@ def test_mix_summary_counts_what_the_shards_draw(spark, monkeypatch):
     assert len(summary) == 650 and 0 < sum(first.values()) < sum(r.size for r in rows) and taken == first
 
 
+def test_mix_draws_disjoint_permuted_blocks(spark):
+    """The blocks that each shard draws, by brute force from the rows of the mix."""
+    docs = mixable(spark, 900)
+    rows = mixing.mix_sources(docs, shards=6, block_docs=10).collect()
+    size, source = {r.doc_id: len((r.text or "").split()) for r in docs.collect()}, {r.doc_id: r.source for r in docs.collect()}
+    shard_of = {}
+    for r in rows:
+        assert shard_of.setdefault((r.id, r.copy), r.shard) == r.shard and r.size == size[r.id]
+    drawn = defaultdict(int)
+    for r in rows:
+        drawn[r.source] += r.size
+    order = sorted({*source.values()}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size[i] for i, s in source.items() if s == x) for x in order]
+    for x, target in zip(order, brute_targets(sizes, [3, 1, 2, 3, 1], 1.5 * sum(sizes))):
+        assert abs(drawn[x] - target) <= 60
+    places = [[r.id for r in sorted(rows, key=lambda r: r.place) if r.shard == s] for s in range(6)]
+    assert all(p != sorted(p) for p in places if len(p) > 9)  # shuffled within a shard
+
+
+def test_mix_of_odd_rows(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, "w " * 100_000, "a"), (4, "w", None), (4, "w", None), (None, "w w", "b"), (5, None, "empty")]
+    docs = spark.createDataFrame([(*r, 1.0, 7) for r in rows], "doc_id bigint, text string, source string, target double, taken int")
+    got = mixing.mix_summary(docs).collect()
+    assert len(got) == 7 and all(r.taken <= 2 * r.size for r in got) and {r.doc_id for r in got if not r.size} == {1, 2, 5}
+    assert sorted(r.taken for r in got if r.doc_id == 4) == [2, 2] and [r.source_size for r in got if r.doc_id == 5] == [0]
+
+
 def test_quotas_are_split_exactly():
     parts = mixing.split_quotas([100, 0, 7, 993], 7, 1)
     assert parts.sum(axis=0).tolist() == [100, 0, 7, 993] and parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 2 and (parts >= 0).all()
@@ -194,83 +255,53 @@ def test_shards(spark):
     assert len(few) == 5 and len({r.shard for r in few}) >= 4
 
 
-def brute_tree(texts, depth, p_min, prior):
-    """Contexts and distributions by their definitions, for small corpora."""
-    streams = [suffix_tree.symbols(t.encode()) for t in texts]
-    total = sum(map(len, streams))
-    counts = {}
-    for s in streams:
-        padded = b"\n" + s
-        for i in range(1, len(padded)):
-            for d in range(0, min(depth, i) + 1):
-                counts.setdefault(padded[i - d : i], Counter())[padded[i]] += 1
-    tree = {b"": [(counts.get(b"", Counter())[b] + 1) / (total + 256) for b in range(256)]}
-    for context in sorted((c for c in counts if c), key=len):
-        if sum(counts[context].values()) < p_min * total or context[1:] not in tree:
-            continue
-        parent, own = tree[context[1:]], counts[context]
-        n, kinds = sum(own.values()), len(own)
-        gain = sum(c * math.log(c / n / parent[b]) for b, c in own.items())
-        tree[context] = [(own[b] + prior * kinds * parent[b]) / (n + prior * kinds) for b in range(256)] if gain > 0.5 * kinds * math.log(n + 1) else parent
-    return tree
-
-
-def test_suffix_tree_against_brute_force(spark, tmp_path):
-    rng = random.Random(3)
-    texts = [" ".join(rng.choice(["the", "then", "a", "ab", "Éa", "b"]) for _ in range(rng.randint(0, 30))) for _ in range(120)]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    suffix_tree.train_suffix_tree(docs, f"file://{tmp_path}/tree", depth=3, p_min=0.002, prior=2.0)
-    tree, brute = suffix_tree.SuffixTree.load(f"file://{tmp_path}/tree"), brute_tree(texts, 3, 0.002, 2.0)
-    fresh = texts[:20] + ["zz the", "", "a\nab", "the the then"]
-    expected = []
-    for t in fresh:
-        padded, total = b"\n" + suffix_tree.symbols(t.encode()), 0.0
-        for i in range(1, len(padded)):
-            context = next(padded[i - d : i] for d in range(min(3, i), -1, -1) if padded[i - d : i] in brute)
-            total += math.log10(brute[context][padded[i]])
-        expected.append(total)
-    got = tree.log10([suffix_tree.symbols(t.encode()) for t in fresh])
-    assert got == pytest.approx(expected, abs=1e-3)
-    # tokens of a text multiply to the text, and a text's mean over shares is a mean of products
-    words, ends = tree.tokens_log10([suffix_tree.symbols(t.encode()) for t in fresh])
-    owner = np.repeat(np.arange(len(fresh)), [len(t.split()) for t in fresh])
-    assert np.bincount(owner, words, minlength=len(fresh)) + ends == pytest.approx(got, abs=1e-3)
-    plain = np.full(len(words) + len(fresh), 0.01)
-    mixed = suffix_tree.mixed_log10(np.concatenate((words, ends)), plain, np.concatenate((owner, np.arange(len(fresh)))), len(fresh))
-    by_hand = [np.log10(np.mean([np.prod((1 - x) * 10.0 ** np.append(words[owner == k], ends[k]) + x * 0.01) for x in suffix_tree.SHARES])) for k in range(len(fresh))]
-    assert mixed == pytest.approx(by_hand)
-    sums = (10.0 ** np.array(tree.scores, dtype=float))[:, 1:].sum(axis=1) + (257 - tree.scores.shape[1]) * 10.0 ** np.array(tree.scores, dtype=float)[:, 0]
-    assert sums == pytest.approx(np.ones(len(sums)), abs=1e-4)
-
-
-def test_rare_contexts_stay_in_the_tree_of_a_large_corpus(spark, tmp_path):
-    rare = "žluťoučký kůň"  # 20 of 10 million symbols
-    docs = spark.createDataFrame([("lorem ipsum " * 400_000,), ("lorem ipsum " * 400_000 + f"{rare} " * 20,)], "text string")
-    suffix_tree.train_suffix_tree(docs, f"file://{tmp_path}/tree")
-    (score,) = suffix_tree.SuffixTree.load(f"file://{tmp_path}/tree").log10([suffix_tree.symbols(f"lorem ipsum {rare} {rare}".encode())])
-    assert score > -15
-
-
-def test_scores(spark):
-    docs = spark.createDataFrame([(0, "the cat", 1), (1, None, 1), (2, "The dog  the", 2), (3, "", 2), (None, "cat " * 30000, 3), (2, "new", 4)], "doc_id bigint, text string, score int")
-    got = suffix_tree.score_documents(docs, F.col("doc_id") != 2).collect()
-    trained = Counter(w for t in ("the cat", "", "", "cat " * 30000) for w in [*t.split(), None])
-    n, v = sum(trained.values()), len(trained)
-    for r in got:
-        text = next(t for i, t, _ in [(0, "the cat", 1), (1, "", 1), (3, "", 2), (None, "cat " * 30000, 3)] if i == r.doc_id) if r.doc_id != 2 else ("the dog the" if r.n_tokens == 4 else "new")
-        words = [*text.split(), None]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id == 2, len(words), sum(trained[w] > 0 for w in words), n)
-        assert r.base_score == pytest.approx(sum(math.log10((trained[w] + 1) / (n + v + 1)) for w in words))
-        assert r.score < 0
-    assert suffix_tree.score_documents(docs.limit(0), F.lit(True)).count() == 0
-    alone = suffix_tree.score_documents(docs, F.lit(False)).where("doc_id = 1").first()
-    assert alone.n_known == 0 and alone.score == pytest.approx(math.log10(np.mean([(1 - x) / 256 + x for x in suffix_tree.SHARES])), abs=1e-5)
+def brute_shards(points, leaves):
+    """Shards of (size, coordinates, tie, own) by the definition of the k-d tree."""
+    spans = [max(p[1][d] for p in points) - min(p[1][d] for p in points) for d in range(4)]
+    out = {}
+
+    def split(here, first, n):
+        if n == 1 or not here:
+            out.update({k: first for k in here})
+            return
+        wide = [(max(points[k][1][d] for k in here) - min(points[k][1][d] for k in here)) / spans[d] if spans[d] else 0 for d in range(4)]
+        d = wide.index(max(wide))
+        here = sorted(here, key=lambda k: (points[k][1][d], points[k][2], points[k][3]))
+        wanted, total, cut = sum(points[k][0] for k in here) * (n // 2) / n, 0, 0
+        while cut < len(here) and 2 * (wanted - total) >= points[here[cut]][0]:
+            total += points[here[cut]][0]
+            cut += 1
+        split(here[:cut], first, n // 2)
+        split(here[cut:], first + n // 2, n - n // 2)
+
+    split(list(range(len(points))), 0, leaves)
+    return out
+
+
+def test_shards_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    monkeypatch.setattr(sharding, "MOST_BUCKETS", 16)  # several rounds of histograms
+    monkeypatch.setattr(sharding, "WRITTEN_LEVELS", 2)
+    rng = random.Random(12)
+    rows = [(k, "x" * rng.randint(0, 90) + str(k % 170), rng.choice(["source-a", "source-b", "src9", None]), rng.choice(["en", "de", None])) for k in range(400)]
+    rows += [(1000 + k, "copy " * 9, "hot", "en") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    with sharding.Scratch(spark) as scratch:
+        found = sorted(sharding._points(scratch, docs, "doc_id", "text").collect())
+        assert len({r.d1 for r in found}) == 5  # names of one prefix are told apart
+    expected = brute_shards([(r.size, (r.d0, r.d1, r.d2, r.d3), r.tie, r.own) for r in found], 24)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.kd_shards(docs, 24).collect()}
+    assert {found[k].id: shard for k, shard in expected.items()} == {i: s for i, (s, _) in got.items()}
+    for s in range(24):
+        assert [i for i, x in sorted(got.items(), key=lambda x: x[1][1]) if x[0] == s] == sorted(i for i, x in got.items() if x[0] == s)
 
 
-def test_held_out_texts_score_above_unigrams(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    got = suffix_tree.score_documents(docs, F.col("doc_id") % 7 != 2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
+def test_shards_of_odd_rows(spark):
+    rows = [(1, None), (1, None), (None, ""), (2, "y" * 500_000), (3, "z")]
+    got = sharding.kd_shards(spark.createDataFrame([(*r, "old") for r in rows], "doc_id bigint, text string, law string"), 3).collect()
+    assert sorted(((r.doc_id, r.size) for r in got), key=repr) == sorted([(1, 8), (1, 8), (None, 8), (2, 500_008), (3, 9)], key=repr)
+    alone = next(r.shard for r in got if r.doc_id == 2)
+    assert [r.doc_id for r in got if r.shard == alone and r.size > 9] == [2]
 
 
 def test_ledger(spark, tmp_path):
@@ -292,6 +323,68 @@ def test_ledger(spark, tmp_path):
         ledger.commit("../x", docs)
 
 
+def test_a_fold_keeps_what_commits_meanwhile(spark, tmp_path, monkeypatch):
+    ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
+    docs = spark.createDataFrame([("a", "en", 5)], "source string, lang string, n int")
+    total = lambda: ledger.totals().first().tokens
+    ledger.commit("b1", changes(docs, "v", F.col("n")))
+    ledger.commit("b2", changes(docs, "v", F.col("n")))
+    publish = TokenLedger._publish
+
+    def late(self, name, batches, data):
+        if name.startswith("~"):
+            monkeypatch.setattr(TokenLedger, "_publish", publish)
+            ledger.commit("b3", changes(docs, "v", F.col("n")))
+        return publish(self, name, batches, data)
+
+    monkeypatch.setattr(TokenLedger, "_publish", late)
+    assert ledger.fold() and total() == 15 and set(ledger.committed()) == {"b1", "b2", "b3"}
+    assert ledger.fold() and total() == 15 and not ledger.commit("b3", changes(docs, "v", F.col("n"))) and not ledger.fold()
+
+
+def test_a_fold_that_dies_counts_nothing_twice(spark, tmp_path, monkeypatch):
+    ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
+    docs = spark.createDataFrame([("a", "en", 5)], "source string, lang string, n int")
+    total = lambda: ledger.totals().first().tokens
+    for k in range(6):
+        ledger.commit(f"b{k}", changes(docs, "v", F.col("n")))
+        if k % 2:  # published, and dead before it could delete what it read
+            monkeypatch.setattr(TokenLedger, "_forget", lambda self, names: None)
+            assert ledger.fold()
+            monkeypatch.undo()
+        assert total() == 5 * (k + 1)
+    assert len(list((tmp_path / "ledger/commits").glob("~*.json"))) == 3
+    # of two folds at a time one counts
+    entries, ledger._entries = ledger._entries(), lambda: entries
+    other = TokenLedger(spark, f"file://{tmp_path}/ledger")
+    other.commit("b6", changes(docs, "v", F.col("n")))
+    assert other.fold() and not ledger.fold()
+    del ledger._entries
+    assert total() == 35 and len(list((tmp_path / "ledger/commits").glob("*.json"))) == 1
+
+
+def test_changes_of_odd_rows(spark, tmp_path):
+    ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
+    docs = spark.createDataFrame([(None, None, None, "x"), ("a", "en", "w " * 50_000, "x"), ("a", "en", "w " * 50_000, "x"), ("a", "en", "", "x")], "source string, lang string, text string, tokens string")
+    tokens = counted(docs, {"words": WORDS, "bytes": RANKS}, P.PATTERN)
+    assert ledger.commit("none", changes(tokens.limit(0), "words", F.col("words"))) and ledger.totals().count() == 0
+    ledger.commit("all", changes(tokens, "words", F.col("words")).unionByName(changes(tokens, "bytes", F.col("bytes"))))
+    assert sorted(map(tuple, ledger.totals().collect()), key=repr) == sorted([(None, None, "words", 1, 0), (None, None, "bytes", 1, 0), ("a", "en", "words", 3, 100_000), ("a", "en", "bytes", 3, 100_002)], key=repr)
+
+
+def test_token_counts_against_the_libraries(spark, reference):
+    """The query's totals, rolled up by SQL from the libraries' own counts."""
+    from folioscan.llm import queries
+
+    docs, tokenizer = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source", "lang", "text").toPandas(), Tokenizer.from_file(WORDS)
+    docs["w"] = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in docs.text]
+    docs["b"] = [len(reference.encode_ordinary(t or "")) for t in docs.text]
+    sql = """SELECT source, lang, 'word_bpe_49k' AS tokenizer, 0 AS documents, 0 AS tokens FROM docs GROUP BY ALL
+    UNION ALL SELECT source, lang, 'byte_bpe_multi_50k', count(*) FILTER (b >= 50), coalesce(sum(b) FILTER (b >= 50), 0) FROM docs GROUP BY ALL"""
+    expected = sorted(tuple(map(str, r)) for r in duckdb.sql(sql).fetchall())
+    assert sorted(tuple(map(str, r)) for r in queries.op4_token_counts(spark, "/root/testdata/sf0.001").collect()) == expected
+
+
 PAGE = """<html><head><title>x</title><script>var a="<p>no</p>";</script></head><body class="has-sidebar"><div id="cookie-banner">We use cookies and you will have to like it, whatever you do.</div>
 <header><p>Site</p></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>{open}<h1>The  title &eacute;</h1><p>First with <a href=x>a link</a> and<br>break &amp; more words that make it long.
 <p>Second is a bit longer than the first one, so that the sums of the windows rise.</p><ul><li>item</li></ul><div class="ad">Buy</div><p>End.</p>{close}
@@ -319,6 +412,55 @@ def test_main_text_goes_on_after_gaps_and_links():
     assert main_text(f"{menu}<article><p>{one}</p></article>{boxes}<article><p>{two}</p><p>{three}</p></article><p>{LINE}</p>") == f"{one}\n{two}\n{three}"
 
 
+@pytest.mark.parametrize("name, kept", [("share-price-table", True), ("search-for-truth", True), ("notice-of-intent", True), ("catalog", True), ("has-sidebar", True), ("comment-list", False), ("site_footer top", False), ("cookie-banner", False), ("story ad", False)])
+def test_names_are_hints_as_a_whole(name, kept):
+    one, two = LINE.format(1), LINE.format(2)
+    for page in (f"<article><p>{one}</p><div class='{name}'>{two}</div><p>End.</p></article>", f"<p>{one}</p><section id='{name}'>{two}</section><p>End.</p>"):
+        assert main_text(page) == (f"{one}\n{two}\nEnd." if kept else f"{one}\nEnd.")
+
+
+def brute_main_text(blocks, lengths, surge):
+    """The method by its definition: ``blocks`` are texts, or None where nothing may be
+    kept, and ``lengths`` what each adds to the windows of three."""
+    total = lambda i: sum(lengths[i : i + 3])
+
+    def spans(surge):
+        out, i = [], 0
+        while i < len(blocks):
+            if lengths[i] and total(i) > surge:
+                start = i
+                while i < len(blocks) and total(i):
+                    i += 1
+                out.append(range(start, max(k for k in range(start, i) if lengths[k]) + 1))
+            i += 1
+        return out
+
+    found = spans(surge) or spans(0)
+    inside = {i for span in found for i in span}
+    return "\n".join(x for i, x in enumerate(blocks) if x and inside and min(inside) <= i <= max(inside) and (lengths[i] or i in inside))
+
+
+@pytest.mark.parametrize("mark", ["", "article", "main"])
+def test_windows_against_brute_force(mark):
+    rng = random.Random(mark)
+    for _ in range(500):
+        page, items, inside = "", [], False  # (text, is a link, is marked)
+        for _ in range(rng.randint(1, 25)):
+            if mark and rng.random() < 0.25:
+                page += f"</{mark}>" if inside else f"<{mark}>"
+                inside = not inside
+            kind, text = rng.choice("tttlb"), " ".join(rng.choice(["a", "word", "longer-word"]) for _ in range(rng.choice([1, 4, 12])))
+            page += {"t": f"<p>{text}</p>", "l": f"<div><a href='x'>{text}</a></div>", "b": f"<aside>{text}</aside>"}[kind]
+            items.append((None if kind == "b" else text, kind == "l", inside))
+        page += f"</{mark}>" if inside else ""
+        marked = [len(t) if t and m and (mark == "article" or not link) else 0 for t, link, m in items]
+        plain = [len(t) if t and not link else 0 for t, link, _ in items]
+        if any(marked):
+            assert main_text(page) == brute_main_text([t if m else None for t, _, m in items], marked, 0)
+        else:
+            assert main_text(page) == brute_main_text([t for t, _, _ in items], plain, 80)
+
+
 def test_odd_pages(spark):
     pages = {"": "", "plain": "plain", "<p>a<p>b": "a\nb", "<nav>menu</nav>": "", "<div title='a hidden nav' data-class=ad>seen</div>": "seen", "<p>a</p><div hidden>no</div><p class=ad>no</p>": "a", "<p>x <b": "x", '<p title="a>b">q</p>': "q", "<div class='ad'><p>lost div": "lost div", "<p>" + "w " * 50000: ("w " * 50000).strip(), "<p>&lt;b&gt;&nbsp;c</p>": "<b> c"}
     docs = spark.createDataFrame([(k, None, h, "t") for k, h in enumerate([*pages, None])], "page_id bigint, url string, html string, text string")
@@ -332,10 +474,14 @@ def test_articles_of_the_test_pages(spark):
     import html
     import re
 
-    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+    pages, blind = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect(), 0
+    for r in pages:
         article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", article))
-        assert main_text(r.html) == "\n".join(b for b in blocks if b)
+        expected = "\n".join(b for b in blocks if b)
+        assert main_text(r.html) == expected
+        blind += main_text(re.sub("</?article>", "", r.html)) == expected  # by the windows alone
+    assert blind > 0.98 * len(pages)
 
 
 def test_queries_equal_sql(spark):
