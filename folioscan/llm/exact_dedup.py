@@ -3,8 +3,8 @@
 Each text is cut where a rolling hash of its last 32 bytes meets a mask, so equal
 passages yield equal chunks wherever they stand. A chunk is known by a 64-bit
 fingerprint; fingerprints are verified against SHA-256 digests of the chunks, and
-where one fingerprint stands for several contents each content gets a number of
-its own. A text's recipe is the ordered list of its verified chunk identifiers,
+where any fingerprint stands for several contents, chunks are known by fingerprint
+and digest. A text's recipe is the ordered list of its verified chunk identifiers,
 and texts are equal exactly when their recipes are. Only fingerprints and digests
 are moved between tasks, never the texts.
 """
@@ -20,13 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.shared import utf8, written
+from folioscan.llm.shared import Scratch, utf8, written
 
 #: Bytes that the rolling hash sees.
 WINDOW = 32
-#: Fingerprints with several contents that are held on the driver; by the birthday
-#: bound 100 TB of chunks of 2 KB have about a hundred.
-MOST_CLASHES = 100_000
 
 
 def gear_table(seed: int = 7) -> np.ndarray:
@@ -95,22 +92,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     answer, and each counts in group_size. A row with a null id is counted and
     never kept, unless its group has no other id: then keep_id is null and kept is
     false. Further columns of ``docs`` are ignored. No rows give no rows.
+    The answer is written, and what it took is deleted.
     """
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, text_sha256 string, marks array<bigint>, shas array<binary>"
-    recipes = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(chunk_recipes, schema), "recipes")
-    pieces = recipes.select(F.explode(F.arrays_zip("marks", "shas")).alias("c")).select("c.marks", "c.shas").distinct()
-    clashes = pieces.groupBy("marks").agg(F.sort_array(F.collect_list("shas")).alias("shas")).where(F.size("shas") > 1).limit(MOST_CLASHES + 1).collect()
-    if len(clashes) > MOST_CLASHES:
-        raise ValueError(f"more than {MOST_CLASHES} fingerprints have several contents")
-    own = [(r["marks"], bytes(s), k) for r in clashes for k, s in enumerate(r["shas"]) if k]
-    if own:
-        number = F.create_map(*[x for mark, sha, k in own for x in (F.lit(f"{mark}:{sha.hex()}"), F.lit(k))])
-        recipe = F.transform(F.arrays_zip("marks", "shas"), lambda c: F.struct(c["marks"], F.coalesce(F.element_at(number, F.concat_ws(":", c["marks"].cast("string"), F.lower(F.hex(c["shas"])))), F.lit(0))))
-    else:
-        recipe = F.col("marks")
-    listed = recipes.select("id", "text_sha256", recipe.alias("recipe"))
-    # written, so that both sides of the join are plain exchanges and a hot recipe can be split
-    groups = written(listed.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    return listed.join(groups, "recipe").select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        recipes = scratch.written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(chunk_recipes, schema), "recipes")
+        pieces = recipes.select(F.explode(F.arrays_zip("marks", "shas")).alias("c")).select("c.marks", "c.shas").distinct()
+        clash = pieces.groupBy("marks").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+        listed = recipes.select("id", "text_sha256", (F.arrays_zip("marks", "shas") if clash else F.col("marks")).alias("recipe"))
+        # written, so that both sides of the join are plain exchanges and a hot recipe can be split
+        groups = scratch.written(listed.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+        found = listed.join(groups, "recipe").select(
+            F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
+        )
+        return written(found, "exact-groups")

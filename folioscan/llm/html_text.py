@@ -2,11 +2,16 @@
 
 Markup is stripped into blocks, the lines of the method; elements that by their
 name, role or class are menus, headers, footers, sidebars, notices, adverts, forms
-or comments leave an empty line. Text lengths without links are summed over sliding
-windows of lines. Where a window rises above a threshold the text surges, where it
-falls to nothing it dives, and what lies between the two is kept, as often as the text
-surges; so is all text between the first surge and the last dive. A page that marks its
-article, in one element or several, is not measured: all blocks inside are kept.
+or comments leave an empty line. Text lengths are summed over sliding windows of
+lines. Where a window rises above a threshold the text surges, where it falls to
+nothing it dives, and what lies between the two is kept, as often as the text surges;
+so is all text between the first surge and the last dive.
+
+What a page marks as its article only changes what the windows sum up. Where
+``article`` elements hold most of the marked text, their blocks count with all their
+text, links included, and others with none. Where there is just a ``main``, which often
+holds menus, too, its blocks count without links. Where nothing is marked, all blocks
+count without links, and it takes a threshold's worth of text to surge.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Lines in a window, and characters in a window at which text surges outside a marked article.
 WINDOW, SURGE = 3, 80
+#: How a page marks a block: as a part of its main element, or of an article.
+MAIN, ARTICLE = 1, 2
 
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select|math|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)")
@@ -42,43 +49,52 @@ HINTS = frozenset(
     form forms search searchbox comment comments commentlist reply replies respond disqus discussion
     share sharing sharebar social related recommended recommendations widget widgets pagination pager copyright legal disclaimer skip skiplink hidden""".split()
 )
-#: Words beside which a hint only describes a layout, and the hints this holds for.
-LAYOUT, DESCRIBING = frozenset("has with no without content main wrapper wrap container layout".split()), frozenset("sidebar sidebars header banner notice alert form search menu nav".split())
+#: Words that say no more than where or how such an element stands. A name of several
+#: words is a hint only if they are all hints or of these: share-price-table is none.
+BESIDE = frozenset("site page main top bottom left right primary secondary global box bar block list container wrapper wrap inner outer area section panel slot item items post posts article articles link links content text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 
-def _judged(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it marks the main text."""
-    boilerplate, marks = name in BOILERPLATE, name in ("article", "main")
+def _hints(value: str) -> set[str]:
+    """The hints that the names of a class or id give, each taken as a whole."""
+    found = set()
+    for name in value.split():
+        words = set(_WORD.findall(name))
+        if words and words <= HINTS | BESIDE:
+            found |= words & HINTS
+    return found
+
+
+def _judged(name: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is boilerplate, and whether it marks the main text: as
+    an article or as the page's main part, or 0."""
+    boilerplate, marks = name in BOILERPLATE, {"article": ARTICLE, "main": MAIN}.get(name, 0)
     if not attributes or attributes.isspace():
         return boilerplate, marks
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "").lower()
         if key in ("class", "id"):
-            words = set(_WORD.findall(value))
-            found = words & HINTS
-            if found and words & LAYOUT:
-                found -= DESCRIBING
+            found = _hints(value)
             if found and name not in ("html", "body", "main") and (name != "article" or found & {"comment", "comments", "reply", "related", "ad", "sponsored", "promo"}):
                 boilerplate = True
         elif key == "role":
             boilerplate |= value in ROLES and name not in ("html", "body", "main", "article")
-            marks |= value in ("main", "article")
+            marks = max(marks, {"main": MAIN, "article": ARTICLE}.get(value, 0))
         elif key == "itemprop":
-            marks |= value == "articlebody"
+            marks = ARTICLE if value == "articlebody" else marks
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             boilerplate |= name not in ("html", "body")
     return boilerplate, marks
 
 
 def page_lines(page: str, hints: bool = True) -> tuple[list[tuple[str, int, int, bool] | None], bool]:
-    """The blocks of a page in order: (text, characters outside links, number of the
-    marked element around it or 0, is a heading); None where boilerplate was left out.
-    And whether the page ended in boilerplate. Without ``hints``, elements are judged
+    """The blocks of a page in order: (text, characters outside links, the mark around
+    it or 0, is a heading); None where boilerplate was left out. And whether the page
+    ended in boilerplate. Without ``hints``, elements are judged
     by their names only."""
     lines: list[tuple[str, int, int, bool] | None] = []
     text: list[str] = []
-    links = anchor = marked = numbers = 0
+    links = anchor = marked = 0
     heading = False
     skipped = titles_only = 0  # depth of the stack at which left-out text, or a header of an article, began
     stack: list[tuple[str, int]] = []  # open elements, and the mark outside each
@@ -144,9 +160,8 @@ def page_lines(page: str, hints: bool = True) -> tuple[list[tuple[str, int, int,
         if name not in BLOCKS and not boilerplate:
             continue
         stack.append((name, marked))
-        if marks and not marked and not skipped:
-            numbers += 1
-            marked = numbers
+        if not skipped:
+            marked = max(marked, marks)
         if skipped:
             continue
         header = name == "header" or (hints and boilerplate and "header" in attributes.lower())
@@ -183,17 +198,27 @@ def main_text(page: str) -> str:
     lines, unclosed = page_lines(page)
     if unclosed and not any(lines):  # an element that only its class marks was never closed
         lines, _ = page_lines(page, hints=False)
-    marked = [x for x in lines if x and x[2]]
-    if any(x[1] for x in marked):
-        return "\n".join(x[0] for x in marked)
-    spans = between_surge_and_dive([x[1] if x else 0 for x in lines])
+    lengths, mark = _weighed(lines)
+    spans = between_surge_and_dive(lengths, surge=0 if mark else SURGE)
     if not spans:
         return ""
     first, end = spans[0]
-    titles = [i for i in range(first, min(end, first + WINDOW)) if lines[i] and lines[i][3]]
-    spans[0] = (titles[0] if titles else first, end)
+    if not mark:  # the title may be one of the lines before the surge, or of its first ones
+        above = max((i + 1 for i in range(first) if not lines[i]), default=0)
+        titles = [i for i in range(max(above, first - WINDOW), min(end, first + WINDOW)) if lines[i] and lines[i][3]]
+        first = titles[0] if titles else first
+    spans[0] = (first, end)
     inside = {i for first, end in spans for i in range(first, end)}
-    return "\n".join(lines[i][0] for i in range(spans[0][0], spans[-1][1]) if lines[i] and (lines[i][1] or i in inside))
+    return "\n".join(lines[i][0] for i in range(spans[0][0], spans[-1][1]) if lines[i] and lines[i][2] >= mark and (lengths[i] or i in inside))
+
+
+def _weighed(lines: list) -> tuple[list[int], int]:
+    """The text that the windows sum up for each line, and the least mark that counts."""
+    of = lambda mark: sum(len(x[0]) for x in lines if x and x[2] >= mark)
+    if 2 * of(ARTICLE) >= of(MAIN) > 0:
+        return [len(x[0]) if x and x[2] == ARTICLE else 0 for x in lines], ARTICLE
+    mark = MAIN if any(x and x[2] and x[1] for x in lines) else 0
+    return [x[1] if x and x[2] >= mark else 0 for x in lines], mark
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

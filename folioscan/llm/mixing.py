@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.shared import SPACE, written
+from folioscan.llm.shared import SPACE, Scratch, written
 
 #: Sources that the driver's table of sizes may hold.
 MOST_SOURCES = 1_000_000
@@ -84,8 +84,9 @@ def mix_sources(
     seed give the same mix. No rows give no rows. ``key_col``, unique to each row, is
     returned too.
     """
-    _, drawn = _dealt(_sized(docs, id_col, text_col, source_col, key_col), weights, share, most, shards, block_docs, seed)
-    return drawn.withColumnRenamed("row", key_col) if key_col else drawn.drop("row")
+    with Scratch(docs.sparkSession) as scratch:
+        _, drawn = _dealt(scratch, _sized(scratch, docs, id_col, text_col, source_col, key_col), weights, share, most, shards, block_docs, seed)
+        return written(drawn.withColumnRenamed("row", key_col) if key_col else drawn.drop("row"), "mix")
 
 
 def mix_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -93,18 +94,20 @@ def mix_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the shards of the mix hold of it, repeats counted). The options are those of
     ``mix_sources``. The mix is written, each shard in its shuffled order, and read."""
     options = {"weights": (3, 1, 2), "share": 1.5, "most": 2.0, "shards": 16, "block_docs": 64, "seed": 17} | options
-    placed, drawn = _dealt(_sized(docs, id_col, text_col, source_col), **options)
-    mixed = written(drawn.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place"), "mix-shards")
-    taken = mixed.groupBy("row").agg(F.sum("size").alias("taken"))
-    return placed.join(taken, "row", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    with Scratch(docs.sparkSession) as scratch:
+        placed, drawn = _dealt(scratch, _sized(scratch, docs, id_col, text_col, source_col), **options)
+        mixed = scratch.written(drawn.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place"), "mix-shards")
+        taken = mixed.groupBy("row").agg(F.sum("size").alias("taken"))
+        found = placed.join(taken, "row", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        return written(found, "mix-summary")
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, key_col: str | None = None) -> DataFrame:
+def _sized(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, source_col: str, key_col: str | None = None) -> DataFrame:
     size = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+"), "")).cast("long")
-    return written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("salt"), (F.col(key_col) if key_col else F.monotonically_increasing_id()).alias("row")), "mix-sizes")
+    return scratch.written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("salt"), (F.col(key_col) if key_col else F.monotonically_increasing_id()).alias("row")), "mix-sizes")
 
 
-def _dealt(sized: DataFrame, weights, share, most, shards, block_docs, seed) -> tuple[DataFrame, DataFrame]:
+def _dealt(scratch: Scratch, sized: DataFrame, weights, share, most, shards, block_docs, seed) -> tuple[DataFrame, DataFrame]:
     """All rows with their source's size and target, and the rows that the shards draw."""
     spark = sized.sparkSession
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(MOST_SOURCES + 1).collect()
@@ -137,8 +140,8 @@ def _dealt(sized: DataFrame, weights, share, most, shards, block_docs, seed) ->
     cut = cut.withColumn("more", ((F.col("end") <= F.col("rest")) | (F.col("end") - F.col("rest") < F.col("rest") - (F.col("end") - F.col("size")))).cast("int")).drop("end")
     placed = placed.where("whole or out").withColumn("more", F.col("whole").cast("int")).unionByName(cut)
     placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.col("more")).otherwise(0).cast("long"))
-    placed = written(placed, "mix-placed")
-    used = written(placed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy")), "mix-taken")
+    placed = scratch.written(placed, "mix-placed")
+    used = scratch.written(placed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy")), "mix-taken")
     block_list = used.select("source_no", "block", "copy").distinct()
     ranked = block_list.withColumn("rank", F.row_number().over(Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 2), "block", "copy"), "block", "copy")) - 1)
     counts = {r["source_no"]: r["n"] for r in block_list.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -1,7 +1,7 @@
 """Quality rules, lines first, with DataFrame functions only.
 
-Each line is held against rules for its ending, its symbols, its letters, stock
-phrases of menus and notices, and repetition. Lines that fail go; a document that
+Each line is held against rules for its ending, its symbols, its letters, the
+separators of menus, stock phrases of menus and notices, and repetition. Lines that fail go; a document that
 loses more than a share of its characters this way is rejected. Document-wide
 counts (words, symbols, repeated windows of three words) come from the whole text.
 """
@@ -15,10 +15,11 @@ from folioscan.llm.shared import SPACE, let
 
 #: Symbols that prose has few of.
 SYMBOLS = "[#*$%&|<>]"
-#: Phrases of menus, notices and code stubs; counted only in short lines.
+#: Phrases of menus, notices and code stubs in four languages, as whole words; counted
+#: only in short lines.
 STOCK_PHRASES = (
     "all rights reserved",
-    "cookie",
+    "cookies?",
     "enable javascript",
     "lorem ipsum",
     "privacy policy",
@@ -27,19 +28,37 @@ STOCK_PHRASES = (
     "terms of service",
     "terms of use",
     "click here",
+    "alle rechte vorbehalten",
+    "datenschutz",
+    "impressum",
+    "hier klicken",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "mentions légales",
+    "cliquez ici",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "aviso legal",
+    "haga clic aquí",
 )
+STOCK = r"(^|[^\p{L}\p{N}_])(" + "|".join(STOCK_PHRASES) + r")([^\p{L}\p{N}_]|$)"
+#: What stands between the entries of a menu or a trail, whatever the language.
+SEPARATORS = "[|·•»›→]"
 #: How a sentence ends, closing marks and white space after it allowed.
 SENTENCE_END = rf"[.!?:;…。！？][\"'’”»)\]]*[{SPACE}]*\z"
 
 
-def line_passes(line: Column, max_symbol_share: float = 0.05, stock_chars: int = 200) -> Column:
+def line_passes(line: Column, max_symbol_share: float = 0.05, stock_chars: int = 200, entry_chars: int = 30) -> Column:
     """Whether a line is prose: it ends as a sentence does, symbols are at most
-    ``max_symbol_share`` of its characters, it isn't all capitals, and it isn't a
-    short line (up to ``stock_chars``) with a stock phrase."""
+    ``max_symbol_share`` of its characters, it isn't all capitals, it isn't a short line
+    (up to ``stock_chars``) with a stock phrase, and no list of four entries or more
+    between separators, of ``entry_chars`` on average at most."""
     symbols = F.size(F.split(line, SYMBOLS)) - 1
     shouted = ~line.rlike(r"\p{Ll}") & line.rlike(r"(\p{Lu}[^\p{Ll}]*){3}")
-    stock = (F.length(line) <= stock_chars) & line.rlike("(?i)" + "|".join(STOCK_PHRASES))
-    return line.rlike(SENTENCE_END) & (symbols <= max_symbol_share * F.length(line)) & ~shouted & ~stock
+    stock = (F.length(line) <= stock_chars) & F.lower(line).rlike(STOCK)
+    entries = F.size(F.split(line, SEPARATORS))
+    listed = (entries >= 4) & (F.length(line) <= entry_chars * entries)
+    return line.rlike(SENTENCE_END) & (symbols <= max_symbol_share * F.length(line)) & ~shouted & ~stock & ~listed
 
 
 def repeated_words(words: Column) -> Column:
@@ -77,8 +96,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50,
     with a word are lost to failing or repeated lines); cleaned (the passing lines,
     each once, joined by newlines).
 
-    A null text counts as empty: all counts are 0, base_failed holds. Row for row:
-    repeated rows give repeated answers, and no rows give no rows.
+    A null text counts as empty: all counts are 0, base_failed holds. Texts and lines may
+    be of any length. Row for row: repeated rows give repeated answers, and no rows give
+    no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.array_remove(F.split(text, f"[{SPACE}]+"), "")

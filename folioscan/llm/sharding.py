@@ -12,39 +12,66 @@ own hash, so even a group larger than a leaf is split evenly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.shared import written
+from folioscan.llm.shared import Scratch, written
 
-#: Buckets of a node's histogram; a level sends at most leaves x BUCKETS sums to the driver.
-BUCKETS = 512
+#: Sums that the histograms of a level send to the driver at most, and buckets of a node.
+MOST_SUMS, MOST_BUCKETS = 1 << 17, 1 << 13
 #: Leaves of one tree: a level's nodes are told apart in one expression.
 MOST_LEAVES = 512
+#: Levels after which rows are written with their nodes.
+WRITTEN_LEVELS = 5
 #: A node's median is exact to this share of a leaf's bytes.
 TOLERANCE = 0.0005
 
 
-def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+DIMENSIONS = ("d0", "d1", "d2", "d3")
+
+
+def _points(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, size, crc, the coordinates d0 to d3, and the hashes that break ties."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     meta = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-    rows = written(docs.select(
+    rows = scratch.written(docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).cast("long").alias("crc"),
         F.xxhash64(text).alias("tie"), meta("lang").alias("lang"), meta("source").alias("source"),
     ), "shard-rows")
     key = ["tie", "crc", "size"]
     # written, so that both sides of the join are plain exchanges and a hot group can be split
-    groups = written(rows.groupBy(*key).agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("id").alias("least")), "shard-groups")
-    # a name's place is its first bytes read as a number, so that near names are near
-    name = lambda c: F.conv(F.hex(F.rpad(F.substring(F.coalesce(F.encode(c, "UTF-8"), F.lit(b"")), 1, 6), 6, b"\0")), 16, 10).cast("long")
-    return rows.drop("lang", "source").join(groups, key).select(
-        "id", "size", "crc", "tie", F.xxhash64("id", F.lit(1)).alias("own"),
-        name("lang").alias("d0"), name("source").alias("d1"), F.col("size").alias("d2"), F.coalesce(F.col("least").cast("long"), F.lit(-1)).alias("d3"),
+    groups = scratch.written(rows.groupBy(*key).agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("id").alias("least")), "shard-groups")
+    # a name's place is its rank among the names of its kind, null first
+    both = groups.select(F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("lang").alias("name")), F.struct(F.lit(1).alias("kind"), F.col("source").alias("name")))).alias("x")).select("x.*")
+    names = scratch.written(_numbered(scratch, both.distinct(), [F.col("kind"), F.col("name").asc_nulls_first()]), "shard-names")
+    for kind, (column, place) in enumerate((("lang", "d0"), ("source", "d1"))):
+        ranks = names.where(F.col("kind") == kind).select(F.col("name").alias("named"), F.col("number").alias(place))
+        groups = groups.join(ranks, F.col(column).eqNullSafe(F.col("named"))).drop("named", column)
+    return rows.drop("lang", "source").join(scratch.written(groups, "shard-places"), key).select(
+        "id", "size", "crc", "tie", F.xxhash64("id", F.lit(1)).alias("own"), "d0", "d1", F.col("size").alias("d2"), F.coalesce(F.col("least").cast("long"), F.lit(-1)).alias("d3"), F.lit(0).alias("node"),
     )
 
 
-DIMENSIONS = ("d0", "d1", "d2", "d3")
+def _numbered(scratch: Scratch, rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with their number (from 0, without gaps) in ``order``, counted in the
+    parts of a distributed sort, to which the rows of earlier parts are added."""
+    placed = scratch.written(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("at", 33)
+    parts = sorted(placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, starts = 0, []
+    for r in parts:
+        starts.append((r["part"], before - (r["part"] << 33)))
+        before += r["n"]
+    starts = _table(rows, starts, "part", "start")  # a row for each part of the sort
+    return placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("number", F.col("at") + F.col("start")).drop("part", "start", "at")
+
+
+def _table(like: DataFrame, rows: list[tuple[int, int]], *names: str) -> DataFrame:
+    """A small table of numbers."""
+    if not rows:
+        return like.sparkSession.createDataFrame([], ", ".join(f"{n} long" for n in names))
+    values = ", ".join("(" + ", ".join(f"{x}L" for x in r) + ")" for r in rows)
+    return like.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def kd_shards(docs: DataFrame, leaves: int = 24, id_col: str = "doc_id", text_col: str = "text", leaf_bytes: int | None = None) -> DataFrame:
@@ -57,33 +84,38 @@ def kd_shards(docs: DataFrame, leaves: int = 24, id_col: str = "doc_id", text_co
     driver; for more, shard each shard again.
 
     Equal texts share a shard unless a split has to divide them for balance. A null
-    text counts as empty; null ids, languages or sources are places of their own.
-    Repeated rows may be split from each other. Columns named lang and source steer
-    the tree where they exist; others are ignored. Fewer rows than leaves leave
-    shards empty, and no rows give no rows.
+    text counts as empty, a text of any length is one size; null ids, languages or
+    sources are places of their own. Repeated rows may be split from each other.
+    Columns named lang and source steer the tree where they exist; others are ignored.
+    Fewer rows than leaves leave shards empty, and no rows give no rows.
     """
-    points = written(_points(docs, id_col, text_col), "shard-points")
+    with Scratch(docs.sparkSession) as scratch:
+        return written(_kd_shards(scratch, docs, leaves, id_col, text_col, leaf_bytes), "shards")
+
+
+def _kd_shards(scratch: Scratch, docs: DataFrame, leaves: int, id_col: str, text_col: str, leaf_bytes: int | None) -> DataFrame:
+    points = scratch.written(_points(scratch, docs, id_col, text_col), "shard-points")
+    about = points.agg(F.sum("size").alias("bytes"), *[(F.max(d).cast("double") - F.min(d).cast("double")).alias(d) for d in DIMENSIONS]).first()
     if leaf_bytes is not None:
-        leaves = max(1, -(-(points.agg(F.sum("size")).first()[0] or 0) // leaf_bytes))
+        leaves = max(1, -(-(about["bytes"] or 0) // leaf_bytes))
     if leaves > MOST_LEAVES:
         raise ValueError(f"{leaves} leaves at once; shard into {MOST_LEAVES} at most, then shard these")
-    nodes = {0: leaves}  # first leaf of a node -> its leaves
-    leaf: Column = F.lit(0)
-    spans = points.agg(*[F.max(d).cast("double") - F.min(d).cast("double") for d in DIMENSIONS]).first()
+    nodes, level = {0: leaves}, 0  # first leaf of a node -> its leaves
     while splitting := {first: n for first, n in nodes.items() if n > 1}:
-        cuts = _cuts(points.withColumn("node", leaf), splitting, [float(x or 0) for x in spans])
-        # the rows of a level are sent on with a new node; points stay where they are
+        # a row's node follows from the cuts above it; every few levels it is written down
+        points, level = (scratch.written(points, "shard-level") if level == WRITTEN_LEVELS else points), level % WRITTEN_LEVELS + 1
+        cuts = _cuts(points, splitting, [float(about[d] or 0) for d in DIMENSIONS])
         moved = F.col("node")
         for first, n in splitting.items():
             dim, bound = cuts[first]
-            here = _before_or_at(dim, bound)
-            moved = F.when(F.col("node") == first, F.when(here, first).otherwise(first + n // 2)).otherwise(moved)
-        points = written(points.withColumn("node", leaf).withColumn("node", moved.cast("int")), "shard-level")
-        leaf = F.col("node")
+            moved = F.when(F.col("node") == first, F.when(_before_or_at(dim, bound), first).otherwise(first + n // 2)).otherwise(moved)
+        points = points.withColumn("node", moved.cast("int"))
         nodes = {k: v for first, n in nodes.items() for k, v in ({first: n} if n == 1 else {first: n // 2, first + n // 2: n - n // 2}).items()}
-    slot = F.row_number().over(Window.partitionBy("shard").orderBy(F.col("id").asc_nulls_first(), "tie", "crc")) - 1
-    return points.select("*", leaf.cast("int").alias("shard")).select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    points = _numbered(scratch, points.select("id", "size", "crc", "tie", F.col("node").alias("shard")), [F.col("shard"), F.col("id").asc_nulls_first(), F.col("tie"), F.col("crc")])
+    sizes = sorted(points.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect())
+    firsts = _table(points, [(r["shard"], sum(x["n"] for x in sizes[:k])) for k, r in enumerate(sizes)], "shard", "first")
+    return points.join(F.broadcast(firsts), "shard").select(
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("number") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 
@@ -97,6 +129,7 @@ def _before_or_at(dim: str, bound: tuple[int, int, int]) -> Column:
 def _cuts(points: DataFrame, splitting: dict[int, int], spans: list[float]) -> dict[int, tuple[str, tuple[int, int, int]]]:
     """For each node its widest dimension and the last place of its left part."""
     here = points.where(F.col("node").isin(list(splitting)))
+    # one pass for the spreads of all nodes, then one for each round of histograms
     made = here.groupBy("node").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), *[f(d).alias(f"{f.__name__}_{d}") for d in (*DIMENSIONS, "tie", "own") for f in (F.min, F.max)]).collect()
     state = {}
     for r in made:
@@ -105,7 +138,7 @@ def _cuts(points: DataFrame, splitting: dict[int, int], spans: list[float]) -> d
         n = splitting[r["node"]]
         state[r["node"]] = {"dim": dim, "level": 0, "lo": r[f"min_{dim}"], "hi": r[f"max_{dim}"], "want": r["bytes"] * (n // 2) / n, "slack": TOLERANCE * r["bytes"] / n, "fixed": [], "tie": (r["min_tie"], r["max_tie"]), "own": (r["min_own"], r["max_own"])}
     done: dict[int, tuple[str, tuple[int, int, int]]] = {node: ("d0", (0, 0, 0)) for node in splitting if node not in state}
-    low, high = -(1 << 63), (1 << 63) - 1
+    low, high, buckets = -(1 << 63), (1 << 63) - 1, min(MOST_BUCKETS, MOST_SUMS // max(1, len(splitting)))
     while open_ := {k: s for k, s in state.items() if k not in done}:
         bucket, wanted = F.lit(None).cast("int"), F.lit(False)
         for k, s in open_.items():
@@ -113,7 +146,7 @@ def _cuts(points: DataFrame, splitting: dict[int, int], spans: list[float]) -> d
             inside = (F.col("node") == k) & F.col(column).between(s["lo"], s["hi"])
             for c, v in zip((s["dim"], "tie"), s["fixed"]):
                 inside &= F.col(c) == v
-            width = max(1, -(-(s["hi"] - s["lo"] + 1) // BUCKETS))
+            width = max(1, -(-(s["hi"] - s["lo"] + 1) // buckets))
             s["width"] = width
             # differences of 64-bit numbers may pass 64 bits: decimals hold them
             offset = (F.col(column).cast("decimal(20,0)") - F.lit(s["lo"]).cast("decimal(20,0)")) if s["level"] or s["hi"] - s["lo"] > high else F.col(column) - F.lit(s["lo"])

@@ -42,11 +42,25 @@ def test_stages(spark):
 
 
 def test_stages_on_odd_rows(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "x " * 60, "en", "a", 1), (3, "Word %d. " * 5, "en", None, 1)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for d in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, d, SF).collect()
+    docs = spark.createDataFrame(rows, schema)
+    got = {name: Counter(tuple(r)[0] for r in stage(spark, docs, SF).collect()) for name, stage in corpus_pipeline.STAGES}
+    assert got == {
+        "quality rules": Counter(),  # too short, or all words repeat
+        "exact dedup": Counter([2, None, 3]),  # null counts as empty
+        "near dedup": Counter([1, 2, None, 3]),
+        "mix sources": Counter([None, 3, 3]),  # targets 85 of 60 words and 20 of 10
+        "byte BPE": Counter([1, 2, None, 3]),
+    }
+    counts = {r.doc_id: r.n_tokens for r in corpus_pipeline.encode(spark, docs, SF).collect()}
+    assert counts[1] == counts[2] == 0 and counts[3] > 10
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    long = spark.createDataFrame([(k, " ".join(f"w{i}{'.' * (i % 12 == 11)}" for i in range(k, 60_000)) + ".", "en", "a", 1) for k in (5, 5, 6)], schema)
+    left = [stage(spark, long, SF).count() for _, stage in corpus_pipeline.STAGES]
+    # two equal rows, and one nearly so; the mix takes 150 % of the words, 4.5 documents of them
+    assert left[:3] == [3, 2, 1] and left[3] in (4, 5) and left[4] == 3
 
 
 def test_stages_tell_rows_apart(spark):
