@@ -60,7 +60,9 @@ def _bounded(terms: Column) -> Column:
     return F.element_at(F.transform(F.array(terms), lambda ts: F.when(F.exists(ts, long), cut(ts)).otherwise(ts)), 1)
 
 
-def _cut(text: Column) -> Column:
+def analysed(text: Column) -> Column:
+    """The part of a text that is analysed, and so searched, however: its first 500,000
+    characters; empty for null."""
     return F.substring(F.coalesce(text, F.lit("")), 1, S.MAX_ANALYSED_CHARS)
 
 
@@ -78,10 +80,10 @@ def _unicode_words(text: str) -> list[str]:
     return out + ["".join(word)] if word else out
 
 
-register_analyser("unicode", lambda text: F.regexp_extract_all(F.lower(_cut(text)), F.lit(TOKEN), F.lit(0)), _unicode_words)
+register_analyser("unicode", lambda text: F.regexp_extract_all(F.lower(analysed(text)), F.lit(TOKEN), F.lit(0)), _unicode_words)
 register_analyser(
     "whole",
-    lambda text: F.when(F.trim(_cut(text)) == "", F.array().cast("array<string>")).otherwise(F.array(F.lower(_cut(text)))),
+    lambda text: F.when(F.trim(analysed(text)) == "", F.array().cast("array<string>")).otherwise(F.array(F.lower(analysed(text)))),
     lambda text: [text.lower()] if text.strip() else [],
 )
 
@@ -102,7 +104,7 @@ def _register_morphological() -> None:
         tokenizer = Dictionary().create()
         return texts.map(lambda t: [m.surface().strip().lower() for m in tokenizer.tokenize(t) if m.surface().strip()])
 
-    register_analyser("morph", lambda text: column(_cut(text)), words)
+    register_analyser("morph", lambda text: column(analysed(text)), words)
 
 
 _register_morphological()

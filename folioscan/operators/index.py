@@ -1,6 +1,9 @@
 """The versioned document index: differences, updates and snapshots.
 
-A snapshot is a folder with documents, postings and the dictionary as Parquet. A
+A version is a list of segments. A segment is a folder with documents, their postings
+and dictionary, and the paths that it takes out of older segments, as Parquet; its
+dictionary counts what these held with negative signs. So an update writes what has
+changed, however large the index is, and ``compact`` makes one segment of all. A
 version counts once its file in ``versions`` exists; the file is created without
 overwriting, so of two writers of one version only one succeeds, and a job that dies
 before it leaves the old version in force.
@@ -70,10 +73,15 @@ def latest_changes(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 POSTINGS = "file_path string, field string, term string, pos bigint, bucket int"
 DICTIONARY = "field string, term string, df bigint, cf bigint, bucket int"
+LENGTHS = "file_path string, length bigint"
+DEAD = "file_path string"
+#: Bytes of texts for each bucket of a segment's postings.
+BUCKET_BYTES = 64 << 20
 
 
 class Index:
-    """Snapshots in ``root``, a folder that the cluster shares."""
+    """Segments in ``root``, a folder that the cluster shares. ``buckets`` is the least
+    number into which a segment's terms are dealt; larger segments have more."""
 
     def __init__(self, spark: SparkSession, root: str, analyser: str = "unicode", buckets: int = 16):
         self.spark, self.root, self.analyser, self.buckets = spark, root.rstrip("/"), analyser, buckets
@@ -83,52 +91,122 @@ class Index:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
+    def _numbers(self, folder: str) -> list[int]:
+        path = self._path(f"{self.root}/{folder}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+
     def versions(self) -> list[int]:
         """The versions that count, oldest first."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/versions"))]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+        return self._numbers("versions")
 
-    def _entry(self) -> dict | None:
-        versions = self.versions()
-        if not versions:
-            return None
-        stream = self._fs.open(self._path(f"{self.root}/versions/{versions[-1]:08d}.json"))
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/{name}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def _entry(self) -> dict | None:
+        versions = self.versions()
+        return self._read(f"versions/{versions[-1]:08d}") if versions else None
+
+    def segments(self) -> list[dict]:
+        """The segments of the newest version, oldest first: data (their folder), buckets."""
+        return (self._entry() or {"segments": []})["segments"]
+
+    def _of(self, part: str, schema, segments: list[dict]) -> DataFrame:
+        """A part of all segments, with the number of each row's segment (segment)."""
+        out = self.spark.createDataFrame([], schema).withColumn("segment", F.lit(0))
+        for k, x in enumerate(segments):
+            rows = self.spark.read.schema(schema).parquet(f"{x['data']}/{part}").withColumn("segment", F.lit(k))
+            out = rows if not k else out.unionByName(rows)
+        return out
+
+    def _live(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
+        """``rows`` (file_path, segment) that no later segment takes out."""
+        later = [{**x, "segment": k} for k, x in enumerate(segments) if x["dead"]]
+        if not later:
+            return rows
+        dead = None
+        for x in later:
+            gone = self.spark.read.schema(DEAD).parquet(f"{x['data']}/dead").select(F.col("file_path").alias("gone"), F.lit(x["segment"]).alias("by"))
+            dead = gone if dead is None else dead.unionByName(gone)
+        last = dead.groupBy("gone").agg(F.max("by").alias("by"))
+        return rows.join(last, (rows["file_path"] == last["gone"]) & (rows["segment"] < last["by"]), "left_anti")
+
     def docs(self) -> DataFrame:
         """The documents of the newest version; none if there is no version."""
-        entry = self._entry()
-        return self.spark.read.schema(S.DOCS).parquet(f"{entry['data']}/docs") if entry else self.spark.createDataFrame([], S.DOCS)
+        segments = self.segments()
+        return self._live(self._of("docs", S.DOCS, segments), segments).drop("segment")
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """The postings of the newest version, or of ``terms`` (field, term), whose buckets
+        alone are read then."""
+        segments, out = self.segments(), None
+        for k, x in enumerate(segments):
+            rows = self._of("postings", POSTINGS, [x]).withColumn("segment", F.lit(k))
+            if terms is not None:
+                rows = rows.join(terms.select("field", "term", self._bucket(x["buckets"]).alias("bucket")).distinct(), ["bucket", "field", "term"], "left_semi")
+            out = rows.unionByName(out) if out is not None else rows
+        return self._live(out if out is not None else self._of("postings", POSTINGS, []), segments).drop("segment")
+
+    def lengths(self) -> DataFrame:
+        """file_path and length (terms of the content) of the documents with any."""
+        segments = self.segments()
+        return self._live(self._of("lengths", LENGTHS, segments), segments).drop("segment")
 
-    def postings(self) -> DataFrame:
-        """The postings of the newest version, partitioned by term."""
-        return self.spark.read.schema(POSTINGS).parquet(f"{self._entry()['data']}/postings")
+    @staticmethod
+    def _bucket(buckets: int):
+        return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
     def dictionary(self) -> DataFrame:
-        """The terms of the newest version."""
-        return self.spark.read.schema(DICTIONARY).parquet(f"{self._entry()['data']}/dictionary")
+        """The terms of the newest version: field, term, df, cf."""
+        segments = self.segments()
+        words = self._of("dictionary", DICTIONARY, segments)
+        if len(segments) < 2:
+            return words.select("field", "term", "df", "cf")
+        return words.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
 
     def commit(self, docs: DataFrame, unchanged: DataFrame | None = None) -> int:
-        """Write ``docs`` as the next version. Postings of the documents in
-        ``unchanged`` (file_path) are taken from the version before."""
+        """Write ``docs`` as the next version, in one segment. Postings of the documents
+        in ``unchanged`` (file_path) are taken from the version before."""
+        kept = self.postings().drop("bucket").join(unchanged.select("file_path"), "file_path", "left_semi") if unchanged is not None and self.versions() else None
+        return self._next([], docs, None, kept, unchanged)
+
+    def append(self, docs: DataFrame, gone: DataFrame) -> int:
+        """The next version: a further segment with ``docs``, which takes the paths of
+        ``docs`` and of ``gone`` (file_path) out of the others."""
+        return self._next(self.segments(), docs, gone.select("file_path").unionByName(docs.select("file_path")).distinct())
+
+    def _next(self, segments: list[dict], docs: DataFrame, dead: DataFrame | None, kept: DataFrame | None = None, unchanged: DataFrame | None = None) -> int:
         version = (self.versions() or [0])[-1] + 1
         data = f"{self.root}/data/v={version}-{uuid.uuid4().hex}"
         docs.select(*[F.col(f.name).cast(f.dataType) for f in S.DOCS.fields]).write.parquet(f"{data}/docs")
         now = self.spark.read.schema(S.DOCS).parquet(f"{data}/docs")
-        if unchanged is not None and self._entry():
-            kept = self.postings().drop("bucket").join(unchanged.select("file_path"), "file_path", "left_semi")
-            posted = kept.unionByName(postings(now.join(unchanged.select("file_path"), "file_path", "left_anti"), self.analyser))
-        else:
-            posted = postings(now, self.analyser)
-        posted = posted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        posted = postings(now if kept is None else now.join(unchanged.select("file_path"), "file_path", "left_anti"), self.analyser)
+        posted = posted if kept is None else kept.unionByName(posted)
+        size = now.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+        buckets = max(self.buckets, -(-size // BUCKET_BYTES))
+        bucket = self._bucket(buckets)
         # a bucket is written by several tasks, since a few terms hold most places
-        posted.repartition("bucket", F.pmod(F.xxhash64("file_path"), F.lit(8))).sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{data}/postings")
-        words = dictionary(self.spark.read.schema(POSTINGS).parquet(f"{data}/postings"))
-        words.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).write.partitionBy("bucket").parquet(f"{data}/dictionary")
-        self._publish(version, {"data": data, "at": time.time(), "analyser": self.analyser})
+        dealt = posted.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("file_path"), F.lit(8)))
+        dealt.sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{data}/postings")
+        posted = self.spark.read.schema(POSTINGS).parquet(f"{data}/postings")
+        posted.where("field = 'content'").groupBy("file_path").agg(F.count(F.lit(1)).alias("length")).write.parquet(f"{data}/lengths")
+        words = dictionary(posted)
+        taken = False
+        if dead is not None and segments:
+            dead.write.parquet(f"{data}/dead")
+            dead = self.spark.read.schema(DEAD).parquet(f"{data}/dead")
+            old = self.docs().join(dead, "file_path", "left_semi")
+            taken = old.limit(1).count() > 0
+            if taken:  # what they held is counted with negative signs
+                less = dictionary(postings(old, self.analyser)).select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+                words = words.unionByName(less).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        words.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{data}/dictionary")
+        segment = {"data": data, "buckets": buckets, "dead": taken}
+        self._publish(version, {"data": data, "segments": [*segments, segment], "at": time.time(), "analyser": self.analyser})
         return version
 
     def _publish(self, version: int, entry: dict) -> None:
@@ -162,8 +240,8 @@ class Index:
             errors = read.where("error is not null").count()
             fresh = read.where("error is null").drop("error")
             gone = changes.where("op = 'delete'").select("file_path").unionByName(fresh.select(self._bare_column(F.col("file_path")).alias("file_path"))).select(F.lower("file_path").alias("k"))
-            same = old.join(gone, F.lower(self._bare_column(F.col("file_path"))) == gone["k"], "left_anti")
-            version = self.commit(same.unionByName(fresh), unchanged=same.select("file_path"))
+            out = old.join(gone, F.lower(self._bare_column(F.col("file_path"))) == gone["k"], "left_semi")
+            version = self.append(fresh, out)
             read.unpersist()
         else:
             version, errors = self.versions()[-1], 0
@@ -183,38 +261,48 @@ class Index:
 
     def index_folder(self, root: str) -> dict:
         """Index one folder's files on top of what is there."""
-        found = extract(scan(self.spark, [root])).where("error is null").drop("error")
-        return {"version": self.commit(upsert(self.docs(), found))}
+        return {"version": self.upsert(extract(scan(self.spark, [root])).where("error is null").drop("error"))}
 
     def upsert(self, docs: DataFrame) -> int:
-        """Put documents in place of those with their paths."""
-        old = self.docs()
-        return self.commit(upsert(old, docs), unchanged=old.join(docs.select("file_path"), "file_path", "left_anti").select("file_path"))
+        """Put documents in place of those with their paths; of several with one path the
+        last by time stays."""
+        last = upsert(self.spark.createDataFrame([], S.DOCS), docs)
+        return self.append(last, last)
 
     def delete(self, paths: DataFrame) -> int:
         """Remove documents by path."""
-        kept = delete(self.docs(), paths)
-        return self.commit(kept, unchanged=kept.select("file_path"))
+        return self.append(self.spark.createDataFrame([], S.DOCS), paths)
 
     def compact(self, files: int = 8) -> int:
-        """Write the newest version's documents to few files."""
+        """One segment of all, its documents in so many files."""
         docs = self.docs()
         return self.commit(docs.repartition(files), unchanged=docs.select("file_path"))
 
-    def vacuum(self, keep: int = 2) -> list[int]:
-        """Remove all but the last versions; the numbers of those removed."""
+    def vacuum(self, keep: int = 2, grace: float = 3600) -> list[int]:
+        """Remove all but the last versions; the numbers of those removed.
+
+        Folders that no version names any more are deleted by the first vacuum that
+        comes ``grace`` seconds after that, so a query that reads them can end.
+        """
         old = self.versions()[:-keep] if keep else []
+        self._fs.mkdirs(self._path(f"{self.root}/removed"))
         for version in old:
-            path = self._path(f"{self.root}/versions/{version:08d}.json")
-            stream = self._fs.open(path)
-            data = json.loads(bytes(stream.readAllBytes()).decode())["data"]
-            stream.close()
-            self._fs.delete(path, False)
-            self._fs.delete(self._path(data), True)
+            entry = self._read(f"versions/{version:08d}")
+            out = self._fs.create(self._path(f"{self.root}/removed/{version:08d}.json"), True)
+            out.write(bytearray(json.dumps({**entry, "removed": time.time()}).encode()))
+            out.close()
+            self._fs.delete(self._path(f"{self.root}/versions/{version:08d}.json"), False)
+        used = {x["data"] for v in self.versions() for x in self._read(f"versions/{v:08d}")["segments"]}
+        for version in self._numbers("removed"):
+            entry = self._read(f"removed/{version:08d}")
+            if time.time() - entry["removed"] >= grace:
+                for x in entry["segments"]:
+                    if x["data"] not in used:
+                        self._fs.delete(self._path(x["data"]), True)
+                self._fs.delete(self._path(f"{self.root}/removed/{version:08d}.json"), False)
         return old
 
     def stats(self) -> DataFrame:
-        """One row: document_count, last_updated, index_size_bytes."""
-        entry = self._entry()
-        size = self._fs.getContentSummary(self._path(entry["data"])).getLength() if entry else 0
+        """One row: document_count, last_updated, index_size_bytes (of all segments)."""
+        size = sum(self._fs.getContentSummary(self._path(x["data"])).getLength() for x in self.segments())
         return self.docs().agg(F.count(F.lit(1)).alias("document_count"), F.max("indexed_at").alias("last_updated")).withColumn("index_size_bytes", F.lit(size).cast("bigint"))

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan import schema as S
-from folioscan.functions.analysis import dictionary, tokens, wildcard_regex
+from folioscan.functions.analysis import TOKEN, analysed, dictionary, tokens, wildcard_regex
 from folioscan.plans.query import Infix, Phrase, QueryPlan, SearchOptions, parse_query
 
 RESULT = ("file_path", "file_name", "folder_path", "file_size", "last_modified", "file_type")
@@ -22,7 +22,7 @@ RESULT = ("file_path", "file_name", "folder_path", "file_size", "last_modified",
 
 def _holds(text: Column, pattern: Infix, analyser: str) -> Column:
     """Whether a term of ``text`` holds the pattern."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = F.lower(analysed(text))
     plain_word = all(c.isalnum() or c == "_" for c in pattern.pattern)
     if pattern.plain and (plain_word or analyser == "whole"):
         return low.contains(pattern.pattern)
@@ -51,14 +51,19 @@ def phrase_frequencies(docs: DataFrame, phrase: Phrase, analyser: str, key: str
     """key, freq (sum of 1 / (1 + displacement) over matches) and length (terms) of
     the documents that hold the phrase with at most one displacement.
 
-    Each place of a term votes for the start that puts it in order, and for the one
-    before; a start with votes from all terms is a match. Repeated terms of a phrase
-    take different places. Only texts that hold every term are analysed.
+    Only texts that hold every term are looked at. Under the plain analyser a phrase of
+    different terms matches where they stand side by side, or with one other term
+    between two of them. For all others, each place of a term votes for the start that
+    puts it in order, and for the one before; a start with votes from all terms is a match.
     """
-    low = F.lower(F.coalesce(F.col("content"), F.lit("")))
+    low = F.lower(analysed(F.col("content")))
     here = docs
     for term in set(phrase.terms):
         here = here.where(low.contains(term))
+    if analyser == "unicode" and len(set(phrase.terms)) == len(phrase.terms):
+        close, wide = phrase_regex(phrase.terms)
+        counts = here.select(key, (F.regexp_count(low, F.lit(f"(?={close})")) + F.regexp_count(low, F.lit(f"(?={wide})(?!{close})")) / 2).cast("double").alias("freq"), low.alias("low"))
+        return counts.where("freq > 0").select(key, F.regexp_count("low", F.lit(TOKEN)).alias("length"), "freq")
     placed = (
         here.select(key, tokens(F.col("content"), analyser).alias("terms"))
         .select(key, F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
@@ -119,8 +124,9 @@ def matches(docs: DataFrame, plan: QueryPlan, options: SearchOptions | None = No
         if isinstance(word.content, Phrase):
             found = phrase_frequencies(docs, word.content, analyser)
             terms = F.array(*[F.lit(t) for t in word.content.terms])
-            low = F.lower(F.coalesce(F.col("content"), F.lit("")))
-            holds = lambda t: F.when(low.contains(t), F.array_contains(tokens(F.col("content"), analyser), t)).otherwise(False)
+            low = F.lower(analysed(F.col("content")))
+            term = lambda t: low.rlike(_term_regex(t)) if analyser == "unicode" else F.array_contains(tokens(F.col("content"), analyser), t)
+            holds = lambda t: F.when(low.contains(t), term(t)).otherwise(False)
             counts = docs.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(holds(t)).alias(f"df{i}") for i, t in enumerate(word.content.terms)])
             idf = sum((1 + F.log((F.col("n").cast("double")) / (F.col(f"df{i}") + 1)) for i in range(len(word.content.terms))), F.lit(0.0))
             phrases[k] = counts.select(idf.alias(f"idf{k}"))
@@ -150,29 +156,57 @@ def total_hits(docs: DataFrame, query: str | None, options: SearchOptions | None
     return matches(docs, parse_query(query, analyser), options, analyser).agg(F.count(F.lit(1)).alias("total_hits"))
 
 
+WORD = r"[\p{L}\p{M}\p{N}_]"
+
+
+def _term_regex(term: str) -> str:
+    """A term of the analyser by itself, as a regular expression."""
+    quoted = re.escape(term)
+    return rf"(?<!{WORD}){quoted}(?!{WORD})" if re.match(r"\w", term) else quoted
+
+
+def phrase_regex(terms: tuple[str, ...]) -> tuple[str, str]:
+    """A phrase's terms side by side, and with one other term between two of them."""
+    own, other = [_term_regex(t) for t in terms], rf"\s*(?:(?<!{WORD}){WORD}+(?!{WORD})|[^\s\p{{L}}\p{{M}}\p{{N}}_])\s*"
+    wide = ["".join(t + ("" if i == len(own) - 1 else other if i == gap else r"\s*") for i, t in enumerate(own)) for gap in range(len(own) - 1)]
+    return r"\s*".join(own), "|".join(wide)
+
+
+def _mark_regex(word: Infix | Phrase) -> str:
+    """What a word marks in a text: the phrase, or the part of a term that the pattern fits."""
+    if isinstance(word, Phrase):
+        return "(?iu)(?:" + "|".join(phrase_regex(word.terms)) + ")"
+    return "(?iu)" + "".join(f"{WORD}*" if c == "*" else WORD if c == "?" else re.escape(c) for c in word.pattern)
+
+
 def snippets(docs: DataFrame, query: str, options: SearchOptions | None = None, analyser: str = "unicode") -> DataFrame:
-    """Up to five fragments of 100 characters with a word of the query, for the best
-    documents: file_path, fragment, text, highlight_start, highlight_end (exclusive)."""
+    """Up to five fragments with a match of the query's words, for the best documents:
+    file_path, fragment, text, highlight_start, highlight_end (exclusive).
+
+    A match belongs to the fragment of 100 characters in which it starts, and the
+    fragment is longer if the match passes its end; the first match of a fragment is
+    marked. Phrases and wildcards mark what they match.
+    """
     options = options or SearchOptions()
-    plan = parse_query(query, analyser)
-    best = search(docs, query, options, analyser).select("file_path")
-    words = [w.content.pattern if isinstance(w.content, Infix) else " ".join(w.content.terms) for w in plan.words]
+    words = list(dict.fromkeys(_mark_regex(w.content) for w in parse_query(query, analyser).words))
+    best = docs.join(search(docs, query, options, analyser).select("file_path"), "file_path", "left_semi").select("file_path", analysed(F.col("content")).alias("content"))
     if options.skip_highlights or not words:
-        words = ["\0"]
-    grid = F.transform(
-        F.sequence(F.lit(0), F.floor(F.greatest(F.length("content") - 1, F.lit(0)) / S.FRAGMENT_CHARS).cast("int")),
-        lambda g: F.struct(g.alias("fragment"), F.substring(F.col("content"), g * S.FRAGMENT_CHARS + 1, F.lit(S.FRAGMENT_CHARS)).alias("text")),
-    )
-    # the first word that a fragment holds is marked
-    hit = lambda x, w: F.instr(F.lower(x["text"]), w)
-    start = lambda x: F.coalesce(*[F.when(hit(x, w) > 0, hit(x, w)) for w in words])
-    size = lambda x: F.coalesce(*[F.when(hit(x, w) > 0, len(w)) for w in words])
-    marked = F.filter(F.transform(grid, lambda x: F.struct(x["fragment"], x["text"], start(x).alias("start"), size(x).alias("size"))), lambda x: x["start"].isNotNull())
-    rows = docs.join(best, "file_path", "left_semi").select("file_path", F.explode(F.slice(marked, 1, S.MAX_FRAGMENTS)).alias("x"))
-    return rows.select(
-        "file_path", F.col("x.fragment").cast("bigint").alias("fragment"), F.col("x.text").alias("text"),
-        (F.col("x.start") - 1).cast("bigint").alias("highlight_start"), (F.col("x.start") - 1 + F.col("x.size")).cast("bigint").alias("highlight_end"),
-    )
+        best, words = best.limit(0), ["x"]
+    found = None
+    for word in words:
+        hits = F.regexp_extract_all("content", F.lit(word), F.lit(0))
+        gaps = best.select("file_path", F.posexplode(F.arrays_zip(F.slice(F.split("content", word, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))).alias("n", "x"))
+        before = Window.partitionBy("file_path").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        size = F.length("x.hit")
+        marks = gaps.select("file_path", (F.sum(F.length("x.gap") + size).over(before) - size).alias("start"), size.cast("bigint").alias("size"))
+        found = marks if found is None else found.unionByName(marks)
+    grid = F.floor(F.col("start") / S.FRAGMENT_CHARS).cast("bigint")
+    first = found.groupBy("file_path", grid.alias("fragment")).agg(F.min(F.struct("start", "size")).alias("m"))
+    first = first.withColumn("k", F.row_number().over(Window.partitionBy("file_path").orderBy("fragment"))).where(F.col("k") <= S.MAX_FRAGMENTS)
+    start = F.col("m.start") - F.col("fragment") * S.FRAGMENT_CHARS
+    end = start + F.col("m.size")
+    text = F.substring(F.col("content"), (F.col("fragment") * S.FRAGMENT_CHARS + 1).cast("int"), F.greatest(F.lit(S.FRAGMENT_CHARS).cast("bigint"), end).cast("int"))
+    return first.join(best, "file_path").select("file_path", "fragment", text.alias("text"), start.alias("highlight_start"), end.alias("highlight_end"))
 
 
 def term_documents(posted: DataFrame, pattern: str, field: str = "content", key: str = "file_path") -> DataFrame:
@@ -193,43 +227,43 @@ def search_index(index, query: str | None, options: SearchOptions | None = None)
     docs = index.docs().select(*RESULT)
     if plan.blank or not plan.words:
         return docs.where(F.lit(not plan.blank) & filters(options)).withColumn("score", F.lit(1.0)).orderBy("file_path").limit(options.max_results)
-    posted, words = index.postings(), index.dictionary()
+    words = index.dictionary()
 
-    def picked(pattern: Infix, field: str) -> DataFrame:
+    def picked(pattern: Infix, field: str) -> Column:
         holds = F.col("term").contains(pattern.pattern) if pattern.plain else F.col("term").rlike(wildcard_regex(f"*{pattern.pattern}*"))
-        return words.where((F.col("field") == field) & holds).select("bucket", "field", "term")
+        return (F.col("field") == field) & holds
 
-    hits, stats, phrases = [], [], set()
+    flags, phrases = {}, {}  # conditions on a dictionary's rows by flag; terms of phrases
     for k, word in enumerate(plan.words):
-        names = picked(word.name, "filename")
-        hits.append(posted.join(names, ["bucket", "field", "term"], "left_semi").select("file_path", F.lit(f"f{k}").alias("flag"), F.lit(None).cast("double").alias("freq"), F.lit(None).cast("bigint").alias("length")))
-        stats.append(names.agg((F.count(F.lit(1)) > 0).alias(f"ef{k}")))
+        flags[f"f{k}"] = picked(word.name, "filename")
         if isinstance(word.content, Phrase):
-            phrases.add(k)
-            terms = list(dict.fromkeys(word.content.terms))
-            content = posted.where(F.col("field") == "content")
-            found = _frequencies(content.where(F.col("term").isin(terms)), word.content, ["file_path"])
-            length = content.join(found.select("file_path"), "file_path", "left_semi").groupBy("file_path").agg(F.count(F.lit(1)).alias("length"))
-            hits.append(found.join(length, "file_path").select("file_path", F.lit(f"c{k}").alias("flag"), "freq", "length"))
-            counts = words.where((F.col("field") == "content") & F.col("term").isin(terms)).agg(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(word.content.terms)])
-            n = docs.agg(F.count(F.lit(1)).alias("n"))
-            idf = sum((1 + F.log(F.col("n").cast("double") / (F.col(f"df{i}") + 1)) for i in range(len(word.content.terms))), F.lit(0.0))
-            stats.append(counts.crossJoin(n).select(idf.alias(f"idf{k}")))  # one row each
-            stats.append(found.agg((F.count(F.lit(1)) > 0).alias(f"ec{k}")))
+            phrases[k] = word.content
+            flags[f"p{k}"] = (F.col("field") == "content") & F.col("term").isin(list(set(word.content.terms)))
         else:
-            terms = picked(word.content, "content")
-            hits.append(posted.join(terms, ["bucket", "field", "term"], "left_semi").select("file_path", F.lit(f"c{k}").alias("flag"), F.lit(None).cast("double").alias("freq"), F.lit(None).cast("bigint").alias("length")))
-            stats.append(terms.agg((F.count(F.lit(1)) > 0).alias(f"ec{k}")))
-    every_hit, one = hits[0], stats[0]
-    for h in hits[1:]:
-        every_hit = every_hit.unionByName(h)
+            flags[f"c{k}"] = picked(word.content, "content")
+    wanted = F.array_compact(F.array(*[F.when(on, F.lit(name)) for name, on in flags.items()]))
+    terms = words.select("field", "term", "df", F.explode(wanted).alias("flag"))
+    posted = index.postings(terms).select("file_path", "field", "term", "pos")
+    simple = [name for name in flags if name[0] != "p"]
+    plain = posted.join(terms.where(F.col("flag").isin(simple)).select("field", "term", "flag"), ["field", "term"]).select("file_path", "flag").distinct()
+    hits = plain.select("file_path", "flag", F.lit(None).cast("double").alias("freq"))
+    stats = [terms.agg(*[(F.count_if(F.col("flag") == name) > 0).alias(f"e{name}") for name in simple])]
+    for k, phrase in phrases.items():
+        found = _frequencies(posted.where((F.col("field") == "content") & F.col("term").isin(list(set(phrase.terms)))), phrase, ["file_path"])
+        hits = hits.unionByName(found.select("file_path", F.lit(f"c{k}").alias("flag"), "freq"))
+        own = F.col("flag") == f"p{k}"
+        counts = terms.agg(*[F.coalesce(F.max(F.when(own & (F.col("term") == t), F.col("df"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(phrase.terms)])
+        idf = sum((1 + F.log(F.col("n").cast("double") / (F.col(f"df{i}") + 1)) for i in range(len(phrase.terms))), F.lit(0.0))
+        stats += [counts.crossJoin(docs.agg(F.count(F.lit(1)).alias("n"))).select(idf.alias(f"idf{k}")), found.agg((F.count(F.lit(1)) > 0).alias(f"ec{k}"))]
+    one = stats[0]
     for x in stats[1:]:
         one = one.crossJoin(x)  # one row each
-    flags = []
+    columns = []
     for k in range(len(plan.words)):
-        flags += [F.max(F.col("flag") == f"{x}{k}").alias(f"{x}{k}") for x in "cf"]
-        flags += [F.max(F.when(F.col("flag") == f"c{k}", F.col(x))).alias(f"{x}{k}") for x in ("freq", "length")]
-    score, norm, every = _scoring(plan, phrases)
-    found = every_hit.groupBy("file_path").agg(*flags).where(every).crossJoin(F.broadcast(one))
+        columns += [F.max(F.col("flag") == f"{x}{k}").alias(f"{x}{k}") for x in "cf"] + [F.max(F.when(F.col("flag") == f"c{k}", F.col("freq"))).alias(f"freq{k}")]
+    score, norm, every = _scoring(plan, set(phrases))
+    found = hits.groupBy("file_path").agg(*columns).where(every).crossJoin(F.broadcast(one))
+    if phrases:
+        found = found.join(index.lengths(), "file_path", "left").withColumns({f"length{k}": F.col("length") for k in phrases})
     ranked = found.select("file_path", (score / F.sqrt(norm)).alias("score")).join(docs.where(filters(options)), "file_path")
     return ranked.select(*RESULT, "score").orderBy(F.desc("score"), "file_path").limit(options.max_results)

@@ -96,6 +96,48 @@ def test_snapshots(spark, tmp_path):
     assert store.vacuum(keep=1) == [1, 2, 3] and store.docs().count() == 2
 
 
+def test_updates_write_what_has_changed(spark, tmp_path):
+    store = index.Index(spark, str(tmp_path / "i"))
+    rows = lambda *texts: spark.createDataFrame([(f"/{t[0]}", t, "/", t, 1, None, 1, "x", None) for t in texts], index.S.DOCS)
+    store.upsert(rows("a x", "b x y", "c z"))
+    store.upsert(rows("b y", "d x"))
+    assert sorted(r.content for r in spark.read.parquet(store.segments()[1]["data"] + "/docs").collect()) == ["b y", "d x"]
+    words = lambda: {r.term: (r.df, r.cf) for r in store.dictionary().where("field = 'content'").collect()}
+    expected = {"a": (1, 1), "b": (1, 1), "c": (1, 1), "d": (1, 1), "x": (2, 2), "y": (1, 1), "z": (1, 1)}
+    assert words() == expected and {r.file_path: r.length for r in store.lengths().collect()} == {"/a": 2, "/b": 2, "/c": 2, "/d": 2}
+    store.delete(spark.createDataFrame([("/c",), ("/none",)], "file_path string"))
+    del expected["c"], expected["z"]
+    assert words() == expected
+    store.compact(1)
+    assert words() == expected and len(store.segments()) == 1
+    store.upsert(rows("c again"))  # what was deleted comes back
+    assert words() == expected | {"c": (1, 1), "again": (1, 1)} and store.stats().first().document_count == 4
+
+
+def test_vacuum_waits_for_readers(spark, tmp_path):
+    store = index.Index(spark, str(tmp_path / "i"))
+    rows = lambda *texts: spark.createDataFrame([(f"/{t}", t, "/", t, 1, None, 1, "x", None) for t in texts], index.S.DOCS)
+    store.upsert(rows("a", "b"))
+    reader = store.docs()
+    store.upsert(rows("c"))
+    store.compact(1)
+    assert store.vacuum(keep=1) == [1, 2] and reader.count() == 2  # a query that began before goes on
+    assert store.vacuum(keep=1, grace=0) == [] and store.docs().count() == 3
+    assert len(list((tmp_path / "i" / "data").iterdir())) == 1
+    with pytest.raises(Exception):
+        reader.count()
+
+
+def test_buckets_follow_the_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BUCKET_BYTES", 100)
+    store = index.Index(spark, str(tmp_path / "i"), buckets=2)
+    rows = lambda n: spark.createDataFrame([(f"/{k}", f"{k}", "/", "word " * 20, 1, None, 1, "x", None) for k in range(n)], index.S.DOCS)
+    store.upsert(rows(20))
+    store.upsert(rows(1))
+    assert [x["buckets"] for x in store.segments()] == [20, 2]
+    assert store.postings(spark.createDataFrame([("content", "word")], "field string, term string")).groupBy("file_path").count().count() == 20
+
+
 def test_diff_ignores_case_and_borders(spark):
     side = lambda *xs: spark.createDataFrame(list(xs), "file_path string, last_modified_ticks bigint")
     got = index.diff(side(("/A/x", 1), ("/ab/y", 1), ("/a/z", 2)), side(("/a/X", 1), ("/a/Z", 1), ("/a/new", 1)), ["/a"])

@@ -86,13 +86,58 @@ def test_postings_answer_as_scans_do(spark, tmp_path):
         one, two = ([(r.file_path, round(r.score, 9)) for r in rows.collect()] for rows in (search.search_index(index, query), search.search(docs, query)))
         assert one == two, query
     assert search.search_index(index, "than", SearchOptions(max_results=3)).count() == 3
+    # after changes, too: some documents replaced, some gone, in segments and compacted
+    changed = docs.where("last_modified_ticks % 5 = 0").withColumn("content", F.concat(F.lit("than anew "), F.coalesce("content", F.lit(""))))
+    index.upsert(changed)
+    index.delete(docs.where("last_modified_ticks % 7 = 1").select("file_path"))
+    now = docs.join(changed.select("file_path"), "file_path", "left_anti").unionByName(changed).where("last_modified_ticks % 7 <> 1")
+    for compacted in (False, True):
+        if compacted:
+            index.compact(2)
+        assert len(index.segments()) == (1 if compacted else 3) and index.docs().count() == now.count()
+        for query in ("anew", "than the", "of,the than", "th?n"):
+            one, two = ([(r.file_path, round(r.score, 9)) for r in rows.collect()] for rows in (search.search_index(index, query), search.search(now, query)))
+            assert one == two and one, query
+
+
+def marked(docs, query):
+    return [(r.fragment, r.text[r.highlight_start : r.highlight_end]) for r in search.snippets(docs, query).orderBy("fragment").collect()]
 
 
 def test_snippets(spark):
     docs = corpus(spark, [("s.txt", "x" * 98 + "than" + "y" * 120 + "THAN" + "z" * 700 + "than")])
-    got = search.snippets(docs, "than").collect()
-    assert [(r.fragment, r.text[r.highlight_start : r.highlight_end]) for r in got] == [(2, "THAN"), (9, "than")]
-    assert search.snippets(docs, "than", SearchOptions(skip_highlights=True)).count() == 0
+    assert marked(docs, "than") == [(0, "than"), (2, "THAN"), (9, "than")]
+    assert [len(r.text) for r in search.snippets(docs, "than").orderBy("fragment").collect()] == [102, 100, 30]  # a match that passes the end is whole
+    assert search.snippets(docs, "than", SearchOptions(skip_highlights=True)).count() == 0 and search.snippets(docs, "").count() == 0
+    many = corpus(spark, [("m.txt", ("a than " + "x" * 93) * 8)])
+    assert marked(many, "than") == [(k, "than") for k in range(5)]
+
+
+def test_snippets_of_phrases_and_wildcards(spark):
+    docs = corpus(spark, [("s.txt", "Some of, the rest; roof, the end. " + "-" * 80 + " OF ,\n THE last, of, not the then of,x,the")])
+    assert marked(docs, "of,the") == [(0, "of, the"), (1, "OF ,\n THE")]
+    assert marked(docs, "of,the rest") == [(0, "of, the"), (1, "OF ,\n THE")]
+    assert marked(docs, "r??t") == [(0, "rest")] and marked(docs, "t*n") == [(1, "then")]
+    assert marked(corpus(spark, [("t.txt", "of, not the")]), "of,the") == [(0, "of, not the")]  # one term between
+    assert marked(corpus(spark, [("t.txt", "x 消費税は 10%です")]), "10%") == [(0, "10%")]
+
+
+def test_phrases_by_expressions_and_by_places_agree(spark):
+    rng = random.Random(11)
+    texts = [(f"{k}.txt", "".join(rng.choice(["a", "b", ",", " ", "é", "ab", "\n", ".", "A"]) for _ in range(rng.randint(0, 14)))) for k in range(300)]
+    docs = corpus(spark, texts)
+    for phrase in (("a", "b"), ("a", ",", "b"), ("é", ".", "ab"), ("ab", "a", "b", ",")):
+        got = {r.file_path: (r.freq, r.length) for r in search.phrase_frequencies(docs, Phrase(phrase), "unicode").collect()}
+        assert got == {f"/d/{n}": (f, len(tokenize(t))) for n, t in texts if (f := brute_phrase(tokenize(t), phrase))}
+
+
+def test_scan_and_index_see_the_same_part_of_a_text(spark, tmp_path):
+    from folioscan.operators.index import Index
+
+    docs = corpus(spark, [("long.txt", "word " * 104_000 + "beyond"), ("short.txt", "beyond")]).withColumn("indexed_at", F.lit(None).cast("timestamp"))
+    index = Index(spark, str(tmp_path / "i"))
+    index.upsert(docs)
+    assert names(search.search(docs, "beyond")) == names(search.search_index(index, "beyond")) == ["short.txt"]
 
 
 def test_preview(spark):
