@@ -89,22 +89,28 @@ register_analyser(
 
 
 def _register_morphological() -> None:
-    """Mode-C morphemes, where the library and its dictionary are installed."""
+    """Mode-C morphemes, where the library and its dictionary are installed; without
+    them, and for a text of which they make nothing, the whole text is one term."""
+    whole, whole_word = _analysers["whole"]
     try:
         from sudachipy import Dictionary
     except ImportError:
+        register_analyser("morph", whole, whole_word)
         return
 
     def words(text: str) -> list[str]:
         tokenizer = Dictionary().create()
-        return [m.surface().strip().lower() for m in tokenizer.tokenize(text) if m.surface().strip()]
+        return [m.surface().strip().lower() for m in tokenizer.tokenize(text) if m.surface().strip()] or whole_word(text)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def column(texts: pd.Series) -> pd.Series:
         tokenizer = Dictionary().create()
         return texts.map(lambda t: [m.surface().strip().lower() for m in tokenizer.tokenize(t) if m.surface().strip()])
 
-    register_analyser("morph", lambda text: column(analysed(text)), words)
+    def terms(text: Column) -> Column:
+        return F.element_at(F.transform(F.array(column(analysed(text))), lambda ts: F.when(F.size(ts) > 0, ts).otherwise(whole(text))), 1)
+
+    register_analyser("morph", terms, words)
 
 
 _register_morphological()

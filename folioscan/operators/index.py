@@ -12,8 +12,11 @@ before it leaves the old version in force.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,6 +82,36 @@ DEAD = "file_path string"
 BUCKET_BYTES = 64 << 20
 
 
+@contextmanager
+def reported(spark: SparkSession, progress: Callable[[dict], None] | None, seconds: float = 0.25) -> Iterator[None]:
+    """While the body runs, ``progress`` gets processed and total (tasks of the stages
+    that run), percent and text every so often, and once more at the end, when all is done."""
+    if progress is None:
+        yield
+        return
+    done, tracker, most = threading.Event(), spark.sparkContext.statusTracker(), [0]
+
+    def tell(processed: int, total: int) -> None:
+        percent = 100.0 * processed / total if total else 0.0
+        progress({"processed": processed, "total": total, "percent": percent, "text": f"{processed:,} / {total:,}"})
+
+    def watch() -> None:
+        while not done.wait(seconds):
+            stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x]
+            if stages:
+                most[0] = sum(x.numTasks for x in stages)
+                tell(sum(x.numCompletedTasks for x in stages), most[0])
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+    tell(most[0], most[0])
+
+
 class Index:
     """Segments in ``root``, a folder that the cluster shares. ``buckets`` is the least
     number into which a segment's terms are dealt; larger segments have more."""
@@ -214,20 +247,28 @@ class Index:
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
 
-    def rebuild(self, roots: list[str], extensions: list[str] | None = None, registry: Registry | None = None) -> dict:
-        """Index all files under ``roots`` anew; the numbers of documents and errors."""
+    def rebuild(self, roots: list[str], extensions: list[str] | None = None, registry: Registry | None = None, progress: Callable[[dict], None] | None = None) -> dict:
+        """Index all files under ``roots`` anew; the version and the number of errors.
+        ``progress`` is told how far it is."""
+        with reported(self.spark, progress):
+            return self._rebuild(roots, extensions, registry)
+
+    def _rebuild(self, roots: list[str], extensions: list[str] | None, registry: Registry | None) -> dict:
         found = extract(scan(self.spark, roots, extensions, registry), registry).persist()
         errors = found.where("error is not null").count()
         version = self.commit(found.where("error is null").drop("error"))
         found.unpersist()
         return {"version": version, "errors": errors}
 
-    def update(self, roots: list[str], extensions: list[str] | None = None, registry: Registry | None = None, compat: bool = False) -> dict:
+    def update(self, roots: list[str], extensions: list[str] | None = None, registry: Registry | None = None, compat: bool = False, progress: Callable[[dict], None] | None = None) -> dict:
         """Index what was added, changed or removed under ``roots`` since the newest
         version; without a version all of it. A file that can't be read keeps its old
-        entry. Entries under roots that can't be reached stay, unless ``compat``."""
-        if not self.versions():
-            return self.rebuild(roots, extensions, registry)
+        entry. Entries under roots that can't be reached stay, unless ``compat``.
+        ``progress`` is told how far it is."""
+        with reported(self.spark, progress):
+            return self._update(roots, extensions, registry, compat) if self.versions() else self._rebuild(roots, extensions, registry)
+
+    def _update(self, roots: list[str], extensions: list[str] | None, registry: Registry | None, compat: bool) -> dict:
         from folioscan.sources.files import _exists
 
         files, old = scan(self.spark, roots, extensions, registry), self.docs()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan import schema as S
@@ -13,6 +13,8 @@ from folioscan.functions import analysis, text
 from folioscan.operators import index, preview, search, tree
 from folioscan.plans import sql
 from folioscan.plans.query import SearchOptions
+from folioscan.sources.files import extract, scan
+from folioscan.sources.shared import new_path
 from folioscan.sources.corpus import chat_corpus, documents_corpus, pages_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +72,7 @@ _query(
     _ranked("th?n*on"),
 )
 
+_WILD = r"th[\p{L}\p{M}\p{N}_]n[\p{L}\p{M}\p{N}_]*on"
 _PHRASE = f"""{sql.CORPUS}, toks AS (SELECT file_path, {sql.TOKENS.format('content')} AS t FROM corpus),
 post AS (SELECT file_path, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos, len(t) AS n FROM toks),
 q(i, term) AS (VALUES (0, 'of'), (1, ','), (2, 'the')),
@@ -84,14 +87,83 @@ _query(
     f"WITH {_PHRASE} SELECT {sql._RESULT}, round(0.5 * (sqrt(freq) * idf * idf / sqrt(n::DOUBLE)) / sqrt(idf * idf), 6) AS score FROM freq JOIN corpus USING (file_path), idf ORDER BY score DESC, file_path LIMIT 20",
     _ranked("of,the"),
 )
+
+
+def _marks(marks: str) -> str:
+    """SQL of the first five fragments that hold one of ``marks`` (file_path, start, size)."""
+    return f"""marks AS ({marks}), firsts AS (SELECT file_path, start // 100 AS fragment, min(start) AS start, arg_min(size, start) AS size FROM marks GROUP BY file_path, start // 100),
+few AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY fragment) <= 5)
+SELECT file_path, fragment::BIGINT AS fragment, substr(content, (fragment * 100 + 1)::BIGINT, greatest(100, start + size - fragment * 100)::BIGINT) AS text, (start - fragment * 100)::BIGINT AS highlight_start, (start - fragment * 100 + size)::BIGINT AS highlight_end FROM few JOIN corpus USING (file_path)"""
+
+
+def _snippets(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: search.snippets(documents_corpus(spark, d), query, SearchOptions(max_results=20))
+
+
 _query(
     "search_snippets",
     f"""WITH {sql.CORPUS}, {sql.hits(['thonan'])}, best AS (SELECT * FROM hits ORDER BY score DESC, file_path LIMIT 20),
-frags AS (SELECT file_path, g AS fragment, substr(content, g * 100 + 1, 100) AS text FROM (SELECT file_path, content, unnest(range(0, greatest(len(content) - 1, 0) // 100 + 1)) AS g FROM best)),
-hit AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY fragment) AS n FROM frags WHERE contains(lower(text), 'thonan'))
-SELECT file_path, fragment, text, (instr(lower(text), 'thonan') - 1)::BIGINT AS highlight_start, (instr(lower(text), 'thonan') - 1 + 6)::BIGINT AS highlight_end FROM hit WHERE n <= 5""",
-    lambda spark, d: search.snippets(documents_corpus(spark, d), "thonan", SearchOptions(max_results=20)),
+gaps AS (SELECT file_path, unnest(g) AS g, generate_subscripts(g, 1) AS i, len(g) AS n FROM (SELECT file_path, string_split(lower(content), 'thonan') AS g FROM best)),
+{_marks("SELECT file_path, sum(len(g)) OVER (PARTITION BY file_path ORDER BY i) + (i - 1) * 6 AS start, 6 AS size FROM gaps QUALIFY i < n")}""",
+    _snippets("thonan"),
 )
+# places of terms in a text: all that stands between terms is white space
+_PLACES = f"""terms AS (SELECT file_path, unnest(t) AS term, generate_subscripts(t, 1) AS i, unnest(g[1:len(t)]) AS gap FROM (SELECT file_path, {sql.TOKENS.format('content')} AS t, regexp_split_to_array(content, '{sql.TOKEN}') AS g FROM best)),
+places AS (SELECT file_path, term, i, sum(len(gap) + len(term)) OVER (PARTITION BY file_path ORDER BY i) - len(term) AS start FROM terms)"""
+_query(
+    "search_snippets_phrase",
+    f"""WITH {_PHRASE}, best AS (SELECT corpus.*, 0.5 * (sqrt(freq) * idf * idf / sqrt(n::DOUBLE)) / sqrt(idf * idf) AS score FROM freq JOIN corpus USING (file_path), idf ORDER BY score DESC, file_path LIMIT 20),
+{_PLACES}, three AS (SELECT a.file_path, a.start, min(c.start + 3) AS until FROM places a JOIN places b ON a.file_path = b.file_path AND b.term = ',' AND b.i BETWEEN a.i + 1 AND a.i + 2
+  JOIN places c ON a.file_path = c.file_path AND c.term = 'the' AND c.i BETWEEN b.i + 1 AND a.i + 3 WHERE a.term = 'of' GROUP BY a.file_path, a.start),
+{_marks("SELECT file_path, start, until - start AS size FROM three")}""",
+    _snippets("of,the"),
+)
+_query(
+    "search_snippets_wildcard",
+    ORACLE_SQL["search_user_wildcard"].split(" SELECT file_path, file_name")[0] + f""", best AS (SELECT * FROM hits ORDER BY score DESC, file_path LIMIT 20),
+gaps AS (SELECT file_path, unnest(h) AS h, unnest(g[1:len(h)]) AS g, generate_subscripts(h, 1) AS i FROM (SELECT file_path, regexp_extract_all(lower(content), '{_WILD}') AS h, regexp_split_to_array(lower(content), '{_WILD}') AS g FROM best)),
+{_marks("SELECT file_path, sum(len(g) + len(h)) OVER (PARTITION BY file_path ORDER BY i) - len(h) AS start, len(h) AS size FROM gaps")}""",
+    _snippets("th?n*on"),
+)
+
+# searches by postings ---------------------------------------------------
+
+_indexes: dict[tuple[str, str], tuple[index.Index, index.Index]] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str, changed: bool = False) -> index.Index:
+    """An index of all documents, made once for a session; or one that was made of the
+    older documents and then updated, as the diff of index and disk says."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        docs = documents_corpus(spark, sf_dir).withColumn("indexed_at", F.col("last_modified"))
+        whole, later = index.Index(spark, new_path(spark, "index")), index.Index(spark, new_path(spark, "index"))
+        whole.upsert(docs)
+        old, disk = _sides(spark, sf_dir)
+        stamped = lambda rows: rows.withColumn("indexed_at", F.col("last_modified"))
+        later.upsert(stamped(old))
+        ops = index.diff(later.docs(), disk, ROOTS[:2])
+        later.delete(ops.where("op = 'delete'"))
+        fresh = disk.join(ops.where("op <> 'delete'"), "file_path", "left_semi").withColumn("content", F.concat(F.lit("anew "), F.coalesce("content", F.lit(""))))
+        later.upsert(stamped(fresh))
+        _indexes[key] = whole, later
+    return _indexes[key][changed]
+
+
+def _by_postings(query: str, options: SearchOptions | None = None, changed: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = search.search_index(_built(spark, sf_dir, changed), query, options or SearchOptions(max_results=20))
+        return found.select("file_path", "file_name", "folder_path", "file_size", text.ticks(F.col("last_modified")).alias("last_modified_ticks"), "file_type", F.round("score", 6).alias("score"))
+
+    return run
+
+
+for _name, _of, _words, _options in (
+    ("single_word", "search_single_word", "than", None), ("two_words", "search_two_words_and", "than doc_1", None), ("filename", "search_filename_boost", "doc_12", None), ("no_hit", "search_no_hit", "zzzqqq", None),
+    ("wildcard", "search_user_wildcard", "th?n*on", None), ("phrase", "search_phrase_score", "of,the", None),
+    ("filters", "search_all_filters", "than", SearchOptions(20, ["テキストファイル"], datetime(2024, 1, 2), datetime(2024, 2, 5), "/corpus/src1")),
+):
+    _query(f"search_index_{_name}", ORACLE_SQL[_of], _by_postings(_words, _options))
 
 # analysis ---------------------------------------------------------------
 
@@ -263,13 +335,104 @@ _query(
     _after,
 )
 _query("index_snapshot", f"WITH {sql.CORPUS} SELECT file_path, last_modified_ticks FROM corpus WHERE starts_with(lower(file_path), '/corpus/src1/')", lambda spark, d: index.snapshot(documents_corpus(spark, d), ROOTS[:1]))
-_query("index_stats", f"WITH {sql.CORPUS} SELECT count(*) AS document_count, sum(file_size)::BIGINT AS bytes, max(last_modified_ticks) AS last_ticks FROM corpus", lambda spark, d: documents_corpus(spark, d).agg(F.count(F.lit(1)).alias("document_count"), F.sum("file_size").alias("bytes"), F.max("last_modified_ticks").alias("last_ticks")))
+
+# the updated index: documents kept, and those that were added or changed, with a new first word
+_UPDATED = f"""WITH {sql.CORPUS}, {_DISK}, after AS (
+  SELECT file_path, file_name, folder_path, concat('anew ', coalesce(content, '')) AS content, file_size, last_modified, last_modified_ticks, file_type FROM disk WHERE file_path IN (SELECT file_path FROM ops WHERE op IN ('add', 'update'))
+  UNION ALL SELECT file_path, file_name, folder_path, content, file_size, last_modified, last_modified_ticks, file_type FROM corpus WHERE doc_id % 5 <> 0 AND file_path NOT IN (SELECT file_path FROM ops WHERE op IS NOT NULL))"""
+_AFTER_POST = f"""{_UPDATED}, terms AS (SELECT file_path, 'content' AS field, {sql.TOKENS.format('content')} AS t FROM after UNION ALL SELECT file_path, 'filename', {sql.TOKENS.format('file_name')} FROM after),
+post AS (SELECT file_path, field, unnest(t) AS term, (generate_subscripts(t, 1) - 1)::BIGINT AS pos FROM terms)"""
+_query("index_updated_docs", f"{_UPDATED} SELECT file_path, last_modified_ticks, content FROM after", lambda spark, d: _built(spark, d, True).docs().select("file_path", "last_modified_ticks", "content"))
+_query("index_updated_postings", f"{_AFTER_POST} SELECT file_path, field, term, pos FROM post", lambda spark, d: _built(spark, d, True).postings().select("file_path", "field", "term", "pos"))
+_query("index_updated_dictionary", f"{_AFTER_POST} SELECT field, term, count(DISTINCT file_path) AS df, count(*) AS cf FROM post GROUP BY field, term", lambda spark, d: _built(spark, d, True).dictionary().select("field", "term", "df", "cf"))
+_query("index_updated_search", f"{_UPDATED}, {sql.hits(['anew'], corpus='after')} SELECT {sql._RESULT.replace("last_modified_ticks", sql.TICKS.format("last_modified") + " AS last_modified_ticks")}, round(score, 6) AS score FROM hits ORDER BY score DESC, file_path LIMIT 20", _by_postings("anew", changed=True))
+_query("index_stats", f"WITH {sql.CORPUS} SELECT count(*) AS document_count, max(last_modified) AS last_updated, true AS has_size FROM corpus", lambda spark, d: _built(spark, d).stats().select("document_count", "last_updated", (F.col("index_size_bytes") > 0).alias("has_size")))
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a compacted copy of the updated index holds."""
+    old = _built(spark, sf_dir, True)
+    copy = index.Index(spark, new_path(spark, "index"))
+    copy.upsert(old.docs().where("last_modified_ticks % 2 = 0"))
+    copy.append(old.docs().where("last_modified_ticks % 2 <> 0"), spark.createDataFrame([], "file_path string"))
+    copy.compact(2)
+    copy.vacuum(keep=1, grace=0)
+    words = copy.dictionary().groupBy("field").agg(F.count(F.lit(1)).alias("terms"), F.sum("cf").alias("places"))
+    return words.withColumn("segments", F.lit(len(copy.segments())).cast("bigint"))
+
+
+_query("index_compacted", f"{_AFTER_POST} SELECT field, count(DISTINCT term) AS terms, count(*) AS places, 1::BIGINT AS segments FROM post GROUP BY field", _compacted)
 _query(
     "change_feed_latest", "SELECT user_id, event_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'create' WHEN event_type = 'error' THEN 'delete' ELSE 'modify' END AS op, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     lambda spark, d: index.latest_changes(spark.read.parquet(f"{d}/events.parquet")),
 )
 
 
+_files: dict[tuple[str, str], str] = {}
+
+
+def _tree_of_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the documents of sources 1 to 3 as files, made once for a session:
+    some in system folders, some with extensions that nothing reads, some broken."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _files:
+        root = new_path(spark, "files")
+        kind = F.element_at(F.array(*[F.lit(x) for x in (".txt", ".MD", ".exe", ".docx", "", ".json", ".csv")]), (F.col("doc_id") % 7 + 1).cast("int"))
+        folder = F.when(F.col("doc_id") % 13 == 0, "/$recycle/").when(F.col("doc_id") % 13 == 1, "/Windows/").otherwise("/files/")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source IN ('src1', 'src2', 'src3')")
+        docs.select(F.concat(F.lit("/"), "source", folder, F.lit("doc_"), F.col("doc_id").cast("string"), kind).alias("path"), "text").foreachPartition(lambda rows: _write_files(root, rows))
+        _files[key] = root
+    return _files[key]
+
+
+def _write_files(root: str, rows) -> None:
+    import pyarrow.fs as pafs
+
+    files, path = pafs.FileSystem.from_uri(root)
+    for row in rows:
+        files.create_dir((path + row["path"]).rpartition("/")[0], recursive=True)
+        with files.open_output_stream(path + row["path"], compression=None) as out:
+            out.write((row["text"] or "").encode())
+
+
+_KIND = "CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.exe' WHEN 3 THEN '.docx' WHEN 4 THEN '' WHEN 5 THEN '.json' ELSE '.csv' END"
+_ON_DISK = f"""tree AS (SELECT concat('/', source, '/files/doc_', doc_id, {_KIND}) AS path, lower({_KIND}) AS ext, coalesce(text, '') AS content FROM documents
+  WHERE source IN ('src1', 'src2', 'src3') AND doc_id % 13 > 1 AND {_KIND} NOT IN ('', '.exe'))"""
+
+
+def _below() -> Column:
+    """A path below the root of ``_tree_of_files``."""
+    return F.regexp_extract("path", r"(/src[0-9]+/.*)$", 1)
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _tree_of_files(spark, sf_dir)
+    return scan(spark, [f"{root}/src1", f"{root}/src2", f"{root}/src3", f"{root}/none"])
+
+
+_query("scan_files", f"WITH {_ON_DISK} SELECT path, strlen(content)::BIGINT AS length FROM tree", lambda spark, d: _scanned(spark, d).select(_below().alias("path"), "length"))
+_query(
+    "extract_files", f"WITH {_ON_DISK} SELECT path, CASE WHEN ext <> '.docx' THEN content END AS content, ext = '.docx' AS failed FROM tree",
+    lambda spark, d: extract(_scanned(spark, d)).withColumnRenamed("file_path", "path").select(_below().alias("path"), "content", F.col("error").isNotNull().alias("failed")),
+)
+_query(
+    "progress_errors", f"WITH {_ON_DISK} SELECT count(*) AS total, count(*) FILTER (ext = '.docx') AS errors, concat(printf('%,d', count(*)), ' / ', printf('%,d', count(*)), ' ファイル（スキップ ', printf('%,d', count(*) FILTER (ext = '.docx')), ' 件）') AS text FROM tree",
+    lambda spark, d: extract(_scanned(spark, d)).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNotNull()).alias("errors")).select("total", "errors", text.progress_text(F.col("total"), F.col("total"), F.col("errors"), "ファイル").alias("text")),
+)
+_query(
+    "tree_expand_to", f"{_TREE} SELECT full_path, is_folder AND full_path IN ('/corpus/src1', '/corpus/src1/en', '/corpus') AS is_expanded FROM tree",
+    lambda spark, d: tree.expand_to(_tree(spark, d), "\\Corpus\\SRC1\\en\\doc_1.md", True).select("full_path", "is_expanded"),
+)
+_query(
+    "analyze_whole", f"WITH {sql.CORPUS} SELECT file_path, CASE WHEN trim(content) = '' OR content IS NULL THEN 0 ELSE 1 END::BIGINT AS terms, md5(CASE WHEN trim(content) <> '' THEN lower(left(content, 500)) ELSE '' END) AS digest FROM corpus",
+    lambda spark, d: documents_corpus(spark, d).select("file_path", analysis.tokens(F.substring("content", 1, 500), "whole").alias("t")).select("file_path", F.size("t").cast("bigint").alias("terms"), F.md5(F.array_join("t", "")).alias("digest")),
+)
+_query(
+    "analyze_long_terms", "SELECT r_regionkey, ceil(40000 / (32765 // n))::BIGINT AS terms, (n * (32765 // n))::BIGINT AS longest FROM (SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 3 END AS n FROM region)",
+    lambda spark, d: spark.read.parquet(f"{d}/region.parquet").select("r_regionkey", analysis.tokens(F.repeat(F.when(F.col("r_regionkey") % 2 == 0, "a").otherwise("税"), 40000)).alias("t")).select("r_regionkey", F.size("t").cast("bigint").alias("terms"), F.octet_length(F.get("t", F.lit(0))).cast("bigint").alias("longest")),
+)
+
+
 def _sample_files(spark: SparkSession) -> DataFrame:
     from folioscan.sources import samples
 
@@ -277,8 +440,6 @@ def _sample_files(spark: SparkSession) -> DataFrame:
 
 
 def _extracted(ext: str) -> Callable[[SparkSession, str], DataFrame]:
-    from folioscan.sources.files import extract
-
     return lambda spark, d: extract(_sample_files(spark).where(F.col("path").endswith(ext))).select("file_path", "file_type", "content", "error")
 
 

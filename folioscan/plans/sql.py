@@ -17,7 +17,8 @@ PAGES = """pages_corpus AS (SELECT concat('/pages/page_', page_id, '.html') AS f
 CHAT = """chat AS (SELECT concat('/chat/', conv_id, '/', turn, '.log') AS file_path, concat(turn, '.log') AS file_name, concat('/chat/', conv_id) AS folder_path,
   strlen(text)::BIGINT AS file_size, TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR + turn * INTERVAL 1 SECOND AS last_modified FROM conversations)"""
 
-TOKENS = r"regexp_extract_all(lower(left(coalesce({}, ''), 500000)), '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\s\p{{L}}\p{{M}}\p{{N}}_]')"
+TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
+TOKENS = "regexp_extract_all(lower(left(coalesce({}, ''), 500000)), '" + TOKEN.replace("{", "{{").replace("}", "}}") + "')"
 _RESULT = "file_path, file_name, folder_path, file_size, last_modified_ticks, file_type"
 
 

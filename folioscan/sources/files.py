@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +27,20 @@ def scan(spark: SparkSession, roots: list[str], extensions: list[str] | None = N
 
     Files without an extension, or with another than the given ones (else: the
     extractors'), are left out, and so are system folders. Folders that can't be read
-    are skipped. A plan that doesn't use ``content`` doesn't read the files.
+    are skipped: where one ends the listing, folders are listed one by one and system
+    folders not at all. A plan that doesn't use ``content`` doesn't read the files.
     """
     wanted = sorted({e.lower() for e in extensions or (registry or default_registry()).extensions()})
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     files = None
     for root in roots:
         if not _exists(spark, root):
             continue
-        found = reader.load(root)
+        try:
+            found = _load(spark, root, True)
+        except (Py4JJavaError, AnalysisException):
+            if not (folders := _readable_folders(spark, root)):
+                continue
+            found = _load(spark, folders, False)
         base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
         # only folders below the root count as system folders
         found = found.where(outside_system_folders(F.regexp_replace(F.col("path"), f"^[a-z]*:?/*{_quoted(base)}", "")))
@@ -43,6 +50,31 @@ def scan(spark: SparkSession, roots: list[str], extensions: list[str] | None = N
     return files.where(extension(F.col("path")).isin(wanted)).dropDuplicates(["path"])
 
 
+def _load(spark: SparkSession, path: str | list[str], deep: bool) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(deep).lower()).option("ignoreMissingFiles", "true").load(path)
+
+
+def _children(files, path) -> list:
+    return files.listStatus(path)
+
+
+def _readable_folders(spark: SparkSession, root: str) -> list[str]:
+    """``root`` and the folders below it that can be listed, system folders left out."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files, todo, out = top.getFileSystem(spark._jsc.hadoopConfiguration()), [top], []
+    names = {n.lower() for n in S.SYSTEM_FOLDERS}
+    while todo:
+        path = todo.pop()
+        try:
+            found = _children(files, path)
+        except Py4JJavaError:  # denied, gone or broken: go on with the others
+            continue
+        if any(x.isFile() for x in found):
+            out.append(path.toString())
+        todo += [x.getPath() for x in found if x.isDirectory() and not (name := x.getPath().getName()).startswith("$") and name.lower() not in names]
+    return out
+
+
 def _quoted(text: str) -> str:
     return "/*" + "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in text.lstrip("/"))
 

@@ -49,6 +49,45 @@ def test_scan_and_extract(spark, folder):
     assert scan(spark, ["/no/such/folder"]).count() == 0
 
 
+def test_unreadable_folders_are_skipped(spark, folder, monkeypatch):
+    from py4j.protocol import Py4JJavaError
+
+    from folioscan.sources import files as f
+
+    load, children = f._load, f._children
+
+    def denied(spark, path, deep):
+        if deep:
+            raise Py4JJavaError("denied", spark._jvm.java.io.IOException("denied"))
+        return load(spark, path, deep)
+
+    def refuse(fs, path):
+        if path.getName() == "sub":
+            raise Py4JJavaError("denied", spark._jvm.java.io.IOException("denied"))
+        assert path.getName() not in ("$bin", "Windows")  # not even listed
+        return children(fs, path)
+
+    monkeypatch.setattr(f, "_load", denied)
+    assert short(scan(spark, [str(folder)]).select("path").collect()) == ["a.txt", "b.md", "bad.docx", "w.docx"]
+    monkeypatch.setattr(f, "_children", refuse)
+    assert short(scan(spark, [str(folder)]).select("path").collect()) == ["a.txt", "bad.docx", "w.docx"]
+
+
+def test_progress_is_told(spark, folder, tmp_path):
+    told = []
+    index.Index(spark, str(tmp_path / "i")).rebuild([str(folder)], progress=told.append)
+    assert told and told[-1]["processed"] == told[-1]["total"] and all(0 <= x["percent"] <= 100 for x in told)
+
+
+def test_morphemes_fall_back_to_whole_texts(spark):
+    from folioscan.functions import analysis
+
+    if "sudachipy" not in __import__("sys").modules:
+        docs = spark.createDataFrame([("消費税 Is Due",), ("  ",), (None,)], "t string")
+        assert [r.t for r in docs.select(analysis.tokens(F.col("t"), "morph").alias("t")).collect()] == [["消費税 is due"], [], []]
+        assert analysis.tokenize("消費税", "morph") == ["消費税"]
+
+
 def test_update_equals_rebuild(spark, folder, tmp_path):
     one = index.Index(spark, str(tmp_path / "one"))
     assert one.docs().count() == 0
