@@ -139,6 +139,26 @@ def dictionary(posted: DataFrame, key: str = "file_path") -> DataFrame:
     return per_doc.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
 
 
+def term_counts(terms: Column) -> Column:
+    """The distinct terms of an array and how often each comes: sorted, equal terms stand
+    side by side, and the places at which a run begins tell how long it is."""
+    sorted_terms = lambda ts: F.element_at(F.transform(F.array(F.array_sort(ts)), runs), 1)
+
+    def runs(ts: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+        return F.element_at(F.transform(F.array(first), lambda at: F.transform(at, lambda p, k: F.struct(F.get(ts, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ts)) - p).cast("bigint").alias("n")))), 1)
+
+    return F.when(F.size(terms) > 0, sorted_terms(terms))
+
+
+def dictionary_of(docs: DataFrame, analyser: str = "unicode") -> DataFrame:
+    """``dictionary`` of documents: terms are counted in each text first, so one shuffle
+    moves each task's distinct terms."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), term_counts(tokens(F.col(c), analyser)).alias("terms")) for f, c in (("content", "content"), ("filename", "file_name"))])
+    each = docs.select(F.explode(fields).alias("x")).select("x.field", F.explode("x.terms").alias("t"))
+    return each.groupBy("field", "t.term").agg(F.count(F.lit(1)).alias("df"), F.sum("t.n").alias("cf"))
+
+
 def wildcard_regex(pattern: str) -> str:
     """A pattern with * and ? as a regular expression for whole terms."""
     return "(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"

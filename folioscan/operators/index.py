@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan import schema as S
-from folioscan.functions.analysis import dictionary, postings
+from folioscan.functions.analysis import dictionary, dictionary_of, postings
 from folioscan.functions.text import under_any
 from folioscan.sources.extractors import Registry
 from folioscan.sources.files import extract, listing, scan
@@ -227,7 +227,7 @@ class Index:
         dealt.sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{data}/postings")
         posted = self.spark.read.schema(POSTINGS).parquet(f"{data}/postings")
         posted.where("field = 'content'").groupBy("file_path").agg(F.count(F.lit(1)).alias("length")).write.parquet(f"{data}/lengths")
-        words = dictionary(posted)
+        words = dictionary(posted) if kept is not None else dictionary_of(now, self.analyser)
         taken = False
         if dead is not None and segments:
             dead.write.parquet(f"{data}/dead")
@@ -235,7 +235,7 @@ class Index:
             old = self.docs().join(dead, "file_path", "left_semi")
             taken = old.limit(1).count() > 0
             if taken:  # what they held is counted with negative signs
-                less = dictionary(postings(old, self.analyser)).select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+                less = dictionary_of(old, self.analyser).select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
                 words = words.unionByName(less).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
         words.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{data}/dictionary")
         segment = {"data": data, "buckets": buckets, "dead": taken}

@@ -174,7 +174,7 @@ _query(
     lambda spark, d: documents_corpus(spark, d).select("file_path", F.size(analysis.tokens(F.col("content"))).cast("bigint").alias("tokens"), F.array_join(analysis.tokens(F.col("file_name")), "|").alias("name_tokens")),
 )
 _query("analyze_postings", f"{_POST} SELECT file_path, field, term, pos FROM post", lambda spark, d: analysis.postings(documents_corpus(spark, d)))
-_query("analyze_dictionary", f"{_POST} SELECT field, term, count(DISTINCT file_path) AS df, count(*) AS cf FROM post GROUP BY field, term", lambda spark, d: analysis.dictionary(analysis.postings(documents_corpus(spark, d))).select("field", "term", "df", "cf"))
+_query("analyze_dictionary", f"{_POST} SELECT field, term, count(DISTINCT file_path) AS df, count(*) AS cf FROM post GROUP BY field, term", lambda spark, d: analysis.dictionary_of(documents_corpus(spark, d)).select("field", "term", "df", "cf"))
 _query(
     "analyze_truncate", f"WITH {sql.CORPUS} SELECT file_path, len(left(repeat(content, 300), 500000))::BIGINT AS chars FROM corpus",
     lambda spark, d: documents_corpus(spark, d).select("file_path", F.length(analysis.analysed(F.repeat("content", 300))).cast("bigint").alias("chars")),
