@@ -20,7 +20,7 @@ def connected_components(links: DataFrame, keep: Callable[[DataFrame, str], Data
     with very many links is met by partial minima and by joins that can be split.
     """
     with Scratch(links.sparkSession) as scratch:
-        edges = scratch.written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        edges = scratch.written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", links.count())
         mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         seen = edges.agg(mark.alias("m")).first()["m"]
         while True:
@@ -29,7 +29,7 @@ def connected_components(links: DataFrame, keep: Callable[[DataFrame, str], Data
             large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
             low = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-            edges = scratch.written(small.distinct(), "links")
+            edges = scratch.written(small.distinct(), "links", seen[0])  # stars have no more links than there were
             scratch.drop_before(1)
             now = edges.agg(mark.alias("m")).first()["m"]
             if now == seen:

@@ -185,6 +185,7 @@ def _near_components(scratch: Scratch, docs: DataFrame, k: int, percent: int, ba
     sketched = scratch.written(hashed.mapInArrow(sketch, "id bigint, n_shingles bigint, fingerprint binary, signature binary"), "sketches")
     nodes = sketched.where("id is not null and fingerprint is not null").groupBy("fingerprint").agg(F.min(F.struct("id", "signature")).alias("first"), F.first("n_shingles").alias("n_shingles"))
     signed = scratch.written(nodes.select("first.id", "first.signature", "n_shingles", "fingerprint"), "nodes")
+    count = signed.count()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +196,8 @@ def _near_components(scratch: Scratch, docs: DataFrame, k: int, percent: int, ba
             yield pa.record_batch([pa.array(np.repeat(ids, bands)), pa.array(state.ravel().view(np.int64))], names=["id", "bucket"])
 
     placed = signed.select("id", "signature").mapInArrow(keyed, "id bigint, bucket bigint")
-    shared = scratch.written(placed.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")).where("n > 1"), "shared")
-    met = scratch.written(placed.join(shared, "bucket"), "buckets")
+    shared = scratch.written(placed.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")).where("n > 1"), "shared", bands * count)
+    met = scratch.written(placed.join(shared, "bucket"), "buckets", bands * count)
 
     # each node of a bucket against the bucket's smallest one
     pairs = met.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
@@ -208,7 +209,7 @@ def _near_components(scratch: Scratch, docs: DataFrame, k: int, percent: int, ba
             yield batch.select([0, 1]).take(pa.array(plausible(one, other, needed)))
 
     likely = scratch.written(pairs.join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "sa", "sb").mapInArrow(prune, "a bigint, b bigint"), "likely")
-    ends = scratch.written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    ends = scratch.written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends", count)
     sets = scratch.written(_sets(docs, k, ends), "sets")
     whole = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m{x}"))
 
@@ -219,7 +220,7 @@ def _near_components(scratch: Scratch, docs: DataFrame, k: int, percent: int, ba
 
     links = scratch.written(likely.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "ma", "mb").mapInArrow(verify, "a bigint, b bigint"), "links")
     parts = connected_components(links, scratch.written)
-    more = _across(scratch, docs, met.where("n > 2"), parts, signed, k, percent, needed, hashes)
+    more = _across(scratch, docs, met.where("n > 2"), parts, signed, k, percent, needed)
     parts = connected_components(links.unionByName(more), scratch.written) if more.limit(1).count() else parts
 
     # documents without words meet nobody, so they needn't meet in a task either
@@ -268,19 +269,20 @@ def _in_tiles(rows: DataFrame, run, schema: str, names: list[str]) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile", "own", "id").mapInArrow(compare, schema)
 
 
-def _across(scratch: Scratch, docs: DataFrame, met: DataFrame, parts: DataFrame, signed: DataFrame, k: int, percent: int, needed, hashes: int) -> DataFrame:
+def _across(scratch: Scratch, docs: DataFrame, met: DataFrame, parts: DataFrame, signed: DataFrame, k: int, percent: int, needed) -> DataFrame:
     """Links between nodes of different components that share a bucket (columns a, b)."""
+    rows = met.count()
     once = met.groupBy("n", "who").agg(F.min("bucket").alias("bucket"))  # buckets with the same nodes are one
     here = met.select("bucket", "id", "n").join(once.select("bucket"), "bucket", "left_semi").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    here = scratch.written(here.select("bucket", "id", "n", F.coalesce("component", "id").alias("component")), "met")
+    here = scratch.written(here.select("bucket", "id", "n", F.coalesce("component", "id").alias("component")), "met", rows)
     mixed = here.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    here = scratch.written(here.join(mixed, "bucket", "left_semi"), "mixed")
+    here = scratch.written(here.join(mixed, "bucket", "left_semi"), "mixed", rows)
 
     # by signatures: which nodes have a plausible partner in another component
     laid = _tiled(here, F.ceil(F.count(F.lit(1)) / TILE)).join(signed.select("id", "signature"), "id").select("tile", "bucket", "id", "component", "own", "signature")
     alike = _in_tiles(laid, lambda rows: _tile_suspects(rows, needed), "bucket bigint, id bigint", ["bucket", "id"])
-    alike = scratch.written(alike.distinct().join(here.select("bucket", "id", "component"), ["bucket", "id"]).join(signed.select("id", "n_shingles"), "id"), "suspects")
-    ends = scratch.written(alike.select("id").distinct(), "suspect-ids")
+    alike = scratch.written(alike.distinct().join(here.select("bucket", "id", "component"), ["bucket", "id"]).join(signed.select("id", "n_shingles"), "id"), "suspects", rows)
+    ends = scratch.written(alike.select("id").distinct(), "suspect-ids", rows)
 
     # by their sets: which pairs of these are linked
     laid = _tiled(alike, F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n_shingles") * 8 / TILE_BYTES)))

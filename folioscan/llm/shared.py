@@ -3,9 +3,6 @@ intermediate tables and small column helpers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,34 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.sources.shared import new_path as scratch_path
+
 #: The white space that separates words, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 #: Maps ASCII capitals to small letters in UTF-8 bytes; other bytes are kept.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_own_scratch: str | None = None
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the setting is absent in a local session, as in tests, a temporary
-    folder of this machine stands in; on a cluster that would be lost to others.
-    """
-    global _own_scratch
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if _own_scratch is None or not os.path.isdir(_own_scratch):
-        _own_scratch = tempfile.mkdtemp(prefix="folioscan-")
-    return f"file://{_own_scratch}"
-
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the scratch folder."""
-    return f"{scratch_dir(spark)}/folioscan/{name}-{uuid.uuid4().hex}"
+#: Files of a table whose rows are known to be few, and rows in a file of a larger one.
+LEAST_FILES, FILE_ROWS = 8, 250_000
 
 
 def written(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
@@ -73,10 +52,11 @@ class Scratch:
         self.paths.append(scratch_path(self.spark, name))
         return self.paths[-1]
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written as Parquet, and read until the run ends."""
+    def written(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df`` written as Parquet, and read until the run ends. With ``rows``, about
+        as many as there are, small tables make few files."""
         path = self.path(name)
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))).write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def drop_before(self, n: int) -> None:
@@ -94,10 +74,12 @@ class Scratch:
 
 def small_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
     """``df`` in a session of its own in which Python functions get batches of some
-    ``size`` bytes at most (one row may be larger). The caller's session stays as it is."""
+    ``size`` bytes at most (one row may be larger), and in which a job's shuffle files go
+    when it ends, since its results are written. The caller's session stays as it is."""
     spark = df.sparkSession
     clone = spark._jsparkSession.cloneSession()
     clone.conf().set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    clone.conf().set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     jvm = spark._jvm.org.apache.spark.sql.classic.Dataset
     return DataFrame(jvm.ofRows(clone, df._jdf.queryExecution().analyzed()), SparkSession(spark.sparkContext, clone))
 

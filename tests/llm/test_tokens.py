@@ -281,7 +281,6 @@ def brute_shards(points, leaves):
 def test_shards_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
     monkeypatch.setattr(sharding, "MOST_BUCKETS", 16)  # several rounds of histograms
-    monkeypatch.setattr(sharding, "WRITTEN_LEVELS", 2)
     rng = random.Random(12)
     rows = [(k, "x" * rng.randint(0, 90) + str(k % 170), rng.choice(["source-a", "source-b", "src9", None]), rng.choice(["en", "de", None])) for k in range(400)]
     rows += [(1000 + k, "copy " * 9, "hot", "en") for k in range(200)]
