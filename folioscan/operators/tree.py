@@ -76,17 +76,28 @@ def flatten_files(tree: DataFrame, roots: list[str]) -> DataFrame:
 
 def file_nav(files: DataFrame) -> DataFrame:
     """For each file of ``flatten_files``: full_path, next_file, prev_file, round the
-    ends, within its target and on to the next target's files."""
-    order = Window.partitionBy("target").orderBy("key", "full_path")
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = files.groupBy("target").agg(F.min(F.struct("key", "full_path")).alias("a"), F.max(F.struct("key", "full_path")).alias("z"))
-    # targets are few: their order is made in one partition, the files' order in one each
+    ends, within its target and on to the next target's files.
+
+    A folder's own files follow each other, so files are put in order folder by folder,
+    and folders by their first file; a task holds the files of one folder, or one row
+    for each folder of a target.
+    """
+    files = files.withColumn("folder", F.slice("key", F.lit(1), F.size("key") - 2))
+    folders = files.groupBy("target", "folder").agg(F.min(F.struct("key", "full_path")).alias("a"), F.max(F.struct("key", "full_path")).alias("z"), F.count(F.lit(1)).alias("n"))
+    ends = folders.groupBy("target").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.sum("n").alias("of_target"))
+    # targets are few: their order is made in one partition
     ring = Window.orderBy("a")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("target", F.coalesce(F.lead("a.full_path").over(ring), F.first("a.full_path").over(whole)).alias("after"), F.coalesce(F.lag("z.full_path").over(ring), F.last("z.full_path").over(whole)).alias("before"))
-    return files.join(F.broadcast(ends), "target").select(
-        "full_path", F.coalesce(F.lead("full_path").over(order), "after").alias("next_file"), F.coalesce(F.lag("full_path").over(order), "before").alias("prev_file"),
-        (F.row_number().over(order)).cast("bigint").alias("k"), F.count(F.lit(1)).over(every).alias("of_target"),
+    ends = ends.select("target", "of_target", F.coalesce(F.lead("a.full_path").over(ring), F.first("a.full_path").over(whole)).alias("after"), F.coalesce(F.lag("z.full_path").over(ring), F.last("z.full_path").over(whole)).alias("before"))
+    order = Window.partitionBy("target").orderBy("a")
+    folders = folders.join(F.broadcast(ends), "target").select(
+        "target", "folder", "of_target", F.coalesce(F.lead("a.full_path").over(order), "after").alias("after"), F.coalesce(F.lag("z.full_path").over(order), "before").alias("before"),
+        (F.sum("n").over(order) - F.col("n")).alias("earlier"),
+    )
+    own = Window.partitionBy("target", "folder").orderBy("key", "full_path")
+    return files.join(folders, ["target", "folder"]).select(
+        "full_path", F.coalesce(F.lead("full_path").over(own), "after").alias("next_file"), F.coalesce(F.lag("full_path").over(own), "before").alias("prev_file"),
+        (F.row_number().over(own) + F.col("earlier")).cast("bigint").alias("k"), "of_target",
     )
 
 

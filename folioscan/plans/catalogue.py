@@ -126,6 +126,8 @@ gaps AS (SELECT file_path, unnest(h) AS h, unnest(g[1:len(h)]) AS g, generate_su
     _snippets("th?n*on"),
 )
 
+_query("search_skip_highlights", f"WITH {sql.CORPUS} SELECT file_path, 0::BIGINT AS fragment FROM corpus WHERE false", lambda spark, d: search.snippets(documents_corpus(spark, d), "than", SearchOptions(max_results=20, skip_highlights=True)).select("file_path", "fragment"))
+
 # searches by postings ---------------------------------------------------
 
 _indexes: dict[tuple[str, str], tuple[index.Index, index.Index]] = {}
@@ -248,6 +250,16 @@ _query(
     lambda spark, d: preview.highlight_nav(preview.preview(documents_corpus(spark, d), "than")).select("file_path", "line_no", text.highlight_position(F.col("line_no"), F.col("k"), F.col("total")).alias("shown")),
 )
 
+_query(
+    "preview_nfc", f"WITH {sql.preview([('É', '&#201;')])} {_LINES}",
+    # decomposed letters, which the preview composes again before it looks for the word
+    lambda spark, d: preview.preview(documents_corpus(spark, d).withColumn("content", F.regexp_replace(F.regexp_replace("content", "é", "e\u0301"), "É", "E\u0301")), "E\u0301"),
+)
+_query(
+    "preview_messages", f"WITH {sql.CORPUS} SELECT file_path, 1::BIGINT AS line_no, CASE doc_id % 3 WHEN 0 THEN '[プレビュー不可]' WHEN 1 THEN '[エラー] boom' ELSE 'plain' END AS content, false AS has_match FROM corpus",
+    lambda spark, d: preview.preview(documents_corpus(spark, d).select("file_path", F.when(F.col("doc_id") % 3 == 2, "plain").alias("content"), F.when(F.col("doc_id") % 3 == 1, "boom").alias("error")), ""),
+)
+
 # trees and listings -----------------------------------------------------
 
 _NODE = "target, full_path, parent_path, name, is_folder, depth, file_path, file_size, file_count"
@@ -261,6 +273,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _query("tree_nodes", f"{_TREE} SELECT {_NODE} FROM tree", lambda spark, d: _tree(spark, d).select(*_NODE.split(", ")))
 _query("tree_counts", f"{_TREE} SELECT full_path, file_count FROM tree WHERE is_folder", lambda spark, d: _tree(spark, d).where("is_folder").select("full_path", "file_count"))
 _query("tree_chat", f"WITH {sql.tree(['/chat'], 'chat')} SELECT full_path, parent_path, depth, file_count FROM tree", lambda spark, d: tree.build_tree(chat_corpus(spark, d), ["/chat"]).select("full_path", "parent_path", "depth", "file_count"))
+_query("tree_empty", f"{_TREE} SELECT full_path, file_count FROM tree WHERE false", lambda spark, d: tree.build_tree(documents_corpus(spark, d).where("file_size < 0"), ROOTS).select("full_path", "file_count"))
 _query("tree_bucket_targets", f"{_TREE} SELECT target, count(*) AS files FROM placed GROUP BY target", lambda spark, d: tree.bucket_targets(documents_corpus(spark, d), ROOTS).groupBy("target").agg(F.count(F.lit(1)).alias("files")))
 _query(
     "tree_sorted", f"{_TREE} SELECT full_path, row_number() OVER (PARTITION BY target, parent_path ORDER BY is_folder DESC, upper(name), name, full_path) AS place FROM tree",
@@ -373,7 +386,8 @@ _files: dict[tuple[str, str], str] = {}
 
 def _tree_of_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder with the documents of sources 1 to 3 as files, made once for a session:
-    some in system folders, some with extensions that nothing reads, some broken."""
+    some in system folders, some with extensions that nothing reads, some broken, some
+    in UTF-16 or with a byte-order mark."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _files:
         root = new_path(spark, "files")
@@ -391,8 +405,9 @@ def _write_files(root: str, rows) -> None:
     files, path = pafs.FileSystem.from_uri(root)
     for row in rows:
         files.create_dir((path + row["path"]).rpartition("/")[0], recursive=True)
+        kind = {".json": "utf-16", ".csv": "utf-8-sig"}.get("." + row["path"].rpartition(".")[2], "utf-8")
         with files.open_output_stream(path + row["path"], compression=None) as out:
-            out.write((row["text"] or "").encode())
+            out.write((row["text"] or "").encode(kind))
 
 
 _KIND = "CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.exe' WHEN 3 THEN '.docx' WHEN 4 THEN '' WHEN 5 THEN '.json' ELSE '.csv' END"
@@ -410,7 +425,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, [f"{root}/src1", f"{root}/src2", f"{root}/src3", f"{root}/none"])
 
 
-_query("scan_files", f"WITH {_ON_DISK} SELECT path, strlen(content)::BIGINT AS length FROM tree", lambda spark, d: _scanned(spark, d).select(_below().alias("path"), "length"))
+_query("scan_files", f"WITH {_ON_DISK} SELECT path, (CASE ext WHEN '.json' THEN 2 + 2 * len(content) WHEN '.csv' THEN 3 + strlen(content) ELSE strlen(content) END)::BIGINT AS length FROM tree", lambda spark, d: _scanned(spark, d).select(_below().alias("path"), "length"))
 _query(
     "extract_files", f"WITH {_ON_DISK} SELECT path, CASE WHEN ext <> '.docx' THEN content END AS content, ext = '.docx' AS failed FROM tree",
     lambda spark, d: extract(_scanned(spark, d)).withColumnRenamed("file_path", "path").select(_below().alias("path"), "content", F.col("error").isNotNull().alias("failed")),
