@@ -19,10 +19,8 @@ from folioscan.llm.shared import Scratch, written
 
 #: Sums that the histograms of a level send to the driver at most, and buckets of a node.
 MOST_SUMS, MOST_BUCKETS = 1 << 17, 1 << 13
-#: Leaves of one tree: a level's nodes are told apart in one expression.
-MOST_LEAVES = 512
-#: Levels after which rows are written with their nodes.
-WRITTEN_LEVELS = 5
+#: Leaves of one tree, whose nodes the driver holds.
+MOST_LEAVES = 1 << 16
 #: A node's median is exact to this share of a leaf's bytes.
 TOLERANCE = 0.0005
 
@@ -66,11 +64,11 @@ def _numbered(scratch: Scratch, rows: DataFrame, order: list[Column]) -> DataFra
     return placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("number", F.col("at") + F.col("start")).drop("part", "start", "at")
 
 
-def _table(like: DataFrame, rows: list[tuple[int, int]], *names: str) -> DataFrame:
-    """A small table of numbers."""
+def _table(like: DataFrame, rows: list[tuple], *names: str) -> DataFrame:
+    """A small table of 64-bit numbers and nulls."""
     if not rows:
         return like.sparkSession.createDataFrame([], ", ".join(f"{n} long" for n in names))
-    values = ", ".join("(" + ", ".join(f"{x}L" for x in r) + ")" for r in rows)
+    values = ", ".join("(" + ", ".join("bigint(null)" if x is None else f"bigint('{x}')" for x in r) + ")" for r in rows)
     return like.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
@@ -95,21 +93,20 @@ def kd_shards(docs: DataFrame, leaves: int = 24, id_col: str = "doc_id", text_co
 
 def _kd_shards(scratch: Scratch, docs: DataFrame, leaves: int, id_col: str, text_col: str, leaf_bytes: int | None) -> DataFrame:
     points = scratch.written(_points(scratch, docs, id_col, text_col), "shard-points")
-    about = points.agg(F.sum("size").alias("bytes"), *[(F.max(d).cast("double") - F.min(d).cast("double")).alias(d) for d in DIMENSIONS]).first()
+    about = points.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *[(F.max(d).cast("double") - F.min(d).cast("double")).alias(d) for d in DIMENSIONS]).first()
     if leaf_bytes is not None:
         leaves = max(1, -(-(about["bytes"] or 0) // leaf_bytes))
     if leaves > MOST_LEAVES:
         raise ValueError(f"{leaves} leaves at once; shard into {MOST_LEAVES} at most, then shard these")
-    nodes, level = {0: leaves}, 0  # first leaf of a node -> its leaves
+    nodes = {0: leaves}  # first leaf of a node -> its leaves
     while splitting := {first: n for first, n in nodes.items() if n > 1}:
-        # a row's node follows from the cuts above it; every few levels it is written down
-        points, level = (scratch.written(points, "shard-level") if level == WRITTEN_LEVELS else points), level % WRITTEN_LEVELS + 1
         cuts = _cuts(points, splitting, [float(about[d] or 0) for d in DIMENSIONS])
-        moved = F.col("node")
-        for first, n in splitting.items():
-            dim, bound = cuts[first]
-            moved = F.when(F.col("node") == first, F.when(_before_or_at(dim, bound), first).otherwise(first + n // 2)).otherwise(moved)
-        points = points.withColumn("node", moved.cast("int"))
+        bounds = _table(points, [(first, DIMENSIONS.index(cuts[first][0]), *cuts[first][1], first + n // 2) for first, n in splitting.items()], "node", "dim", "v", "t", "o", "right")
+        moved = points.join(F.broadcast(bounds), "node", "left")
+        x, tie, own = _coordinate(F.col("dim")), F.col("tie"), F.col("own")
+        left = (x < F.col("v")) | ((x == F.col("v")) & ((tie < F.col("t")) | ((tie == F.col("t")) & (own <= F.col("o")))))
+        moved = moved.withColumn("node", F.when(left | F.col("right").isNull(), F.col("node")).otherwise(F.col("right")).cast("int"))
+        points = scratch.written(moved.select(*points.columns), "shard-level", about["n"])
         nodes = {k: v for first, n in nodes.items() for k, v in ({first: n} if n == 1 else {first: n // 2, first + n // 2: n - n // 2}).items()}
     points = _numbered(scratch, points.select("id", "size", "crc", "tie", F.col("node").alias("shard")), [F.col("shard"), F.col("id").asc_nulls_first(), F.col("tie"), F.col("crc")])
     sizes = sorted(points.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -119,16 +116,20 @@ def _kd_shards(scratch: Scratch, docs: DataFrame, leaves: int, id_col: str, text
     )
 
 
-def _before_or_at(dim: str, bound: tuple[int, int, int]) -> Column:
-    """Whether a row comes no later than ``bound`` by (dimension, text's hash, own hash)."""
-    v, t, o = (F.lit(x) for x in bound)
-    d, tie, own = F.col(dim), F.col("tie"), F.col("own")
-    return (d < v) | ((d == v) & ((tie < t) | ((tie == t) & (own <= o))))
+def _coordinate(number: Column) -> Column:
+    """The dimension of that number, or the text's hash (4) or own hash (5) of a row."""
+    out = F.lit(None).cast("long")
+    for k, name in enumerate((*DIMENSIONS, "tie", "own")):
+        out = F.when(number == k, F.col(name)).otherwise(out)
+    return out
 
 
 def _cuts(points: DataFrame, splitting: dict[int, int], spans: list[float]) -> dict[int, tuple[str, tuple[int, int, int]]]:
-    """For each node its widest dimension and the last place of its left part."""
-    here = points.where(F.col("node").isin(list(splitting)))
+    """For each node its widest dimension and the last place of its left part.
+
+    What is looked for in each node goes to the rows as a table of a row for each node,
+    and the sums of its buckets come back."""
+    here = points.join(F.broadcast(_table(points, [(k,) for k in splitting], "node")), "node")
     # one pass for the spreads of all nodes, then one for each round of histograms
     made = here.groupBy("node").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), *[f(d).alias(f"{f.__name__}_{d}") for d in (*DIMENSIONS, "tie", "own") for f in (F.min, F.max)]).collect()
     state = {}
@@ -138,27 +139,25 @@ def _cuts(points: DataFrame, splitting: dict[int, int], spans: list[float]) -> d
         n = splitting[r["node"]]
         state[r["node"]] = {"dim": dim, "level": 0, "lo": r[f"min_{dim}"], "hi": r[f"max_{dim}"], "want": r["bytes"] * (n // 2) / n, "slack": TOLERANCE * r["bytes"] / n, "fixed": [], "tie": (r["min_tie"], r["max_tie"]), "own": (r["min_own"], r["max_own"])}
     done: dict[int, tuple[str, tuple[int, int, int]]] = {node: ("d0", (0, 0, 0)) for node in splitting if node not in state}
-    low, high, buckets = -(1 << 63), (1 << 63) - 1, min(MOST_BUCKETS, MOST_SUMS // max(1, len(splitting)))
+    low, high, buckets = -(1 << 63), (1 << 63) - 1, max(4, min(MOST_BUCKETS, MOST_SUMS // max(1, len(splitting))))
     while open_ := {k: s for k, s in state.items() if k not in done}:
-        bucket, wanted = F.lit(None).cast("int"), F.lit(False)
+        wanted = []
         for k, s in open_.items():
-            column = (s["dim"], "tie", "own")[s["level"]]
-            inside = (F.col("node") == k) & F.col(column).between(s["lo"], s["hi"])
-            for c, v in zip((s["dim"], "tie"), s["fixed"]):
-                inside &= F.col(c) == v
-            width = max(1, -(-(s["hi"] - s["lo"] + 1) // buckets))
-            s["width"] = width
-            # differences of 64-bit numbers may pass 64 bits: decimals hold them
-            offset = (F.col(column).cast("decimal(20,0)") - F.lit(s["lo"]).cast("decimal(20,0)")) if s["level"] or s["hi"] - s["lo"] > high else F.col(column) - F.lit(s["lo"])
-            bucket = F.when(inside, F.floor(offset / F.lit(width)).cast("int")).otherwise(bucket)
-            wanted |= inside
-        sums: dict[int, list[tuple[int, int]]] = {k: [] for k in open_}
-        for r in here.where(wanted).select("node", bucket.alias("b"), "size").groupBy("node", "b").agg(F.sum("size").alias("w")).collect():
-            sums[r["node"]].append((r["b"], r["w"]))
+            s["width"] = max(1, -(-(s["hi"] - s["lo"] + 1) // buckets))
+            fixed = [*s["fixed"], None, None][:2]
+            wanted.append((k, DIMENSIONS.index(s["dim"]), s["level"] and s["level"] + 3, *fixed, s["lo"], s["hi"], s["width"]))
+        told = points.join(F.broadcast(_table(points, wanted, "node", "dim", "level", "f0", "f1", "lo", "hi", "width")), "node")
+        x = _coordinate(F.when(F.col("level") == 0, F.col("dim")).otherwise(F.col("level")))
+        told = told.where(x.between(F.col("lo"), F.col("hi")) & (F.col("f0").isNull() | (_coordinate(F.col("dim")) == F.col("f0"))) & (F.col("f1").isNull() | (F.col("tie") == F.col("f1"))))
+        # differences of 64-bit numbers may pass 64 bits: decimals hold them
+        told = told.select("node", "size", "width", (x.cast("decimal(20,0)") - F.col("lo").cast("decimal(20,0)")).alias("offset")).withColumn("b", F.expr("offset div width"))
+        sums: dict[int, list[tuple[int, int, int]]] = {k: [] for k in open_}
+        for r in told.groupBy("node", "b").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect():
+            sums[r["node"]].append((r["b"], r["w"], r["n"]))
         for k, s in open_.items():
             total, chosen = 0, None
-            for b, w in sorted(sums[k]):
-                chosen = (b, w)
+            for b, w, n in sorted(sums[k]):
+                chosen = (b, w, n)
                 if total + w > s["want"]:
                     break
                 total += w
@@ -167,12 +166,12 @@ def _cuts(points: DataFrame, splitting: dict[int, int], spans: list[float]) -> d
             if chosen is None:  # all of the interval lies to the left
                 done[k] = _bound(s, s["hi"], low, high)
                 continue
-            b, w = chosen
+            b, w, n = chosen
             lo = s["lo"] + b * s["width"]
             hi = min(s["hi"], lo + s["width"] - 1)
             s["want"] -= total
-            if min(s["want"], w - s["want"]) <= s["slack"]:
-                done[k] = _bound(s, hi if w - s["want"] < s["want"] else lo - 1, low, high)
+            if n == 1 or min(s["want"], w - s["want"]) <= s["slack"]:  # the bucket goes to the nearer side as a whole
+                done[k] = _bound(s, hi if 2 * s["want"] >= w else lo - 1, low, high)
             elif lo < hi:
                 s["lo"], s["hi"] = lo, hi
             elif s["level"] < 2:  # one value holds the median: go on by the next part of the order
