@@ -72,6 +72,14 @@ class Scratch:
         self.drop_before(0)
 
 
+def scans_files(df: DataFrame) -> bool:
+    """Whether ``df`` only projects or filters the rows of files, which come the same again."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
 def small_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
     """``df`` in a session of its own in which Python functions get batches of some
     ``size`` bytes at most (one row may be larger), and in which a job's shuffle files go

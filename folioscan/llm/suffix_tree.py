@@ -32,41 +32,68 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.shared import Scratch, lists, shuffle_partitions, small_batches, word_hashes, written
+from folioscan.llm.shared import Scratch, lists, scans_files, shuffle_partitions, small_batches, word_hashes, written
 
 #: Symbols in a block; a longer text is a block of its own.
 BLOCK = 2_000_000
 #: The end's hash, and the steps in one natural unit in which a parent's chance is sent.
 END, STEPS = 0, 8
+#: Tasks in which blocks are followed.
+MOST_TASKS = 1 << 16
+PACKED = pa.Codec("zstd", compression_level=1)
 MOVED = "shard int, block bigint, data binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in few bytes: their bytes by place, compressed."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], dtype=np.int64)
-    raw = b"".join([head.tobytes(), *(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Arrays of numbers from 0 on in few bytes: no wider than their largest number, their
+    bytes by place, compressed."""
+    narrow = [a.astype(np.min_scalar_type(a.max(initial=0)), copy=False) for a in arrays]
+    head = np.array([len(narrow), *(x for a in narrow for x in (a.dtype.itemsize, len(a)))], dtype=np.int64)
+    raw = b"".join([head.tobytes(), *(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in narrow)])
+    return len(raw).to_bytes(8, "little") + PACKED.compress(raw, asbytes=True)
 
 
 def unpack(data: bytes | memoryview, *kinds: type) -> list[np.ndarray]:
-    """The arrays of ``pack``, of these types."""
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    """The arrays of ``pack``, as these types."""
+    raw = PACKED.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     sizes, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).tolist(), 8 + 16 * n, []
     for kind, size, length in zip(kinds, sizes[::2], sizes[1::2]):
         planes = np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"u{size}").astype(kind))
         at += size * length
     return out
 
 
+def _steps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ascending runs of numbers, which begin at ``starts``, as differences."""
+    out = np.diff(values, prepend=0)
+    out[starts] = values[starts]
+    return out
+
+
+def _climbed(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The numbers of ``_steps``."""
+    total = np.cumsum(steps)
+    return total - np.repeat(total[starts] - steps[starts], np.diff(np.append(starts, len(steps)))) if len(steps) else total
+
+
 def _joined(parts: list[list[np.ndarray]], kinds: tuple) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds)]
 
 
 def _shard(ids: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of words (hashes) or contexts (numbers)."""
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
+    """The shard of words (hashes) or contexts (numbers), in as few bytes as it takes."""
+    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return (spread % np.uint64(shards)).astype(np.min_scalar_type(shards))
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct code, in the codes' order, and the number of each code."""
+    found, inverse = np.unique(codes, return_inverse=True)
+    place = np.empty(len(found), dtype=np.int64)
+    place[inverse] = np.arange(len(codes))  # whichever comes last
+    return place, inverse
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
@@ -108,8 +135,11 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, l
 class Block:
     """A block's texts: the local number of each symbol, and what the levels answered."""
 
-    #: What a level answers: for each string its count and number (0 where it occurs too
-    #: rarely to be a context), for each context its occurrences and kinds (0: left out).
+    #: What is answered about words: counts and numbers.
+    WORDS = (np.int64, np.int64)
+    #: What is answered about a level: for each string its count, and for each that occurs
+    #: often enough to be a context its rank in the shard, as steps; for each context its
+    #: occurrences and kinds (0: left out).
     ANSWERS = (np.int64, np.int64, np.int64, np.int64)
 
     def __init__(self, folder: str, block: int, shards: int):
@@ -118,9 +148,18 @@ class Block:
         self.sizes, self.in_training = sizes, np.repeat(self.train, sizes)
         self.starts = np.cumsum(sizes) - sizes
 
-    def by_word(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The counts and numbers of the block's words, from the shards' answers in order."""
-        answers = _joined([unpack(p, np.int64, np.int64) for p in parts], (np.int64, np.int64))
+    def answer(self, level: int, least: int) -> tuple[np.ndarray, ...]:
+        """What the shards answered to a level: counts, numbers (0 where a string occurs too
+        rarely to be a context), and the occurrences and kinds of contexts."""
+        parts, often, n, ranks, seen, kinds = unpack(_got(self.folder, f"{self.block}-{level}.bin"), *[np.int64] * 6)
+        number, some = np.zeros(len(n), np.int64), n >= least
+        parts, often = parts[often > 0], often[often > 0]
+        number[some] = _climbed(ranks, np.cumsum(often) - often) * self.shards + np.repeat(parts, often) + 1
+        return n, number, seen, kinds
+
+    def by_word(self) -> tuple[np.ndarray, np.ndarray]:
+        """The counts and numbers of the block's words, which come in the order of shards."""
+        answers = unpack(_got(self.folder, f"{self.block}-0.bin"), *Block.WORDS)
         order = np.argsort(_shard(self.words, self.shards), kind="stable")
         out = [np.zeros(len(self.words), np.int64) for _ in answers]
         for x, answer in zip(out, answers):
@@ -134,21 +173,25 @@ class Block:
         out[self.starts] = 0
         return out
 
-    def level(self, local: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, ...]:
+    def level(self, local: np.ndarray, contexts: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, ...]:
         """The distinct strings of a level. ``contexts`` has the number of each symbol's
-        context or 0, ``local`` the block's own number of it. Returns the places of
-        symbols with a context; for each its string; and for the strings, ordered by
-        shard and context, a first place and the start of each context."""
+        context or 0, ``local`` the block's own number of it, ``ranks`` the order of words.
+        Returns the places of symbols with a context; for each its string; and for the
+        strings, ordered by shard, context and word, a first place and the start of each
+        context."""
         places = np.flatnonzero(contexts)
-        codes = local[places] * np.int64(len(self.words) + 1) + self.at[places]
-        _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        number = np.zeros(int(local.max(initial=0)) + 1, np.int64)
+        number[local[places]] = contexts[places]
+        used = np.flatnonzero(number)
+        own, number = _shard(number[used], self.shards).astype(np.int64), number[used]
+        bits = int(number.max(initial=0)).bit_length()
+        order = np.argsort((own << bits) | number) if bits + self.shards.bit_length() < 63 else np.lexsort((number, own))
+        rank = np.zeros(int(local.max(initial=0)) + 1, np.int64)
+        rank[used[order]] = np.arange(len(used))
+        first, string = _distinct(rank[local[places]] * np.int64(len(self.words)) + ranks[self.at[places]])
         first = places[first]
-        order = np.argsort(_shard(contexts[first], self.shards), kind="stable")  # contexts stay together
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        first = first[order]
         own = contexts[first]
-        return places, rank[inverse], first, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        return places, string, first, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
 
 
 def _blocks(folder: str, shards: int) -> Callable:
@@ -170,6 +213,10 @@ def _blocks(folder: str, shards: int) -> Callable:
         end, train = np.array([END], np.uint64), np.array([t for _, _, t in held])
         sizes = np.array([len(w) + 1 for _, w, _ in held], np.int64)
         words, at = np.unique(np.concatenate([x for _, w, _ in held for x in (w, end)]), return_inverse=True)
+        often = np.argsort(-np.bincount(at), kind="stable")  # frequent words get small numbers, which take few bytes
+        rank = np.empty(len(words), np.int64)
+        rank[often] = np.arange(len(words))
+        words, at = words[often], rank[at]
         table = pa.table({"id": pa.concat_arrays([i for i, _, _ in held])})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
@@ -179,7 +226,7 @@ def _blocks(folder: str, shards: int) -> Callable:
         counts = np.bincount(at[np.repeat(train, sizes)], minlength=len(words))
         own = _shard(words, shards)
         order = np.argsort(own, kind="stable")
-        cuts = np.flatnonzero(np.diff(own[order], prepend=-1)).tolist()
+        cuts = np.flatnonzero(np.diff(own[order].astype(np.int64), prepend=-1)).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             yield _rows([own[order[a]]], [block], [pack(words[order[a:b]], counts[order[a:b]])])
 
@@ -224,39 +271,75 @@ def _judged_contexts(shards: int, least: int, prior: float) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _groups(batches, "shard"):
-            asked = [(block, unpack(data, *sent)) for block, data in rows if data is not None]
+            asked = [(block, _heard(unpack(data, *sent))) for block, data in rows if data is not None]
             yield from (_rows([shard], [block], [None]) for block, data in rows if data is None)
             contexts, sizes, words, counts, chances = _joined([a for _, a in asked], sent)
             _, at = np.unique(contexts, return_inverse=True)
-            _, word = np.unique(words, return_inverse=True)
-            codes, first, inverse = np.unique(np.repeat(at, sizes) * np.int64(len(words) + 1) + word, return_index=True, return_inverse=True)
-            of = codes // np.int64(len(words) + 1)
-            n, parent = np.bincount(inverse, counts, minlength=len(codes)).astype(np.int64), np.exp(chances[first] / -STEPS)
+            every, most = np.repeat(at, sizes), words.max(initial=0) + 1
+            first, inverse = _distinct(every * most + words)
+            of = every[first]
+            n, parent = np.bincount(inverse, counts, minlength=len(first)).astype(np.int64), np.exp(chances[first] / -STEPS)
             kinds_of = int(of[-1]) + 1 if len(of) else 0
             total, kinds = np.bincount(of, n, minlength=kinds_of).astype(np.int64), np.bincount(of, n > 0, minlength=kinds_of).astype(np.int64)
             kinds[~((total >= least) & diverges(n, of, total, kinds, parent, prior))] = 0
-            often = n >= least
-            number = np.where(often, (np.cumsum(often) - 1) * shards + shard + 1, 0)
+            rank = np.cumsum(n >= least) - 1
+            n = np.where(kinds[of] > 0, n, np.minimum(n, least))  # where a context is left out, counts are not used
+            total[kinds == 0] = 0
             string = context = 0
             for block, (own, own_sizes, own_words, _, _) in asked:
                 s, c = inverse[string : string + len(own_words)], at[context : context + len(own)]
                 string, context = string + len(s), context + len(c)
-                yield _rows([shard], [block], [pack(n[s], number[s], total[c], kinds[c])])
+                ranks = rank[s][n[s] >= least]
+                yield _rows([shard], [block], [pack(n[s], _steps(ranks, np.arange(min(1, len(ranks)))), total[c], kinds[c])])
+
+    return run
+
+
+def _told(contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, chances: np.ndarray) -> bytes:
+    """What a block asks of a shard: contexts and the words after each ascend."""
+    return pack(_steps(contexts, np.arange(min(1, len(contexts)))), sizes, _steps(words, np.cumsum(sizes) - sizes), counts, chances)
+
+
+def _heard(asked: list[np.ndarray]) -> list[np.ndarray]:
+    contexts, sizes, words, counts, chances = asked
+    return [np.cumsum(contexts), sizes, _climbed(words, np.cumsum(sizes) - sizes), counts, chances]
+
+
+def _stored(folder: str, level: int) -> Callable:
+    """The shards' answers to a level of each block, to a file of the block."""
+    kinds = Block.ANSWERS if level else Block.WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _groups(batches, "block"):
+            if number < 0:
+                sums = np.sum([np.frombuffer(data, np.int64) for _, data in rows], axis=0).tolist()
+                yield _counts([number], [sums[0]], [sums[1]])
+                continue
+            told = [(shard, unpack(data, *kinds)) for shard, data in rows if data is not None]
+            parts = [np.array([shard for shard, _ in told], np.int64), np.array([len(x[1]) for _, x in told], np.int64)] if level else []
+            _put(folder, f"{number}-{level}.bin", pack(*parts, *_joined([x for _, x in told], kinds)))
+            yield _counts([number], [0], [0])
 
     return run
 
 
-def _levels(block: Block, answers: list[bytes], depth: int, total: int, distinct: int, least: int, prior: float):
-    """Follow a block through the levels that were answered. Returns the counts of its
-    words, the chance of each symbol so far and, of the next level, what ``Block.level``
-    returns with its contexts and the words' numbers."""
-    counts, numbers = unpack(answers[0], np.int64, np.int64)
+def _counts(block: list, total: list, distinct: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, pa.int64()) for x in (block, total, distinct)], names=["block", "total", "distinct"])
+
+
+def _levels(block: Block, answered: int, total: int, distinct: int, least: int, prior: float):
+    """Follow a block through the levels that were answered. Returns the counts, numbers
+    and order of its words, the chance of each symbol so far and, of the next level, the
+    numbers of contexts and the block's own."""
+    counts, numbers = block.by_word()
+    ranks = np.empty(len(numbers), np.int64)
+    ranks[np.argsort(numbers)] = np.arange(len(numbers))
     chance = (counts[block.at] + 1) / (total + distinct + 1)
     contexts = block.after(np.where(counts >= least, numbers, 0)[block.at])
     local = block.after(block.at.astype(np.int64))
-    for answer in answers[1:]:
-        places, string, _, starts = block.level(local, contexts)
-        n, number, seen, kinds = unpack(answer, *Block.ANSWERS)
+    for level in range(1, answered + 1):
+        places, string, _, starts = block.level(local, contexts, ranks)
+        n, number, seen, kinds = block.answer(level, least)
         context = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))[string]
         kept = kinds[context] > 0
         smooth = prior * kinds[context][kept]
@@ -264,54 +347,53 @@ def _levels(block: Block, answers: list[bytes], depth: int, total: int, distinct
         following, own = np.zeros(len(block.at), np.int64), np.zeros(len(block.at), np.int64)
         following[places], own[places] = number[string], string
         contexts, local = block.after(following), block.after(own)
-    level = block.level(local, contexts) if len(answers) <= depth else None
-    return counts, numbers, chance, contexts, level
+    return counts, numbers, ranks, chance, contexts, local
 
 
-def _answered(folder: str, shards: int, level: int, number: int, rows: list) -> tuple[Block, list[bytes]]:
-    """A block and the answers to its levels so far, the last of which is kept beside it."""
-    parts = [data for _, data in rows if data is not None]
-    block = Block(folder, number, shards)
-    answer = pack(*block.by_word(parts)) if not level else pack(*_joined([unpack(p, *Block.ANSWERS) for p in parts], Block.ANSWERS))
-    _put(folder, f"{block.block}-{level}.bin", answer)
-    return block, [*(_got(folder, f"{block.block}-{k}.bin") for k in range(level)), answer]
-
-
-def _asked(folder: str, shards: int, level: int, depth: int, total: int, distinct: int, least: int, prior: float) -> Callable:
-    """The answers to a level of each block, to what it asks about the next one."""
+def _asked(folder: str, shards: int, level: int, total: int, distinct: int, least: int, prior: float) -> Callable:
+    """Blocks to what they ask about the strings of a level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in _groups(batches, "block"):
-            block, answers = _answered(folder, shards, level, number, rows)
-            _, numbers, chance, contexts, (places, string, first, starts) = _levels(block, answers, depth, total, distinct, least, prior)
-            n = np.bincount(string, block.in_training[places], minlength=len(first)).astype(np.int64)
-            steps = np.minimum(np.rint(-np.log(chance[first]) * STEPS), 255).astype(np.uint8)
-            own = _shard(contexts[first[starts]], shards)
-            cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
-            yield _rows([number % shards], [number], [None])  # a block that asks nothing goes on, too
-            for a, b in zip(cuts, [*cuts[1:], len(starts)]):
-                lo, hi = starts[a], starts[b] if b < len(starts) else len(first)
-                sizes = np.diff(np.append(starts[a:b], hi))
-                yield _rows([own[a]], [number], [pack(contexts[first[starts[a:b]]], sizes, numbers[block.at[first[lo:hi]]], n[lo:hi], steps[lo:hi])])
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                yield from ask(number)
+
+    def ask(number: int) -> Iterator[pa.RecordBatch]:
+        block = Block(folder, number, shards)
+        _, numbers, ranks, chance, contexts, local = _levels(block, level - 1, total, distinct, least, prior)
+        places, string, first, starts = block.level(local, contexts, ranks)
+        n = np.bincount(string, block.in_training[places], minlength=len(first)).astype(np.int64)
+        steps = np.minimum(np.rint(-np.log(chance[first]) * STEPS), 255).astype(np.uint8)
+        own = _shard(contexts[first[starts]], shards)
+        cuts = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1)).tolist()
+        yield _rows([number % shards], [number], [None])  # a block that asks nothing goes on, too
+        for a, b in zip(cuts, [*cuts[1:], len(starts)]):
+            lo, hi = starts[a], starts[b] if b < len(starts) else len(first)
+            sizes = np.diff(np.append(starts[a:b], hi))
+            yield _rows([own[a]], [number], [_told(contexts[first[starts[a:b]]], sizes, numbers[block.at[first[lo:hi]]], n[lo:hi], steps[lo:hi])])
 
     return run
 
 
 def _scored(folder: str, shards: int, depth: int, total: int, distinct: int, least: int, prior: float) -> Callable:
-    """The answers to the last level of each block, to the scores of its texts."""
+    """Blocks to the scores of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in _groups(batches, "block"):
-            block, answers = _answered(folder, shards, depth, number, rows)
-            counts, _, chance, _, _ = _levels(block, answers, depth, total, distinct, least, prior)
-            ids = pa.ipc.open_stream(_got(folder, f"{number}.arrow")).read_all().column("id").combine_chunks()
-            own, whole = counts[block.at], np.full(len(block.sizes), total, np.int64)
-            known = np.add.reduceat((own > 0).astype(np.int64), block.starts)
-            base, score = (np.add.reduceat(np.log10(x), block.starts) for x in ((own + 1) / (total + distinct + 1), chance))
-            yield pa.record_batch(
-                [ids, pa.array(~block.train), pa.array(block.sizes), pa.array(known), pa.array(whole), pa.array(base), pa.array(score)],
-                names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                yield score(number)
+
+    def score(number: int) -> pa.RecordBatch:
+        block = Block(folder, number, shards)
+        counts, _, _, chance, _, _ = _levels(block, depth, total, distinct, least, prior)
+        ids = pa.ipc.open_stream(_got(folder, f"{number}.arrow")).read_all().column("id").combine_chunks()
+        own, whole = counts[block.at], np.full(len(block.sizes), total, np.int64)
+        known = np.add.reduceat((own > 0).astype(np.int64), block.starts)
+        base, score = (np.add.reduceat(np.log10(x), block.starts) for x in ((own + 1) / (total + distinct + 1), chance))
+        return pa.record_batch(
+            [ids, pa.array(~block.train), pa.array(block.sizes), pa.array(known), pa.array(whole), pa.array(base), pa.array(score)],
+            names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
     return run
 
@@ -329,29 +411,29 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     text counts as empty: one end. Null ids are kept, rows that repeat an id are
     scored each, further columns are ignored. Without training texts every token has
     the one chance there is, 1. No rows give no rows. A text of any length is held in
-    memory as a whole, as 8 bytes for each word. The answer is written, and what it
-    took is deleted.
+    memory as a whole, as 8 bytes for each word. Rows that don't come straight from files
+    are written first, so that a task that runs again makes the same blocks. The answer is
+    written, and what it took is deleted.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("words"), F.coalesce(train, F.lit(True)).alias("train"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     shards = shuffle_partitions(docs.select(text_col))
     with Scratch(docs.sparkSession) as blocks, Scratch(docs.sparkSession) as scratch:
-        folder, rows = blocks.path("suffix-tree"), small_batches(rows)
-
-        def to_shards(asked: DataFrame, run: Callable, name: str) -> DataFrame:
-            """What the shards answer, written so that no level is counted twice."""
-            return scratch.written(asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block").mapInArrow(run, MOVED), name)
-
-        def by_block(answers: DataFrame) -> DataFrame:
-            return answers.where("block >= 0").repartition(shards, "block").sortWithinPartitions("block", "shard")
-
-        answers = to_shards(rows.mapInArrow(_blocks(folder, shards), MOVED), _counted_words(shards), "suffix-level")
-        found = [np.frombuffer(r["data"], np.int64) for r in answers.where("block = -1").select("data").toLocalIterator()]  # two numbers a shard
-        total, distinct = (int(sum(x[k] for x in found)) for k in range(2))
-        for level in range(depth):
-            asked = by_block(answers).mapInArrow(_asked(folder, shards, level, depth, total, distinct, least, prior), MOVED)
-            answers = to_shards(asked, _judged_contexts(shards, least, prior), "suffix-level")
-            scratch.drop_before(1)
+        if not scans_files(rows):
+            rows = blocks.written(rows, "texts")
+        folder, rows = blocks.path("suffix-tree"), small_batches(rows.select("id", word_hashes(F.col("text")).alias("words"), "train"))
+
+        def answered(asked: DataFrame, judge: Callable, level: int) -> DataFrame:
+            """The blocks, when the shards' answers to a level lie beside each."""
+            told = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block").mapInArrow(judge, MOVED)
+            back = told.repartition(shards, "block").sortWithinPartitions("block", "shard")
+            return scratch.written(back.mapInArrow(_stored(folder, level), "block bigint, total bigint, distinct bigint"), "suffix-blocks")
+
+        found = answered(rows.mapInArrow(_blocks(folder, shards), MOVED), _counted_words(shards), 0)
+        total, distinct = (found.where("block = -1").select("total", "distinct").first() or (0, 0))[:2]
+        found, number = found.where("block >= 0").select("block"), min(MOST_TASKS, max(1, found.count() - 1))
+        for level in range(1, depth + 1):
+            answered(found.repartition(number).mapInArrow(_asked(folder, shards, level, total, distinct, least, prior), MOVED), _judged_contexts(shards, least, prior), level)
         schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-        scored = by_block(answers).mapInArrow(_scored(folder, shards, depth, total, distinct, least, prior), schema)
+        scored = found.repartition(number).mapInArrow(_scored(folder, shards, depth, total, distinct, least, prior), schema)
         return written(scored.withColumnRenamed("id", id_col), "scores", docs.sparkSession)
