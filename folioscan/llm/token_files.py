@@ -238,6 +238,8 @@ def write_token_files(
     found = dealt.mapInArrow(write, "shard int, docs bigint, ids bigint").collect()
     if found:
         files.create_dir(os.path.dirname(path), recursive=True)
+        if files.get_file_info(path).type != pafs.FileType.NotFound:
+            files.delete_dir(path)  # it is empty
         files.move(_files(folder)[1], path)
     return sorted((r["shard"], r["docs"], r["ids"]) for r in found)
 

@@ -100,6 +100,26 @@ def test_near_components_against_brute_force(spark, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
+def test_near_components_in_many_tiles(spark, monkeypatch):
+    """Buckets of several components, parts of few nodes and bytes, and one very long text among them."""
+    monkeypatch.setattr(near_dedup, "TILE", 6)
+    monkeypatch.setattr(near_dedup, "TILE_BYTES", 4000)
+    rng = random.Random(21)
+    base = [f"w{n}" for n in range(60)]
+    rows = []
+    for k in range(90):  # a drifting chain: neighbours are alike, distant ones only share some words
+        base[rng.randrange(60)] = f"x{k}"
+        rows.append(" ".join(base))
+    long = [f"w{n % 60}y{n}" for n in range(6000)]
+    rows += [" ".join(long), " ".join([*long[:-40], *(f"z{n}" for n in range(40))]), " ".join(base[:30])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for percent in (85, 93):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(docs, k=3, percent=percent, bands=48, rows=3).collect()}
+        assert got == brute_components(rows, 3, percent)
+
+
 def test_near_components_on_messy_rows(spark):
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_components(messy(spark), k=3, percent=85).collect()}
     assert got[1, 1] == (1, True) and got[9, 1] == (1, False) and got[3, 0] == (3, True) and got[4, 0] == (4, True) and got[6, 5] == (5, False) and got[None, 1] == (None, False)
@@ -142,6 +162,26 @@ def test_quality_rules(spark):
     assert quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_of_very_long_lines(spark):
+    line = "Some words of one line that never ends, " * 40_000
+    rows = [(1, line), (2, line + "."), (3, "| " * 500_000 + "."), (4, "A" * 1_000_000)]
+    got = {r.doc_id: r.quality for r in quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].n_words == 320_000 and got[1].base_failed and got[2].cleaned == line + "." and got[3].cleaned == "" and got[4].cleaned == "" and got[3].n_symbols == 500_000
+
+
+def test_lines_of_menus_and_notices(spark):
+    from pyspark.sql import functions as F
+
+    from folioscan.llm.quality import line_passes
+
+    lines = {
+        "He found it in the catalog inside.": True, "Please log in.": False, "We use cookies here.": False, "Cookiesheets are made of steel.": True, "Mentions légales.": False, "Das Impressum.": False,
+        "Home · News · About · More.": False, "This is a long sentence · with marks between its parts · as some poets like it · when they write much text into one line.": True, "A | B.": False, "Plain words here.": True,
+    }
+    found = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_passes(F.col("line")).alias("ok")).collect()
+    assert {r.line: r.ok for r in found} == lines
+
+
 def test_repeated_words_against_brute_force(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(300)]

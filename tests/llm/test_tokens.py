@@ -60,6 +60,13 @@ def test_byte_bpe_query(spark, reference):
     assert byte_bpe.byte_bpe_round_trip(documents(spark, texts).limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_repeated_rows_and_ties(spark, reference):
+    rows = [(1, "than it"), (1, "than it"), (1, None), (None, "than"), (None, "é" * 40_000)]
+    docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id bigint, text string, n_tokens int")
+    got = Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in byte_bpe.byte_bpe_round_trip(docs, RANKS, P.PATTERN).collect())
+    assert got == Counter((i, len(reference.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+
+
 def test_memory_of_words_is_bounded():
     memo = byte_bpe.Memo(lambda x: x * 2, 10)
     assert [memo[k % 37] for k in range(1000)] == [k % 37 * 2 for k in range(1000)] and len(memo) + len(memo.old) <= 10
@@ -468,6 +475,12 @@ def test_odd_pages(spark):
     assert extract_main_text(docs.limit(0)).count() == 0
 
 
+def test_repeated_pages_and_ties(spark):
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (1, None, "<p>b</p>"), (None, "u", None)]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, "u", "a", 1), (1, "u", "a", 1), (1, None, "b", 1), (None, "u", "", 0)])
+
+
 def test_articles_of_the_test_pages(spark):
     """The generator's pages mark their article; its blocks are what must come out."""
     import html
