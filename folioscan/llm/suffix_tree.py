@@ -40,7 +40,7 @@ BLOCK = 2_000_000
 END, STEPS = 0, 8
 #: Tasks in which blocks are followed.
 MOST_TASKS = 1 << 16
-PACKED = pa.Codec("zstd", compression_level=1)
+PACKED = pa.Codec("zstd", compression_level=3)
 MOVED = "shard int, block bigint, data binary"
 
 
@@ -82,10 +82,16 @@ def _joined(parts: list[list[np.ndarray]], kinds: tuple) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds)]
 
 
-def _shard(ids: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of words (hashes) or contexts (numbers), in as few bytes as it takes."""
-    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    return (spread % np.uint64(shards)).astype(np.min_scalar_type(shards))
+def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of words (hashes), in as few bytes as it takes."""
+    return (((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)).astype(np.min_scalar_type(shards))
+
+
+def _shard(numbers: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of contexts. A context's number says which shard it comes from and its
+    rank there; ranks that follow each other go to different shards, and in a shard
+    the rank alone tells contexts apart."""
+    return ((numbers - 1) // shards + (numbers - 1) % shards) % shards
 
 
 def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +150,7 @@ class Block:
 
     def __init__(self, folder: str, block: int, shards: int):
         self.folder, self.block, self.shards = folder, block, shards
-        self.words, self.at, sizes, self.train = unpack(_got(folder, f"{block}.bin"), np.uint64, np.uint32, np.int64, np.bool_)
+        self.by_shard, self.at, sizes, self.train = unpack(_got(folder, f"{block}.bin"), np.int64, np.uint32, np.int64, np.bool_)
         self.sizes, self.in_training = sizes, np.repeat(self.train, sizes)
         self.starts = np.cumsum(sizes) - sizes
 
@@ -160,10 +166,9 @@ class Block:
     def by_word(self) -> tuple[np.ndarray, np.ndarray]:
         """The counts and numbers of the block's words, which come in the order of shards."""
         answers = unpack(_got(self.folder, f"{self.block}-0.bin"), *Block.WORDS)
-        order = np.argsort(_shard(self.words, self.shards), kind="stable")
-        out = [np.zeros(len(self.words), np.int64) for _ in answers]
+        out = [np.zeros(len(self.by_shard), np.int64) for _ in answers]
         for x, answer in zip(out, answers):
-            x[order] = answer
+            x[self.by_shard] = answer
         return out[0], out[1]
 
     def after(self, numbers: np.ndarray) -> np.ndarray:
@@ -183,12 +188,12 @@ class Block:
         number = np.zeros(int(local.max(initial=0)) + 1, np.int64)
         number[local[places]] = contexts[places]
         used = np.flatnonzero(number)
-        own, number = _shard(number[used], self.shards).astype(np.int64), number[used]
+        own, number = _shard(number[used], self.shards), number[used]
         bits = int(number.max(initial=0)).bit_length()
         order = np.argsort((own << bits) | number) if bits + self.shards.bit_length() < 63 else np.lexsort((number, own))
         rank = np.zeros(int(local.max(initial=0)) + 1, np.int64)
         rank[used[order]] = np.arange(len(used))
-        first, string = _distinct(rank[local[places]] * np.int64(len(self.words)) + ranks[self.at[places]])
+        first, string = _distinct(rank[local[places]] * np.int64(len(self.by_shard)) + ranks[self.at[places]])
         first = places[first]
         own = contexts[first]
         return places, string, first, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
@@ -222,10 +227,10 @@ def _blocks(folder: str, shards: int) -> Callable:
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
         _put(folder, f"{block}.arrow", sink.getvalue().to_pybytes())
-        _put(folder, f"{block}.bin", pack(words, at.astype(np.uint32), sizes, train))
         counts = np.bincount(at[np.repeat(train, sizes)], minlength=len(words))
-        own = _shard(words, shards)
+        own = _word_shard(words, shards)
         order = np.argsort(own, kind="stable")
+        _put(folder, f"{block}.bin", pack(order, at, sizes, train))
         cuts = np.flatnonzero(np.diff(own[order].astype(np.int64), prepend=-1)).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             yield _rows([own[order[a]]], [block], [pack(words[order[a:b]], counts[order[a:b]])])
@@ -277,6 +282,8 @@ def _judged_contexts(shards: int, least: int, prior: float) -> Callable:
             _, at = np.unique(contexts, return_inverse=True)
             every, most = np.repeat(at, sizes), words.max(initial=0) + 1
             first, inverse = _distinct(every * most + words)
+            trained = np.flatnonzero(counts)
+            first[inverse[trained]] = trained  # only these say how likely they are
             of = every[first]
             n, parent = np.bincount(inverse, counts, minlength=len(first)).astype(np.int64), np.exp(chances[first] / -STEPS)
             kinds_of = int(of[-1]) + 1 if len(of) else 0
@@ -296,7 +303,7 @@ def _judged_contexts(shards: int, least: int, prior: float) -> Callable:
 
 
 def _told(contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, chances: np.ndarray) -> bytes:
-    """What a block asks of a shard: contexts and the words after each ascend."""
+    """What a block asks of a shard: contexts (ranks) and the words after each ascend."""
     return pack(_steps(contexts, np.arange(min(1, len(contexts)))), sizes, _steps(words, np.cumsum(sizes) - sizes), counts, chances)
 
 
@@ -363,14 +370,14 @@ def _asked(folder: str, shards: int, level: int, total: int, distinct: int, leas
         _, numbers, ranks, chance, contexts, local = _levels(block, level - 1, total, distinct, least, prior)
         places, string, first, starts = block.level(local, contexts, ranks)
         n = np.bincount(string, block.in_training[places], minlength=len(first)).astype(np.int64)
-        steps = np.minimum(np.rint(-np.log(chance[first]) * STEPS), 255).astype(np.uint8)
+        steps = np.where(n > 0, np.minimum(np.rint(-np.log(chance[first]) * STEPS), 255), 0).astype(np.uint8)
         own = _shard(contexts[first[starts]], shards)
-        cuts = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1)).tolist()
+        cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
         yield _rows([number % shards], [number], [None])  # a block that asks nothing goes on, too
         for a, b in zip(cuts, [*cuts[1:], len(starts)]):
             lo, hi = starts[a], starts[b] if b < len(starts) else len(first)
             sizes = np.diff(np.append(starts[a:b], hi))
-            yield _rows([own[a]], [number], [_told(contexts[first[starts[a:b]]], sizes, numbers[block.at[first[lo:hi]]], n[lo:hi], steps[lo:hi])])
+            yield _rows([own[a]], [number], [_told((contexts[first[starts[a:b]]] - 1) // shards, sizes, numbers[block.at[first[lo:hi]]], n[lo:hi], steps[lo:hi])])
 
     return run
 
@@ -424,10 +431,12 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         folder, rows = blocks.path("suffix-tree"), small_batches(rows.select("id", word_hashes(F.col("text")).alias("words"), "train"))
 
         def answered(asked: DataFrame, judge: Callable, level: int) -> DataFrame:
-            """The blocks, when the shards' answers to a level lie beside each."""
-            told = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block").mapInArrow(judge, MOVED)
-            back = told.repartition(shards, "block").sortWithinPartitions("block", "shard")
-            return scratch.written(back.mapInArrow(_stored(folder, level), "block bigint, total bigint, distinct bigint"), "suffix-blocks")
+            """The blocks, when the shards' answers to a level lie beside each. The answers
+            are written before they are dealt to blocks, when the questions are gone."""
+            with Scratch(docs.sparkSession) as answers:
+                told = answers.written(asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block").mapInArrow(judge, MOVED), "suffix-answers")
+                back = told.repartition(shards, "block").sortWithinPartitions("block", "shard")
+                return scratch.written(back.mapInArrow(_stored(folder, level), "block bigint, total bigint, distinct bigint"), "suffix-blocks")
 
         found = answered(rows.mapInArrow(_blocks(folder, shards), MOVED), _counted_words(shards), 0)
         total, distinct = (found.where("block = -1").select("total", "distinct").first() or (0, 0))[:2]
