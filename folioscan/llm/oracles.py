@@ -54,6 +54,25 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM d LEFT JOIN size USING (doc_id) JOIN comp USING (doc_id)
 """
 
+_WINNOWING = r"""
+WITH split AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM split),
+item AS (SELECT id::VARCHAR AS item, w, least(len(w), 10) AS m FROM w WHERE side = 'i' AND len(w) > 0),
+win AS (SELECT DISTINCT item, m, w[i + 1:i + m] AS g FROM (SELECT item, w, m, unnest(range(0, len(w) - m + 1)) AS i FROM item)),
+place AS (
+  SELECT id, i, m, w[i + 1:i + m] AS g
+  FROM (SELECT id, w, m, unnest(range(0, len(w) - m + 1)) AS i FROM (SELECT * FROM w, (SELECT DISTINCT m FROM item) WHERE side = 'd' AND len(w) >= m))),
+hit AS (SELECT place.id, place.i, win.m, win.item FROM place JOIN win ON place.g = win.g),
+covered AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT id, i, m FROM hit)) GROUP BY id),
+listed AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM hit) GROUP BY id)
+SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(listed.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed.items, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN covered ON covered.id = w.id LEFT JOIN listed ON listed.id = w.id WHERE side = 'd'
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -61,4 +80,5 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """,
     "op9_near_dedup": _NEAR,
     "op10_quality_rules": _QUALITY,
+    "op11_winnowing": _WINNOWING,
 }
