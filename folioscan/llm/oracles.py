@@ -73,6 +73,39 @@ SELECT w.id AS doc_id, len(w.w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGI
 FROM w LEFT JOIN covered ON covered.id = w.id LEFT JOIN listed ON listed.id = w.id WHERE side = 'd'
 """
 
+#: Table of the CRC-32, made by its rule, as the first part of a WITH.
+_CRC_TABLE = """crc AS MATERIALIZED (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8, given table crc."""
+    octets = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+_SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+run AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents)),
+once AS (SELECT doc_id, r, count(*) AS n FROM run WHERE length(r) >= 5 GROUP BY doc_id, r),
+hashed AS (SELECT r, n, {_crc32("(doc_id || ':' || r)")} AS h FROM once, crc),
+spelled AS (SELECT CASE WHEN h % 97 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, length(word) AS size, i, word[1:i] || word[i + 2:] AS rest FROM (SELECT *, unnest(range(0, length(word))) AS i FROM words)),
+pair AS (
+  SELECT less.word AS a, less.n AS na, words.word AS b, words.n AS nb FROM less JOIN words ON less.rest = words.word
+  UNION SELECT words.word, words.n, less.word, less.n FROM less JOIN words ON less.rest = words.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.size = y.size AND x.word <> y.word),
+best AS (SELECT a, count(*) AS n_near, max(nb) AS top FROM pair GROUP BY a),
+form AS (SELECT pair.a, min(b) AS form, min(nb) AS form_n FROM pair JOIN best ON best.a = pair.a AND nb = top WHERE nb >= 2 * na GROUP BY pair.a),
+way AS (SELECT word, word AS up FROM words UNION ALL SELECT way.word, form.form FROM way JOIN form ON form.a = way.up),
+root AS (SELECT word, up AS root FROM way WHERE up NOT IN (SELECT a FROM form))
+SELECT word, form, root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM words LEFT JOIN best ON best.a = word LEFT JOIN form ON form.a = word JOIN root USING (word)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -81,4 +114,5 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     "op9_near_dedup": _NEAR,
     "op10_quality_rules": _QUALITY,
     "op11_winnowing": _WINNOWING,
+    "op12_spelling_variants": _SPELLING,
 }

@@ -17,6 +17,7 @@ from folioscan.llm.near_dedup import near_components
 from folioscan.llm.quality import quality_rules
 from folioscan.llm.sharding import kd_shards
 from folioscan.llm.shared import Scratch, written
+from folioscan.llm.spelling import spelling_variants, word_counts
 from folioscan.llm.suffix_tree import score_documents
 from folioscan.llm.token_counts import TokenLedger, changes, counted
 from folioscan.llm.token_files import token_round_trip
@@ -102,6 +103,21 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of five letters and three occurrences.
+
+    Where 97 divides the CRC-32 of a document's id and a word, the word lacks a letter there.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = F.filter(F.split("text", r"[^A-Za-z\u00C0-\u00FF]+"), lambda w: F.length(w) >= 5)
+    each = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    each = each.select("id", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("run"))
+    each = each.select("run", F.crc32(F.concat_ws(":", "id", "run").cast("binary")).alias("h"))
+    place = (F.col("h") % F.length("run")).cast("int")
+    spelled = F.when(F.col("h") % 97 == 0, F.concat(F.substring(F.col("run"), F.lit(1), place), F.substring(F.col("run"), place + 2, F.length("run")))).otherwise(F.col("run"))
+    return spelling_variants(word_counts(each, F.array(spelled), least_chars=5, least_count=3), times=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mix_sources": op2_mix_sources,
@@ -114,4 +130,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_winnowing": op11_winnowing,
+    "op12_spelling_variants": op12_spelling_variants,
 }

@@ -6,7 +6,11 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from folioscan.llm import spelling
 from folioscan.llm.decontaminate import decontaminate
+from folioscan.llm.spelling import neighbours, spelling_variants, word_counts
 
 
 def plain_words(text):
@@ -74,3 +78,57 @@ def test_decontaminate_of_odd_tables(spark):
     assert answers(decontaminate(docs, items)) == [(1, 2, ((0, 2),), 2, ("1",))]
     assert answers(decontaminate(docs, items.limit(0))) == [(1, 2, (), 0, ())]
     assert decontaminate(docs.limit(0), items).count() == 0
+
+
+def brute_near(words):
+    def edits(w):
+        letters = set("".join(words))
+        out = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        return out - {w}
+
+    return {w: edits(w) for w in words}
+
+
+def brute_variants(counts):
+    out, form = {}, {}
+    for w, edits in brute_near(set(counts)).items():
+        near = sorted((x for x in edits if x in counts), key=lambda x: (-counts[x], x))
+        form[w] = near[0] if near and counts[near[0]] >= 2 * counts[w] else None
+        out[w] = len(near)
+    root = {}
+    for w in counts:
+        root[w] = w
+        while form[root[w]]:
+            root[w] = form[root[w]]
+    return sorted((w, form[w], root[w], counts[w], out[w], counts.get(form[w])) for w in counts)
+
+
+def test_neighbours_are_all_edits_once():
+    for words in (["abba", "bab", "c", ""], ["äöü", "aaaa"], ["é" * 7]):
+        letters, made = "".join(sorted(set("".join(words)))), list(neighbours(words, "".join(sorted(set("".join(words))))))
+        assert len(made) == len(set(made)) and letters
+        assert {(words[i], s) for i, s in made} == {(w, s) for w, edits in brute_near(words).items() if w for s in edits}
+
+
+def test_neighbours_of_a_long_word_in_tiles(monkeypatch):
+    monkeypatch.setattr(spelling, "TILE", 64)
+    words = ["".join(random.Random(4).choices("abcdefgh", k=40)), "abcdefgh", "aabb"]
+    made = list(neighbours(words, "abcdefgh"))
+    assert len(made) == len(set(made)) and {(words[i], s) for i, s in made} == {(w, s) for w, edits in brute_near(words).items() for s in edits}
+
+
+def test_variants_against_brute_force(spark):
+    rng = random.Random(8)
+    counts = {"".join(rng.choices("abé", k=rng.randint(3, 7))): rng.choice([3, 3, 4, 6, 8, 16, 40]) for _ in range(500)}
+    counts |= {"chain" + "x" * i: 3 * 2**i for i in range(12)}  # forms lead from each to the next
+    found = spelling_variants(spark.createDataFrame([(w, n, "extra") for w, n in counts.items()], "word string, n bigint, root string"))
+    assert sorted(map(tuple, found.collect())) == brute_variants(counts)
+    assert found.where("word = 'chain'").first()["root"] == "chain" + "x" * 11
+
+
+def test_variants_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "word string, n bigint")
+    assert spelling_variants(empty).count() == 0
+    assert [tuple(r) for r in spelling_variants(spark.createDataFrame([("word", 3), (None, 4)], "word string, n bigint")).collect()] == [("word", None, "word", 3, 0, None)]
+    docs = spark.createDataFrame([(["aaaaa", "bbb", None], 1), (["aaaaa"], 1), (["aaaaa"], 2), (None, 3), ([], 4)], "xs array<string>, n int")
+    assert [tuple(r) for r in word_counts(docs, F.col("xs")).collect()] == [("aaaaa", 3)]
