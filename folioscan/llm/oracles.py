@@ -106,6 +106,30 @@ SELECT word, form, root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
 FROM words LEFT JOIN best ON best.a = word LEFT JOIN form ON form.a = word JOIN root USING (word)
 """
 
+_TRIE = rf"""
+WITH {_CRC_TABLE},
+own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+taken AS (SELECT conv_id, ts, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM own, crc),
+built AS (
+  SELECT taken.conv_id, list_concat(coalesce(own.ts[1:h], []), taken.ts[h + 1:]) AS ts
+  FROM taken LEFT JOIN own ON own.conv_id = taken.conv_id - taken.conv_id % 100),
+member AS (SELECT conv_id, d, len(ts) AS size, ts[1:d] AS p, ts FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM built)),
+node AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, length(any_value(ts[d].t)) AS chars,
+    coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE size = d), '') AS ends
+  FROM member GROUP BY p, d),
+kids AS (SELECT up.p, count(*) AS n FROM node JOIN node up ON node.d = up.d + 1 AND node.p[1:up.d] = up.p GROUP BY up.p),
+below AS (
+  SELECT up.p, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((node.n_convs - 1) * coalesce(node.chars, 0)) AS saved
+  FROM node LEFT JOIN kids k ON k.p = node.p JOIN (SELECT p, unnest(range(0, d + 1)) AS l FROM node) x ON x.p = node.p JOIN node up ON up.d = x.l AND up.p = node.p[1:x.l]
+  GROUP BY up.p)
+SELECT node.conv_id, node.d::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n_convs::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node LEFT JOIN node up ON node.d = up.d + 1 AND up.p = node.p[1:node.d - 1] LEFT JOIN kids ON kids.p = node.p JOIN below ON below.p = node.p
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -115,4 +139,5 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     "op10_quality_rules": _QUALITY,
     "op11_winnowing": _WINNOWING,
     "op12_spelling_variants": _SPELLING,
+    "op13_prefix_trie": _TRIE,
 }

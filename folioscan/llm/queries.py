@@ -14,6 +14,7 @@ from folioscan.llm.exact_dedup import exact_dedup
 from folioscan.llm.html_text import extract_main_text
 from folioscan.llm.mixing import mix_summary
 from folioscan.llm.near_dedup import near_components
+from folioscan.llm.prefix_trie import marked_turns, prefix_trie, spliced
 from folioscan.llm.quality import quality_rules
 from folioscan.llm.sharding import kd_shards
 from folioscan.llm.shared import Scratch, written
@@ -118,6 +119,16 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(each, F.array(spelled), least_chars=5, least_count=3), times=2)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt to begin as the one at its hundred
+    does, for as many turns as the CRC-32 of its id says."""
+    conv = F.col("conv_id")
+    with Scratch(spark) as scratch:
+        turns = scratch.written(marked_turns(_table(spark, sf_dir, "conversations")), "turns")
+        convs, rebuilt = spliced(turns, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, most=5)
+        return prefix_trie(convs, rebuilt)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mix_sources": op2_mix_sources,
@@ -131,4 +142,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_winnowing": op11_winnowing,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }

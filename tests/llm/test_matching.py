@@ -1,8 +1,10 @@
 """Decontamination, spelling variants and the prefix trie against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import pytest
 
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from folioscan.llm import spelling
 from folioscan.llm.decontaminate import decontaminate
+from folioscan.llm.prefix_trie import marked_turns, prefix_trie, spliced
+from folioscan.llm.shared import written
 from folioscan.llm.spelling import neighbours, spelling_variants, word_counts
 
 
@@ -132,3 +136,63 @@ def test_variants_of_odd_tables(spark):
     assert [tuple(r) for r in spelling_variants(spark.createDataFrame([("word", 3), (None, 4)], "word string, n bigint")).collect()] == [("word", None, "word", 3, 0, None)]
     docs = spark.createDataFrame([(["aaaaa", "bbb", None], 1), (["aaaaa"], 1), (["aaaaa"], 2), (None, 3), ([], 4)], "xs array<string>, n int")
     assert [tuple(r) for r in word_counts(docs, F.col("xs")).collect()] == [("aaaaa", 3)]
+
+
+def brute_trie(rows):
+    convs = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            convs.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    convs = {c: [x[2:] for x in sorted(ts)] for c, ts in convs.items()}
+    built = {}
+    for c, ts in convs.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = tuple(convs.get(c - int(math.fmod(c, 100)), [])[:h] + ts[h:])
+    members = {}
+    for c in sorted(built):
+        for d in range(len(built[c]) + 1):
+            members.setdefault(built[c][:d], []).append(c)
+    children = {p: [q for q in members if len(q) == len(p) + 1 and q[:-1] == p] for p in members}
+
+    def below(p):
+        leaves, saved = (0, 0) if children[p] else (1, 0)
+        saved += (len(members[p]) - 1) * (len(p[-1][1]) if p else 0)
+        for q in children[p]:
+            more = below(q)
+            leaves, saved = leaves + more[0], saved + more[1]
+        return leaves, saved
+
+    ends = lambda p: hashlib.sha256(",".join(str(c) for c in members[p] if built[c] == p).encode()).hexdigest()
+    return sorted(((m[0], len(p), members[p[:-1]][0] if p else None, len(m), len(children[p]), *below(p), ends(p)) for p, m in members.items()), key=repr)
+
+
+def conversation_rows():
+    rng = random.Random(6)
+    rows = []
+    for c in [*range(140), 200, 205, 310]:
+        for t in range(rng.randint(1, 9)):
+            rows.append((c, t, rng.choice(["user", "assistant"]), rng.choice(["hi", "é" * 3, "", "more"])))
+    rows += [(c, t, "user", "same") for c in range(500, 560) for t in range(7)]  # copies
+    rows += [(1000 + i, t, "user", f"step {t}" if t <= i else f"own {i}") for i in range(14) for t in range(16)]  # chains on chains
+    rows += [(1, None, None, None), (1, 0, "user", "tie"), (1, 0, "user", "a tie"), (3, 2, None, "x"), (3, 2, None, "x"), (None, 1, "user", "lost"), (-5, 1, "user", "y"), (900, 0, "u", "t")]
+    rows += [(901, 0, "u", "t"), (902, 5, "u", "z" * 5000)]
+    return rows
+
+
+@pytest.mark.parametrize("block", [1 << 20, 3])
+def test_trie_against_brute_force(spark, block):
+    rows = conversation_rows()
+    turns = written(marked_turns(spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, depth string"), group_rows=block), "turns")
+    conv = F.col("conv_id")
+    convs, rebuilt = spliced(turns, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, most=5)
+    found = prefix_trie(convs, rebuilt, block=block)
+    assert found.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_trie(rows)
+
+
+def test_trie_without_conversations(spark):
+    turns = marked_turns(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))
+    convs, rebuilt = spliced(turns, F.col("conv_id"), F.lit(1), most=5)
+    assert prefix_trie(convs, rebuilt).count() == 0
+    alone = spark.createDataFrame([(7, 0)], "conv_id bigint, size bigint")
+    assert [tuple(r)[:7] for r in prefix_trie(alone, rebuilt).collect()] == [(7, 0, None, 1, 0, 1, 0)]
