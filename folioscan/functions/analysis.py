@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,9 @@ from folioscan import schema as S
 #: Words of letters, marks, digits and underscores, or any other visible character.
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
 
+#: Terms that are grouped together in a task's memory; one text may have more.
+GROUPED_TERMS = 1 << 20
+
 _analysers: dict[str, tuple[Callable[[Column], Column], Callable[[str], list[str]]]] = {}
 
 
@@ -139,24 +145,56 @@ def dictionary(posted: DataFrame, key: str = "file_path") -> DataFrame:
     return per_doc.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
 
 
-def term_counts(terms: Column) -> Column:
-    """The distinct terms of an array and how often each comes: sorted, equal terms stand
-    side by side, and the places at which a run begins tell how long it is."""
-    sorted_terms = lambda ts: F.element_at(F.transform(F.array(F.array_sort(ts)), runs), 1)
-
-    def runs(ts: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
-        return F.element_at(F.transform(F.array(first), lambda at: F.transform(at, lambda p, k: F.struct(F.get(ts, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ts)) - p).cast("bigint").alias("n")))), 1)
-
-    return F.when(F.size(terms) > 0, sorted_terms(terms))
+def _grouped(places: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (key, field, terms) to a row per distinct term: its number (freq), that of all
+    terms (length), and its places if asked for. Texts are grouped some at a time."""
+
+    def group(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("terms")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(ends)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        words = pc.dictionary_encode(lists.flatten())
+        # equal terms of a text side by side, in order of their places
+        mark = row * max(1, len(words.dictionary)) + words.indices.to_numpy()
+        order = np.argsort(mark, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(mark[order]) != 0][: len(order)])
+        at = row[order[first]]
+        made = {c: batch.column(c).take(pa.array(at)) for c in batch.schema.names if c != "terms"}
+        made |= {"term": words.dictionary.take(words.indices.take(pa.array(order[first]))), "freq": pa.array(np.diff(np.r_[first, len(order)]).astype(np.int32)), "length": pa.array(sizes[at].astype(np.int32))}
+        if places:
+            pos = np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], sizes)
+            made["positions"] = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)].astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+        return pa.record_batch(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held = 0, 0
+            for k, n in enumerate(np.diff(batch.column("terms").offsets.to_numpy()).tolist()):
+                held += n
+                if held >= GROUPED_TERMS:
+                    yield group(batch.slice(start, k + 1 - start))
+                    start, held = k + 1, 0
+            yield group(batch.slice(start))
+
+    return run
+
+
+def grouped_postings(docs: DataFrame, analyser: str = "unicode", key: str = "file_path", places: bool = True) -> DataFrame:
+    """One row per term, document and field: key, field, term, freq, length (terms of the
+    field), and positions (ascending, from 0) if asked for. Made within each document, so
+    nothing is shuffled."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(c), analyser).alias("terms")) for f, c in (("content", "content"), ("filename", "file_name"))])
+    each = docs.select(key, F.explode(fields).alias("x")).select(key, "x.field", "x.terms")
+    kind = docs.schema[key].dataType.simpleString()
+    return each.mapInArrow(_grouped(places), f"{key} {kind}, field string, term string, freq int, length int" + ", positions array<int>" * places)
 
 
 def dictionary_of(docs: DataFrame, analyser: str = "unicode") -> DataFrame:
     """``dictionary`` of documents: terms are counted in each text first, so one shuffle
     moves each task's distinct terms."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), term_counts(tokens(F.col(c), analyser)).alias("terms")) for f, c in (("content", "content"), ("filename", "file_name"))])
-    each = docs.select(F.explode(fields).alias("x")).select("x.field", F.explode("x.terms").alias("t"))
-    return each.groupBy("field", "t.term").agg(F.count(F.lit(1)).alias("df"), F.sum("t.n").alias("cf"))
+    docs = docs.withColumn("_key", F.lit(0))  # paths need not travel
+    return grouped_postings(docs, analyser, "_key", places=False).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("freq").alias("cf"))
 
 
 def wildcard_regex(pattern: str) -> str:

@@ -3,7 +3,8 @@
 A version is a list of segments. A segment is a folder with documents, their postings
 and dictionary, and the paths that it takes out of older segments, as Parquet; its
 dictionary counts what these held with negative signs. So an update writes what has
-changed, however large the index is, and ``compact`` makes one segment of all. A
+changed, however large the index is; segments of like size become one as they gather,
+and ``compact`` makes one segment of all. A
 version counts once its file in ``versions`` exists; the file is created without
 overwriting, so of two writers of one version only one succeeds, and a job that dies
 before it leaves the old version in force.
@@ -17,15 +18,17 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan import schema as S
-from folioscan.functions.analysis import dictionary, dictionary_of, postings
+from folioscan.functions.analysis import dictionary_of, grouped_postings
 from folioscan.functions.text import under_any
+from folioscan.operators.segments import DEAD, DICTIONARY, POSTINGS, Reader, blocks_of, bucket_of, grams_of, write_postings
 from folioscan.sources.extractors import Registry
-from folioscan.sources.files import extract, listing, scan
+from folioscan.sources.files import extract, listing, roots_of, scan
 
 
 def diff(index: DataFrame, disk: DataFrame, roots: list[str], reachable: list[str] | None = None) -> DataFrame:
@@ -74,42 +77,66 @@ def latest_changes(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.withColumn("_n", F.row_number().over(by)).where("_n = 1").select(key, "event_id", op.alias("op"), F.col("value"))
 
 
-POSTINGS = "file_path string, field string, term string, pos bigint, bucket int"
-DICTIONARY = "field string, term string, df bigint, cf bigint, bucket int"
-LENGTHS = "file_path string, length bigint"
-DEAD = "file_path string"
 #: Bytes of texts for each bucket of a segment's postings.
 BUCKET_BYTES = 64 << 20
+#: Segments of like size that make a larger one, and bytes that a path taken out counts for.
+FAN, DEAD_BYTES = 4, 64
 
 
-@contextmanager
-def reported(spark: SparkSession, progress: Callable[[dict], None] | None, seconds: float = 0.25) -> Iterator[None]:
-    """While the body runs, ``progress`` gets processed and total (tasks of the stages
-    that run), percent and text every so often, and once more at the end, when all is done."""
-    if progress is None:
-        yield
-        return
-    done, tracker, most = threading.Event(), spark.sparkContext.statusTracker(), [0]
-
-    def tell(processed: int, total: int) -> None:
-        percent = 100.0 * processed / total if total else 0.0
-        progress({"processed": processed, "total": total, "percent": percent, "text": f"{processed:,} / {total:,}"})
-
-    def watch() -> None:
-        while not done.wait(seconds):
-            stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x]
-            if stages:
-                most[0] = sum(x.numTasks for x in stages)
-                tell(sum(x.numCompletedTasks for x in stages), most[0])
-
-    thread = threading.Thread(target=watch, daemon=True)
-    thread.start()
-    try:
-        yield
-    finally:
-        done.set()
-        thread.join()
-    tell(most[0], most[0])
+def merge_from(sizes: list[int], fan: int = FAN) -> int | None:
+    """From which segment on all are to be one, given their sizes, oldest first; none yet
+    if that is no gain.
+
+    Tiers are powers of ``fan``; as soon as ``fan`` segments at the end are of the last
+    one's tier or below, they are merged, and what that makes may be merged in turn. So
+    there are less than ``fan`` for each tier.
+    """
+    bits = fan.bit_length() - 1
+    tier = lambda x: 0 if x <= 1 else (x - 1).bit_length() // bits
+    sizes, found = list(sizes), None
+    while True:
+        start = len(sizes)
+        while start and tier(sizes[start - 1]) <= tier(sizes[-1]):
+            start -= 1
+        if len(sizes) - start < fan:
+            return found
+        found, sizes[start:] = start, [sum(sizes[start:])]
+
+
+class Progress:
+    """Files read so far, of how many, and errors, as tasks end; ``tell`` gets them every
+    so often while the body of a with statement runs, and once more at its end.
+
+    A task that runs twice counts its files twice, so processed is held to the total."""
+
+    def __init__(self, spark: SparkSession, tell: Callable[[dict], None] | None, seconds: float = 0.25):
+        self.tell, self.seconds, self.total, self.began = tell, seconds, 0, time.monotonic()
+        self.read, self.failed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        self._done = threading.Event()
+        self._thread = threading.Thread(target=self._watch, daemon=True)
+
+    def now(self) -> dict:
+        """processed, total, percent, errors, elapsed_ms and text."""
+        processed, errors = min(self.read.value, self.total), self.failed.value
+        percent = 100.0 * processed / self.total if self.total else 0.0
+        text = f"{processed:,} / {self.total:,}" + (S.SKIPPED.format(errors) if errors else "")
+        return {"processed": processed, "total": self.total, "percent": percent, "errors": errors, "elapsed_ms": round((time.monotonic() - self.began) * 1000), "text": text}
+
+    def _watch(self) -> None:
+        while not self._done.wait(self.seconds):
+            self.tell(self.now())
+
+    def __enter__(self) -> Progress:
+        if self.tell:
+            self._thread.start()
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self._done.set()
+        if self.tell:
+            self._thread.join()
+            if kind is None:
+                self.tell(self.now())
 
 
 class Index:
@@ -118,6 +145,9 @@ class Index:
 
     def __init__(self, spark: SparkSession, root: str, analyser: str = "unicode", buckets: int = 16):
         self.spark, self.root, self.analyser, self.buckets = spark, root.rstrip("/"), analyser, buckets
+        self._named: set[str] = set()  # folders that versions written here name
+        self._tag: str | None = None
+        self._cancelled: frozenset[str] = frozenset()
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.root}/versions"))
 
@@ -144,150 +174,191 @@ class Index:
         versions = self.versions()
         return self._read(f"versions/{versions[-1]:08d}") if versions else None
 
+    def at(self, version: int | None = None) -> Reader:
+        """A reader of one version (else: the newest), whatever is written later."""
+        versions = self.versions()
+        if version is not None and version not in versions:
+            raise ValueError(f"there is no version {version}")
+        version = version or (versions[-1] if versions else 0)
+        entry = self._read(f"versions/{version:08d}") if version else {"segments": []}
+        return Reader(self.spark, version, entry["segments"], self.analyser)
+
+    @contextmanager
+    def lease(self, version: int | None = None, seconds: float = 3600) -> Iterator[Reader]:
+        """A reader whose files no vacuum deletes while the body runs, or for so many
+        seconds if it never ends."""
+        reader, name = self.at(version), f"leases/{uuid.uuid4().hex}"
+        self._put(name, {"version": reader.version, "until": time.time() + seconds})
+        try:
+            yield reader
+        finally:
+            self._fs.delete(self._path(f"{self.root}/{name}.json"), False)
+
+    def _leased(self) -> set[int]:
+        """The versions under a lease; leases that have ended are removed."""
+        path = self._path(f"{self.root}/leases")
+        names = [s.getPath().getName().removesuffix(".json") for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
+        leases = {n: self._read(f"leases/{n}") for n in names}
+        for name in [n for n, x in leases.items() if x["until"] < time.time()]:
+            self._fs.delete(self._path(f"{self.root}/leases/{name}.json"), False)
+        return {x["version"] for x in leases.values() if x["until"] >= time.time()}
+
     def segments(self) -> list[dict]:
-        """The segments of the newest version, oldest first: data (their folder), buckets."""
-        return (self._entry() or {"segments": []})["segments"]
-
-    def _of(self, part: str, schema, segments: list[dict]) -> DataFrame:
-        """A part of all segments, with the number of each row's segment (segment)."""
-        out = self.spark.createDataFrame([], schema).withColumn("segment", F.lit(0))
-        for k, x in enumerate(segments):
-            rows = self.spark.read.schema(schema).parquet(f"{x['data']}/{part}").withColumn("segment", F.lit(k))
-            out = rows if not k else out.unionByName(rows)
-        return out
-
-    def _live(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
-        """``rows`` (file_path, segment) that no later segment takes out."""
-        later = [{**x, "segment": k} for k, x in enumerate(segments) if x["dead"]]
-        if not later:
-            return rows
-        dead = None
-        for x in later:
-            gone = self.spark.read.schema(DEAD).parquet(f"{x['data']}/dead").select(F.col("file_path").alias("gone"), F.lit(x["segment"]).alias("by"))
-            dead = gone if dead is None else dead.unionByName(gone)
-        last = dead.groupBy("gone").agg(F.max("by").alias("by"))
-        return rows.join(last, (rows["file_path"] == last["gone"]) & (rows["segment"] < last["by"]), "left_anti")
+        """The segments of the newest version, oldest first: data (their folder), buckets,
+        dead (whether they take paths out of older ones), size, documents."""
+        return self.at().segments
 
     def docs(self) -> DataFrame:
         """The documents of the newest version; none if there is no version."""
-        segments = self.segments()
-        return self._live(self._of("docs", S.DOCS, segments), segments).drop("segment")
+        return self.at().docs()
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """The postings of the newest version, or of ``terms`` (field, term), whose buckets
-        alone are read then."""
-        segments, out = self.segments(), None
-        for k, x in enumerate(segments):
-            rows = self._of("postings", POSTINGS, [x]).withColumn("segment", F.lit(k))
-            if terms is not None:
-                rows = rows.join(terms.select("field", "term", self._bucket(x["buckets"]).alias("bucket")).distinct(), ["bucket", "field", "term"], "left_semi")
-            out = rows.unionByName(out) if out is not None else rows
-        return self._live(out if out is not None else self._of("postings", POSTINGS, []), segments).drop("segment")
+        """The places of the newest version's terms, or of ``terms`` (field, term), whose
+        buckets alone are read then."""
+        return self.at().postings(terms)
 
     def lengths(self) -> DataFrame:
         """file_path and length (terms of the content) of the documents with any."""
-        segments = self.segments()
-        return self._live(self._of("lengths", LENGTHS, segments), segments).drop("segment")
-
-    @staticmethod
-    def _bucket(buckets: int):
-        return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        return self.at().lengths()
 
     def dictionary(self) -> DataFrame:
         """The terms of the newest version: field, term, df, cf."""
-        segments = self.segments()
-        words = self._of("dictionary", DICTIONARY, segments)
-        if len(segments) < 2:
-            return words.select("field", "term", "df", "cf")
-        return words.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
+        return self.at().dictionary()
 
     def commit(self, docs: DataFrame, unchanged: DataFrame | None = None) -> int:
         """Write ``docs`` as the next version, in one segment. Postings of the documents
         in ``unchanged`` (file_path) are taken from the version before."""
-        kept = self.postings().drop("bucket").join(unchanged.select("file_path"), "file_path", "left_semi") if unchanged is not None and self.versions() else None
-        return self._next([], docs, None, kept, unchanged)
+        with self._writing() as new:
+            reader = self.at()
+            now = new.documents(docs)
+            fresh = now if unchanged is None else now.join(unchanged.select("file_path"), "file_path", "left_anti")
+            posted = grouped_postings(fresh, self.analyser)
+            if unchanged is not None:
+                posted = reader.grouped().drop("bucket", "block", "segment").join(unchanged.select("file_path"), "file_path", "left_semi").unionByName(posted)
+            return self._publish_segments([new.finish(posted)])
 
     def append(self, docs: DataFrame, gone: DataFrame) -> int:
         """The next version: a further segment with ``docs``, which takes the paths of
-        ``docs`` and of ``gone`` (file_path) out of the others."""
-        return self._next(self.segments(), docs, gone.select("file_path").unionByName(docs.select("file_path")).distinct())
+        ``docs`` and of ``gone`` (file_path) out of the others. Segments of like size become
+        one, so there are few however many updates there were."""
+        with self._writing() as new, self._writing() as merged:
+            reader = self.at()
+            now = new.documents(docs)
+            taken, counts = 0, None
+            if reader.segments:
+                gone = gone.select("file_path").unionByName(now.select("file_path"))
+                taken = new.take_out(reader.docs().select("file_path").join(gone, "file_path", "left_semi").distinct())
+                counts = dictionary_of(reader.docs().join(new.dead(), "file_path", "left_semi"), self.analyser) if taken else None
+            segments = [*reader.segments, new.finish(grouped_postings(now, self.analyser), less=counts)]
+            start = merge_from([x["size"] for x in segments])
+            if start is not None:
+                segments = [*segments[:start], merged.join(segments[start:], keep_dead=start > 0)]
+            return self._publish_segments(segments)
+
+    @contextmanager
+    def _writing(self) -> Iterator[Segment]:
+        """A segment to write. It is deleted unless a version names it in the end, so a
+        writer that fails, is interrupted or comes too late leaves nothing."""
+        segment = Segment(self)
+        try:
+            yield segment
+        finally:
+            if segment.data not in self._named:
+                self._fs.delete(self._path(segment.data), True)
 
-    def _next(self, segments: list[dict], docs: DataFrame, dead: DataFrame | None, kept: DataFrame | None = None, unchanged: DataFrame | None = None) -> int:
+    def _publish_segments(self, segments: list[dict]) -> int:
+        self._check()
         version = (self.versions() or [0])[-1] + 1
-        data = f"{self.root}/data/v={version}-{uuid.uuid4().hex}"
-        docs.select(*[F.col(f.name).cast(f.dataType) for f in S.DOCS.fields]).write.parquet(f"{data}/docs")
-        now = self.spark.read.schema(S.DOCS).parquet(f"{data}/docs")
-        posted = postings(now if kept is None else now.join(unchanged.select("file_path"), "file_path", "left_anti"), self.analyser)
-        posted = posted if kept is None else kept.unionByName(posted)
-        size = now.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-        buckets = max(self.buckets, -(-size // BUCKET_BYTES))
-        bucket = self._bucket(buckets)
-        # a bucket is written by several tasks, since a few terms hold most places
-        dealt = posted.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("file_path"), F.lit(8)))
-        dealt.sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{data}/postings")
-        posted = self.spark.read.schema(POSTINGS).parquet(f"{data}/postings")
-        posted.where("field = 'content'").groupBy("file_path").agg(F.count(F.lit(1)).alias("length")).write.parquet(f"{data}/lengths")
-        words = dictionary(posted) if kept is not None else dictionary_of(now, self.analyser)
-        taken = False
-        if dead is not None and segments:
-            dead.write.parquet(f"{data}/dead")
-            dead = self.spark.read.schema(DEAD).parquet(f"{data}/dead")
-            old = self.docs().join(dead, "file_path", "left_semi")
-            taken = old.limit(1).count() > 0
-            if taken:  # what they held is counted with negative signs
-                less = dictionary_of(old, self.analyser).select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
-                words = words.unionByName(less).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-        words.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{data}/dictionary")
-        segment = {"data": data, "buckets": buckets, "dead": taken}
-        self._publish(version, {"data": data, "segments": [*segments, segment], "at": time.time(), "analyser": self.analyser})
+        self._publish(version, {"data": segments[-1]["data"], "segments": segments, "at": time.time(), "analyser": self.analyser})
+        self._named |= {x["data"] for x in segments}
         return version
 
-    def _publish(self, version: int, entry: dict) -> None:
-        out = self._fs.create(self._path(f"{self.root}/versions/{version:08d}.json"), False)  # fails if another writer was first
+    def _put(self, name: str, entry: dict, overwrite: bool = False) -> None:
+        out = self._fs.create(self._path(f"{self.root}/{name}.json"), overwrite)
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
 
+    def _publish(self, version: int, entry: dict) -> None:
+        self._put(f"versions/{version:08d}", entry)  # fails if another writer was first
+
     def rebuild(self, roots: list[str], extensions: list[str] | None = None, registry: Registry | None = None, progress: Callable[[dict], None] | None = None) -> dict:
-        """Index all files under ``roots`` anew; the version and the number of errors.
-        ``progress`` is told how far it is."""
-        with reported(self.spark, progress):
-            return self._rebuild(roots, extensions, registry)
-
-    def _rebuild(self, roots: list[str], extensions: list[str] | None, registry: Registry | None) -> dict:
-        found = extract(scan(self.spark, roots, extensions, registry), registry).persist()
-        errors = found.where("error is not null").count()
-        version = self.commit(found.where("error is null").drop("error"))
-        found.unpersist()
-        return {"version": version, "errors": errors}
+        """Index all files under ``roots`` anew: version, files, errors, elapsed_ms.
+        ``progress`` is told how many files are read; a file under two roots counts twice
+        in the total and when read, though it is one document."""
+        with Progress(self.spark, progress) as told:
+            done = self._indexed(scan(self.spark, roots, extensions, registry), roots, registry, told, self.commit)
+        return done | {"elapsed_ms": told.now()["elapsed_ms"]}
+
+    def _indexed(self, files: DataFrame, roots: list[str], registry: Registry | None, told: Progress, commit: Callable[[DataFrame], int]) -> dict:
+        """Extract ``files``, once, and commit the documents that could be read."""
+        files = files.withColumn("times", roots_of(F.col("path"), roots))
+        told.total = files.agg(F.sum("times")).first()[0] or 0  # of the listing; contents aren't read
+        path = f"{self.root}/data/read-{uuid.uuid4().hex}"
+        self._check()
+        try:
+            extract(files, registry, told.read, told.failed).write.parquet(path)
+            found = self.spark.read.parquet(path)
+            errors = found.where("error is not null").count()
+            return {"version": commit(found.where("error is null").drop("error")), "files": told.total, "errors": errors}
+        finally:
+            self._fs.delete(self._path(path), True)
 
     def update(self, roots: list[str], extensions: list[str] | None = None, registry: Registry | None = None, compat: bool = False, progress: Callable[[dict], None] | None = None) -> dict:
         """Index what was added, changed or removed under ``roots`` since the newest
-        version; without a version all of it. A file that can't be read keeps its old
-        entry. Entries under roots that can't be reached stay, unless ``compat``.
-        ``progress`` is told how far it is."""
-        with reported(self.spark, progress):
-            return self._update(roots, extensions, registry, compat) if self.versions() else self._rebuild(roots, extensions, registry)
-
-    def _update(self, roots: list[str], extensions: list[str] | None, registry: Registry | None, compat: bool) -> dict:
+        version; without a version all of it: version, files, errors, elapsed_ms, and add,
+        update and delete (files). A file that can't be read keeps its old entry. Entries
+        under roots that can't be reached stay, unless ``compat``."""
+        if not self.versions():
+            return self.rebuild(roots, extensions, registry, progress)
+        with Progress(self.spark, progress) as told:
+            done = self._update(roots, extensions, registry, compat, told)
+        return done | {"elapsed_ms": told.now()["elapsed_ms"]}
+
+    def _update(self, roots: list[str], extensions: list[str] | None, registry: Registry | None, compat: bool, told: Progress) -> dict:
         from folioscan.sources.files import _exists
 
         files, old = scan(self.spark, roots, extensions, registry), self.docs()
         reachable = None if compat else [r for r in roots if _exists(self.spark, r)]
-        changes = diff(self._comparable(old), self._comparable(listing(files)), [self._bare(r) for r in roots], None if reachable is None else [self._bare(r) for r in reachable]).persist()
-        counts = {r["op"]: r["n"] for r in changes.groupBy("op").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if counts:
-            todo = changes.where("op <> 'delete'").select(F.lower("file_path").alias("k"))
-            read = extract(files.join(todo, F.lower(self._bare_column(F.col("path"))) == todo["k"], "left_semi"), registry).persist()
-            errors = read.where("error is not null").count()
-            fresh = read.where("error is null").drop("error")
-            gone = changes.where("op = 'delete'").select("file_path").unionByName(fresh.select(self._bare_column(F.col("file_path")).alias("file_path"))).select(F.lower("file_path").alias("k"))
-            out = old.join(gone, F.lower(self._bare_column(F.col("file_path"))) == gone["k"], "left_semi")
-            version = self.append(fresh, out)
-            read.unpersist()
-        else:
-            version, errors = self.versions()[-1], 0
-        changes.unpersist()
-        return {"version": version, "errors": errors, **{k: counts.get(k, 0) for k in ("add", "update", "delete")}}
+        changes = diff(self._comparable(old), self._comparable(listing(files)), [self._bare(r) for r in roots], None if reachable is None else [self._bare(r) for r in reachable])
+        path = f"{self.root}/data/changes-{uuid.uuid4().hex}"
+        try:
+            changes.write.parquet(path)
+            changes = self.spark.read.schema(changes.schema).parquet(path)
+            counts = {r["op"]: r["n"] for r in changes.groupBy("op").agg(F.count(F.lit(1)).alias("n")).collect()}
+            done = {"version": self.versions()[-1], "files": 0, "errors": 0}
+            if counts:
+                todo = changes.where("op <> 'delete'").select(F.lower("file_path").alias("k"))
+
+                def commit(fresh: DataFrame) -> int:
+                    gone = changes.where("op = 'delete'").select("file_path").unionByName(fresh.select(self._bare_column(F.col("file_path")).alias("file_path"))).select(F.lower("file_path").alias("k"))
+                    out = old.join(gone, F.lower(self._bare_column(F.col("file_path"))) == gone["k"], "left_semi")
+                    return self.append(fresh, out)
+
+                done = self._indexed(files.join(todo, F.lower(self._bare_column(F.col("path"))) == todo["k"], "left_semi"), roots, registry, told, commit)
+            return done | {k: counts.get(k, 0) for k in ("add", "update", "delete")}
+        finally:
+            self._fs.delete(self._path(path), True)
+
+    @contextmanager
+    def cancellable(self, tag: str) -> Iterator[None]:
+        """The body ends with an error when ``cancel(tag)`` is called, from any thread: its
+        jobs are interrupted, nothing more is published, and the index stays at its version."""
+        self._tag, self._cancelled = tag, self._cancelled - {tag}
+        self.spark.sparkContext.addJobTag(tag)
+        try:
+            yield
+        finally:
+            self.spark.sparkContext.removeJobTag(tag)
+            self._tag = None
+
+    def cancel(self, tag: str) -> None:
+        """Interrupt what runs under a tag; what is between two jobs ends before the next."""
+        self._cancelled = self._cancelled | {tag}
+        self.spark.sparkContext.cancelJobsWithTag(tag)
+
+    def _check(self) -> None:
+        if self._tag in self._cancelled:
+            raise InterruptedError(f"{self._tag} was cancelled")
 
     @staticmethod
     def _bare(path: str) -> str:
@@ -302,7 +373,9 @@ class Index:
 
     def index_folder(self, root: str) -> dict:
         """Index one folder's files on top of what is there."""
-        return {"version": self.upsert(extract(scan(self.spark, [root])).where("error is null").drop("error"))}
+        with Progress(self.spark, None) as told:
+            done = self._indexed(scan(self.spark, [root]), [root], None, told, self.upsert)
+        return done | {"elapsed_ms": told.now()["elapsed_ms"]}
 
     def upsert(self, docs: DataFrame) -> int:
         """Put documents in place of those with their paths; of several with one path the
@@ -319,31 +392,98 @@ class Index:
         docs = self.docs()
         return self.commit(docs.repartition(files), unchanged=docs.select("file_path"))
 
-    def vacuum(self, keep: int = 2, grace: float = 3600) -> list[int]:
+    def vacuum(self, keep: int = 2, grace: float = 3600, orphans: float = 7 * 86400) -> list[int]:
         """Remove all but the last versions; the numbers of those removed.
 
         Folders that no version names any more are deleted by the first vacuum that
-        comes ``grace`` seconds after that, so a query that reads them can end.
+        comes ``grace`` seconds after that, unless a lease holds their version, so a query
+        that reads them can end. Folders that no version ever named, left by writers that
+        died, are deleted ``orphans`` seconds after they were last written to.
         """
         old = self.versions()[:-keep] if keep else []
         self._fs.mkdirs(self._path(f"{self.root}/removed"))
         for version in old:
-            entry = self._read(f"versions/{version:08d}")
-            out = self._fs.create(self._path(f"{self.root}/removed/{version:08d}.json"), True)
-            out.write(bytearray(json.dumps({**entry, "removed": time.time()}).encode()))
-            out.close()
+            self._put(f"removed/{version:08d}", {**self._read(f"versions/{version:08d}"), "removed": time.time()}, overwrite=True)
             self._fs.delete(self._path(f"{self.root}/versions/{version:08d}.json"), False)
-        used = {x["data"] for v in self.versions() for x in self._read(f"versions/{v:08d}")["segments"]}
-        for version in self._numbers("removed"):
-            entry = self._read(f"removed/{version:08d}")
-            if time.time() - entry["removed"] >= grace:
+        leased, removed = self._leased(), {v: self._read(f"removed/{v:08d}") for v in self._numbers("removed")}
+        held = [self._read(f"versions/{v:08d}") for v in self.versions()] + [x for v, x in removed.items() if v in leased or time.time() - x["removed"] < grace]
+        used = {x["data"] for entry in held for x in entry["segments"]}
+        for version, entry in removed.items():
+            if version not in leased and time.time() - entry["removed"] >= grace:
                 for x in entry["segments"]:
                     if x["data"] not in used:
                         self._fs.delete(self._path(x["data"]), True)
                 self._fs.delete(self._path(f"{self.root}/removed/{version:08d}.json"), False)
+        data = self._path(f"{self.root}/data")
+        for x in self._fs.listStatus(data) if self._fs.exists(data) else []:
+            name = x.getPath().getName()
+            if not any(u.endswith(f"/{name}") for u in used) and time.time() - x.getModificationTime() / 1000 > orphans:
+                self._fs.delete(x.getPath(), True)
         return old
 
     def stats(self) -> DataFrame:
         """One row: document_count, last_updated, index_size_bytes (of all segments)."""
-        size = sum(self._fs.getContentSummary(self._path(x["data"])).getLength() for x in self.segments())
-        return self.docs().agg(F.count(F.lit(1)).alias("document_count"), F.max("indexed_at").alias("last_updated")).withColumn("index_size_bytes", F.lit(size).cast("bigint"))
+        reader = self.at()
+        size = sum(self._fs.getContentSummary(self._path(x["data"])).getLength() for x in reader.segments)
+        return reader.docs().agg(F.count(F.lit(1)).alias("document_count"), F.max("indexed_at").alias("last_updated")).withColumn("index_size_bytes", F.lit(size).cast("bigint"))
+
+
+class Segment:
+    """A segment while it is written: documents first, then what is made of them."""
+
+    def __init__(self, index: Index):
+        self.index, self.spark = index, index.spark
+        self.data = f"{index.root}/data/{uuid.uuid4().hex}"
+        self.size, self.count, self.taken = 0, 0, 0
+
+    def _read(self, part: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.data}/{part}")
+
+    def documents(self, docs: DataFrame) -> DataFrame:
+        """Write the documents; they are read from the segment then."""
+        self.index._check()
+        docs.select(*[F.col(f.name).cast(f.dataType) for f in S.DOCS.fields]).write.parquet(f"{self.data}/docs")
+        now = self._read("docs", S.DOCS)
+        self.size, self.count = now.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)), F.count(F.lit(1))).first()
+        return now
+
+    def take_out(self, paths: DataFrame) -> int:
+        """Take paths (file_path) out of older segments; how many there are."""
+        paths.write.parquet(f"{self.data}/dead")
+        self.taken = self.dead().count()
+        return self.taken
+
+    def dead(self) -> DataFrame:
+        """The paths that the segment takes out of older ones."""
+        return self._read("dead", DEAD)
+
+    def finish(self, posted: DataFrame, less: DataFrame | None = None, words: DataFrame | None = None) -> dict:
+        """Write postings, their blocks, the dictionary (``words``, else that of the postings;
+        ``less`` counted with negative signs) and its trigrams; what a version says of it."""
+        self.index._check()
+        buckets = max(self.index.buckets, -(-self.size // BUCKET_BYTES))
+        write_postings(posted, f"{self.data}/postings", buckets, self.count)
+        written = self._read("postings", POSTINGS)
+        content = written.where("field = 'content'")
+        content.groupBy("file_path").agg(F.max("length").cast("bigint").alias("length")).write.parquet(f"{self.data}/lengths")
+        blocks_of(content).write.partitionBy("bucket").parquet(f"{self.data}/blocks")
+        if words is None:
+            words = written.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("freq").alias("cf")).drop("bucket")
+        if less is not None:
+            words = words.unionByName(less.select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        words.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{self.data}/dictionary")
+        grams = grams_of(self._read("dictionary", DICTIONARY), buckets)
+        grams.repartition("bucket").sortWithinPartitions("bucket", "field", "gram").write.partitionBy("bucket").parquet(f"{self.data}/grams")
+        return {"data": self.data, "buckets": buckets, "dead": self.taken > 0, "size": self.size + DEAD_BYTES * self.taken, "documents": self.count}
+
+    def join(self, segments: list[dict], keep_dead: bool) -> dict:
+        """Make one segment of several that follow each other. Nothing is analysed again;
+        paths that they take out of others are kept if there are older ones."""
+        reader = Reader(self.spark, 0, segments, self.index.analyser)
+        self.documents(reader.docs())
+        if keep_dead:
+            dead = [self.spark.read.schema(DEAD).parquet(f"{x['data']}/dead") for x in segments if x["dead"]]
+            if dead:
+                self.take_out(reduce(DataFrame.unionByName, dead).distinct())
+        words = reader.counts().where("df <> 0 or cf <> 0")
+        return self.finish(reader.grouped().drop("bucket", "block", "segment"), words=words)

@@ -8,15 +8,22 @@ plain parts. A large corpus with many queries is served from postings instead.
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan import schema as S
 from folioscan.functions.analysis import TOKEN, analysed, dictionary, tokens, wildcard_regex
+from folioscan.functions.phrases import phrase_frequency
+from folioscan.operators.segments import Reader
 from folioscan.plans.query import Infix, Phrase, QueryPlan, SearchOptions, parse_query
+from folioscan.sources.shared import new_path
 
+#: Documents of a term that are broadcast to others' postings, and blocks read in a round.
+BROADCAST_DOCUMENTS, MOST_BLOCKS = 200_000, 8_192
 RESULT = ("file_path", "file_name", "folder_path", "file_size", "last_modified", "file_type")
 
 
@@ -53,8 +60,7 @@ def phrase_frequencies(docs: DataFrame, phrase: Phrase, analyser: str, key: str
 
     Only texts that hold every term are looked at. Under the plain analyser a phrase of
     different terms matches where they stand side by side, or with one other term
-    between two of them. For all others, each place of a term votes for the start that
-    puts it in order, and for the one before; a start with votes from all terms is a match.
+    between two of them. All others are matched by the places of their terms.
     """
     low = F.lower(analysed(F.col("content")))
     here = docs
@@ -64,29 +70,11 @@ def phrase_frequencies(docs: DataFrame, phrase: Phrase, analyser: str, key: str
         close, wide = phrase_regex(phrase.terms)
         counts = here.select(key, (F.regexp_count(low, F.lit(f"(?={close})")) + F.regexp_count(low, F.lit(f"(?={wide})(?!{close})")) / 2).cast("double").alias("freq"), low.alias("low"))
         return counts.where("freq > 0").select(key, F.regexp_count("low", F.lit(TOKEN)).alias("length"), "freq")
-    placed = (
-        here.select(key, tokens(F.col("content"), analyser).alias("terms"))
-        .select(key, F.size("terms").alias("length"), F.posexplode("terms").alias("pos", "term"))
-    )
-    return _frequencies(placed, phrase, [key, "length"])
-
-
-def _frequencies(placed: DataFrame, phrase: Phrase, keys: list[str]) -> DataFrame:
-    """``keys`` and freq of the phrase, from places of terms (keys, pos, term)."""
-    n = len(phrase.terms)
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(phrase.terms)])
-    votes = (
-        placed.where(F.col("term").isin(list(set(phrase.terms))))
-        .select(*keys, "pos", "term", F.explode(wanted).alias("w"))
-        .where("w.t = term")
-        .select(*keys, "pos", F.col("w.i").alias("i"), (F.col("pos") - F.col("w.i")).alias("adj"))
-        .select(*keys, "pos", "i", "adj", F.explode(F.array("adj", F.col("adj") - 1)).alias("base"))
-    )
-    found = votes.groupBy(*keys, "base").agg(
-        F.countDistinct("i").alias("terms"), F.countDistinct("pos").alias("places"), F.min("adj").alias("least"),
-        F.count_if(F.col("adj") == F.col("base")).alias("exact"),
-    ).where((F.col("terms") == n) & (F.col("places") >= n) & (F.col("least") == F.col("base")))
-    return found.groupBy(*keys).agg(F.sum(F.when(F.col("exact") >= n, 1.0).otherwise(0.5)).alias("freq"))
+    terms = here.select(key, tokens(F.col("content"), analyser).alias("terms"))
+    at = lambda t: F.array_compact(F.transform("terms", lambda x, i: F.when(x == t, i)))
+    placed = terms.select(key, F.size("terms").alias("length"), *[at(t).alias(f"p{i}") for i, t in enumerate(sorted(set(phrase.terms)))])
+    places = {t: F.col(f"p{i}") for i, t in enumerate(sorted(set(phrase.terms)))}
+    return placed.select(key, "length", phrase_frequency(phrase.terms, places).alias("freq")).where("freq > 0")
 
 
 def _scoring(plan: QueryPlan, phrases: set[int]) -> tuple[Column, Column, Column]:
@@ -216,54 +204,152 @@ def term_documents(posted: DataFrame, pattern: str, field: str = "content", key:
     return posted.where(F.col("field") == field).join(terms, "term", "left_semi").select(key).distinct()
 
 
+def pinned(index) -> Reader:
+    """A reader of an index's newest version, or the reader that was given."""
+    return index if isinstance(index, Reader) else index.at()
+
+
+class _Indexed:
+    """A plan's words over one version of an index: which terms they pick, what a document
+    scores, and what its norm is."""
+
+    def __init__(self, reader: Reader, plan: QueryPlan):
+        self.reader, self.plan = reader, plan
+        self.phrases = {k: w.content for k, w in enumerate(plan.words) if isinstance(w.content, Phrase)}
+        picks = [(f"f{k}", "filename", w.name) for k, w in enumerate(plan.words)] + [(f"c{k}", "content", w.content) for k, w in enumerate(plan.words) if k not in self.phrases]
+        rows = [reader.terms_with(pattern, field).select(F.lit(flag).alias("flag"), "field", "term") for flag, field, pattern in picks]
+        self.terms, self.flags = reduce(DataFrame.unionByName, rows), [flag for flag, _, _ in picks]
+        self.counts = {k: reader.document_counts("content", sorted(set(p.terms))) for k, p in self.phrases.items()}
+        n = reader.total() if self.phrases else 0
+        self.idf = {k: sum(1 + math.log(n / (self.counts[k][t] + 1)) for t in p.terms) if n else 0.0 for k, p in self.phrases.items()}
+
+    def flagged(self, only: list[str] | None = None) -> DataFrame:
+        """file_path and flag of documents with a term that a flag's pattern picks."""
+        terms = self.terms if only is None else self.terms.where(F.col("flag").isin(only))
+        return self.reader.grouped(terms).select("file_path", "field", "term").join(terms, ["field", "term"]).select("file_path", "flag").distinct()
+
+    def phrase(self, k: int, candidates: DataFrame | None = None) -> DataFrame:
+        """file_path, freq and length of documents with a phrase, of all or of candidates.
+
+        Places of the phrase's terms meet in one row per document; only documents that have
+        its rarest term are moved."""
+        phrase, counts = self.phrases[k], self.counts[k]
+        terms = sorted(set(phrase.terms), key=lambda t: (counts[t], t))
+        rows = self.reader.places_of("content", terms).select("file_path", "term", "length", "positions")
+        few = candidates
+        if few is None and counts[terms[0]] * 2 < sum(counts.values()) / len(terms):
+            few = self.reader.places_of("content", terms[:1]).select("file_path")
+            few = F.broadcast(few) if counts[terms[0]] <= BROADCAST_DOCUMENTS else few
+        rows = rows if few is None else rows.join(few, "file_path", "left_semi")
+        own = rows.groupBy("file_path").agg(F.max("length").alias("length"), *[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(terms)])
+        for i in range(len(terms)):
+            own = own.where(F.col(f"p{i}").isNotNull())
+        freq = phrase_frequency(phrase.terms, {t: F.col(f"p{i}") for i, t in enumerate(terms)})
+        return own.select("file_path", "length", freq.cast("double").alias("freq")).where("freq > 0")
+
+    def scored(self, hits: DataFrame) -> DataFrame:
+        """file_path and score, before the norm, of documents that all words match, from
+        ``hits`` (file_path, flag, freq, length)."""
+        columns = []
+        for k in range(len(self.plan.words)):
+            columns += [F.max(F.col("flag") == f"{x}{k}").alias(f"{x}{k}") for x in "cf"]
+            columns += [F.max(F.when(F.col("flag") == f"c{k}", F.col(x))).alias(f"{x}{k}") for x in ("freq", "length")]
+        rows = hits.groupBy("file_path").agg(*columns).withColumns({f"idf{k}": F.lit(x) for k, x in self.idf.items()})
+        score, _, every = _scoring(self.plan, set(self.phrases))
+        return rows.where(every).select("file_path", score.alias("raw"))
+
+    def hits(self, plain: DataFrame, phrases: dict[int, DataFrame]) -> DataFrame:
+        """Rows for ``scored`` of flagged documents and of those with phrases."""
+        out = plain.select("file_path", "flag", F.lit(None).cast("double").alias("freq"), F.lit(None).cast("int").alias("length"))
+        for k, found in phrases.items():
+            out = out.unionByName(found.select("file_path", F.lit(f"c{k}").alias("flag"), "freq", "length"))
+        return out
+
+    def norm(self, phrases: dict[int, DataFrame | bool]) -> DataFrame:
+        """One row: the norm of scores, from which clauses any document has."""
+        one = self.terms.agg(*[(F.count_if(F.col("flag") == f) > 0).alias(f"e{f}") for f in self.flags]).withColumns({f"idf{k}": F.lit(x) for k, x in self.idf.items()})
+        for k, found in phrases.items():
+            one = one.withColumn(f"ec{k}", F.lit(found)) if isinstance(found, bool) else one.crossJoin(found.agg((F.count(F.lit(1)) > 0).alias(f"ec{k}")))  # one row each
+        square = F.lit(0.0)
+        on = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
+        for k in range(len(self.plan.words)):
+            square += on(f"ec{k}") * (F.pow(F.col(f"idf{k}"), 2) if k in self.phrases else F.lit(1.0)) + on(f"ef{k}") * (S.FILE_NAME_BOOST**2)
+        return one.select(F.sqrt(square).alias("norm"))
+
+
 def search_index(index, query: str | None, options: SearchOptions | None = None) -> DataFrame:
-    """``search`` answered from an index's postings, for large corpora.
+    """``search`` answered from an index's postings, for large corpora; ``index`` is an
+    index, whose newest version is read, or a reader of one.
 
-    The dictionary says which terms a word's pattern picks, and only their buckets of
-    postings are read; documents are read without their contents.
+    Trigrams and the dictionary say which terms a word's pattern picks, and only their
+    buckets of postings are read; documents are read without their contents.
     """
-    options = options or SearchOptions()
-    plan = parse_query(query, index.analyser)
-    docs = index.docs().select(*RESULT)
+    options, reader = options or SearchOptions(), pinned(index)
+    plan = parse_query(query, reader.analyser)
+    docs = reader.docs().select(*RESULT)
     if plan.blank or not plan.words:
         return docs.where(F.lit(not plan.blank) & filters(options)).withColumn("score", F.lit(1.0)).orderBy("file_path").limit(options.max_results)
-    words = index.dictionary()
-
-    def picked(pattern: Infix, field: str) -> Column:
-        holds = F.col("term").contains(pattern.pattern) if pattern.plain else F.col("term").rlike(wildcard_regex(f"*{pattern.pattern}*"))
-        return (F.col("field") == field) & holds
-
-    flags, phrases = {}, {}  # conditions on a dictionary's rows by flag; terms of phrases
-    for k, word in enumerate(plan.words):
-        flags[f"f{k}"] = picked(word.name, "filename")
-        if isinstance(word.content, Phrase):
-            phrases[k] = word.content
-            flags[f"p{k}"] = (F.col("field") == "content") & F.col("term").isin(list(set(word.content.terms)))
-        else:
-            flags[f"c{k}"] = picked(word.content, "content")
-    wanted = F.array_compact(F.array(*[F.when(on, F.lit(name)) for name, on in flags.items()]))
-    terms = words.select("field", "term", "df", F.explode(wanted).alias("flag"))
-    posted = index.postings(terms).select("file_path", "field", "term", "pos")
-    simple = [name for name in flags if name[0] != "p"]
-    plain = posted.join(terms.where(F.col("flag").isin(simple)).select("field", "term", "flag"), ["field", "term"]).select("file_path", "flag").distinct()
-    hits = plain.select("file_path", "flag", F.lit(None).cast("double").alias("freq"))
-    stats = [terms.agg(*[(F.count_if(F.col("flag") == name) > 0).alias(f"e{name}") for name in simple])]
-    for k, phrase in phrases.items():
-        found = _frequencies(posted.where((F.col("field") == "content") & F.col("term").isin(list(set(phrase.terms)))), phrase, ["file_path"])
-        hits = hits.unionByName(found.select("file_path", F.lit(f"c{k}").alias("flag"), "freq"))
-        own = F.col("flag") == f"p{k}"
-        counts = terms.agg(*[F.coalesce(F.max(F.when(own & (F.col("term") == t), F.col("df"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(phrase.terms)])
-        idf = sum((1 + F.log(F.col("n").cast("double") / (F.col(f"df{i}") + 1)) for i in range(len(phrase.terms))), F.lit(0.0))
-        stats += [counts.crossJoin(docs.agg(F.count(F.lit(1)).alias("n"))).select(idf.alias(f"idf{k}")), found.agg((F.count(F.lit(1)) > 0).alias(f"ec{k}"))]
-    one = stats[0]
-    for x in stats[1:]:
-        one = one.crossJoin(x)  # one row each
-    columns = []
-    for k in range(len(plan.words)):
-        columns += [F.max(F.col("flag") == f"{x}{k}").alias(f"{x}{k}") for x in "cf"] + [F.max(F.when(F.col("flag") == f"c{k}", F.col("freq"))).alias(f"freq{k}")]
-    score, norm, every = _scoring(plan, set(phrases))
-    found = hits.groupBy("file_path").agg(*columns).where(every).crossJoin(F.broadcast(one))
-    if phrases:
-        found = found.join(index.lengths(), "file_path", "left").withColumns({f"length{k}": F.col("length") for k in phrases})
-    ranked = found.select("file_path", (score / F.sqrt(norm)).alias("score")).join(docs.where(filters(options)), "file_path")
-    return ranked.select(*RESULT, "score").orderBy(F.desc("score"), "file_path").limit(options.max_results)
+    words = _Indexed(reader, plan)
+    phrases = {k: words.phrase(k) for k in words.phrases}
+    ranked = words.scored(words.hits(words.flagged(), phrases)).join(docs.where(filters(options)), "file_path").crossJoin(F.broadcast(words.norm(phrases)))
+    return ranked.select(*RESULT, (F.col("raw") / F.col("norm")).alias("score")).orderBy(F.desc("score"), "file_path").limit(options.max_results)
+
+
+def search_topk(index, query: str | None, options: SearchOptions | None = None, first_blocks: int = 8) -> tuple[DataFrame, dict]:
+    """``search_index`` that stops when no further document can be among the best, and
+    what it read: blocks, blocks_read, rounds.
+
+    Postings lie in blocks of documents with like impact (a term's share of a document's
+    terms), and each block's largest one bounds what a phrase scores in it. Documents with a
+    word in their names are scored first, since no bound holds for them. Then the blocks of
+    the phrase's rarest term are read from the largest impact down, four times as many in each
+    round, until the last of the best so far is above what the next block could give.
+    Queries of other than one phrase and any words are answered in full.
+    """
+    options, reader = options or SearchOptions(), pinned(index)
+    plan = parse_query(query, reader.analyser)
+    if sum(isinstance(w.content, Phrase) for w in plan.words) != 1:
+        return search_index(reader, query, options), {"blocks": 0, "blocks_read": 0, "rounds": 0}
+    words = _Indexed(reader, plan)
+    k = next(iter(words.phrases))
+    term = min(sorted(set(words.phrases[k].terms)), key=lambda t: (words.counts[k][t], t))
+    blocks = reader.blocks("content", term)
+    docs = reader.docs().select(*RESULT).where(filters(options))
+    of_names, of_texts = [f for f in words.flags if f[0] == "f"], [f for f in words.flags if f[0] == "c"]
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = new_path(reader.spark, "topk")
+        df.write.parquet(path)
+        return reader.spark.read.schema(df.schema).parquet(path)
+
+    def best_of(flagged: DataFrame, found: DataFrame, so_far: DataFrame | None) -> DataFrame:
+        rows = words.scored(words.hits(flagged, {k: found})).join(docs, "file_path").select(*RESULT, "raw")
+        rows = rows if so_far is None else rows.unionByName(so_far)
+        return kept(rows.orderBy(F.desc("raw"), "file_path").limit(options.max_results))
+
+    def bound(impact: float) -> float:
+        # a place serves one exact start and one half start at most, so a phrase comes
+        # 1.5 times as often as each of its terms at most; other words add half a point
+        return 0.5 * (len(plan.words) - 1) + 0.5 * math.sqrt(1.5 * impact) * words.idf[k] ** 2
+
+    named = kept(words.flagged(of_names).select("file_path").distinct())
+    found = kept(words.phrase(k, named))
+    best, any_found = best_of(words.flagged().join(named, "file_path", "left_semi"), found, None), bool(found.limit(1).count())
+    order = [F.desc("impact"), "segment", "block"]
+    told, after, step = {"blocks": blocks.count(), "blocks_read": 0, "rounds": 0}, None, first_blocks
+    while True:
+        left = blocks if after is None else blocks.where((F.col("impact") < after["impact"]) | (F.col("impact") == after["impact"]) & ((F.col("segment") > after["segment"]) | (F.col("segment") == after["segment"]) & (F.col("block") > after["block"])))
+        turn = left.orderBy(*order).limit(step).collect()
+        if not turn:
+            break
+        last = best.agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("raw")).first()
+        if any_found and last["n"] >= options.max_results and bound(turn[0]["impact"]) < last["raw"]:
+            break
+        asked = kept(reader.places_of("content", [term], [(r["segment"], r["block"]) for r in turn]).select("file_path").join(named, "file_path", "left_anti"))
+        found = kept(words.phrase(k, asked))
+        best = best_of(words.flagged(of_texts).join(asked, "file_path", "left_semi"), found, best)
+        any_found = any_found or bool(found.limit(1).count())
+        told = {**told, "blocks_read": told["blocks_read"] + len(turn), "rounds": told["rounds"] + 1}
+        after, step = turn[-1], min(4 * step, MOST_BLOCKS)
+    ranked = best.crossJoin(F.broadcast(words.norm({k: any_found})))
+    return ranked.select(*RESULT, (F.col("raw") / F.col("norm")).alias("score")).orderBy(F.desc("score"), "file_path").limit(options.max_results), told

@@ -166,6 +166,19 @@ for _name, _of, _words, _options in (
     ("filters", "search_all_filters", "than", SearchOptions(20, ["テキストファイル"], datetime(2024, 1, 2), datetime(2024, 2, 5), "/corpus/src1")),
 ):
     _query(f"search_index_{_name}", ORACLE_SQL[_of], _by_postings(_words, _options))
+_query("search_index_pair", sql.ranked(["eu"]), _by_postings("eu"))
+_query("search_index_letter", sql.ranked(["z", "of"]), _by_postings("z of"))
+
+
+def _topk(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found, _ = search.search_topk(_built(spark, sf_dir), query, SearchOptions(max_results=20))
+        return found.select("file_path", "file_name", "folder_path", "file_size", text.ticks(F.col("last_modified")).alias("last_modified_ticks"), "file_type", F.round("score", 6).alias("score"))
+
+    return run
+
+
+_query("search_index_topk", ORACLE_SQL["search_phrase_score"], _topk("of,the"))
 
 # analysis ---------------------------------------------------------------
 
@@ -312,6 +325,12 @@ _query(
     lambda spark, d: tree.listing_columns(_tree(spark, d)),
 )
 
+_query("index_grouped_postings", f"{_POST} SELECT file_path, field, term, pos FROM post", lambda spark, d: _built(spark, d).at().grouped().select("file_path", "field", "term", F.explode("positions").alias("pos")).withColumn("pos", F.col("pos").cast("bigint")))
+_query(
+    "index_blocks", f"{_POST} SELECT term, count(DISTINCT file_path) AS documents, max(n::DOUBLE / length) AS impact FROM (SELECT term, file_path, count(*) AS n, any_value(length) AS length FROM post JOIN (SELECT file_path, len(t) AS length FROM terms WHERE field = 'content') USING (file_path) WHERE field = 'content' GROUP BY term, file_path) GROUP BY term",
+    lambda spark, d: _built(spark, d).at().all_blocks().groupBy("term").agg(F.sum("n").alias("documents"), F.max("impact").alias("impact")),
+)
+
 # index maintenance ------------------------------------------------------
 
 _DISK = """disk AS (SELECT * REPLACE (CASE WHEN doc_id % 11 = 0 THEN last_modified_ticks + 10 ELSE last_modified_ticks END AS last_modified_ticks) FROM corpus WHERE doc_id % 7 <> 0),
@@ -359,6 +378,7 @@ _query("index_updated_docs", f"{_UPDATED} SELECT file_path, last_modified_ticks,
 _query("index_updated_postings", f"{_AFTER_POST} SELECT file_path, field, term, pos FROM post", lambda spark, d: _built(spark, d, True).postings().select("file_path", "field", "term", "pos"))
 _query("index_updated_dictionary", f"{_AFTER_POST} SELECT field, term, count(DISTINCT file_path) AS df, count(*) AS cf FROM post GROUP BY field, term", lambda spark, d: _built(spark, d, True).dictionary().select("field", "term", "df", "cf"))
 _query("index_updated_search", f"{_UPDATED}, {sql.hits(['anew'], corpus='after')} SELECT {sql._RESULT.replace("last_modified_ticks", sql.TICKS.format("last_modified") + " AS last_modified_ticks")}, round(score, 6) AS score FROM hits ORDER BY score DESC, file_path LIMIT 20", _by_postings("anew", changed=True))
+_query("index_old_version", f"WITH {sql.CORPUS} SELECT file_path, last_modified_ticks, content FROM corpus WHERE doc_id % 5 <> 0", lambda spark, d: _built(spark, d, True).at(1).docs().select("file_path", "last_modified_ticks", "content"))
 _query("index_stats", f"WITH {sql.CORPUS} SELECT count(*) AS document_count, max(last_modified) AS last_updated, true AS has_size FROM corpus", lambda spark, d: _built(spark, d).stats().select("document_count", "last_updated", (F.col("index_size_bytes") > 0).alias("has_size")))
 
 
@@ -385,7 +405,7 @@ _files: dict[tuple[str, str], str] = {}
 
 
 def _tree_of_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with the documents of sources 1 to 3 as files, made once for a session:
+    """A folder with all documents as files, made once for a session:
     some in system folders, some with extensions that nothing reads, some broken, some
     in UTF-16 or with a byte-order mark."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -393,17 +413,21 @@ def _tree_of_files(spark: SparkSession, sf_dir: str) -> str:
         root = new_path(spark, "files")
         kind = F.element_at(F.array(*[F.lit(x) for x in (".txt", ".MD", ".exe", ".docx", "", ".json", ".csv")]), (F.col("doc_id") % 7 + 1).cast("int"))
         folder = F.when(F.col("doc_id") % 13 == 0, "/$recycle/").when(F.col("doc_id") % 13 == 1, "/Windows/").otherwise("/files/")
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source IN ('src1', 'src2', 'src3')")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
         docs.select(F.concat(F.lit("/"), "source", folder, F.lit("doc_"), F.col("doc_id").cast("string"), kind).alias("path"), "text").foreachPartition(lambda rows: _write_files(root, rows))
         _files[key] = root
     return _files[key]
 
 
-def _write_files(root: str, rows) -> None:
+def _write_files(root: str, rows, remove: bool = False) -> None:
     import pyarrow.fs as pafs
 
     files, path = pafs.FileSystem.from_uri(root)
     for row in rows:
+        if remove:
+            if files.get_file_info(path + row["path"]).type != pafs.FileType.NotFound:
+                files.delete_file(path + row["path"])
+            continue
         files.create_dir((path + row["path"]).rpartition("/")[0], recursive=True)
         kind = {".json": "utf-16", ".csv": "utf-8-sig"}.get("." + row["path"].rpartition(".")[2], "utf-8")
         with files.open_output_stream(path + row["path"], compression=None) as out:
@@ -412,7 +436,7 @@ def _write_files(root: str, rows) -> None:
 
 _KIND = "CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.exe' WHEN 3 THEN '.docx' WHEN 4 THEN '' WHEN 5 THEN '.json' ELSE '.csv' END"
 _ON_DISK = f"""tree AS (SELECT concat('/', source, '/files/doc_', doc_id, {_KIND}) AS path, lower({_KIND}) AS ext, coalesce(text, '') AS content FROM documents
-  WHERE source IN ('src1', 'src2', 'src3') AND doc_id % 13 > 1 AND {_KIND} NOT IN ('', '.exe'))"""
+  WHERE doc_id % 13 > 1 AND {_KIND} NOT IN ('', '.exe'))"""
 
 
 def _below() -> Column:
@@ -422,7 +446,7 @@ def _below() -> Column:
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _tree_of_files(spark, sf_dir)
-    return scan(spark, [f"{root}/src1", f"{root}/src2", f"{root}/src3", f"{root}/none"])
+    return scan(spark, [root, f"{root}/src1", f"{root}/none"])
 
 
 _query("scan_files", f"WITH {_ON_DISK} SELECT path, (CASE ext WHEN '.json' THEN 2 + 2 * len(content) WHEN '.csv' THEN 3 + strlen(content) ELSE strlen(content) END)::BIGINT AS length FROM tree", lambda spark, d: _scanned(spark, d).select(_below().alias("path"), "length"))
@@ -434,6 +458,68 @@ _query(
     "progress_errors", f"WITH {_ON_DISK} SELECT count(*) AS total, count(*) FILTER (ext = '.docx') AS errors, concat(printf('%,d', count(*)), ' / ', printf('%,d', count(*)), ' ファイル（スキップ ', printf('%,d', count(*) FILTER (ext = '.docx')), ' 件）') AS text FROM tree",
     lambda spark, d: extract(_scanned(spark, d)).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNotNull()).alias("errors")).select("total", "errors", text.progress_text(F.col("total"), F.col("total"), F.col("errors"), "ファイル").alias("text")),
 )
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a rebuild over all files tells last; those of source 1 lie under two roots."""
+    root, told = _tree_of_files(spark, sf_dir), []
+    store = index.Index(spark, new_path(spark, "index"))
+    done = store.rebuild([root, f"{root}/src1"], progress=told.append)
+    last = told[-1]
+    return store.docs().agg(F.count(F.lit(1)).alias("documents")).select("documents", *[F.lit(x).cast("bigint").alias(c) for c, x in (("processed", last["processed"]), ("total", done["files"]), ("errors", last["errors"]))], F.lit(last["text"]).alias("text"))
+
+
+_query(
+    "index_rebuild_report", f"WITH {_ON_DISK}, seen AS (SELECT *, CASE WHEN starts_with(path, '/src1/') THEN 2 ELSE 1 END AS times FROM tree) SELECT count(*) FILTER (ext <> '.docx') AS documents, sum(times)::BIGINT AS processed, sum(times)::BIGINT AS total, coalesce(sum(times) FILTER (ext = '.docx'), 0)::BIGINT AS errors, concat(printf('%,d', sum(times)::BIGINT), ' / ', printf('%,d', sum(times)::BIGINT), '（スキップ ', coalesce(sum(times) FILTER (ext = '.docx'), 0), ' 件）') AS text FROM seen",
+    _reported,
+)
+
+
+_updates: dict[tuple[str, str], tuple[index.Index, dict]] = {}
+
+
+def _files_updated(spark: SparkSession, sf_dir: str) -> tuple[index.Index, dict]:
+    """An index of files that was updated after some of them were removed, rewritten or
+    added, and what the update says; made once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _updates:
+        return _updates[key]
+    root, store = new_path(spark, "files"), index.Index(spark, new_path(spark, "index"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat(F.lit("/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    docs.where("doc_id % 5 <> 0").select(path.alias("path"), "text").foreachPartition(lambda rows: _write_files(root, rows))
+    store.update([root])
+    docs.where("doc_id % 7 = 0").select(path.alias("path"), F.lit(None).cast("string").alias("text")).foreachPartition(lambda rows: _write_files(root, rows, remove=True))
+    anew = docs.where("doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR doc_id % 11 = 0)")
+    anew.select(path.alias("path"), F.concat(F.lit("anew "), F.coalesce("text", F.lit(""))).alias("text")).foreachPartition(lambda rows: _write_files(root, rows))
+    _updates[key] = store, store.update([root])
+    return _updates[key]
+
+
+_KEPT = "SELECT concat('/', source, '/doc_', doc_id, '.txt') AS path, CASE WHEN doc_id % 5 = 0 OR doc_id % 11 = 0 THEN concat('anew ', coalesce(text, '')) ELSE coalesce(text, '') END AS content FROM documents WHERE doc_id % 7 <> 0"
+_query("index_updated_files", _KEPT, lambda spark, d: _files_updated(spark, d)[0].docs().withColumnRenamed("file_path", "path").select(_below().alias("path"), "content"))
+
+
+def _update_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _files_updated(spark, sf_dir)[1]
+    return spark.createDataFrame([(done["add"], done["update"], done["delete"], done["files"], done["errors"])], "added bigint, updated bigint, deleted bigint, files bigint, errors bigint")
+
+
+_query(
+    "index_update_report", "SELECT count(*) FILTER (doc_id % 5 = 0 AND doc_id % 7 <> 0) AS added, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 = 0) AS updated, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 7 = 0) AS deleted, count(*) FILTER (doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR doc_id % 11 = 0)) AS files, 0::BIGINT AS errors FROM documents",
+    _update_report,
+)
+
+
+def _folder_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files, folder by folder on top of what is there: those of source 1 twice."""
+    root, store = _tree_of_files(spark, sf_dir), index.Index(spark, new_path(spark, "index"))
+    store.index_folder(f"{root}/src1")
+    store.index_folder(root)
+    return store.docs().withColumnRenamed("file_path", "path").select(_below().alias("path"), "content")
+
+
+_query("index_folder_files", f"WITH {_ON_DISK} SELECT path, content FROM tree WHERE ext <> '.docx'", _folder_indexed)
 _query(
     "tree_expand_to", f"{_TREE} SELECT full_path, is_folder AND full_path IN ('/corpus/src1', '/corpus/src1/en', '/corpus') AS is_expanded FROM tree",
     lambda spark, d: tree.expand_to(_tree(spark, d), "\\Corpus\\SRC1\\en\\doc_1.md", True).select("full_path", "is_expanded"),

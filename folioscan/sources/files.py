@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyspark import Accumulator
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +29,12 @@ def scan(spark: SparkSession, roots: list[str], extensions: list[str] | None = N
     Files without an extension, or with another than the given ones (else: the
     extractors'), are left out, and so are system folders. Folders that can't be read
     are skipped: where one ends the listing, folders are listed one by one and system
-    folders not at all. A plan that doesn't use ``content`` doesn't read the files.
+    folders not at all. A plan that doesn't use ``content`` doesn't read the files. A file
+    under two roots comes once.
     """
     wanted = sorted({e.lower() for e in extensions or (registry or default_registry()).extensions()})
     files = None
-    for root in roots:
+    for root in outermost(roots):
         if not _exists(spark, root):
             continue
         try:
@@ -47,7 +49,29 @@ def scan(spark: SparkSession, roots: list[str], extensions: list[str] | None = N
         files = found if files is None else files.unionByName(found)
     if files is None:
         return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
-    return files.where(extension(F.col("path")).isin(wanted)).dropDuplicates(["path"])
+    return files.where(extension(F.col("path")).isin(wanted))
+
+
+def outermost(roots: list[str]) -> list[str]:
+    """``roots`` without those that a scan of another one covers, as no system folder lies
+    between the two."""
+    kept: list[str] = []
+    for root in sorted(dict.fromkeys(r.rstrip("/") or "/" for r in roots), key=len):
+        below = [root[len(k.rstrip("/")) :].split("/") for k in kept if root.startswith(k.rstrip("/") + "/")]
+        if not any(all(not _system(name) for name in names) for names in below):
+            kept.append(root)
+    return kept
+
+
+def _system(name: str) -> bool:
+    return name.startswith("$") or name.lower() in {n.lower() for n in S.SYSTEM_FOLDERS}
+
+
+def roots_of(path: Column, roots: list[str]) -> Column:
+    """How many of the folders a path lies under."""
+    bare = lambda r: r.split(":", 1)[-1].lstrip("/").rstrip("/")
+    own = F.regexp_replace(path, "^[a-z]*:?/*", "")
+    return sum((own.startswith(bare(r) + "/").cast("int") for r in roots), F.lit(0))
 
 
 def _load(spark: SparkSession, path: str | list[str], deep: bool) -> DataFrame:
@@ -89,9 +113,11 @@ def listing(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), ticks(F.col("modificationTime")).alias("last_modified_ticks"), F.col("length").alias("file_size"))
 
 
-def extract(files: DataFrame, registry: Registry | None = None) -> DataFrame:
+def extract(files: DataFrame, registry: Registry | None = None, counted: Accumulator | None = None, failed: Accumulator | None = None) -> DataFrame:
     """Documents of ``files`` with their text, and error where a file couldn't be read
-    (its content is null then). Files that no extractor reads have an empty text."""
+    (its content is null then). Files that no extractor reads have an empty text.
+    ``counted`` and ``failed`` gather how many files were read and how many couldn't be; a
+    column ``times`` says how often each counts."""
     registry = registry or default_registry()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,9 +132,14 @@ def extract(files: DataFrame, registry: Registry | None = None) -> DataFrame:
                 except Exception as e:  # one bad file must not end the scan
                     texts.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield batch.drop(columns="content").assign(text=texts, error=errors)
-
-    read_out = files.select("path", "modificationTime", "length", "content").mapInPandas(read, "path string, modificationTime timestamp, length bigint, text string, error string")
+            if counted is not None:
+                counted.add(int(batch["times"].sum()))
+            if failed is not None:
+                failed.add(sum(int(n) for n, error in zip(batch["times"], errors) if error is not None))
+            yield batch.drop(columns=["content", "times"]).assign(text=texts, error=errors)
+
+    files = files if "times" in files.columns else files.withColumn("times", F.lit(1))
+    read_out = files.select("path", "modificationTime", "length", "content", "times").mapInPandas(read, "path string, modificationTime timestamp, length bigint, text string, error string")
     path = F.col("path")
     return read_out.select(
         path.alias("file_path"), file_name(path).alias("file_name"), folder_path(path).alias("folder_path"), F.col("text").alias("content"), F.col("length").alias("file_size"),
