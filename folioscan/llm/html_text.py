@@ -29,16 +29,20 @@ WINDOW, SURGE = 3, 80
 #: How a page marks a block: as a part of its main element, or of an article.
 MAIN, ARTICLE = 1, 2
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select|math|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)")
+_START = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")  # of a tag, quotes in pairs
+#: Tags of a page whose quotes may fail to pair; from then on, tags end at the next bracket.
+ODD_QUOTES = 64
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 
 # Names of HTML elements.
+RAW = frozenset("script style noscript template svg iframe object canvas title textarea select audio video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = HEADINGS | frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+WALLS = frozenset("div ul ol td section article main body nav aside form header footer blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav aside footer form menu dialog button fieldset head".split())
 #: Words of a class or id that mark an element as no part of the article.
@@ -55,6 +59,54 @@ BESIDE = frozenset("site page main top bottom left right primary secondary globa
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """The tags of a page in order: start, end, "/" for an end tag, name, attributes. What
+    is no text, such as comments and scripts, comes as one without a name.
+
+    Each character is looked at a bounded number of times: nothing is searched for again
+    that isn't in the rest of the page. An element that is never closed reaches to the end;
+    only svg ends with its own tag, others only if they have no end tag.
+    """
+    at, odd, missing, size = 0, 0, set(), len(page)
+
+    def find(what: str, start: int) -> int:
+        found = -1 if what in missing else page.find(what, start)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while m := _START.search(page, at):
+        start = m.start()
+        if m[2] is None:
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = find(mark, m.end())
+            if end < 0 and mark == ">":
+                at = m.end()  # stays text
+                continue
+            at = size if end < 0 else end + len(mark)
+            yield start, at, "", "", ""
+            continue
+        rest = _REST.match(page, m.end()) if odd < ODD_QUOTES else None
+        if rest:
+            attributes, at = rest[1], rest.end()
+        else:
+            odd += 1
+            end = find(">", m.end())
+            attributes, at = page[m.end() : size if end < 0 else end], size if end < 0 else end + 1
+        name = m[2].lower()
+        if m[1] or name not in RAW:
+            yield start, at, m[1], name, attributes
+            continue
+        own_end = attributes.endswith("/")
+        close = None if own_end and name == "svg" or name in missing else re.compile(rf"</{name}\s*+>", re.I).search(page, at)
+        if close:
+            at = close.end()
+        elif not own_end:
+            missing.add(name)
+            at = size
+        yield start, at, "", "", ""
+
+
 def _hints(value: str) -> set[str]:
     """The hints that the names of a class or id give, each taken as a whole."""
     found = set()
@@ -98,6 +150,8 @@ def page_lines(page: str, hints: bool = True) -> tuple[list[tuple[str, int, int,
     heading = False
     skipped = titles_only = 0  # depth of the stack at which left-out text, or a header of an article, began
     stack: list[tuple[str, int]] = []  # open elements, and the mark outside each
+    places: dict[str, list[int]] = {}  # depths of open elements by name
+    walls: list[int] = []  # depths of elements that an unclosed paragraph doesn't reach beyond
 
     def flush() -> None:
         nonlocal links
@@ -113,22 +167,26 @@ def page_lines(page: str, hints: bool = True) -> tuple[list[tuple[str, int, int,
     def pop(depth: int) -> None:
         nonlocal skipped, titles_only, marked
         marked = stack[depth][1]
-        del stack[depth:]
+        while len(stack) > depth:
+            name, _ = stack.pop()
+            places[name].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
         if skipped > depth:
             skipped = 0
             lines.append(None)
         if titles_only > depth:
             titles_only = 0
 
-    page, at = _RAW.sub("", page), 0
-    for m in _TAG.finditer(page):
-        if m.start() > at and not skipped and (not titles_only or heading):
-            text.append(page[at : m.start()])
+    at = 0
+    for start, end, ending, name, attributes in _tags(page):
+        if start > at and not skipped and (not titles_only or heading):
+            text.append(page[at:start])
             if anchor:
-                links += m.start() - at
-        at = m.end()
-        ending, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        name = name.lower()
+                links += start - at
+        at = end
+        if not name:
+            continue
         if name == "a":
             anchor = not ending
             if not attributes.strip():
@@ -142,23 +200,19 @@ def page_lines(page: str, hints: bool = True) -> tuple[list[tuple[str, int, int,
             text.append(" ")
         if name in VOID or (attributes.endswith("/") and name not in BLOCKS):
             continue
+        open_at = places.get(name)
         if ending:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    if skipped or name in BLOCKS or depth + 1 == len(stack):
-                        pop(depth)
-                    break
+            if open_at and (skipped or name in BLOCKS or open_at[-1] + 1 == len(stack)):
+                pop(open_at[-1])
             continue
-        if name == "p" or name == "li":  # these end one another where they aren't closed
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    pop(depth)
-                    break
-                if stack[depth][0] in ("div", "ul", "ol", "td", "section", "article", "main", "body", "nav", "aside", "form", "header", "footer", "blockquote"):
-                    break
+        if (name == "p" or name == "li") and open_at and (not walls or open_at[-1] > walls[-1]):
+            pop(open_at[-1])  # these end one another where they aren't closed
         boilerplate, marks = _judged(name, attributes if hints else "")
         if name not in BLOCKS and not boilerplate:
             continue
+        if name in WALLS:
+            walls.append(len(stack))
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, marked))
         if not skipped:
             marked = max(marked, marks)
@@ -203,9 +257,9 @@ def main_text(page: str) -> str:
     if not spans:
         return ""
     first, end = spans[0]
-    if not mark:  # the title may be one of the lines before the surge, or of its first ones
+    if not mark:  # the title may be one of the lines before the surge
         above = max((i + 1 for i in range(first) if not lines[i]), default=0)
-        titles = [i for i in range(max(above, first - WINDOW), min(end, first + WINDOW)) if lines[i] and lines[i][3]]
+        titles = [i for i in range(max(above, first - WINDOW), first) if lines[i] and lines[i][3]]
         first = titles[0] if titles else first
     spans[0] = (first, end)
     inside = {i for first, end in spans for i in range(first, end)}
