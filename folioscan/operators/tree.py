@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import extension, file_type
+from folioscan.operators.ranks import GROUP_ROWS, ranked
 
 
 def bucket_targets(items: DataFrame, roots: list[str]) -> DataFrame:
@@ -48,11 +49,11 @@ def build_tree(items: DataFrame, roots: list[str]) -> DataFrame:
     return folders.unionByName(files)
 
 
-def sort_tree(tree: DataFrame) -> DataFrame:
+def sort_tree(tree: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``tree`` with place: the number of a node among its siblings, folders first,
-    then by name whatever the case."""
-    order = Window.partitionBy("target", "parent_path").orderBy(F.desc("is_folder"), F.upper("name"), "name", "full_path")
-    return tree.withColumn("place", F.row_number().over(order).cast("bigint"))
+    then by name whatever the case. More than ``group_rows`` siblings are sorted by many
+    tasks."""
+    return ranked(tree, ["target", "parent_path"], [F.desc("is_folder"), F.upper("name"), F.col("name"), F.col("full_path")], group_rows=group_rows)
 
 
 def expand_to(tree: DataFrame, path: str, is_file: bool = False) -> DataFrame:
@@ -101,12 +102,13 @@ def file_nav(files: DataFrame) -> DataFrame:
     )
 
 
-def list_items(nodes: DataFrame, sort: str = "name", ascending: bool = True, kind: str = "") -> DataFrame:
+def list_items(nodes: DataFrame, sort: str = "name", ascending: bool = True, kind: str = "", group_rows: int = GROUP_ROWS) -> DataFrame:
     """A folder's listing: ``nodes`` (name, is_folder, last_modified, file_size) that
     the filter keeps, with place. ``kind`` is "" (all), "folder" or an extension.
 
     By name, folders come first whatever the direction; by date, missing dates come
-    first when ascending; by type, folders have none; by size, folders have 0.
+    first when ascending; by type, folders have none; by size, folders have 0. A folder of
+    more than ``group_rows`` items is sorted by many tasks.
     """
     kept = nodes
     if kind == "folder":
@@ -120,8 +122,7 @@ def list_items(nodes: DataFrame, sort: str = "name", ascending: bool = True, kin
     key = keys.get(sort, F.col("name"))
     order = [F.desc("is_folder")] if sort not in ("date", "size", "type") else []
     order.append(key.asc_nulls_first() if ascending else key.desc_nulls_last())
-    by = Window.partitionBy("parent_path").orderBy(*order, "full_path")
-    return kept.withColumn("place", F.row_number().over(by).cast("bigint"))
+    return ranked(kept, ["parent_path"], [*order, F.col("full_path")], group_rows=group_rows)
 
 
 def listing_columns(nodes: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Numbers and running totals do not depend on how groups are dealt."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.operators import ranks
+from folioscan.operators import ranks, tree
 from folioscan.operators.ranks import ranked, running
 from folioscan.sources.shared import new_path
 
@@ -51,3 +52,18 @@ def test_running(spark, block):
         at[g] = (xs ^ x, ys + y)
         want.append((g, p, x, y, *at[g]))
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("sort, ascending", [("name", True), ("date", True), ("date", False), ("size", False), ("type", True)])
+def test_listings_of_large_folders_are_the_same(spark, sort, ascending):
+    rng = random.Random(4)
+    rows = [("/r" if k % 9 else "/s", f"{rng.choice('abc')}{k}.{rng.choice(['txt', 'md'])}", k % 7 == 0, None if k % 5 == 0 else datetime(2024, 1, 1 + k % 9), rng.randint(0, 9), f"/r/{k:03d}") for k in range(300)]
+    nodes = spark.createDataFrame(rows, "parent_path string, name string, is_folder boolean, last_modified timestamp, file_size bigint, full_path string")
+    small, large = (sorted((r.full_path, r.place) for r in tree.list_items(nodes, sort, ascending, group_rows=n).collect()) for n in (1 << 20, 10))
+    assert small == large and len({p for _, p in large}) == max(p for _, p in large)
+
+
+def test_trees_with_many_siblings_are_the_same(spark):
+    nodes = spark.createDataFrame([("/t", "/p" if k % 4 else None, k % 3 == 0, f"n{k * 7 % 50}", f"/p/{k}") for k in range(200)], "target string, parent_path string, is_folder boolean, name string, full_path string")
+    small, large = (sorted((r.full_path, r.place) for r in tree.sort_tree(nodes, group_rows=n).collect()) for n in (1 << 20, 10))
+    assert small == large
