@@ -203,13 +203,15 @@ _query(
     "doc_projection", f"WITH {sql.CORPUS} SELECT file_path, file_name, folder_path, file_size, last_modified_ticks, file_type FROM corpus",
     lambda spark, d: documents_corpus(spark, d).select("file_path", text.file_name(F.col("file_path")).alias("file_name"), text.folder_path(F.col("file_path")).alias("folder_path"), "file_size", "last_modified_ticks", text.file_type(text.extension(F.col("file_path"))).alias("file_type")),
 )
+_LABELLED = [*S.FILE_TYPES.items(), (".htm", S.OTHER_TYPE), (".sql", S.OTHER_TYPE)]
+_NTH = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("doc_id") % n + 1).cast("int"))
 _query(
-    "file_type_label", "SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{v}')" for e, v in [*S.FILE_TYPES.items(), (".htm", S.OTHER_TYPE), (".sql", S.OTHER_TYPE)]) + ") t(ext, label)",
-    lambda spark, d: spark.createDataFrame([(e,) for e in [*S.FILE_TYPES, ".htm", ".sql"]], "ext string").select("ext", text.file_type(F.col("ext")).alias("label")),
+    "file_type_label", f"SELECT doc_id, CASE doc_id % {len(_LABELLED)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in enumerate(_LABELLED)) + " END AS label FROM documents",
+    lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.file_type(_NTH([e.upper() if k % 2 else e for k, (e, _) in enumerate(_LABELLED)], len(_LABELLED))).alias("label")),
 )
 _query(
-    "normalize_extension", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(a, b) for a, b in zip(_PATHS, _EXPECTED)) + ") t(input, output)",
-    lambda spark, d: spark.createDataFrame([(p,) for p in _PATHS], "input string").select("input", text.normalize_extension(F.col("input")).alias("output")),
+    "normalize_extension", f"SELECT doc_id, CASE doc_id % {len(_PATHS)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_EXPECTED)) + " END AS output FROM documents",
+    lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.normalize_extension(_NTH(_PATHS, len(_PATHS))).alias("output")),
 )
 _query(
     "icon_class", "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'word' WHEN 1 THEN 'excel' WHEN 2 THEN 'ppt' WHEN 3 THEN 'pdf' WHEN 4 THEN 'code' ELSE 'text' END AS icon FROM part",
@@ -534,15 +536,55 @@ _query(
 )
 
 
-def _sample_files(spark: SparkSession) -> DataFrame:
+_office: dict[tuple[str, str], str] = {}
+
+
+def _office_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with all documents as Office and text files, made once for a session: a
+    paragraph, a row (number and line) or a slide (its words) for each line of a text."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _office:
+        root = new_path(spark, "office")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        docs.foreachPartition(lambda rows: _write_office(root, rows))
+        _office[key] = root
+    return _office[key]
+
+
+def _write_office(root: str, rows) -> None:
+    import pyarrow.fs as pafs
+
     from folioscan.sources import samples
 
-    return spark.createDataFrame([(path, bytearray(data)) for path, data in samples.files().items()], "path string, content binary").select("path", F.timestamp_seconds(F.lit(1704067200)).alias("modificationTime"), F.length("content").cast("bigint").alias("length"), "content")
+    files, path = pafs.FileSystem.from_uri(root)
+    for folder in ("docx", "xlsx", "pptx", "txt"):
+        files.create_dir(f"{path}/{folder}", recursive=True)
+    for row in rows:
+        text, n = row["text"] or "", row["doc_id"]
+        lines = text.split("\n")
+        made = {
+            "docx": samples.docx(lines, ["in a table"] if n % 2 else []), "xlsx": samples.xlsx([list(enumerate(lines, 1)), [("last",)]], shared=n % 2 == 1),
+            "pptx": samples.pptx([line.split(" ") for line in lines]), "txt": text.encode(("utf-8", "utf-16", "utf-8-sig", "utf-32")[n % 4]),
+        }
+        for ext, data in made.items():
+            with files.open_output_stream(f"{path}/{ext}/{n}.{ext}", compression=None) as out:
+                out.write(data)
 
 
 def _extracted(ext: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: extract(_sample_files(spark).where(F.col("path").endswith(ext))).select("file_path", "file_type", "content", "error")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = extract(scan(spark, [f"{_office_files(spark, sf_dir)}/{ext}"]))
+        return found.select(F.regexp_extract("file_path", r"([0-9]+)\.[a-z]+$", 1).cast("bigint").alias("doc_id"), "file_type", "content", F.col("error").isNotNull().alias("failed"))
+
+    return run
 
 
-for _ext in ("docx", "xlsx", "pptx", "txt"):
-    _query(f"extract_{_ext}", None, _extracted(f".{_ext}"))
+_LINES = "list_transform(range(1, len(lines) + 1), lambda i: {})"
+_OFFICE_TEXT = {
+    "docx": "coalesce(array_to_string(list_transform(list_filter(lines, lambda x: regexp_matches(x, '\\S')), lambda x: x || chr(10)), ''), '')",
+    "xlsx": f"array_to_string({_LINES.format("concat(i, CASE WHEN lines[i] <> '' THEN chr(9) || lines[i] ELSE '' END, chr(10))")}, '') || chr(10) || 'last' || chr(10) || chr(10)",
+    "pptx": f"array_to_string({_LINES.format("concat(array_to_string(list_transform(list_filter(string_split(lines[i], ' '), lambda x: regexp_matches(x, '\\S')), lambda x: x || chr(10)), ''), chr(10))")}, '')",
+    "txt": "coalesce(text, '')",
+}
+for _ext, _text in _OFFICE_TEXT.items():
+    _query(f"extract_{_ext}", f"SELECT doc_id, '{S.FILE_TYPES['.' + _ext]}' AS file_type, {_text} AS content, false AS failed FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)", _extracted(_ext))
