@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan import schema as S
@@ -69,12 +69,16 @@ def snapshot(docs: DataFrame, roots: list[str]) -> DataFrame:
     return docs.where(under_any(F.col("file_path"), roots)).select("file_path", "last_modified_ticks")
 
 
+def change_of(event_type: Column) -> Column:
+    """What an event does: signup and purchase create, error deletes, others modify."""
+    return F.when(event_type.isin("signup", "purchase"), "create").when(event_type == "error", "delete").otherwise("modify")
+
+
 def latest_changes(events: DataFrame, key: str = "user_id") -> DataFrame:
     """The last event of each key by (ts, event_id), and what it does: signup and
     purchase create, click and view modify, error deletes."""
     by = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
-    op = F.when(F.col("event_type").isin("signup", "purchase"), "create").when(F.col("event_type") == "error", "delete").otherwise("modify")
-    return events.withColumn("_n", F.row_number().over(by)).where("_n = 1").select(key, "event_id", op.alias("op"), F.col("value"))
+    return events.withColumn("_n", F.row_number().over(by)).where("_n = 1").select(key, "event_id", change_of(F.col("event_type")).alias("op"), F.col("value"))
 
 
 #: Bytes of texts for each bucket of a segment's postings.

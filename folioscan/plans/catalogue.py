@@ -15,6 +15,7 @@ from folioscan.plans import sql
 from folioscan.plans.query import SearchOptions
 from folioscan.sources.files import extract, scan
 from folioscan.sources.shared import new_path
+from folioscan.streaming.refresh import keep_latest, latest_kept
 from folioscan.sources.corpus import chat_corpus, documents_corpus, pages_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -403,6 +404,20 @@ _query(
 )
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of small files in an order of its own, a part of them twice."""
+    feed, target, mark = (new_path(spark, x) for x in ("feed", "changes", "mark"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    dealt = events.withColumn("file", F.pmod(F.xxhash64("event_id"), F.lit(6))).repartition(6, "file").drop("file")
+    dealt.write.parquet(feed)
+    events.where("event_id % 3 = 0").coalesce(1).write.mode("append").parquet(feed)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
+    keep_latest(spark, feed, schema, mark, target, files=2).awaitTermination()
+    return latest_kept(spark, target)
+
+
+_query("change_feed_stream", ORACLE_SQL["change_feed_latest"], _streamed)
+
 _files: dict[tuple[str, str], str] = {}
 
 

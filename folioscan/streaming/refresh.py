@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioscan.operators.index import Index, latest_changes, upsert
+from folioscan.operators.index import Index, change_of, latest_changes, upsert
 
 
 def start_refresh(index: Index, roots: list[str], minutes: float, checkpoint: str) -> StreamingQuery:
@@ -33,3 +34,29 @@ def apply_changes(spark: SparkSession, folder: str, schema: str, checkpoint: str
 
     feed = spark.readStream.schema(schema).parquet(folder)
     return feed.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+
+
+def keep_latest(spark: SparkSession, folder: str, schema: str, checkpoint: str, target: str, files: int = 1000, key: str = "user_id") -> StreamingQuery:
+    """Read the change files in ``folder`` that are new, so many at a time, and write to
+    ``target``/batch=<n> what the last change of each key is now, for keys whose last one
+    a batch changed.
+
+    What is known of a key stays in Spark's state store, so a batch reads and writes its own
+    keys, however many there are. Events may come late, in any order and more than once: the
+    last is the one with the largest (ts, event_id). A batch that runs again overwrites its
+    own folder. ``latest_kept`` reads the answer.
+    """
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    last = F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("e")
+
+    def batch(changed: DataFrame, number: int) -> None:
+        changed.select(key, "e.event_id", change_of(F.col("e.event_type")).alias("op"), "e.value").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return feed.groupBy(key).agg(last).writeStream.outputMode("update").foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+
+
+def latest_kept(spark: SparkSession, target: str, key: str = "user_id") -> DataFrame:
+    """The last change of each key that ``keep_latest`` has written: its row of the last
+    batch that has one."""
+    rows = spark.read.parquet(target)
+    return rows.groupBy(key).agg(F.max_by(F.struct("event_id", "op", "value"), "batch").alias("e")).select(key, "e.*")

@@ -1,5 +1,6 @@
 import os
 import time
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscan.operators import index
 from folioscan.sources import extractors, samples
 from folioscan.sources.files import extract, scan
-from folioscan.streaming.refresh import apply_changes, start_refresh
+from folioscan.streaming.refresh import apply_changes, keep_latest, latest_kept, start_refresh
 
 
 def test_extractors():
@@ -201,6 +202,21 @@ def test_change_feed(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
 
 
+def test_kept_changes_of_late_and_repeated_events(spark, tmp_path):
+    feed, target, mark = (str(tmp_path / x) for x in ("feed", "target", "mark"))
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    row = lambda e, minute, user, kind: (e, datetime(2024, 1, 1, 0, minute), user, kind, float(e), None)
+    files = [[row(1, 5, 1, "click"), row(2, 1, 2, "signup")], [row(3, 4, 1, "error"), row(2, 1, 2, "signup")], [row(4, 9, 2, "error"), row(5, 5, 1, "view"), row(6, 0, None, "signup")], [row(1, 5, 1, "click")]]
+    got = []
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        keep_latest(spark, feed, schema, mark, target, files=1).awaitTermination()
+        got.append(sorted(((r.user_id, r.event_id, r.op) for r in latest_kept(spark, target).collect()), key=repr))
+    assert got == [[(1, 1, "modify"), (2, 2, "create")], [(1, 1, "modify"), (2, 2, "create")], [(1, 5, "modify"), (2, 4, "delete"), (None, 6, "create")], [(1, 5, "modify"), (2, 4, "delete"), (None, 6, "create")]]
+    # a batch writes the keys that it has, not all
+    assert {r.user_id for r in spark.read.parquet(f"{target}/batch=3").collect()} == {1}
+
+
 def test_refresh(spark, folder, tmp_path):
     store = index.Index(spark, str(tmp_path / "i"))
     query = start_refresh(store, [str(folder)], 0.02, str(tmp_path / "mark"))
