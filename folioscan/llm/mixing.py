@@ -25,6 +25,8 @@ MOST_SOURCES = 1_000_000
 #: Blocks of a source; beyond it blocks hold more documents, so that what runs over a
 #: source's blocks in order stays small.
 MOST_BLOCKS = 1 << 16
+#: Blocks that all sources draw together, as one draw of the quotas tells apart.
+MOST_DRAWN = 900_000_000
 
 
 def target_sizes(sizes: list[int], weights: list[float], total: float, most: float = 2.0) -> list[float]:
@@ -117,7 +119,8 @@ def _dealt(scratch: Scratch, sized: DataFrame, weights, share, most, shards, blo
     sizes = [int(r["size"]) for r in found]
     targets = target_sizes(sizes, [float(weights[k % len(weights)]) for k in range(len(found))], share * sum(sizes), most)
     # a source's documents fall into this many blocks, by the hash that permutes them
-    plan = [(k, r["source"], sizes[k], targets[k], max(1, min(MOST_BLOCKS, round(r["docs"] / block_docs)))) for k, r in enumerate(found)]
+    most_blocks = min(MOST_BLOCKS, MOST_DRAWN // (math.ceil(most) * max(1, len(found))))
+    plan = [(k, r["source"], sizes[k], targets[k], max(1, min(most_blocks, round(r["docs"] / block_docs)))) for k, r in enumerate(found)]
     plan_df = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, blocks long")
     order = F.xxhash64(F.lit(seed), "id", "salt")
     dealt = sized.join(F.broadcast(plan_df) if len(plan) <= 10_000 else plan_df, sized["source"].eqNullSafe(plan_df["source"])).select(

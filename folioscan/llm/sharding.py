@@ -34,7 +34,7 @@ def _points(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> Da
     meta = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
     rows = scratch.written(docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).cast("long").alias("crc"),
-        F.xxhash64(text).alias("tie"), meta("lang").alias("lang"), meta("source").alias("source"),
+        F.xxhash64(text).alias("tie"), meta("lang").alias("lang"), meta("source").alias("source"), F.monotonically_increasing_id().alias("row"),
     ), "shard-rows")
     key = ["tie", "crc", "size"]
     # written, so that both sides of the join are plain exchanges and a hot group can be split
@@ -46,7 +46,7 @@ def _points(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str) -> Da
         ranks = names.where(F.col("kind") == kind).select(F.col("name").alias("named"), F.col("number").alias(place))
         groups = groups.join(ranks, F.col(column).eqNullSafe(F.col("named"))).drop("named", column)
     return rows.drop("lang", "source").join(scratch.written(groups, "shard-places"), key).select(
-        "id", "size", "crc", "tie", F.xxhash64("id", F.lit(1)).alias("own"), "d0", "d1", F.col("size").alias("d2"), F.coalesce(F.col("least").cast("long"), F.lit(-1)).alias("d3"), F.lit(0).alias("node"),
+        "id", "size", "crc", "tie", F.xxhash64("id", F.lit(1), "row").alias("own"), "d0", "d1", F.col("size").alias("d2"), F.coalesce(F.col("least").cast("string").try_cast("long"), F.lit(-1)).alias("d3"), F.lit(0).alias("node"),
     )
 
 
@@ -83,7 +83,8 @@ def kd_shards(docs: DataFrame, leaves: int = 24, id_col: str = "doc_id", text_co
 
     Equal texts share a shard unless a split has to divide them for balance. A null
     text counts as empty, a text of any length is one size; null ids, languages or
-    sources are places of their own. Repeated rows may be split from each other.
+    sources are places of their own; ids that aren't numbers have one place. Repeated rows
+    are told apart, so they may be split from each other as balance asks.
     Columns named lang and source steer the tree where they exist; others are ignored.
     Fewer rows than leaves leave shards empty, and no rows give no rows.
     """
