@@ -542,8 +542,8 @@ _query(
     lambda spark, d: tree.expand_to(_tree(spark, d), "\\Corpus\\SRC1\\en\\doc_1.md", True).select("full_path", "is_expanded"),
 )
 _query(
-    "analyze_whole", f"WITH {sql.CORPUS} SELECT file_path, CASE WHEN trim(content) = '' OR content IS NULL THEN 0 ELSE 1 END::BIGINT AS terms, md5(CASE WHEN trim(content) <> '' THEN lower(left(content, 500)) ELSE '' END) AS digest FROM corpus",
-    lambda spark, d: documents_corpus(spark, d).select("file_path", analysis.tokens(F.substring("content", 1, 500), "whole").alias("t")).select("file_path", F.size("t").cast("bigint").alias("terms"), F.md5(F.array_join("t", "")).alias("digest")),
+    "analyze_whole", f"WITH {sql.CORPUS} SELECT file_path, CASE WHEN trim(content) = '' OR content IS NULL THEN 0 ELSE ceil(strlen(lower(left(content, 500000))) / 32765.0) END::BIGINT AS terms, md5(CASE WHEN trim(content) <> '' THEN lower(left(content, 500000)) ELSE '' END) AS digest FROM corpus",
+    lambda spark, d: documents_corpus(spark, d).select("file_path", analysis.tokens(F.col("content"), "whole").alias("t")).select("file_path", F.size("t").cast("bigint").alias("terms"), F.md5(F.array_join("t", "")).alias("digest")),
 )
 _query(
     "analyze_long_terms", "SELECT r_regionkey, ceil(40000 / (32765 // n))::BIGINT AS terms, (n * (32765 // n))::BIGINT AS longest FROM (SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 3 END AS n FROM region)",

@@ -88,6 +88,19 @@ class Settings:
             self.target_extensions.append(ext)
         return None
 
+    def remove_folder(self, folder: str) -> bool:
+        """Take a folder out, whatever its case and last separator; whether it was there.
+        Its documents leave an index with the next ``purge_unlisted`` or rebuild."""
+        kept = [f for f in self.target_folders if f.rstrip("/\\").lower() != folder.strip().rstrip("/\\").lower()]
+        found, self.target_folders = len(kept) < len(self.target_folders), kept
+        return found
+
+    def remove_extension(self, ext: str) -> bool:
+        """Take an extension out, whatever its case; whether it was there."""
+        kept = [e for e in self.target_extensions if e.lower() != ext.strip().lower()]
+        found, self.target_extensions = len(kept) < len(self.target_extensions), kept
+        return found
+
     def refresh_minutes(self) -> int:
         """The interval of periodic updates, 0 if off."""
         return self.auto_rebuild_interval_minutes if self.auto_rebuild_interval_minutes in S.AUTO_REBUILD_MINUTES else 0

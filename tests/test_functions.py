@@ -85,3 +85,9 @@ def test_settings(tmp_path):
 @pytest.mark.parametrize("line, k, total, shown", [(3, 1, 2, "3 行目 (1/2)"), (0, 1, 2, "1/2"), (3, 1, 0, None)])
 def test_highlight_position(spark, line, k, total, shown):
     assert spark.range(1).select(text.highlight_position(F.lit(line), F.lit(k), F.lit(total))).first()[0] == shown
+
+
+def test_folders_and_extensions_are_removed():
+    settings = Settings(target_folders=["/A/b", "/c"], target_extensions=[".md", ".TXT"])
+    assert settings.remove_folder("/a/B/") and not settings.remove_folder("/a/B") and settings.target_folders == ["/c"]
+    assert settings.remove_extension(" .txt") and not settings.remove_extension(".exe") and settings.target_extensions == [".md"]
