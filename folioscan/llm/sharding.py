@@ -12,6 +12,8 @@ own hash, so even a group larger than a leaf is split evenly.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from folioscan.llm.shared import Scratch, written
 
 #: Sums that the histograms of a level send to the driver at most, and buckets of a node.
 MOST_SUMS, MOST_BUCKETS = 1 << 17, 1 << 13
-#: Leaves of one tree, whose nodes the driver holds.
-MOST_LEAVES = 1 << 16
+#: Nodes of a level whose medians are sought together; a level with more takes several turns.
+MOST_NODES = 1 << 16
 #: A node's median is exact to this share of a leaf's bytes.
 TOLERANCE = 0.0005
 
@@ -78,8 +80,9 @@ def kd_shards(docs: DataFrame, leaves: int = 24, id_col: str = "doc_id", text_co
     ``leaves`` - 1), slot (gapless from 0 in its shard, by id). With ``leaf_bytes``
     there are as many leaves as it takes to hold no more than that each.
 
-    At most MOST_LEAVES are made at once, since a level's histograms come to the
-    driver; for more, shard each shard again.
+    The driver holds a number for each leaf, and the histograms of MOST_NODES nodes at
+    once; a level with more nodes takes several turns, each of which reads the points.
+    No row fits into ``leaf_bytes`` under 8, which are an error.
 
     Equal texts share a shard unless a split has to divide them for balance. A null
     text counts as empty, a text of any length is one size; null ids, languages or
@@ -88,6 +91,8 @@ def kd_shards(docs: DataFrame, leaves: int = 24, id_col: str = "doc_id", text_co
     Columns named lang and source steer the tree where they exist; others are ignored.
     Fewer rows than leaves leave shards empty, and no rows give no rows.
     """
+    if leaf_bytes is not None and leaf_bytes < 8:
+        raise ValueError(f"no row fits into a leaf of {leaf_bytes} bytes")
     with Scratch(docs.sparkSession) as scratch:
         return written(_kd_shards(scratch, docs, leaves, id_col, text_col, leaf_bytes), "shards")
 
@@ -97,13 +102,17 @@ def _kd_shards(scratch: Scratch, docs: DataFrame, leaves: int, id_col: str, text
     about = points.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *[(F.max(d).cast("double") - F.min(d).cast("double")).alias(d) for d in DIMENSIONS]).first()
     if leaf_bytes is not None:
         leaves = max(1, -(-(about["bytes"] or 0) // leaf_bytes))
-    if leaves > MOST_LEAVES:
-        raise ValueError(f"{leaves} leaves at once; shard into {MOST_LEAVES} at most, then shard these")
     nodes = {0: leaves}  # first leaf of a node -> its leaves
     while splitting := {first: n for first, n in nodes.items() if n > 1}:
-        cuts = _cuts(points, splitting, [float(about[d] or 0) for d in DIMENSIONS])
-        bounds = _table(points, [(first, DIMENSIONS.index(cuts[first][0]), *cuts[first][1], first + n // 2) for first, n in splitting.items()], "node", "dim", "v", "t", "o", "right")
-        moved = points.join(F.broadcast(bounds), "node", "left")
+        bounds, spans, order = None, [float(about[d] or 0) for d in DIMENSIONS], list(splitting)
+        for at in range(0, len(order), MOST_NODES):
+            turn = {first: splitting[first] for first in order[at : at + MOST_NODES]}
+            cuts = _cuts(points, turn, spans)
+            told = _table(points, [(first, DIMENSIONS.index(cuts[first][0]), *cuts[first][1], first + n // 2) for first, n in turn.items()], "node", "dim", "v", "t", "o", "right")
+            if len(order) > MOST_NODES:  # too many to plan as one local table, or to broadcast
+                told = scratch.written(told, "shard-bounds")
+            bounds = told if bounds is None else bounds.unionByName(told)
+        moved = points.join(bounds if len(order) > MOST_NODES else F.broadcast(bounds), "node", "left")
         x, tie, own = _coordinate(F.col("dim")), F.col("tie"), F.col("own")
         left = (x < F.col("v")) | ((x == F.col("v")) & ((tie < F.col("t")) | ((tie == F.col("t")) & (own <= F.col("o")))))
         moved = moved.withColumn("node", F.when(left | F.col("right").isNull(), F.col("node")).otherwise(F.col("right")).cast("int"))
@@ -111,8 +120,14 @@ def _kd_shards(scratch: Scratch, docs: DataFrame, leaves: int, id_col: str, text
         nodes = {k: v for first, n in nodes.items() for k, v in ({first: n} if n == 1 else {first: n // 2, first + n // 2: n - n // 2}).items()}
     points = _numbered(scratch, points.select("id", "size", "crc", "tie", F.col("node").alias("shard")), [F.col("shard"), F.col("id").asc_nulls_first(), F.col("tie"), F.col("crc")])
     sizes = sorted(points.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect())
-    firsts = _table(points, [(r["shard"], sum(x["n"] for x in sizes[:k])) for k, r in enumerate(sizes)], "shard", "first")
-    return points.join(F.broadcast(firsts), "shard").select(
+    firsts = list(zip((r["shard"] for r in sizes), accumulate((r["n"] for r in sizes), initial=0)))
+    starts = None
+    for at in range(0, max(1, len(firsts)), MOST_NODES):
+        told = _table(points, firsts[at : at + MOST_NODES], "shard", "first")
+        if len(firsts) > MOST_NODES:
+            told = scratch.written(told, "shard-starts")
+        starts = told if starts is None else starts.unionByName(told)
+    return points.join(starts if len(firsts) > MOST_NODES else F.broadcast(starts), "shard").select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("number") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 

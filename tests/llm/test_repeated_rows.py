@@ -2,7 +2,7 @@
 
 import pytest
 
-from folioscan.llm import mixing
+from folioscan.llm import mixing, sharding
 from folioscan.llm.mixing import mix_summary, split_quotas
 from folioscan.llm.sharding import kd_shards
 
@@ -28,3 +28,12 @@ def test_blocks_follow_what_a_draw_can_tell(spark, monkeypatch):
         got = taken.setdefault(r["doc_id"] % 8, [0, r["target"]])
         got[0] += r["taken"]
     assert all(abs(got - target) < 5 for got, target in taken.values())  # less than a document
+
+
+def test_levels_of_many_nodes_take_turns(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * (k * 37 % 90), f"s{k % 3}") for k in range(150)], "doc_id bigint, text string, source string")
+    whole = sorted(kd_shards(docs, leaves=6).collect())
+    monkeypatch.setattr(sharding, "MOST_NODES", 2)
+    assert sorted(kd_shards(docs, leaves=6).collect()) == whole and len({r["shard"] for r in whole}) == 6
+    with pytest.raises(ValueError):
+        kd_shards(docs, leaf_bytes=7)
