@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.shared import Scratch, utf8, written
+from folioscan.llm.shared import Scratch, small_batches, utf8, written
 
 #: Bytes that the rolling hash sees.
 WINDOW = 32
@@ -96,7 +96,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, text_sha256 string, marks array<bigint>, shas array<binary>"
     with Scratch(docs.sparkSession) as scratch:
-        recipes = scratch.written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(chunk_recipes, schema), "recipes")
+        # small batches: a worker holds a batch's texts and, for one text, a number for each byte
+        recipes = scratch.written(small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(chunk_recipes, schema), "recipes")
         pieces = recipes.select(F.explode(F.arrays_zip("marks", "shas")).alias("c")).select("c.marks", "c.shas").distinct()
         clash = pieces.groupBy("marks").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
         listed = recipes.select("id", "text_sha256", (F.arrays_zip("marks", "shas") if clash else F.col("marks")).alias("recipe"))
@@ -105,4 +106,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         found = listed.join(groups, "recipe").select(
             F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
         )
-        return written(found, "exact-groups")
+        return written(found, "exact-groups", docs.sparkSession)
