@@ -7,11 +7,13 @@ changed, however large the index is; segments of like size become one as they ga
 and ``compact`` makes one segment of all. A
 version counts once its file in ``versions`` exists; the file is created without
 overwriting, so of two writers of one version only one succeeds, and a job that dies
-before it leaves the old version in force.
+before it leaves the old version in force. An update compares digests of folders first,
+from the root down, and then the files of those folders that differ.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import threading
 import time
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from folioscan import schema as S
 from folioscan.functions.analysis import dictionary_of, grouped_postings
 from folioscan.functions.text import under_any
-from folioscan.operators.segments import DEAD, DICTIONARY, POSTINGS, Reader, blocks_of, bucket_of, grams_of, write_postings
+from folioscan.operators.folders import differing, digests, write_folders
+from folioscan.operators.segments import DEAD, DICTIONARY, FOLDERS, POSTINGS, SLICE_DOCS, Reader, blocks_of, bucket_of, folder_of, grams_of, path_key, slots_for, write_postings
 from folioscan.sources.extractors import Registry
 from folioscan.sources.files import extract, listing, roots_of, scan
 
@@ -251,9 +254,9 @@ class Index:
             taken, counts = 0, None
             if reader.segments:
                 gone = gone.select("file_path").unionByName(now.select("file_path"))
-                taken = new.take_out(reader.docs().select("file_path").join(gone, "file_path", "left_semi").distinct())
+                taken = new.take_out(reader.entries_at(gone).distinct())
                 counts = dictionary_of(reader.docs().join(new.dead(), "file_path", "left_semi"), self.analyser) if taken else None
-            segments = [*reader.segments, new.finish(grouped_postings(now, self.analyser), less=counts)]
+            segments = [*reader.segments, new.finish(grouped_postings(now, self.analyser), less=counts, gone=new.dead() if taken else None)]
             start = merge_from([x["size"] for x in segments])
             if start is not None:
                 segments = [*segments[:start], merged.join(segments[start:], keep_dead=start > 0)]
@@ -321,15 +324,27 @@ class Index:
     def _update(self, roots: list[str], extensions: list[str] | None, registry: Registry | None, compat: bool, told: Progress) -> dict:
         from folioscan.sources.files import _exists
 
-        files, old = scan(self.spark, roots, extensions, registry), self.docs()
+        files, reader = scan(self.spark, roots, extensions, registry), self.at()
         reachable = None if compat else [r for r in roots if _exists(self.spark, r)]
-        changes = diff(self._comparable(old), self._comparable(listing(files)), [self._bare(r) for r in roots], None if reachable is None else [self._bare(r) for r in reachable])
-        path = f"{self.root}/data/changes-{uuid.uuid4().hex}"
+        path, numbers = f"{self.root}/data/changes-{uuid.uuid4().hex}", itertools.count()
+
+        def kept(rows: DataFrame) -> DataFrame:
+            name = f"{path}/{next(numbers)}"
+            rows.write.parquet(name)
+            return self.spark.read.schema(rows.schema).parquet(name)
+
         try:
-            changes.write.parquet(path)
-            changes = self.spark.read.schema(changes.schema).parquet(path)
+            listed = listing(files).select("file_path", "last_modified_ticks")
+            folders = differing(reader, digests(listed), roots, kept)
+            if folders is None:
+                old = reader.docs().select("file_path", "last_modified_ticks")
+            else:
+                folders = kept(folders)
+                old = reader.entries(folders)
+                listed = listed.withColumn("folder", folder_of(path_key(F.col("file_path")))).join(folders, "folder", "left_semi")
+            changes = kept(diff(self._comparable(old), self._comparable(listed), [self._bare(r) for r in roots], None if reachable is None else [self._bare(r) for r in reachable]))
             counts = {r["op"]: r["n"] for r in changes.groupBy("op").agg(F.count(F.lit(1)).alias("n")).collect()}
-            done = {"version": self.versions()[-1], "files": 0, "errors": 0}
+            done = {"version": reader.version, "files": 0, "errors": 0}
             if counts:
                 todo = changes.where("op <> 'delete'").select(F.lower("file_path").alias("k"))
 
@@ -452,18 +467,21 @@ class Segment:
         return now
 
     def take_out(self, paths: DataFrame) -> int:
-        """Take paths (file_path) out of older segments; how many there are."""
+        """Take paths (file_path, and last_modified_ticks where digests need it) out of older
+        segments; how many there are."""
         paths.write.parquet(f"{self.data}/dead")
         self.taken = self.dead().count()
         return self.taken
 
     def dead(self) -> DataFrame:
         """The paths that the segment takes out of older ones."""
-        return self._read("dead", DEAD)
+        return self._read("dead", f"{DEAD}, last_modified_ticks bigint")
 
-    def finish(self, posted: DataFrame, less: DataFrame | None = None, words: DataFrame | None = None) -> dict:
+    def finish(self, posted: DataFrame, less: DataFrame | None = None, words: DataFrame | None = None, gone: DataFrame | None = None, folders: DataFrame | None = None) -> dict:
         """Write postings, their blocks, the dictionary (``words``, else that of the postings;
-        ``less`` counted with negative signs) and its trigrams; what a version says of it."""
+        ``less`` counted with negative signs) and its trigrams, and entries by folder with
+        digests (``folders``, else those of the documents; ``gone`` taken out); what a version
+        says of it."""
         self.index._check()
         buckets = max(self.index.buckets, -(-self.size // BUCKET_BYTES))
         write_postings(posted, f"{self.data}/postings", buckets, self.count)
@@ -478,7 +496,12 @@ class Segment:
         words.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{self.data}/dictionary")
         grams = grams_of(self._read("dictionary", DICTIONARY), buckets)
         grams.repartition("bucket").sortWithinPartitions("bucket", "field", "gram").write.partitionBy("bucket").parquet(f"{self.data}/grams")
-        return {"data": self.data, "buckets": buckets, "dead": self.taken > 0, "size": self.size + DEAD_BYTES * self.taken, "documents": self.count}
+        docs, slots = self._read("docs", S.DOCS), slots_for(self.count + self.taken)
+        sums = digests(docs) if folders is None else folders
+        if gone is not None:
+            sums = sums.unionByName(digests(gone, -1)).groupBy("folder", "parent").agg(*[F.sum(c).alias(c) if c in ("below", "own") else F.bit_xor(c).alias(c) for c in FOLDERS[2:]])
+        write_folders(docs, sums, self.data, slots, max(1, -(-self.count // SLICE_DOCS)))
+        return {"data": self.data, "slots": slots, "buckets": buckets, "dead": self.taken > 0, "size": self.size + DEAD_BYTES * self.taken, "documents": self.count}
 
     def join(self, segments: list[dict], keep_dead: bool) -> dict:
         """Make one segment of several that follow each other. Nothing is analysed again;
@@ -490,4 +513,5 @@ class Segment:
             if dead:
                 self.take_out(reduce(DataFrame.unionByName, dead).distinct())
         words = reader.counts().where("df <> 0 or cf <> 0")
-        return self.finish(reader.grouped().drop("bucket", "block", "segment"), words=words)
+        made = self.finish(reader.grouped().drop("bucket", "block", "segment"), words=words, folders=reader.folders() if reader.has_folders() else None)
+        return made if reader.has_folders() or not keep_dead else {k: v for k, v in made.items() if k != "slots"}

@@ -2,8 +2,9 @@
 
 Beside documents a segment has, as Parquet: grouped postings (a row per term and
 document, positions delta-coded by the format), blocks of them with their largest
-impact, a dictionary, and the dictionary's trigrams. A reader resolves its version once,
-so all parts that a query reads belong together.
+impact, a dictionary, and the dictionary's trigrams; and paths and times by folder, with
+digests of the folders. A reader resolves its version once, so all parts that a query
+reads belong together.
 """
 
 from __future__ import annotations
@@ -24,6 +25,13 @@ BLOCKS = "field string, term string, block int, n bigint, impact double, bucket
 GRAMS = "gram string, field string, term string, df bigint, cf bigint, bucket int"
 LENGTHS = "file_path string, length bigint"
 DEAD = "file_path string"
+ENTRIES = "folder string, file_path string, last_modified_ticks bigint, slot int"
+#: Columns of folders' digests.
+FOLDERS = ("folder", "parent", "below", "below1", "below2", "own", "own1", "own2")
+DIGESTS = "folder string, parent string, below bigint, below1 bigint, below2 bigint, own bigint, own1 bigint, own2 bigint, slot int"
+#: Documents for each slot of a segment's entries, and slots at most; numbers of slots are
+#: powers of two.
+SLOT_DOCS, MOST_SLOTS = 1 << 12, 1 << 12
 #: Documents of a block of postings, and blocks that a slice of a bucket can number.
 BLOCK_DOCS, SLICE_BLOCKS = 128, 1 << 20
 #: Parts into which documents deal a bucket, as a few terms hold most places, and
@@ -45,6 +53,26 @@ def bucket_on_driver(text: str, buckets: int) -> int:
     return zlib.crc32(text.encode()) % buckets
 
 
+def slots_for(documents: int) -> int:
+    """Into how many slots the entries of so many documents are dealt."""
+    return min(MOST_SLOTS, 1 << max(0, -(-documents // SLOT_DOCS) - 1).bit_length())
+
+
+def slot_of(folder: Column, slots: int) -> Column:
+    """The slot of a folder."""
+    return F.crc32(folder.cast("binary")).bitwiseAND(F.lit(slots - 1)).cast("int")
+
+
+def path_key(path: Column) -> Column:
+    """What two paths of one file have in common: no scheme of local files, small letters."""
+    return F.lower(F.regexp_replace(path, "^file:/*", "/"))
+
+
+def folder_of(key: Column) -> Column:
+    """The folder of a path; empty at the top."""
+    return F.regexp_replace(F.translate(key, "\\", "/"), "/?[^/]*$", "")
+
+
 def impact() -> Column:
     """Share of a document's terms that one term makes."""
     return F.col("freq") / F.col("length")
@@ -111,6 +139,43 @@ class Reader:
         """The documents; none if there is no version."""
         return self.live(self._part("docs", S.DOCS)).drop("segment")
 
+    def has_folders(self) -> bool:
+        """Whether all segments have digests of folders, which older ones lack."""
+        return bool(self.segments) and all("slots" in x for x in self.segments)
+
+    def slots_of(self, folders: DataFrame) -> list[int]:
+        """The slots of ``folders`` (folder), as finely as any segment tells them apart."""
+        most = max((x["slots"] for x in self.segments), default=1)
+        return [r[0] for r in folders.select(slot_of(F.col("folder"), most)).distinct().collect()]
+
+    def _slotted(self, part: str, schema: str, slots: list[int] | None) -> DataFrame:
+        """A part of all segments, in some slots alone."""
+        out = self._part(part, schema, [])
+        for k, x in enumerate(self.segments):
+            rows = self.spark.read.schema(schema).parquet(f"{x['data']}/{part}").withColumn("segment", F.lit(k))
+            out = out.unionByName(rows if slots is None else rows.where(F.col("slot").isin(sorted({s & (x["slots"] - 1) for s in slots}))))
+        return out.drop("slot")
+
+    def folders(self, parents: DataFrame | None = None, slots: list[int] | None = None) -> DataFrame:
+        """The digests of all folders, or of the children of ``parents`` (parent), which are
+        in ``slots``; a folder whose files have gone may be among them, with zeros."""
+        rows = self._slotted("folders", DIGESTS, slots).drop("segment")
+        rows = rows if parents is None else rows.join(parents, "parent", "left_semi")
+        counted = [F.sum(c).alias(c) if c in ("below", "own") else F.bit_xor(c).alias(c) for c in FOLDERS[2:]]
+        return rows.groupBy("folder", "parent").agg(*counted).select(*FOLDERS)
+
+    def entries(self, folders: DataFrame) -> DataFrame:
+        """file_path and last_modified_ticks of the documents right in ``folders`` (folder),
+        whose slots alone are read."""
+        rows = self._slotted("entries", ENTRIES, self.slots_of(folders))
+        return self.live(rows.join(folders.select("folder"), "folder", "left_semi")).select("file_path", "last_modified_ticks")
+
+    def entries_at(self, paths: DataFrame) -> DataFrame:
+        """file_path and last_modified_ticks of those of ``paths`` (file_path) that are documents."""
+        if not self.has_folders():
+            return self.docs().select("file_path", "last_modified_ticks").join(paths, "file_path", "left_semi")
+        return self.entries(paths.select(folder_of(path_key(F.col("file_path"))).alias("folder")).distinct()).join(paths, "file_path", "left_semi")
+
     def total(self) -> int:
         """The number of documents, counted once."""
         if self._total is None:
