@@ -10,3 +10,9 @@ def test_pages_are_counted_whole(spark, tmp_path):
     spark.createDataFrame([(1, "u", html), (2, "u", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.file_path: r.line_count for r in catalogue.QUERIES["preview_html"](spark, str(tmp_path)).collect()}
     assert got == {"/pages/page_1.html": html.count("\n") + 1, "/pages/page_2.html": 1}
+
+
+def test_the_cut_counts_composed_characters(spark):
+    docs = spark.createDataFrame([("/a", "é\n" * 10)], "file_path string, content string")
+    assert [r.content for r in preview.preview(docs, "", limit=20).orderBy("line_no").collect()] == ["&#233;"] * 10 + [""]
+    assert [r.content for r in preview.preview(docs, "", limit=4).orderBy("line_no").collect()] == ["&#233;", "&#233;", "", "... (省略)"]
