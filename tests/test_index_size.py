@@ -37,3 +37,15 @@ def test_an_unchanged_index_makes_no_other(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "_indexes", {})
     catalogue._built(spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def test_compacting_analyses_and_joins_nothing(spark, tmp_path, monkeypatch):
+    store = index.Index(spark, str(tmp_path / "i"), buckets=2)
+    store.upsert(docs_of(spark, [("a", "one two"), ("b", "two two"), ("c", None)]))
+    store.upsert(docs_of(spark, [("b", "three")]))
+    store.delete(spark.createDataFrame([("/a",)], "file_path string"))
+    before = sorted(map(tuple, store.dictionary().collect())), sorted(map(tuple, store.postings().collect()), key=str)
+    monkeypatch.setattr(index, "grouped_postings", lambda *a, **k: pytest.fail("texts are analysed again"))
+    store.compact(2)
+    assert len(store.segments()) == 1 and store.docs().count() == 2
+    assert (sorted(map(tuple, store.dictionary().collect())), sorted(map(tuple, store.postings().collect()), key=str)) == before
