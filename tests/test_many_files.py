@@ -37,3 +37,17 @@ def test_a_deck_is_read_without_its_list_of_names_for_each_slide(monkeypatch):
     names = zipfile.ZipFile.namelist
     monkeypatch.setattr(zipfile.ZipFile, "namelist", lambda self: asked.append(1) or names(self))
     assert extractors.extract_pptx(data) == "".join(f"slide {k}\n\n" for k in range(50)) and len(asked) <= 1
+
+
+def test_an_update_knows_files_under_a_root_with_slashes(spark, tmp_path):
+    from folioscan.operators import index
+
+    (tmp_path / "files").mkdir()
+    for k in range(3):
+        (tmp_path / "files" / f"{k}.txt").write_text(f"text {k}")
+    store = index.Index(spark, str(tmp_path / "i"), buckets=2)
+    store.update([f"file://{tmp_path}/files"])  # three slashes, where listings have one
+    (tmp_path / "files" / "0.txt").unlink()
+    done = store.update([f"file://{tmp_path}/files"])
+    assert (done["add"], done["update"], done["delete"]) == (0, 0, 1)
+    assert sorted(r.content for r in store.docs().collect()) == ["text 1", "text 2"]
