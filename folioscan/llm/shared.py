@@ -112,8 +112,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of the words of a text in order, A-Z lower-cased."""
-    small = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.transform(F.array_remove(F.split(small, f"[{SPACE}]+"), ""), lambda w: F.xxhash64(w))
+
+    def small(w: Column) -> Column:  # most words are ASCII, which lower() does a byte at a time
+        return F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+    return F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), ""), lambda w: F.xxhash64(small(w)))
 
 
 def lists(column: pa.ListArray) -> Iterator[np.ndarray]:

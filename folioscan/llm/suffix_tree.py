@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     bytes by place, compressed."""
     narrow = [a.astype(np.min_scalar_type(a.max(initial=0)), copy=False) for a in arrays]
     head = np.array([len(narrow), *(x for a in narrow for x in (a.dtype.itemsize, len(a)))], dtype=np.int64)
-    raw = b"".join([head.tobytes(), *(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in narrow)])
+    raw = b"".join([head.tobytes(), *((a >> a.dtype.type(8 * i) if i else a).astype(np.uint8).tobytes() for a in narrow for i in range(a.dtype.itemsize))])
     return len(raw).to_bytes(8, "little") + PACKED.compress(raw, asbytes=True)
 
 
@@ -59,8 +60,10 @@ def unpack(data: bytes | memoryview, *kinds: type) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     sizes, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).tolist(), 8 + 16 * n, []
     for kind, size, length in zip(kinds, sizes[::2], sizes[1::2]):
-        planes = np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"u{size}").astype(kind))
+        whole = np.zeros(length, f"u{size}")
+        for i in range(size):
+            whole |= np.frombuffer(raw, np.uint8, length, at + i * length).astype(whole.dtype) << whole.dtype.type(8 * i)
+        out.append(whole.astype(kind))
         at += size * length
     return out
 
@@ -94,12 +97,27 @@ def _shard(numbers: np.ndarray, shards: int) -> np.ndarray:
     return ((numbers - 1) // shards + (numbers - 1) % shards) % shards
 
 
+def _order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of codes (from 0 on) in the codes' order, then in their own, and how often
+    each distinct code occurs. Where codes and places fit into one number together, numbers
+    are sorted, which takes a fraction of the time that sorting places by codes takes."""
+    bits = len(codes).bit_length()
+    if int(codes.max(initial=0)).bit_length() + bits < 64:
+        codes = np.sort((codes << bits) | np.arange(len(codes)))
+        order, codes = codes & ((1 << bits) - 1), codes >> bits
+    else:
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))[: len(codes)])
+    return order, np.diff(starts, append=len(codes))
+
+
 def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place of each distinct code, in the codes' order, and the number of each code."""
-    found, inverse = np.unique(codes, return_inverse=True)
-    place = np.empty(len(found), dtype=np.int64)
-    place[inverse] = np.arange(len(codes))  # whichever comes last
-    return place, inverse
+    order, counts = _order(codes)
+    inverse = np.empty(len(codes), np.int64)
+    inverse[order] = np.repeat(np.arange(len(counts)), counts)
+    return order[np.cumsum(counts) - 1], inverse  # whichever comes last
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
@@ -150,7 +168,7 @@ class Block:
 
     def __init__(self, folder: str, block: int, shards: int):
         self.folder, self.block, self.shards = folder, block, shards
-        self.by_shard, self.at, sizes, self.train = unpack(_got(folder, f"{block}.bin"), np.int64, np.uint32, np.int64, np.bool_)
+        self.by_shard, self.at, sizes, self.train = unpack(_got(folder, f"{block}.bin"), np.int64, np.int64, np.int64, np.bool_)
         self.sizes, self.in_training = sizes, np.repeat(self.train, sizes)
         self.starts = np.cumsum(sizes) - sizes
 
@@ -178,25 +196,34 @@ class Block:
         out[self.starts] = 0
         return out
 
+    def before(self, places: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """``after``, for numbers at some places; they are 0 at the others."""
+        out = np.zeros(len(self.at) + 1, dtype=np.int64)
+        out[places + 1] = numbers
+        out[self.starts] = 0
+        return out[:-1]
+
     def level(self, local: np.ndarray, contexts: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, ...]:
         """The distinct strings of a level. ``contexts`` has the number of each symbol's
         context or 0, ``local`` the block's own number of it, ``ranks`` the order of words.
-        Returns the places of symbols with a context; for each its string; and for the
-        strings, ordered by shard, context and word, a first place and the start of each
-        context."""
+        Returns the places of symbols with a context, string by string; and for the strings,
+        ordered by shard, context and word, how many places each has, one of them, and the
+        start of each context."""
         places = np.flatnonzero(contexts)
-        number = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-        number[local[places]] = contexts[places]
+        context = local[places]
+        number = np.zeros(int(context.max(initial=0)) + 1, np.int64)
+        number[context] = contexts[places]
         used = np.flatnonzero(number)
         own, number = _shard(number[used], self.shards), number[used]
         bits = int(number.max(initial=0)).bit_length()
-        order = np.argsort((own << bits) | number) if bits + self.shards.bit_length() < 63 else np.lexsort((number, own))
-        rank = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-        rank[used[order]] = np.arange(len(used))
-        first, string = _distinct(rank[local[places]] * np.int64(len(self.by_shard)) + ranks[self.at[places]])
-        first = places[first]
+        order = _order((own << bits) | number)[0] if bits + self.shards.bit_length() < 63 else np.lexsort((number, own))
+        rank = np.zeros(int(context.max(initial=0)) + 1, np.int64)
+        rank[used[order]] = np.arange(len(used)) * len(self.by_shard)
+        order, sizes = _order(rank[context] + ranks[self.at[places]])
+        places = places[order]
+        first = places[np.cumsum(sizes) - 1]
         own = contexts[first]
-        return places, string, first, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        return places, sizes, first, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
 
 
 def _blocks(folder: str, shards: int) -> Callable:
@@ -217,7 +244,8 @@ def _blocks(folder: str, shards: int) -> Callable:
     def flush(held: list, block: int) -> Iterator[pa.RecordBatch]:
         end, train = np.array([END], np.uint64), np.array([t for _, _, t in held])
         sizes = np.array([len(w) + 1 for _, w, _ in held], np.int64)
-        words, at = np.unique(np.concatenate([x for _, w, _ in held for x in (w, end)]), return_inverse=True)
+        coded = pc.dictionary_encode(pa.array(np.concatenate([x for _, w, _ in held for x in (w, end)])))
+        words, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         often = np.argsort(-np.bincount(at), kind="stable")  # frequent words get small numbers, which take few bytes
         rank = np.empty(len(words), np.int64)
         rank[often] = np.arange(len(words))
@@ -340,20 +368,21 @@ def _levels(block: Block, answered: int, total: int, distinct: int, least: int,
     numbers of contexts and the block's own."""
     counts, numbers = block.by_word()
     ranks = np.empty(len(numbers), np.int64)
-    ranks[np.argsort(numbers)] = np.arange(len(numbers))
+    ranks[_order(numbers)[0]] = np.arange(len(numbers))
     chance = (counts[block.at] + 1) / (total + distinct + 1)
     contexts = block.after(np.where(counts >= least, numbers, 0)[block.at])
-    local = block.after(block.at.astype(np.int64))
+    local = block.after(block.at)
     for level in range(1, answered + 1):
-        places, string, _, starts = block.level(local, contexts, ranks)
+        places, sizes, _, starts = block.level(local, contexts, ranks)
         n, number, seen, kinds = block.answer(level, least)
-        context = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))[string]
+        context = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))
         kept = kinds[context] > 0
-        smooth = prior * kinds[context][kept]
-        chance[places[kept]] = (n[string][kept] + smooth * chance[places[kept]]) / (seen[context][kept] + smooth)
-        following, own = np.zeros(len(block.at), np.int64), np.zeros(len(block.at), np.int64)
-        following[places], own[places] = number[string], string
-        contexts, local = block.after(following), block.after(own)
+        smooth = prior * kinds[context[kept]]
+        at, of = places[np.repeat(kept, sizes)], sizes[kept]
+        chance[at] = (np.repeat(n[kept], of) + np.repeat(smooth, of) * chance[at]) / np.repeat(seen[context[kept]] + smooth, of)
+        some = number > 0
+        at, of = places[np.repeat(some, sizes)], sizes[some]
+        contexts, local = block.before(at, np.repeat(number[some], of)), block.before(at, np.repeat(np.flatnonzero(some), of))
     return counts, numbers, ranks, chance, contexts, local
 
 
@@ -368,8 +397,8 @@ def _asked(folder: str, shards: int, level: int, total: int, distinct: int, leas
     def ask(number: int) -> Iterator[pa.RecordBatch]:
         block = Block(folder, number, shards)
         _, numbers, ranks, chance, contexts, local = _levels(block, level - 1, total, distinct, least, prior)
-        places, string, first, starts = block.level(local, contexts, ranks)
-        n = np.bincount(string, block.in_training[places], minlength=len(first)).astype(np.int64)
+        places, many, first, starts = block.level(local, contexts, ranks)
+        n = np.diff(np.cumsum(block.in_training[places], dtype=np.int64)[np.cumsum(many) - 1], prepend=0)
         steps = np.where(n > 0, np.minimum(np.rint(-np.log(chance[first]) * STEPS), 255), 0).astype(np.uint8)
         own = _shard(contexts[first[starts]], shards)
         cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist()

@@ -112,3 +112,25 @@ def test_held_out_texts_score_above_unigrams(spark, documents):
     assert docs.count() == documents
     got = suffix_tree.score_documents(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert got[0] > got[1] + 0.08 * got[2]  # the tree alone, by so much for each token
+
+
+def test_places_are_ordered_by_one_sort_of_numbers(monkeypatch):
+    rng = np.random.default_rng(8)
+    for codes in (rng.integers(0, 50, 1000), rng.integers(0, 9, 1000) << 58, np.zeros(0, np.int64), np.array([3])):
+        with monkeypatch.context() as m:
+            if codes.max(initial=0) < 1 << 50:  # sorting places by codes takes several times as long
+                m.setattr(np, "argsort", None)
+            order, counts = suffix_tree._order(codes)
+        assert order.tolist() == sorted(range(len(codes)), key=lambda i: (codes[i], i))
+        assert counts.tolist() == [n for _, n in sorted(Counter(codes.tolist()).items())]
+
+
+def test_words_are_lower_cased_in_a_to_z_only(spark):
+    from folioscan.llm.shared import word_hashes
+
+    docs = spark.createDataFrame([("The ÉA\tİZ ıI Straße \x7fZ K 税A",), ("the Éa İz ıi straße \x7fz K 税a",)], "text string")
+    plan = docs.select(word_hashes(F.col("text")).alias("w"))
+    first, second = (r.w for r in plan.collect())
+    assert first == second and len(set(first)) == 8
+    # texts are not translated a character at a time as a whole
+    assert "translate(coalesce" not in plan._jdf.queryExecution().analyzed().toString().lower()
