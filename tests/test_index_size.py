@@ -49,3 +49,21 @@ def test_compacting_analyses_and_joins_nothing(spark, tmp_path, monkeypatch):
     store.compact(2)
     assert len(store.segments()) == 1 and store.docs().count() == 2
     assert (sorted(map(tuple, store.dictionary().collect())), sorted(map(tuple, store.postings().collect()), key=str)) == before
+
+
+def test_blocks_are_cut_without_gathering_a_terms_rows(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from folioscan.functions.analysis import grouped_postings
+    from folioscan.operators import segments
+
+    monkeypatch.setattr(segments, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(segments, "LEAST_SLICES", 1)
+    docs = spark.range(100).selectExpr("concat('/f/', id, '.txt') as file_path", "concat(id, '.txt') as file_name", "concat('a b c', repeat(' d', cast(id % 9 as int))) as content")
+    segments.write_postings(grouped_postings(docs), f"{tmp_path}/p", 1, 100)
+    rows = spark.read.schema(segments.POSTINGS).parquet(f"{tmp_path}/p")
+    got = segments.blocks_of(rows).collect()
+    assert max(r.n for r in got) == 8 and sum(r.n for r in got) == rows.count() == grouped_postings(docs).count()
+    assert len({r.block for r in got}) == -(-rows.count() // 8)  # blocks are numbered through, not by term
+    tops = rows.groupBy("field", "term", "block").agg(F.max(segments.impact()).alias("top"), F.min(segments.impact()).alias("low")).orderBy("field", "term", "block").collect()
+    assert all((a.field, a.term) != (b.field, b.term) or a.low >= b.top for a, b in zip(tops, tops[1:]))
