@@ -67,3 +67,21 @@ def test_blocks_are_cut_without_gathering_a_terms_rows(spark, tmp_path, monkeypa
     assert len({r.block for r in got}) == -(-rows.count() // 8)  # blocks are numbered through, not by term
     tops = rows.groupBy("field", "term", "block").agg(F.max(segments.impact()).alias("top"), F.min(segments.impact()).alias("low")).orderBy("field", "term", "block").collect()
     assert all((a.field, a.term) != (b.field, b.term) or a.low >= b.top for a, b in zip(tops, tops[1:]))
+
+
+def test_a_folder_over_all_that_is_there_leaves_one_segment(spark, tmp_path, monkeypatch):
+    from folioscan.operators import index
+
+    (tmp_path / "f" / "a").mkdir(parents=True)
+    for k in range(6):
+        (tmp_path / "f" / ("a" if k < 3 else "") / f"{k}.txt").write_text(f"text {k}")
+    store = index.Index(spark, str(tmp_path / "i"), buckets=2)
+    monkeypatch.setattr(index, "upsert", None)  # a scan has each path once
+    store.index_folder(f"file://{tmp_path}/f/a")
+    store.index_folder(f"file://{tmp_path}/f")
+    assert [x["documents"] for x in store.segments()] == [6] and not store.segments()[0]["dead"]
+    assert sorted(r.content for r in store.docs().collect()) == [f"text {k}" for k in range(6)]
+    assert {r.term: r.df for r in store.dictionary().where("field = 'content'").collect()} == {"text": 6, **{str(k): 1 for k in range(6)}}
+    store.index_folder(f"file://{tmp_path}/f/a")  # this takes a part out, as before
+    assert len(store.segments()) == 2 and store.docs().count() == 6
+    assert {r.term: r.df for r in store.dictionary().where("field = 'content'").collect()} == {"text": 6, **{str(k): 1 for k in range(6)}}
