@@ -51,3 +51,47 @@ def test_an_update_knows_files_under_a_root_with_slashes(spark, tmp_path):
     done = store.update([f"file://{tmp_path}/files"])
     assert (done["add"], done["update"], done["delete"]) == (0, 0, 1)
     assert sorted(r.content for r in store.docs().collect()) == ["text 1", "text 2"]
+
+
+def test_empty_files_are_documents(spark, tmp_path):
+    from folioscan.operators import index
+
+    (tmp_path / "files" / "sub").mkdir(parents=True)
+    for name, data in {"a.txt": "", "sub/b.md": "", "c.txt": "text", "$bin.txt": "", "noext": ""}.items():
+        (tmp_path / "files" / name).write_text(data)
+    root, store = f"file://{tmp_path}/files", index.Index(spark, str(tmp_path / "i"), buckets=2)
+    assert sorted((r.path.rpartition("/")[2], r.content) for r in files.scan(spark, [root]).collect()) == [("$bin.txt", b""), ("a.txt", b""), ("b.md", b""), ("c.txt", b"text")]
+    store.update([root])
+    found = lambda: sorted((r.file_name, r.content) for r in store.docs().collect())
+    assert found() == [("$bin.txt", ""), ("a.txt", ""), ("b.md", ""), ("c.txt", "text")]
+    (tmp_path / "files" / "a.txt").unlink()
+    (tmp_path / "files" / "sub" / "d.txt").write_text("")
+    done = store.update([root])
+    assert (done["add"], done["update"], done["delete"], done["files"]) == (1, 0, 1, 1)
+    assert found() == [("$bin.txt", ""), ("b.md", ""), ("c.txt", "text"), ("d.txt", "")]
+
+
+def test_an_updated_index_has_empty_documents(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(catalogue, "_updates", {})
+    rows = spark.range(80).selectExpr("id as doc_id", "concat('src', id % 3) as source", "if(id % 4 = 0, '', if(id % 4 = 1, null, concat('text ', id))) as text")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("index_updated_files", "index_update_report"):
+        ours = sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert ours == sorted(con.execute(catalogue.ORACLE_SQL[name]).fetchall())
+
+
+def test_an_error_of_the_driver_leaves_no_folder_out(spark, tmp_path, monkeypatch):
+    import pytest
+    from py4j.protocol import Py4JJavaError
+
+    def full(spark, path, deep):
+        raise Py4JJavaError("full", spark._jvm.java.lang.RuntimeException("listing", spark._jvm.java.lang.OutOfMemoryError("heap")))
+
+    (tmp_path / "a.txt").write_text("text")
+    monkeypatch.setattr(files, "_load", full)
+    with pytest.raises(Py4JJavaError):
+        files.scan(spark, [f"file://{tmp_path}"])
