@@ -95,3 +95,21 @@ def test_an_error_of_the_driver_leaves_no_folder_out(spark, tmp_path, monkeypatc
     monkeypatch.setattr(files, "_load", full)
     with pytest.raises(Py4JJavaError):
         files.scan(spark, [f"file://{tmp_path}"])
+
+
+def test_an_index_of_files_leaves_the_listing_to_tasks(spark, tmp_path, monkeypatch):
+    from folioscan.operators import index
+
+    for k in range(4):
+        (tmp_path / "files" / f"s{k % 2}" / "Windows").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "files" / f"s{k % 2}" / f"{k}.txt").write_text(f"text {k}")
+        (tmp_path / "files" / f"s{k % 2}" / "Windows" / "x.txt").write_text("x")
+    root = f"file://{tmp_path}/files"
+    plain = [tuple(r) for r in files.scan(spark, [root]).drop("content").orderBy("path").collect()]
+    assert len(plain) == 4 and [tuple(r) for r in files.listed(spark, [root]).orderBy("path").collect()] == plain
+    monkeypatch.setattr(files, "_load", None)  # it holds all files in the driver
+    store = index.Index(spark, str(tmp_path / "i"), buckets=1)
+    assert store.rebuild([root])["files"] == 4
+    assert store.update([root])["files"] == 0
+    assert store.index_folder(f"{root}/s1")["files"] == 2
+    assert sorted(r.content for r in store.docs().collect()) == [f"text {k}" for k in range(4)]
