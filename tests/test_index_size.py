@@ -85,3 +85,30 @@ def test_a_folder_over_all_that_is_there_leaves_one_segment(spark, tmp_path, mon
     store.index_folder(f"file://{tmp_path}/f/a")  # this takes a part out, as before
     assert len(store.segments()) == 2 and store.docs().count() == 6
     assert {r.term: r.df for r in store.dictionary().where("field = 'content'").collect()} == {"text": 6, **{str(k): 1 for k in range(6)}}
+
+
+def test_postings_move_as_lists_and_come_back_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from folioscan.functions import analysis
+
+    rows = [(f"/a/{k}.txt", f"{k}.txt", None if k % 5 == 0 else " ".join(f"w{j % (k + 1)} é日{j}" for j in range(k))) for k in range(60)]
+    docs = spark.createDataFrame([*rows, ("/a/3.txt", "3.txt", "dup dup"), (None, "n.txt", "no path")], "file_path string, file_name string, content string").repartition(3)
+    plain = sorted(str(tuple(r)) for r in analysis.grouped_postings(docs).collect())
+    dealt = analysis.dealt_postings(docs, 5, 3)
+    assert sorted(str(tuple(r)) for r in dealt.drop("part").collect()) == plain and dealt.rdd.getNumPartitions() == 15
+    assert dealt.where(F.floor(F.col("part") / 3) != segments.bucket_of(F.col("term"), 5)).count() == 0
+    assert dealt.select("part", F.spark_partition_id().alias("task")).distinct().groupBy("part").count().where("count > 1").count() == 0
+    assert analysis.dealt_postings(docs.where("false"), 5, 3).count() == 0
+
+
+def test_an_index_moves_no_texts_and_leaves_no_shuffles(spark, monkeypatch):
+    set_to, plain = [], segments.write_postings
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(catalogue, "_indexes", {})
+    monkeypatch.setattr(index, "upsert", None)  # it moves them to find a path's last
+    monkeypatch.setattr(index, "write_postings", lambda *a: set_to.append((spark.conf.get(name), a[0])) or plain(*a))
+    store = catalogue._built(spark, "/root/testdata/sf0.001")
+    assert set_to == [("true", None)] and spark.conf.get(name, None) == before
+    assert store.docs().count() == 200
